@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # first code point used for token codes, and the last usable one (below the surrogates)
 CODE_BASE = 0x1000
@@ -62,7 +63,7 @@ def _lev_np(a: list, b: list) -> int:
     return int(prev[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def token_edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [None if (x is None or y is None) else _lev_np(list(x), list(y)) for x, y in zip(a, b)]
     return pd.Series(out, dtype="Int64")

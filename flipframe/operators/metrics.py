@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipframe.functions.util import as_col
 from flipframe.operators.sampling import ranked
@@ -127,7 +128,7 @@ def mcnemar_chi2(b: Column, c: Column) -> Column:
     return F.when(b + c > 0, F.pow(F.abs(b - c) - 1, 2) / (b + c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_1df_sf(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with 1 degree of freedom: erfc(sqrt(x/2))."""
     return x.map(lambda v: None if v is None or pd.isna(v) else math.erfc(math.sqrt(v / 2.0)))

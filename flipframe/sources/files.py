@@ -71,7 +71,7 @@ def read_text_corpus(spark: SparkSession, path) -> DataFrame:
 
 def read_folder_labelled(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root/<class>/`` is one row; label = rank of its sorted folder name."""
-    files = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
+    files = (spark.read.text(root, wholetext=True, recursiveFileLookup=True)
              .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
     files = files.withColumn("folder", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
     # the distinct folder list is tiny (one row per class)
