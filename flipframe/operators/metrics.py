@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flipframe.functions.util import as_col
-from flipframe.operators.sampling import ranked
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -151,18 +149,17 @@ def pearson_by(df: DataFrame, x: str, y: str, by: Sequence[str] = ("idx",)) -> D
 def mid_ranks(df: DataFrame, value_col: str, by: Sequence[str], out_col: str, n_buckets: int = 65536) -> DataFrame:
     """Average rank (1-based, ties share the mean rank) of ``value_col`` within ``by``.
 
-    Distinct values are counted per group; the number of smaller values comes from the
-    bucketed running sum of :func:`flipframe.operators.sampling.ranked` style offsets, so no
-    single window holds a whole group.
+    Distinct values are counted per group and cut into order-preserving buckets
+    (``atan`` maps any double monotonically into a bounded range, so no min/max pass is
+    needed); a running sum over the small (group, bucket) table gives each bucket's offset and
+    a window inside each bucket the count of smaller values -- no window ever holds a whole
+    group.
     """
     by = list(by)
     vals = df.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    lo, hi = vals.agg(F.min(value_col), F.max(value_col)).first()
-    if lo is None:
-        return df.withColumn(out_col, F.lit(None).cast("double"))
-    width = (float(hi) - float(lo)) / n_buckets or 1.0
-    bucket = F.least(F.floor((F.col(value_col).cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(n_buckets - 1))
-    vals = vals.withColumn("_bkt", bucket.cast("long"))
+    unit = (F.atan(F.col(value_col).cast("double")) / F.lit(math.pi)) + F.lit(0.5)
+    bucket = F.least(F.floor(unit * n_buckets), F.lit(n_buckets - 1)).cast("long")
+    vals = vals.withColumn("_bkt", bucket)
     per_bucket = vals.groupBy(*by, "_bkt").agg(F.sum("_cnt").alias("_bc"))
     before_b = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_bucket.select(*by, "_bkt", F.coalesce(F.sum("_bc").over(before_b), F.lit(0)).alias("_off"))

@@ -1,9 +1,17 @@
 """Metric suite (T7) and augmentation-run report.
 
-``evaluate`` is one Spark query: the candidate table is tokenised once and every metric branch
-(label flip, BLEU family, edit distance, self-BLEU) hangs off the same scan, so Spark's
-exchange reuse shares the tokenised shuffle between branches.  The result is a long
-``(metric, value)`` table -- the shape the metrics sink stores.
+``evaluate`` tokenises the cleaned candidate table and the gold side once and checkpoints both
+to the shared checkpoint folder (reliable storage: a lost executor does not send the job back
+to the pairing shuffle).  Every metric family then reads those two tables:
+
+* g  label flip + confidence          one aggregate by candidate index, then over indexes
+* b  BLEU family                      one n-gram match table (checkpointed) -> corpus BLEU and
+                                      BLEU@1..4 in one aggregate, sentence BLEU mean/var/@n and
+                                      Pearson in one aggregate, Spearman via distributed mid-ranks
+* c  closeness (token edit distance)  one aggregate + Spearman
+* d  diversity (self-BLEU)            one aggregate + Spearman
+
+The result is a long ``(metric, value)`` table, the shape the metrics sink stores.
 """
 
 from __future__ import annotations
@@ -17,6 +25,9 @@ from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
 from flipframe.operators.distance import normalised_distance, with_token_edit_distance
 from flipframe.operators.models import parity_scorer, score_texts
+from flipframe.session import ensure_checkpoint_dir
+
+_AT = [f"_at_{n}" for n in range(1, 5)]
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -24,54 +35,72 @@ def _long(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "metric", "value")
 
 
-def _corr_means(rows: DataFrame, score_col: str, prefix: str) -> DataFrame:
-    p = M.pearson_by(rows, score_col, "counter_size", by=["idx"]).agg(F.avg("pearson").alias(f"{prefix}pearson"))
-    s = M.spearman_by(rows, score_col, "counter_size", by=["idx"]).agg(F.avg("spearman").alias(f"{prefix}spearman"))
-    return _long(p).unionByName(_long(s))
+def _materialise(df: DataFrame, on: bool) -> DataFrame:
+    if not on:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _two_level(rows: DataFrame, score: str, prefix: str, extra_means: list[str] = (), corr: bool = True) -> DataFrame:
+    """Per candidate: mean, variance, extra means and Pearson vs size; then across candidates."""
+    per = rows.groupBy("idx").agg(F.avg(score).alias("_m"), F.var_pop(score).alias("_v"),
+                                  *[F.avg(c).alias(f"_e{c}") for c in extra_means],
+                                  *([F.corr(score, "counter_size").alias("_p")] if corr else []))
+    return per.agg(F.avg("_m").alias(f"{prefix}mean"), F.var_pop("_v").alias(f"{prefix}var"),
+                   *[F.avg(f"_e{c}").alias(f"{c}_mean") for c in extra_means],
+                   *([F.avg("_p").alias(f"{prefix}pearson")] if corr else []))
+
+
+def _spearman_mean(rows: DataFrame, score: str, name: str) -> DataFrame:
+    return M.spearman_by(rows, score, "counter_size", by=["idx"]).agg(F.avg("spearman").alias(name))
 
 
 def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer,
-             id_col: str = "paired_id", calculate_corr: bool = True) -> DataFrame:
+             id_col: str = "paired_id", calculate_corr: bool = True, materialise: bool = True) -> DataFrame:
     """Metric flags: g = label flip + confidence, b = BLEU family, c = closeness (token edit
     distance), d = diversity (self-BLEU).  Returns (metric, value) rows."""
     kept, removed = clean_candidates(pairs, cands, id_col, n)
     parts = [_long(removed)]
     c = cands.join(kept.select(id_col, "label_counter", "example"), on=id_col, how="inner")
-    ref = kept.select(F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"),
-                      F.size(word_tokens("counterfactual")).cast("long").alias("counter_size"))
-    hyp = c.select(F.col(id_col).alias("id"), "idx", word_tokens("generated").alias("hyp_tokens"),
-                   word_tokens("example").alias("seed_tokens"))
+    hyp = _materialise(c.select(F.col(id_col).alias("id"), "idx", "generated", "label_counter",
+                                word_tokens("generated").alias("hyp_tokens"),
+                                word_tokens("example").alias("seed_tokens")), materialise)
+    ref = _materialise(kept.select(F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
+                       .withColumn("counter_size", F.size("ref_tokens").cast("long")), materialise)
     sizes = ref.select("id", "counter_size")
 
     if "g" in metrics:
-        scored = score_texts(c, "generated", scorer)
-        parts += [_long(M.label_flip_rate(scored, "label_counter")), _long(M.mean_confidence(scored))]
+        scored = score_texts(hyp, "generated", scorer)
+        hit = (F.col("pred") == F.col("label_counter")).cast("double")
+        per = scored.groupBy("idx").agg(F.avg(hit).alias("_f"), F.avg("score").alias("_c"))
+        parts.append(_long(per.agg(F.avg("_f").alias("label_flip"), F.avg("_c").alias("confidence"))))
     if "b" in metrics:
-        matches = ngram.match_table(hyp.select("id", "idx", "hyp_tokens"), ref.select("id", "ref_tokens"))
-        corpus = ngram.corpus_bleu_by_idx(matches, weights_by_name=ngram.bleu_weightings("corpus_bleu"))
-        parts.append(_long(corpus.agg(*[F.avg(k).alias(k) for k in ngram.bleu_weightings("corpus_bleu")])))
+        matches = _materialise(ngram.match_table(hyp.select("id", "idx", "hyp_tokens"), ref.select("id", "ref_tokens")),
+                               materialise)
+        weights = ngram.bleu_weightings("corpus_bleu")
+        corpus = ngram.corpus_bleu_by_idx(matches, weights_by_name=weights)
+        parts.append(_long(corpus.agg(*[F.avg(k).alias(k) for k in weights])))
         sent = matches.select("id", "idx", *[ngram.sentence_bleu_col(w).alias(k)
                                              for k, w in ngram.bleu_weightings("sent_bleu").items()])
-        parts.append(_long(M.two_level_mean_var(sent, "sent_bleu", prefix="sent_bleu_")))
-        for k in range(1, 5):
-            parts.append(_long(sent.groupBy("idx").agg(F.avg(f"sent_bleu_at_{k}").alias("_m"))
-                               .agg(F.avg("_m").alias(f"sent_bleu_at_{k}_mean"))))
+        sent = sent.join(sizes, "id")
+        parts.append(_long(_two_level(sent, "sent_bleu", "sent_bleu_", [f"sent_bleu{k}" for k in _AT], calculate_corr)))
         if calculate_corr:
-            parts.append(_corr_means(sent.join(sizes, "id"), "sent_bleu", "sent_bleu_"))
+            parts.append(_long(_spearman_mean(sent, "sent_bleu", "sent_bleu_spearman")))
     if "c" in metrics:
-        dist = with_token_edit_distance(hyp, "seed_tokens", "hyp_tokens", "lev")
-        dist = dist.withColumn("lev_norm", normalised_distance(F.col("lev"), F.col("seed_tokens")))
-        parts.append(_long(M.two_level_mean_var(dist, "lev_norm", prefix="lev_")))
+        dist = with_token_edit_distance(hyp.select("id", "idx", "seed_tokens", "hyp_tokens"), "seed_tokens", "hyp_tokens", "lev")
+        dist = dist.withColumn("lev_norm", normalised_distance(F.col("lev"), F.col("seed_tokens"))).join(sizes, "id")
+        parts.append(_long(_two_level(dist, "lev_norm", "lev_", corr=calculate_corr)))
         if calculate_corr:
-            parts.append(_corr_means(dist.join(sizes, "id"), "lev_norm", "lev_"))
+            parts.append(_long(_spearman_mean(dist, "lev_norm", "lev_spearman")))
     if "d" in metrics:
-        sb = ngram.self_bleu_rows(hyp.select("id", "idx", F.col("hyp_tokens").alias("tokens")))
-        parts.append(_long(sb.agg(F.avg("self_bleu").alias("self_bleu_mean"), F.var_pop("self_bleu").alias("self_bleu_var"))))
+        sb = ngram.self_bleu_rows(hyp.select("id", "idx", F.col("hyp_tokens").alias("tokens"))).join(sizes, "id")
+        aggs = [F.avg("self_bleu").alias("self_bleu_mean"), F.var_pop("self_bleu").alias("self_bleu_var")]
+        if calculate_corr:
+            aggs.append(F.corr("self_bleu", "counter_size").alias("self_bleu_pearson"))
+        parts.append(_long(sb.agg(*aggs)))
         if calculate_corr:
-            sbs = sb.join(sizes, "id")
-            parts.append(_long(sbs.agg(F.corr("self_bleu", "counter_size").alias("self_bleu_pearson"))))
-            parts.append(_long(M.spearman_by(sbs.withColumn("idx", F.lit(0)), "self_bleu", "counter_size")
-                               .select(F.col("spearman").alias("self_bleu_spearman"))))
+            parts.append(_long(_spearman_mean(sb.withColumn("idx", F.lit(0)), "self_bleu", "self_bleu_spearman")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
