@@ -1,10 +1,10 @@
 """Token edit distance (T5) and sentence-aligned tree edit distance.
 
 Token edit distance stays inside the JVM: the distinct tokens of a pair are numbered, each
-token becomes one BMP character, and Spark's built-in ``levenshtein`` (code-point based)
-runs on the two encoded strings.  Pairs whose joint vocabulary does not fit the character
-range take an Arrow-batched NumPy path instead; the two paths are split by a filter and
-unioned, so the Python worker only sees the rows that need it.
+token becomes one character (a code point, UTF-32 encoded), and Spark's built-in
+``levenshtein`` (code-point based) runs on the two encoded strings.  Pairs whose joint
+vocabulary does not fit the code-point range take an Arrow-batched NumPy path instead; the two
+paths are split by a filter and unioned, so the Python worker only sees the rows that need it.
 
 Tree edit distance needs Zhang-Shasha, which no SQL engine has: the distinct (tree, tree)
 pairs are computed once in ``mapInPandas`` and joined back, everything around it (sentence
@@ -21,16 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# first code point used for token codes, and the last usable one (below the surrogates)
+# Token codes are code points from CODE_BASE upward, skipping the surrogate block, written as
+# UTF-32 so every token is exactly one character for ``levenshtein``.
 CODE_BASE = 0x1000
-CODE_LIMIT = 0xD7FF
-MAX_NATIVE_VOCAB = CODE_LIMIT - CODE_BASE
+SURROGATE_START, SURROGATE_SIZE = 0xD800, 0x800
+MAX_CODE_POINT = 0x10FFFF
+MAX_NATIVE_VOCAB = MAX_CODE_POINT - CODE_BASE - SURROGATE_SIZE + 1
 
 
 def _encode(tokens: Column, vocab: Column) -> Column:
     def one(t):
-        code = F.lit(CODE_BASE) + F.array_position(vocab, t)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        code = F.lit(CODE_BASE - 1) + F.array_position(vocab, t)
+        code = F.when(code >= SURROGATE_START, code + SURROGATE_SIZE).otherwise(code)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
     return F.array_join(F.transform(tokens, one), "")
 
@@ -69,16 +72,25 @@ def token_edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
-def with_token_edit_distance(df: DataFrame, a_col: str, b_col: str, out_col: str = "distance") -> DataFrame:
-    """Add the token edit distance of two array columns, native where the vocabulary fits."""
+def with_token_edit_distance(df: DataFrame, a_col: str, b_col: str, out_col: str = "distance",
+                             check_fallback: bool = True) -> DataFrame:
+    """Add the token edit distance of two array columns.
+
+    Every pair whose joint vocabulary fits the code-point range (about 1.1 million distinct
+    tokens) runs natively in the JVM.  Only if a size check finds a pair beyond that range is
+    the NumPy branch added to the plan, so a job without such pairs never starts Python workers.
+    """
     vocab_size = F.size(F.array_distinct(F.concat(F.col(a_col), F.col(b_col))))
     present = F.col(a_col).isNotNull() & F.col(b_col).isNotNull()
     native = df.filter(present & (vocab_size <= MAX_NATIVE_VOCAB)).withColumn(
         out_col, token_edit_distance_native(F.col(a_col), F.col(b_col)))
-    wide = df.filter(present & (vocab_size > MAX_NATIVE_VOCAB)).withColumn(
-        out_col, token_edit_distance_udf(F.col(a_col), F.col(b_col)))
     nulls = df.filter(F.col(a_col).isNull() | F.col(b_col).isNull()).withColumn(out_col, F.lit(None).cast("long"))
-    return native.unionByName(wide).unionByName(nulls)
+    out = native.unionByName(nulls)
+    too_wide = present & (vocab_size > MAX_NATIVE_VOCAB)
+    if not check_fallback or df.filter(too_wide).limit(1).count() > 0:
+        wide = df.filter(too_wide).withColumn(out_col, token_edit_distance_udf(F.col(a_col), F.col(b_col)))
+        out = out.unionByName(wide)
+    return out
 
 
 def normalised_distance(distance: Column, seed_tokens: Column) -> Column:
