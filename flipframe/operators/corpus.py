@@ -25,19 +25,27 @@ RANDOM_SHARE = 0.1        # of the selected positions: replaced by a random id (
 # ------------------------------------------------------------------------------------------
 
 
-def build_vocab(lines: DataFrame, text_col: str = "text", vocab_size: int = 30000) -> DataFrame:
-    """(token, id): most frequent tokens (ties by token), ids after the special ids."""
-    counts = (lines.select(F.explode(word_tokens(text_col)).alias("token"))
+def tokenize_lines(lines: DataFrame, id_col: str = "line_id", text_col: str = "text") -> DataFrame:
+    """(line_id, tokens): the one tokenisation pass every later corpus step reads."""
+    return lines.select(id_col, word_tokens(text_col).alias("tokens"))
+
+
+def build_vocab(tokens: DataFrame, vocab_size: int = 30000, tokens_col: str = "tokens") -> DataFrame:
+    """(token, id): most frequent tokens (ties by token), ids after the special ids.
+
+    The vocabulary is capped at ``vocab_size`` rows, so joining it is a bounded broadcast.
+    """
+    counts = (tokens.select(F.explode(tokens_col).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     top = counts.orderBy(F.desc("freq"), F.asc("token")).limit(vocab_size)
     w = Window.orderBy(F.desc("freq"), F.asc("token"))  # over at most vocab_size rows
     return top.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_IDS)).cast("int").alias("id"))
 
 
-def encode_lines(lines: DataFrame, vocab: DataFrame, id_col: str = "line_id", text_col: str = "text") -> DataFrame:
+def encode_lines(tokens: DataFrame, vocab: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens") -> DataFrame:
     """(line_id, pos, id) long form: every token mapped through the vocabulary, unknown -> UNK."""
-    toks = lines.select(id_col, F.posexplode(word_tokens(text_col)).alias("pos", "token"))
-    return (toks.join(vocab, on="token", how="left")
+    toks = tokens.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
+    return (toks.join(F.broadcast(vocab), on="token", how="left")
             .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(SPECIAL_IDS["<|UNK|>"])).cast("int").alias("id")))
 
 
@@ -48,9 +56,9 @@ def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
             .select(id_col, F.col("_p.id").alias("ids")))
 
 
-def line_offsets(lines: DataFrame, id_col: str = "line_id", text_col: str = "text", n_buckets: int = 65536) -> DataFrame:
+def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens", n_buckets: int = 65536) -> DataFrame:
     """(line_id, n_tokens, start): the first stream position of every line, lines in id order."""
-    sized = lines.select(id_col, F.size(word_tokens(text_col)).cast("long").alias("n_tokens"))
+    sized = tokens.select(id_col, F.size(tokens_col).cast("long").alias("n_tokens"))
     lo, hi = sized.agg(F.min(id_col), F.max(id_col)).first()
     if lo is None:
         return sized.withColumn("start", F.lit(0).cast("long"))

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipframe.functions.text import TOKEN_PATTERN, truncate_for_scoring, word_tokens
 from flipframe.functions.util import as_col
@@ -57,8 +58,8 @@ def score_texts_udf(df: DataFrame, text_col: str, make_predict_fn: Callable, bat
     """M1 with a model: ``make_predict_fn()`` -> fn(np.ndarray[str]) -> dict(label=..., score=...)."""
     from pyspark.ml.functions import predict_batch_udf
 
-    udf = predict_batch_udf(make_predict_fn, return_type="label int, score double", batch_size=batch_size,
-                            input_tensor_shapes=None)
+    rtype = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    udf = predict_batch_udf(make_predict_fn, return_type=rtype, batch_size=batch_size)
     t = truncate_for_scoring(F.col(text_col))
     out = df.withColumn("_r", udf(t))
     return out.withColumn(label_col, F.col("_r.label")).withColumn(score_col, F.col("_r.score")).drop("_r")

@@ -21,7 +21,7 @@ from flipframe.plans import tables as TB
 from flipframe.plans.catalog_io import (_COMPLETE_SQL, TOK_SQL, W, hash_sql, kfold_sql, ntok_sql, sentiment_prompt_sql, sq,
                                         strip_html_sql, tokens_sql, trunc_sql, words_sql)
 from flipframe.plans.registry import query
-from flipframe.session import scratch_path
+from flipframe.session import ensure_checkpoint_dir, scratch_path
 from flipframe.sources import files as IO
 
 N = TB.N_CANDIDATES
@@ -632,9 +632,12 @@ enc AS (SELECT p.doc_id, p.pos, coalesce(v.id, {CO.SPECIAL_IDS['<|UNK|>']}) AS i
 
 
 def _encoded(spark, d):
+    """Tokenise the corpus once (checkpointed to the shared folder), then vocabulary + encoding."""
     docs = TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text")
-    vocab = CO.build_vocab(docs, vocab_size=VOCAB)
-    return docs, CO.encode_lines(docs, vocab)
+    ensure_checkpoint_dir(spark)
+    toks = CO.tokenize_lines(docs).checkpoint(eager=True)
+    vocab = CO.build_vocab(toks, vocab_size=VOCAB)
+    return toks, CO.encode_lines(toks, vocab)
 
 
 @query("token_ids", sql=W(_VOCAB_SQL, body="SELECT doc_id, array_to_string(list(id ORDER BY pos), ' ') AS ids FROM enc GROUP BY doc_id"))
@@ -668,8 +671,8 @@ blocks AS (SELECT block_id, list(id ORDER BY gpos) AS ids FROM blk GROUP BY bloc
 
 
 def _blocks(spark, d):
-    docs, enc = _encoded(spark, d)
-    offs = CO.line_offsets(docs)
+    toks, enc = _encoded(spark, d)
+    offs = CO.line_offsets(toks)
     return CO.pack_blocks(enc, offs, BLOCK)
 
 
@@ -878,3 +881,35 @@ def cat_vs_origin(spark, d):
     b = MD.predict(m1, test).select("doc_id", F.col("pred").alias("pred_b"))
     both = a.join(b, "doc_id")
     return M.mcnemar(M.contingency(both, "labels", "pred", "pred_b")).drop("p_chi2")
+
+
+# --- streaming: incremental per-file evaluation ---------------------------------------------------
+
+_STREAM_SQL = W(TB.PAIRS_SQL(), f"""rs AS (SELECT 'gpt2@prompt-' || CAST(c.idx + 1 AS VARCHAR) || '@fold-0' AS run, c.generated, p.example,
+  p.label_counter, {parity_sql('c.generated')[0]} AS pred, {parity_sql('c.generated')[1]} AS score
+  FROM cands c JOIN pairs p ON c.paired_id = p.paired_id)""",
+                body=f"""SELECT run, split_part(split_part(run, '@', 2), '-', 2) AS prompt, split_part(split_part(run, '@', 3), '-', 2) AS fold,
+  CAST(count_if(generated IS NULL) AS BIGINT) AS n_removed,
+  avg(CASE WHEN generated IS NOT NULL THEN CAST(pred = label_counter AS DOUBLE) END) AS label_flip,
+  avg(CASE WHEN generated IS NOT NULL THEN score END) AS confidence,
+  avg(CASE WHEN generated IS NOT NULL THEN CAST({words_sql('example')} AS DOUBLE) END) AS avg_len_seed,
+  avg(CASE WHEN generated IS NOT NULL THEN CAST({words_sql('generated')} AS DOUBLE) END) AS avg_len_counter FROM rs GROUP BY run""")
+
+
+@query("streaming_runs_report", sql=_STREAM_SQL, doubles=["label_flip", "confidence", "avg_len_seed", "avg_len_counter"])
+def streaming_runs_report(spark, d):
+    """S6/T8 incrementally: candidate files land in a folder, a file-source stream reports each."""
+    from flipframe.streaming.runs import evaluate_folder
+
+    pairs, cands = TB.conversation_pairs(spark, d)
+    runs = (cands.join(pairs.select("paired_id", "example", "label_counter"), "paired_id")
+            .withColumn("run", F.concat(F.lit("gpt2@prompt-"), (F.col("idx") + 1).cast("string"), F.lit("@fold-0")))
+            .select("paired_id", "example", "label_counter", "generated", "run"))
+    folder, sink, ckpt = (scratch_path(spark, x) for x in ("landing", "report", "stream-ckpt"))
+    # one file per run, as a generator writes it
+    (runs.repartition("run").write.mode("overwrite").partitionBy("run").option("sep", "\t").option("header", "true")
+     .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(folder))
+    q = evaluate_folder(spark, folder, sink, ckpt, available_now=True)
+    q.awaitTermination()
+    return IO.read_metrics(spark, sink).select("run", "prompt", "fold", "n_removed", "label_flip", "confidence",
+                                               "avg_len_seed", "avg_len_counter")

@@ -49,7 +49,8 @@ def test_row_numbering(spark):
 
 def test_blocks_drop_partial(spark):
     lines = spark.createDataFrame([(0, "a b c d e f"), (1, "g h i j")], "line_id long, text string")
-    vocab = CO.build_vocab(lines)
-    enc = CO.encode_lines(lines, vocab)
-    blocks = CO.pack_blocks(enc, CO.line_offsets(lines), 4).orderBy("block_id").collect()
+    toks = CO.tokenize_lines(lines)
+    vocab = CO.build_vocab(toks)
+    enc = CO.encode_lines(toks, vocab)
+    blocks = CO.pack_blocks(enc, CO.line_offsets(toks), 4).orderBy("block_id").collect()
     assert [len(b.ids) for b in blocks] == [4, 4]
