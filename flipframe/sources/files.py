@@ -123,9 +123,13 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_features(spark: SparkSession, path: str, build, overwrite_cache: bool = False) -> DataFrame:
-    """Feature cache keyed by its path: build and write once, read afterwards."""
-    import os
-
-    if overwrite_cache or not os.path.exists(path):
-        build().write.mode("overwrite").parquet(path)
+    """Feature cache keyed by its path: build and write once, read afterwards (any Hadoop file system)."""
+    from pyspark.errors import AnalysisException
+
+    if not overwrite_cache:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
