@@ -56,14 +56,12 @@ def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
             .select(id_col, F.col("_p.id").alias("ids")))
 
 
-def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens", n_buckets: int = 65536) -> DataFrame:
+def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens", n_buckets: int = 4096) -> DataFrame:
     """(line_id, n_tokens, start): the first stream position of every line, lines in id order."""
+    from flipframe.operators.sampling import quantile_buckets
+
     sized = tokens.select(id_col, F.size(tokens_col).cast("long").alias("n_tokens"))
-    lo, hi = sized.agg(F.min(id_col), F.max(id_col)).first()
-    if lo is None:
-        return sized.withColumn("start", F.lit(0).cast("long"))
-    width = max(1, math.ceil((hi - lo + 1) / n_buckets))
-    sized = sized.withColumn("_bkt", F.floor((F.col(id_col) - F.lit(lo)) / F.lit(width)).cast("long"))
+    sized = quantile_buckets(sized, id_col, n_buckets, "_bkt")
     per_b = sized.groupBy("_bkt").agg(F.sum("n_tokens").alias("_bt"))
     offs = per_b.select("_bkt", F.coalesce(F.sum("_bt").over(
         Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -60,18 +60,32 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: Sequence[str] = (), rank_col
     return out.drop("_hk")
 
 
+def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 4096, out_col: str = "_bkt") -> DataFrame:
+    """Add an order-preserving bucket of a numeric column with roughly equal row counts.
+
+    Bucket bounds are approximate quantiles (one sketch pass; the driver receives at most
+    ``n_buckets`` numbers), applied with MLlib's JVM ``Bucketizer`` -- unlike equal-width
+    ranges, a dense cluster of keys cannot pile into one bucket.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    splits = [float("-inf")] + sorted({float(c) for c in cuts if c is not None}) + [float("inf")]
+    # a double copy of the key feeds the Bucketizer (long -> double is monotone, so order holds)
+    b = Bucketizer(splits=splits, inputCol="_qv", outputCol="_qb", handleInvalid="keep")
+    out = b.transform(df.withColumn("_qv", F.col(col).cast("double")))
+    return out.withColumn(out_col, F.col("_qb").cast("long")).drop("_qv", "_qb")
+
+
 def value_rank(df: DataFrame, order_col: str, by: Sequence[str] = (), rank_col: str = "rank",
-               n_buckets: int = 65536, size_col: str | None = None) -> DataFrame:
+               n_buckets: int = 4096, size_col: str | None = None) -> DataFrame:
     """Position of each row in ascending ``order_col`` (a numeric, unique key), 0-based.
 
-    Buckets are equal-width ranges of the key; their bounds come from one min/max aggregate.
+    Buckets are approximate-quantile ranges of the key, so each holds about N / n_buckets rows.
     """
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    if lo is None:
-        return df.withColumn(rank_col, F.lit(None).cast("long"))
-    width = max(1, math.ceil((hi - lo + 1) / n_buckets))
-    bucket = F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("long")
-    return ranked(df, [F.col(order_col)], bucket, by, rank_col, size_col)
+    d = quantile_buckets(df, order_col, n_buckets, "_vb")
+    return ranked(d, [F.col(order_col)], F.col("_vb"), by, rank_col, size_col).drop("_vb")
 
 
 def row_numbering(df: DataFrame, order_col: str, out_col: str = "row_id") -> DataFrame:

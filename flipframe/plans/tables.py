@@ -64,8 +64,9 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, n: int = N_CANDIDATES)
     pairs: paired_id, example, label_ex, counterfactual, label_counter, cf_turn
     candidates_long: paired_id, idx, generated -- one row per idx 0..n-1 (null when missing)
     """
-    # every step below is keyed by the conversation: partition once, reuse it everywhere
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").repartition("conv_id")
+    # keyed by conversation throughout; no explicit repartition: a conversation holding a large
+    # share of all turns is reduced by partial aggregation and split by AQE's skew-join handling
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     users = (conv.filter(F.col("role") == "user").groupBy("conv_id")
              .agg(F.min("turn").alias("u_turn"), F.min_by("text", "turn").alias("example")))
     after = (conv.filter(F.col("role") == "assistant").join(users.select("conv_id", "u_turn"), "conv_id")
