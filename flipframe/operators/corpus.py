@@ -56,7 +56,7 @@ def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
             .select(id_col, F.col("_p.id").alias("ids")))
 
 
-def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens", n_buckets: int = 4096) -> DataFrame:
+def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens", n_buckets: int | None = None) -> DataFrame:
     """(line_id, n_tokens, start): the first stream position of every line, lines in id order."""
     from flipframe.operators.sampling import quantile_buckets
 

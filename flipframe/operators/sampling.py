@@ -60,18 +60,29 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: Sequence[str] = (), rank_col
     return out.drop("_hk")
 
 
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 4096, out_col: str = "_bkt") -> DataFrame:
+ROWS_PER_BUCKET = 20000
+MAX_BUCKETS = 65536
+
+
+def quantile_buckets(df: DataFrame, col: str, n_buckets: int | None = None, out_col: str = "_bkt") -> DataFrame:
     """Add an order-preserving bucket of a numeric column with roughly equal row counts.
 
     Bucket bounds are approximate quantiles (one sketch pass; the driver receives at most
     ``n_buckets`` numbers), applied with MLlib's JVM ``Bucketizer`` -- unlike equal-width
-    ranges, a dense cluster of keys cannot pile into one bucket.
+    ranges, a dense cluster of keys cannot pile into one bucket.  By default the bucket count
+    follows the row count (about 20,000 rows per bucket, at most 65,536 buckets), so the window
+    inside one bucket stays small at any scale.
     """
     from pyspark.ml.feature import Bucketizer
 
+    if n_buckets is None:
+        n_buckets = int(min(MAX_BUCKETS, max(1, df.count() // ROWS_PER_BUCKET)))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted({float(c) for c in cuts if c is not None}) + [float("inf")]
+    inner = sorted({float(c) for c in cuts if c is not None})
+    if not inner:  # small input: one bucket
+        return df.withColumn(out_col, F.lit(0).cast("long"))
+    splits = [float("-inf")] + inner + [float("inf")]
     # a double copy of the key feeds the Bucketizer (long -> double is monotone, so order holds)
     b = Bucketizer(splits=splits, inputCol="_qv", outputCol="_qb", handleInvalid="keep")
     out = b.transform(df.withColumn("_qv", F.col(col).cast("double")))
@@ -79,7 +90,7 @@ def quantile_buckets(df: DataFrame, col: str, n_buckets: int = 4096, out_col: st
 
 
 def value_rank(df: DataFrame, order_col: str, by: Sequence[str] = (), rank_col: str = "rank",
-               n_buckets: int = 4096, size_col: str | None = None) -> DataFrame:
+               n_buckets: int | None = None, size_col: str | None = None) -> DataFrame:
     """Position of each row in ascending ``order_col`` (a numeric, unique key), 0-based.
 
     Buckets are approximate-quantile ranges of the key, so each holds about N / n_buckets rows.

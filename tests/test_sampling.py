@@ -54,3 +54,10 @@ def test_blocks_drop_partial(spark):
     enc = CO.encode_lines(toks, vocab)
     blocks = CO.pack_blocks(enc, CO.line_offsets(toks), 4).orderBy("block_id").collect()
     assert [len(b.ids) for b in blocks] == [4, 4]
+
+
+def test_value_rank_quantile_buckets_on_clustered_keys(spark):
+    keys = list(range(0, 50)) + list(range(10**9, 10**9 + 50)) + [2**40]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r["rank"] for r in S.value_rank(df, "k", n_buckets=8).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
