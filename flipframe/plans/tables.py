@@ -127,7 +127,8 @@ def nli_revised_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nli_revised_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("rid"), F.concat_ws(":", "lang", "source").alias("original_prem"),
-                    F.substring("text", 1, 60).alias("counter_hyp"), _label_name(F.col("doc_id") + 2).alias("counter_label"))
+                    F.concat(F.lit("revised: "), F.col("text")).alias("counter_hyp"),
+                    _label_name(F.col("doc_id") + 2).alias("counter_label"))
 
 
 _LABEL_SQL = "(['entailment','neutral','contradiction'])[({x}) % 3 + 1]"
@@ -145,7 +146,7 @@ rp_rev AS (
   SELECT -1 - item_id AS rid, 'revised benchmark' AS counter_prem, text AS original_hyp,
          {lab.format(x='item_id')} AS counter_label FROM benchmark),
 rh_rev AS (
-  SELECT doc_id AS rid, concat_ws(':', lang, source) AS original_prem, substr(text, 1, 60) AS counter_hyp,
+  SELECT doc_id AS rid, concat_ws(':', lang, source) AS original_prem, 'revised: ' || text AS counter_hyp,
          {lab.format(x='doc_id + 2')} AS counter_label FROM documents),
 rp_lookup AS (
   SELECT hypothesis, arg_min(premise, row_order) AS premise, arg_min(label, row_order) AS label
