@@ -170,8 +170,19 @@ def mid_ranks(df: DataFrame, value_col: str, by: Sequence[str], out_col: str, n_
     return df.join(vals, on=[*by, value_col], how="left")
 
 
-def spearman_by(df: DataFrame, x: str, y: str, by: Sequence[str] = ("idx",)) -> DataFrame:
-    d = mid_ranks(df, x, by, "_rx")
+def spearman_by(df: DataFrame, x: str, y: str, by: Sequence[str] = ("idx",), materialise: bool = True) -> DataFrame:
+    """Spearman correlation per group: Pearson over mid-ranks of x and y.
+
+    The ranking reads its input several times (distinct values, bucket offsets, join back), so
+    the three needed columns are checkpointed once to the shared checkpoint folder first.
+    """
+    d = df.select(*by, x, y)
+    if materialise:
+        from flipframe.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(d.sparkSession)
+        d = d.checkpoint(eager=True)
+    d = mid_ranks(d, x, by, "_rx")
     d = mid_ranks(d, y, by, "_ry")
     return d.groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearman"))
 

@@ -26,7 +26,11 @@ ONE_HOT_WEIGHTS = {1: (1.0, 0.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0, 0.0), 3: (0.0, 0.
 
 
 def ngrams(tokens: Column, max_n: int = MAX_N) -> Column:
-    """ARRAY<STRUCT<n INT, g STRING>> of all 1..max_n-grams (tokens joined by a space)."""
+    """ARRAY<STRUCT<n INT, g STRING>> of all 1..max_n-grams (tokens joined by a space).
+
+    Reference form (higher-order functions); :func:`ngram_counts` uses the codegen-friendly
+    ``arrays_zip`` plan below and gives the same multiset.
+    """
     return F.concat(*[_ngrams_of_order(tokens, n) for n in range(1, max_n + 1)])
 
 
@@ -39,11 +43,29 @@ def _ngrams_of_order(tokens: Column, n: int) -> Column:
     return F.filter(arr, lambda x, i: i < count)
 
 
+def ngram_rows(df: DataFrame, key_cols: Sequence[str], tokens_col: str, max_n: int = MAX_N) -> DataFrame:
+    """``(key..., n, g)``: one row per n-gram occurrence.
+
+    The token array is zipped with its own shifted copies (``arrays_zip`` of slices: position i
+    holds tokens i..i+max_n-1, nulls past the end), exploded once, and the 1..max_n-grams of each
+    position are built with ``concat_ws`` -- all whole-stage-codegen expressions, O(length) work
+    and memory per text.
+    """
+    t = F.col(tokens_col)
+    size = F.size(t)
+    shifted = [F.slice(t, k + 1, F.greatest(size - k, F.lit(0))).alias(f"t{k}") for k in range(max_n)]
+    z = df.select(*key_cols, F.explode(F.arrays_zip(*shifted)).alias("_z"))
+    grams = []
+    for n in range(1, max_n + 1):
+        g = F.when(F.col(f"_z.t{n - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"_z.t{k}") for k in range(n)]))
+        grams.append(F.struct(F.lit(n).alias("n"), g.alias("g")))
+    ex = z.select(*key_cols, F.explode(F.array(*grams)).alias("_ng"))
+    return ex.select(*key_cols, F.col("_ng.n").alias("n"), F.col("_ng.g").alias("g")).filter(F.col("g").isNotNull())
+
+
 def ngram_counts(df: DataFrame, key_cols: Sequence[str], tokens_col: str, max_n: int = MAX_N) -> DataFrame:
     """``(key..., n, g, c)``: how often each n-gram occurs in each keyed token list."""
-    ex = df.select(*key_cols, F.explode(ngrams(F.col(tokens_col), max_n)).alias("_ng"))
-    return (ex.select(*key_cols, F.col("_ng.n").alias("n"), F.col("_ng.g").alias("g"))
-            .groupBy(*key_cols, "n", "g").agg(F.count(F.lit(1)).alias("c")))
+    return ngram_rows(df, key_cols, tokens_col, max_n).groupBy(*key_cols, "n", "g").agg(F.count(F.lit(1)).alias("c"))
 
 
 def match_table(hyp: DataFrame, ref: DataFrame, id_col: str = "id", idx_col: str = "idx",
