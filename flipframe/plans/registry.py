@@ -44,6 +44,9 @@ def query(name: str, sql: str | None = None, doubles: list[str] | None = None):
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from flipframe.session import ship_package
+
+            ship_package(spark)
             return normalise(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__
