@@ -60,6 +60,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+# Suggested settings for a large cluster (about 100 TB of input, ~1,000 executors).  They are a
+# starting point for the operator's own session, not applied by this library.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",   # post-shuffle partitions near 256 MB
+    "spark.sql.adaptive.skewJoin.enabled": "true",               # split skewed join partitions
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.shuffle.partitions": "20000",                     # upper bound; AQE coalesces down
+    "spark.sql.files.maxPartitionBytes": "256m",                 # scan split size
+    "spark.sql.autoBroadcastJoinThreshold": "64m",               # AQE broadcasts only measured-small sides
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",    # reuse hash(id) partitioning for (id, ...) joins
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",      # Arrow batch size for model plug-ins
+    "spark.checkpoint.dir": "<shared folder, e.g. a distributed file system path>",
+}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
