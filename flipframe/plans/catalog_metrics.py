@@ -29,16 +29,33 @@ N = TB.N_CANDIDATES
 
 # --- shared pieces -------------------------------------------------------------------------------
 
-def _kept(spark, d):
-    """Complete pairs (all N candidates present) and their long candidates."""
+def _kept(spark, d, materialise: bool = False):
+    """Complete pairs (all N candidates present) and their long candidates.
+
+    With ``materialise`` the two tables are checkpointed to the shared folder: queries that read
+    them from several branches then scan them instead of re-deriving the pairing each time.
+    """
     pairs, cands = TB.conversation_pairs(spark, d)
     kept, _ = C.clean_candidates(pairs, cands, "paired_id", N)
     kc = cands.join(kept.select("paired_id", "example", "counterfactual", "label_ex", "label_counter"), "paired_id")
+    if materialise:
+        ensure_checkpoint_dir(spark)
+        kept, kc = kept.checkpoint(eager=True), kc.checkpoint(eager=True)
     return kept, kc
 
 
 def _matches(spark, d):
-    kept, kc = _kept(spark, d)
+    return _match_from(*_kept(spark, d, materialise=True))
+
+
+def _sentences_with_size(spark, d):
+    """(id, idx, s = sentence BLEU, counter_size) from one materialised pairing."""
+    kept, kc = _kept(spark, d, materialise=True)
+    sizes = kept.select(F.col("paired_id").alias("id"), F.size(word_tokens("counterfactual")).cast("long").alias("counter_size"))
+    return _match_from(kept, kc).select("id", "idx", NG.sentence_bleu_col().alias("s")).join(sizes, "id")
+
+
+def _match_from(kept, kc):
     hyp = kc.select(F.col("paired_id").alias("id"), "idx", word_tokens("generated").alias("hyp_tokens"))
     ref = kept.select(F.col("paired_id").alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
     return NG.match_table(hyp, ref)
@@ -397,10 +414,7 @@ _CORR_BASE = with_match(f"""sb AS (SELECT m.idx, {sent_bleu_sql(WEIGHTS[''])} AS
        doubles=["pearson"])
 def pearson(spark, d):
     """Pearson correlation of sentence BLEU with the gold counterfactual size, per candidate."""
-    kept, _ = _kept(spark, d)
-    sizes = kept.select(F.col("paired_id").alias("id"), F.size(word_tokens("counterfactual")).cast("long").alias("counter_size"))
-    sb = _matches(spark, d).select("id", "idx", NG.sentence_bleu_col().alias("s")).join(sizes, "id")
-    return M.pearson_by(sb, "s", "counter_size")
+    return M.pearson_by(_sentences_with_size(spark, d), "s", "counter_size")
 
 
 def _midrank_sql(x: str, part: str) -> str:
@@ -412,10 +426,7 @@ def _midrank_sql(x: str, part: str) -> str:
        doubles=["spearman"])
 def spearman(spark, d):
     """Spearman correlation (average ranks for ties), per candidate."""
-    kept, _ = _kept(spark, d)
-    sizes = kept.select(F.col("paired_id").alias("id"), F.size(word_tokens("counterfactual")).cast("long").alias("counter_size"))
-    sb = _matches(spark, d).select("id", "idx", NG.sentence_bleu_col().alias("s")).join(sizes, "id")
-    return M.spearman_by(sb, "s", "counter_size")
+    return M.spearman_by(_sentences_with_size(spark, d), "s", "counter_size")
 
 
 # --- C4 / A18 / A19: bigram perplexity -------------------------------------------------------------
