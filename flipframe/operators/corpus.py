@@ -98,7 +98,6 @@ def mlm_mask(blocks: DataFrame, seed, vocab_max_id: int, id_col: str = "block_id
     id (80 %), a random id (10 %) or stay (10 %); labels keep the original id only where selected.
     """
     special = F.array(*[F.lit(i) for i in special_ids])
-    lo = len(special_ids)
 
     def u(pos, salt):
         return uniform01(hash_key(f"{seed}/{salt}", F.col(id_col), pos))
@@ -106,7 +105,7 @@ def mlm_mask(blocks: DataFrame, seed, vocab_max_id: int, id_col: str = "block_id
     def masked(x, i):
         sel = (~F.array_contains(special, x)) & (u(i, "sel") < MLM_PROBABILITY)
         band = u(i, "band")
-        rnd = (F.lit(lo) + F.floor(u(i, "rnd") * (vocab_max_id - lo + 1))).cast("int")
+        rnd = F.floor(u(i, "rnd") * (vocab_max_id + 1)).cast("int")  # any id of the vocabulary
         return F.when(~sel, x).when(band < MASK_SHARE, F.lit(mask_id)).when(band < MASK_SHARE + RANDOM_SHARE, rnd).otherwise(x)
 
     def label(x, i):

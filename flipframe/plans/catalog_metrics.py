@@ -700,7 +700,7 @@ def _mlm_sql(seed) -> str:
     special = "[" + ", ".join(str(i) for i in CO.SPECIAL_IDS.values()) + "]"
     vmax = VOCAB + _SPECIAL_N - 1
     sel = f"(NOT list_contains({special}, x) AND {u('sel', 'i - 1')} < {CO.MLM_PROBABILITY})"
-    rnd = f"CAST({_SPECIAL_N} + floor({u('rnd', 'i - 1')} * ({vmax} - {_SPECIAL_N} + 1)) AS INTEGER)"
+    rnd = f"CAST(floor({u('rnd', 'i - 1')} * ({vmax} + 1)) AS INTEGER)"
     masked = (f"CASE WHEN NOT {sel} THEN x WHEN {u('band', 'i - 1')} < {CO.MASK_SHARE} THEN {CO.SPECIAL_IDS['<|MASK|>']} "
               f"WHEN {u('band', 'i - 1')} < {CO.MASK_SHARE + CO.RANDOM_SHARE} THEN {rnd} ELSE x END")
     label = f"CASE WHEN {sel} THEN x ELSE {CO.IGNORE_INDEX} END"

@@ -78,3 +78,28 @@ def test_bleu_matches_python_model(spark, pairs):
     m = _match(spark, rows)
     got = ngram.corpus_bleu_by_idx(m).first().bleu
     assert got == pytest.approx(py_bleu([r for _, r in pairs], [h for h, _ in pairs]), abs=1e-9)
+
+
+def test_bleu_and_distance_unchanged_under_repartition(spark):
+    import random
+
+    from flipframe.operators import distance as D
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(30):
+        ref = " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 12)))
+        for j in range(3):
+            rows.append((i, j, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))), ref))
+    df = spark.createDataFrame(rows, "id long, idx int, hyp string, ref string")
+
+    def run(parts):
+        d = df.repartition(parts)
+        hyp = d.select("id", "idx", word_tokens("hyp").alias("hyp_tokens"))
+        ref = d.select("id", word_tokens("ref").alias("ref_tokens")).dropDuplicates(["id"])
+        m = ngram.match_table(hyp, ref).select("id", "idx", ngram.sentence_bleu_col().alias("s"))
+        dist = D.with_token_edit_distance(d.select("id", "idx", word_tokens("hyp").alias("a"), word_tokens("ref").alias("b")), "a", "b")
+        return (sorted((r.id, r.idx, round(r.s, 12)) for r in m.collect()),
+                sorted((r.id, r.idx, r.distance) for r in dist.collect()))
+
+    assert run(1) == run(7)
