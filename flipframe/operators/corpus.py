@@ -49,6 +49,19 @@ def encode_lines(tokens: DataFrame, vocab: DataFrame, id_col: str = "line_id", t
             .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(SPECIAL_IDS["<|UNK|>"])).cast("int").alias("id")))
 
 
+def encode_stream(tokens: DataFrame, vocab: DataFrame, offsets: DataFrame, id_col: str = "line_id",
+                  tokens_col: str = "tokens") -> DataFrame:
+    """(line_id, pos, gpos, id): like :func:`encode_lines` plus the global stream position.
+
+    Offsets are joined per *line* before the tokens are exploded, so no token-level join is needed.
+    """
+    lines = tokens.join(offsets.select(id_col, "start"), on=id_col)
+    toks = lines.select(id_col, "start", F.posexplode(tokens_col).alias("pos", "token"))
+    return (toks.join(F.broadcast(vocab), on="token", how="left")
+            .select(id_col, "pos", (F.col("start") + F.col("pos")).alias("gpos"),
+                    F.coalesce(F.col("id"), F.lit(SPECIAL_IDS["<|UNK|>"])).cast("int").alias("id")))
+
+
 def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
     """Long (line_id, pos, id) back to one ordered id array per line."""
     return (encoded.groupBy(id_col)
@@ -76,9 +89,9 @@ def pack_blocks(encoded: DataFrame, offsets: DataFrame, block_size: int, id_col:
     """Cut the corpus stream into blocks of ``block_size`` ids; the last partial block is dropped."""
     total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
     n_full = total // block_size
-    g = (encoded.join(offsets.select(id_col, "start"), on=id_col)
-         .withColumn("gpos", F.col("start") + F.col("pos"))
-         .filter(F.col("gpos") < n_full * block_size)
+    if "gpos" not in encoded.columns:
+        encoded = encoded.join(offsets.select(id_col, "start"), on=id_col).withColumn("gpos", F.col("start") + F.col("pos"))
+    g = (encoded.filter(F.col("gpos") < n_full * block_size)
          .withColumn("block_id", F.floor(F.col("gpos") / block_size).cast("long")))
     blocks = (g.groupBy("block_id")
               .agg(F.sort_array(F.collect_list(F.struct("gpos", "id"))).alias("_p"))

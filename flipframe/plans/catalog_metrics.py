@@ -682,9 +682,12 @@ blocks AS (SELECT block_id, list(id ORDER BY gpos) AS ids FROM blk GROUP BY bloc
 
 
 def _blocks(spark, d):
-    toks, enc = _encoded(spark, d)
+    docs = TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text")
+    ensure_checkpoint_dir(spark)
+    toks = CO.tokenize_lines(docs).checkpoint(eager=True)
+    vocab = CO.build_vocab(toks, vocab_size=VOCAB)
     offs = CO.line_offsets(toks)
-    return CO.pack_blocks(enc, offs, BLOCK)
+    return CO.pack_blocks(CO.encode_stream(toks, vocab, offs), offs, BLOCK)
 
 
 @query("lm_blocks", sql=_BLOCKS_SQL + "SELECT block_id, array_to_string(ids, ' ') AS ids FROM blocks")
