@@ -38,9 +38,13 @@ def _encode(tokens: Column, vocab: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def token_edit_distance_native(a: Column, b: Column) -> Column:
-    """Unit-cost insert/delete/substitute distance between two token arrays (JVM only)."""
-    vocab = F.array_distinct(F.concat(a, b))
+def token_edit_distance_native(a: Column, b: Column, vocab: Column | None = None) -> Column:
+    """Unit-cost insert/delete/substitute distance between two token arrays (JVM only).
+
+    ``vocab`` should be a column holding ``array_distinct(concat(a, b))`` computed once per row:
+    an expression passed here would be re-evaluated inside the per-token lambda.
+    """
+    vocab = vocab if vocab is not None else F.array_distinct(F.concat(a, b))
     return F.levenshtein(_encode(a, vocab), _encode(b, vocab)).cast("long")
 
 
@@ -80,13 +84,15 @@ def with_token_edit_distance(df: DataFrame, a_col: str, b_col: str, out_col: str
     tokens) runs natively in the JVM.  Only if a size check finds a pair beyond that range is
     the NumPy branch added to the plan, so a job without such pairs never starts Python workers.
     """
-    vocab_size = F.size(F.array_distinct(F.concat(F.col(a_col), F.col(b_col))))
     present = F.col(a_col).isNotNull() & F.col(b_col).isNotNull()
-    native = df.filter(present & (vocab_size <= MAX_NATIVE_VOCAB)).withColumn(
-        out_col, token_edit_distance_native(F.col(a_col), F.col(b_col)))
+    # the joint vocabulary is computed once per row and then referenced by the per-token lambda
+    with_v = df.withColumn("_vocab", F.array_distinct(F.concat(F.col(a_col), F.col(b_col))))
+    vocab_size = F.size("_vocab")
+    native = with_v.filter(present & (vocab_size <= MAX_NATIVE_VOCAB)).withColumn(
+        out_col, token_edit_distance_native(F.col(a_col), F.col(b_col), F.col("_vocab"))).drop("_vocab")
     nulls = df.filter(F.col(a_col).isNull() | F.col(b_col).isNull()).withColumn(out_col, F.lit(None).cast("long"))
     out = native.unionByName(nulls)
-    too_wide = present & (vocab_size > MAX_NATIVE_VOCAB)
+    too_wide = present & (F.size(F.array_distinct(F.concat(F.col(a_col), F.col(b_col)))) > MAX_NATIVE_VOCAB)
     if not check_fallback or df.filter(too_wide).limit(1).count() > 0:
         wide = df.filter(too_wide).withColumn(out_col, token_edit_distance_udf(F.col(a_col), F.col(b_col)))
         out = out.unionByName(wide)
