@@ -108,14 +108,17 @@ def read_fold(spark: SparkSession, path: str, fold: int, split: str | None = Non
 
 
 def append_metrics(row: DataFrame, path: str, run: str, tags: dict | None = None) -> None:
-    """Metrics sink: a wide one-row result becomes long (run, metric, value) rows appended to a table."""
+    """Metrics sink: a wide one-row result becomes long (run, metric, value) rows of the table.
+
+    Each run owns the folder ``run=<name>`` and rewrites it whole, so re-running (or retrying) a
+    run replaces its rows instead of appending duplicates; other runs are untouched.
+    """
     value_cols = [f.name for f in row.schema.fields if f.dataType.simpleString() in ("double", "float", "int", "bigint")]
     long = row.select(*[F.col(c).cast("double").alias(c) for c in value_cols]).unpivot(
         [], value_cols, "metric", "value")
-    long = long.withColumn("run", F.lit(run))
     for k, v in (tags or {}).items():
         long = long.withColumn(k, F.lit(str(v)))
-    long.write.mode("append").parquet(path)
+    long.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

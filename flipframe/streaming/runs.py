@@ -38,10 +38,11 @@ def report_batch(sink_path: str, scorer=parity_scorer):
     """foreachBatch function: per-file report of one micro-batch appended to ``sink_path``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # one folder per micro-batch, overwritten on a retry: a replayed batch never duplicates rows
         rep = augmentation_report(batch, "run", scorer=scorer)
         prompt, fold = parse_run_name(F.col("run"))
-        (rep.withColumn("prompt", prompt).withColumn("fold", fold).withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("append").parquet(sink_path))
+        (rep.withColumn("prompt", prompt).withColumn("fold", fold)
+         .write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}"))
 
     return write
 
