@@ -25,24 +25,6 @@ UNIFORM_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 ONE_HOT_WEIGHTS = {1: (1.0, 0.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0, 0.0), 3: (0.0, 0.0, 1.0, 0.0), 4: (0.0, 0.0, 0.0, 1.0)}
 
 
-def ngrams(tokens: Column, max_n: int = MAX_N) -> Column:
-    """ARRAY<STRUCT<n INT, g STRING>> of all 1..max_n-grams (tokens joined by a space).
-
-    Reference form (higher-order functions); :func:`ngram_counts` uses the codegen-friendly
-    ``arrays_zip`` plan below and gives the same multiset.
-    """
-    return F.concat(*[_ngrams_of_order(tokens, n) for n in range(1, max_n + 1)])
-
-
-def _ngrams_of_order(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    count = size - n + 1
-    starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-    arr = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("g")))
-    # when the text is shorter than n the single placeholder start is dropped
-    return F.filter(arr, lambda x, i: i < count)
-
-
 def ngram_rows(df: DataFrame, key_cols: Sequence[str], tokens_col: str, max_n: int = MAX_N) -> DataFrame:
     """``(key..., n, g)``: one row per n-gram occurrence.
 

@@ -101,6 +101,11 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
         parts.append(_long(sb.agg(*aggs)))
         if calculate_corr:
             parts.append(_long(_spearman_mean(sb.withColumn("idx", F.lit(0)), "self_bleu", "self_bleu_spearman")))
+    if not calculate_corr:
+        # correlations switched off: the metrics are still listed, with a null value
+        names = [f"{fam}_{c}" for fam, flag in (("sent_bleu", "b"), ("lev", "c"), ("self_bleu", "d")) if flag in metrics
+                 for c in ("pearson", "spearman")]
+        parts += [removed.select(F.lit(n).alias("metric"), F.lit(None).cast("double").alias("value")) for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -103,3 +103,14 @@ def test_bleu_and_distance_unchanged_under_repartition(spark):
                 sorted((r.id, r.idx, r.distance) for r in dist.collect()))
 
     assert run(1) == run(7)
+
+
+def test_suite_without_correlations_lists_null_metrics(spark):
+    from flipframe.plans import suite
+
+    pairs = spark.createDataFrame([(1, "a b c", 0, "x y z", 1), (2, "d e", 1, "u v", 0)],
+                                  "paired_id long, example string, label_ex int, counterfactual string, label_counter int")
+    cands = spark.createDataFrame([(1, 0, "x y"), (1, 1, "x z"), (2, 0, "u"), (2, 1, "v u")], "paired_id long, idx int, generated string")
+    got = {r.metric: r.value for r in suite.evaluate(pairs, cands, 2, metrics="bd", calculate_corr=False).collect()}
+    assert got["sent_bleu_pearson"] is None and got["self_bleu_spearman"] is None
+    assert got["n_removed"] == 0.0 and got["corpus_bleu"] >= 0.0
