@@ -31,15 +31,26 @@ def tokenize_lines(lines: DataFrame, id_col: str = "line_id", text_col: str = "t
 
 
 def build_vocab(tokens: DataFrame, vocab_size: int = 30000, tokens_col: str = "tokens") -> DataFrame:
-    """(token, id): most frequent tokens (ties by token), ids after the special ids.
+    """(token, id): the ``vocab_size`` most frequent tokens (ties by token), ids after the specials.
 
-    The vocabulary is capped at ``vocab_size`` rows, so joining it is a bounded broadcast.
+    No top-k is gathered in one task: the distinct-token table gets an exact global rank in
+    (frequency desc, token asc) order from bucketed offsets (``sampling.ranked``).  The bucket
+    is the position of the token's frequency among the distinct frequencies (a small table)
+    times 65,536 plus the token's first two bytes, so even a huge set of equally rare tokens is
+    spread over many buckets.
     """
+    from flipframe.operators.sampling import ranked
+
     counts = (tokens.select(F.explode(tokens_col).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    top = counts.orderBy(F.desc("freq"), F.asc("token")).limit(vocab_size)
-    w = Window.orderBy(F.desc("freq"), F.asc("token"))  # over at most vocab_size rows
-    return top.select("token", (F.row_number().over(w) - 1 + len(SPECIAL_IDS)).cast("int").alias("id"))
+    # distinct frequency values: at most about sqrt(2 * number of tokens) rows
+    freqs = counts.select("freq").distinct()
+    freqs = freqs.withColumn("_fr", F.row_number().over(Window.orderBy(F.desc("freq"))) - 1)
+    head = F.conv(F.rpad(F.substring(F.hex(F.col("token")), 1, 4), 4, "0"), 16, 10).cast("long")
+    keyed = counts.join(freqs, on="freq").withColumn("_vb", F.col("_fr") * F.lit(65536) + head)
+    r = ranked(keyed, [F.desc("freq"), F.asc("token")], F.col("_vb"), rank_col="_rank")
+    return r.filter(F.col("_rank") < vocab_size).select(
+        "token", (F.col("_rank") + len(SPECIAL_IDS)).cast("int").alias("id"))
 
 
 def encode_lines(tokens: DataFrame, vocab: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens") -> DataFrame:
