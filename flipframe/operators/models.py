@@ -65,6 +65,23 @@ def score_texts_udf(df: DataFrame, text_col: str, make_predict_fn: Callable, bat
     return out.withColumn(label_col, F.col("_r.label")).withColumn(score_col, F.col("_r.score")).drop("_r")
 
 
+def make_parity_model():
+    """A NumPy "model" with the parity rule of :func:`parity_scorer`, for the ``predict_batch_udf``
+    path (loaded once per Python worker, called on Arrow batches of already-truncated texts)."""
+    import numpy as np
+    import regex
+
+    # same classes as TOKEN_PATTERN, with Java's (ASCII) whitespace spelled out
+    pat = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]")
+
+    def predict(texts):
+        n_tok = np.array([len(pat.findall(t)) for t in texts], dtype=np.int64)
+        n_chr = np.array([len(t) for t in texts], dtype=np.int64)
+        return {"label": (n_tok % 2).astype(np.int32), "score": 0.5 + (n_chr % 50) / 100.0}
+
+    return predict
+
+
 def score_pairs(df: DataFrame, premise: Column, hypothesis: Column, scorer=nli_rule_scorer, pred_col: str = "pred") -> DataFrame:
     """M2 with a rule scorer: arg-max class id of a (premise, hypothesis) pair."""
     return df.withColumn(pred_col, scorer(premise, hypothesis))

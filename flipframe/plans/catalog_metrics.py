@@ -606,6 +606,20 @@ def first_flip(spark, d):
     return C.first_flip(sc, "paired_id", N)
 
 
+@query("first_flip_two_pass", sql=_FLIP_SQL)
+def first_flip_two_pass(spark, d):
+    """F6, lazy variant: candidates 1.. are scored only for pairs whose candidate 0 did not flip."""
+    _, kc = _kept(spark, d, materialise=True)
+    cols = ["paired_id", "idx", "generated", "label_counter"]
+    first = MD.score_texts(kc.filter(F.col("idx") == 0).select(*cols), "generated").withColumnRenamed("label_counter", "target")
+
+    def score_rest(failed):
+        rest = kc.filter(F.col("idx") >= 1).select(*cols).join(failed, "paired_id", "left_semi")
+        return MD.score_texts(rest, "generated").withColumnRenamed("label_counter", "target")
+
+    return C.first_flip_two_pass(first, score_rest, "paired_id", N)
+
+
 @query("cat_assemble", sql=W(TB.LABELLED_SQL, TB.PAIRS_SQL(), body="""SELECT text, CAST(labels AS BIGINT) AS labels, 'original' AS origin FROM labelled
 UNION ALL SELECT c.generated AS text, CAST(p.label_counter AS BIGINT) AS labels, 'generated' AS origin
 FROM cands c JOIN pairs p ON c.paired_id = p.paired_id WHERE c.idx = 0"""))
@@ -820,12 +834,34 @@ def score_batch(spark, d):
     return MD.score_texts(TB.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "pred", "score")
 
 
+@query("score_batch_udf", sql=f"SELECT doc_id, CAST({_PAR_D[0]} AS BIGINT) AS pred, {_PAR_D[1]} AS score FROM documents",
+       doubles=["score"])
+def score_batch_udf(spark, d):
+    """M1 through the model path: predict_batch_udf over Arrow batches (NumPy model, parity rule)."""
+    docs = TB.table(spark, d, "documents").select("doc_id", "text")
+    return MD.score_texts_udf(docs, "text", MD.make_parity_model, batch_size=256).select("doc_id", "pred", "score")
+
+
 def _prompts(pairs):
     p = pairs.select("paired_id", "example", TP.wrap_sentiment(TP.SENTIMENT_GENERATION_PROMPTS["1"]).alias("prompt"))
     return p.withColumn("max_length", TP.length_budget(F.size(word_tokens("prompt"))))
 
 
-@query("generate_batch")
+def _rot_sql(i: int) -> str:
+    """SQL twin of the toy generator: seed words rotated by i mod len, cut to max_length words."""
+    w = "string_split(example, ' ')"
+    k = f"({i} % greatest(len({w}), 1))"
+    return f"array_to_string(({w})[{k} + 1:] || ({w})[1:{k}], ' ')"
+
+
+_GEN_SQL = W(TB.PAIRS_SQL(), f"""pr AS (SELECT paired_id, example, {sentiment_prompt_sql(TP.SENTIMENT_GENERATION_PROMPTS['1'])} AS prompt FROM pairs),
+ml AS (SELECT paired_id, example, least({ntok_sql('prompt')} * 2, 1024) AS max_length FROM pr)""",
+             body=" UNION ALL ".join(
+                 f"SELECT paired_id, CAST({i - 1} AS BIGINT) AS idx, array_to_string((string_split({_rot_sql(i)}, ' '))[1:max_length], ' ') AS generated FROM ml"
+                 for i in range(1, N + 1)))
+
+
+@query("generate_batch", sql=_GEN_SQL)
 def generate_batch(spark, d):
     """M3: prompts -> N candidates per row in Arrow batches (toy generator plug-in)."""
     pairs, _ = TB.conversation_pairs(spark, d)
@@ -833,7 +869,15 @@ def generate_batch(spark, d):
     return MD.explode_generated(gen, ["paired_id"])
 
 
-@query("generate_ood")
+_OOD_SQL = W(TB.LABELLED_SQL, f"""sd AS (SELECT doc_id AS paired_id, text AS example, labels AS label_ex, 1 - labels AS label_counter FROM labelled),
+pr AS (SELECT paired_id, example, {sentiment_prompt_sql(TP.SENTIMENT_GENERATION_PROMPTS['1'])} AS prompt FROM sd),
+ml AS (SELECT paired_id, example, least({ntok_sql('prompt')} * 2, 1024) AS max_length FROM pr)""",
+             body=" UNION ALL ".join(
+                 f"SELECT paired_id, CAST({i - 1} AS BIGINT) AS idx, array_to_string((string_split({_rot_sql(i)}, ' '))[1:max_length], ' ') AS generated FROM ml"
+                 for i in range(1, N + 1)))
+
+
+@query("generate_ood", sql=_OOD_SQL)
 def generate_ood(spark, d):
     """M8: the same generator over another source (labelled documents as seeds)."""
     seeds = TB.labelled_text(spark, d).select(F.col("doc_id").alias("paired_id"), F.col("text").alias("example"),
