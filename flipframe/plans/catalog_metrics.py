@@ -886,7 +886,26 @@ def generate_ood(spark, d):
     return MD.explode_generated(gen, ["paired_id"])
 
 
-@query("generation_sweep")
+_SWEEP_SQL = W(TB.PAIRS_SQL(), f"""pr AS (SELECT paired_id, example, counterfactual, {sentiment_prompt_sql(TP.SENTIMENT_GENERATION_PROMPTS['1'])} AS prompt FROM pairs),
+ml AS (SELECT paired_id, example, counterfactual, least({ntok_sql('prompt')} * 2, 1024) AS max_length FROM pr),
+st AS (SELECT * FROM (VALUES (0, 8), (1, 32)) t(setting_id, n_words)),
+gen AS (SELECT m.paired_id, s.setting_id, m.counterfactual,
+  array_to_string((string_split({_rot_sql(1)}, ' '))[1:least(m.max_length, s.n_words)], ' ') AS text FROM ml m CROSS JOIN st s),
+hyp_tok AS (SELECT paired_id, setting_id, {tokens_sql('text')} AS ht FROM gen),
+ref_tok AS (SELECT paired_id, setting_id, {tokens_sql('counterfactual')} AS rt FROM gen)""",
+               ngram_sql("hyp_tok", "paired_id, setting_id", "ht", "hc"), ngram_sql("ref_tok", "paired_id, setting_id", "rt", "rc"),
+               """clipped AS (SELECT h.paired_id, h.setting_id, """ + ", ".join(
+                   f"sum(CASE WHEN h.n = {n} THEN least(h.c, r.c) END) AS s{n}" for n in range(1, 5)) + """
+  FROM hc h JOIN rc r ON h.paired_id = r.paired_id AND h.setting_id = r.setting_id AND h.n = r.n AND h.g = r.g
+  GROUP BY h.paired_id, h.setting_id),
+m AS (SELECT h.setting_id, CAST(len(h.ht) AS BIGINT) AS hyp_len, CAST(len(r.rt) AS BIGINT) AS ref_len, """ + ", ".join(
+                   f"CAST(coalesce(c.s{n}, 0) AS BIGINT) AS num{n}" for n in range(1, 5)) + """
+  FROM hyp_tok h JOIN ref_tok r ON h.paired_id = r.paired_id AND h.setting_id = r.setting_id
+  LEFT JOIN clipped c ON h.paired_id = c.paired_id AND h.setting_id = c.setting_id)""",
+               body=f"SELECT CAST(setting_id AS BIGINT) AS setting_id, {corpus_sql(WEIGHTS[''])} AS corpus_bleu FROM m GROUP BY setting_id")
+
+
+@query("generation_sweep", sql=_SWEEP_SQL, doubles=["corpus_bleu"])
 def generation_sweep(spark, d):
     """M6: every generation setting over every prompt in one job, corpus BLEU per setting."""
     pairs, _ = TB.conversation_pairs(spark, d)
