@@ -522,12 +522,6 @@ def prefix_split(spark, d):
     return S.prefix_split(TB.table(spark, d, "documents").select("doc_id"), "doc_id", 3, 0.9)
 
 
-@query("sample_with_replacement")
-def sample_with_replacement(spark, d):
-    """K4: sample with replacement (Poisson copies per row from the row's own hash)."""
-    return S.sample_with_replacement(TB.table(spark, d, "documents").select("doc_id"), "doc_id", 17, 0.5)
-
-
 def _u_sql(seed, c: str) -> str:
     return f"(CAST('0x' || substr({hash_sql(seed, c)}, 1, 8) AS BIGINT) / 4294967296.0)"
 
@@ -538,6 +532,19 @@ def bernoulli_split(spark, d):
     return S.bernoulli_split(TB.table(spark, d, "documents").select("doc_id"), "doc_id", 23, 0.8)
 
 
+def _poisson_sql(seed, lam: float) -> str:
+    u = _u_sql(seed, "doc_id")
+    k = " + ".join(f"CAST({u} >= {c!r} AS INTEGER)" for c in S.poisson_thresholds(lam))
+    return f"""SELECT doc_id, CAST(unnest(generate_series(1, k)) AS BIGINT) AS copy
+FROM (SELECT doc_id, {k} AS k FROM documents) t WHERE k > 0"""
+
+
+@query("sample_with_replacement", sql=_poisson_sql(17, 0.5))
+def sample_with_replacement(spark, d):
+    """K4: sample with replacement (Poisson copies per row from the row's own hash)."""
+    return S.sample_with_replacement(TB.table(spark, d, "documents").select("doc_id"), "doc_id", 17, 0.5)
+
+
 @query("train_val_split", sql=f"SELECT doc_id, CASE WHEN r < round_even(n * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, {_rank_sql(42, 'doc_id', 'documents')} FROM documents) t")
 def train_val_split(spark, d):
     """K7: seeded train/validation split (validation = round(0.2 N) rows)."""
