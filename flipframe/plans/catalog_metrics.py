@@ -590,6 +590,23 @@ def nested_samples(spark, d):
     return S.nested_samples(lt, "doc_id", 2023, 200, 100).select("doc_id", "in_n", "in_seed", "seed_pos")
 
 
+_SEED_SQL = W(TB.LABELLED_SQL, f"""o AS (SELECT doc_id FROM (SELECT doc_id, {_rank_sql(2023, 'doc_id', 'labelled')} FROM labelled) t WHERE r < least(300, n)),
+o2 AS (SELECT doc_id, row_number() OVER (ORDER BY {hash_sql('2023/n', 'doc_id')}, doc_id) - 1 < 200 AS in_n FROM o),
+s AS (SELECT doc_id, row_number() OVER (ORDER BY {hash_sql('2023/m', 'doc_id')}, doc_id) - 1 AS sp FROM o2 WHERE in_n)""",
+              body="""SELECT l.text AS example, CAST(l.labels AS BIGINT) AS label_ex, l.sentiment AS sentiment_ex,
+  CASE WHEN l.sentiment = 'negative' THEN 'positive' ELSE 'negative' END AS sentiment_counter,
+  CAST(1 - l.labels AS BIGINT) AS label_counter, s.sp AS paired_id, 'None' AS counterfactual
+FROM s JOIN labelled l ON s.doc_id = l.doc_id WHERE s.sp < 100""")
+
+
+@query("seed_table", sql=_SEED_SQL)
+def seed_table(spark, d):
+    """The seed sample in the seed layout (inverted label/sentiment, 'None' counterfactual)."""
+    lt = TB.labelled_text(spark, d)
+    nested = S.nested_samples(lt.select("doc_id", "text", "labels", "sentiment"), "doc_id", 2023, 200, 100)
+    return S.seed_table(nested)
+
+
 @query("kfold_val", sql=W(TB.PAIRS_SQL(), kfold_sql("pairs", "paired_id", 2022), body="SELECT kid AS paired_id, fold, split FROM kf"))
 def kfold_val(spark, d):
     """Shuffled 5-fold with a 15 % validation sample from each fold's remainder."""
