@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flipframe.session import shuffle_partitions
+
 MAX_N = 4
 EPSILON = 0.1
 UNIFORM_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
@@ -60,8 +62,9 @@ def match_table(hyp: DataFrame, ref: DataFrame, id_col: str = "id", idx_col: str
     # Co-partition both sides by pair id *before* exploding: the n-gram counts, the clip join
     # and the per-row sums all group by keys that start with the id, so they reuse this one
     # shuffle of token rows instead of shuffling the ~10x larger n-gram rows two or three times.
-    hyp = hyp.repartition(id_col)
-    ref = ref.repartition(id_col)
+    n = shuffle_partitions(hyp.sparkSession)
+    hyp = hyp.repartition(n, id_col)
+    ref = ref.repartition(n, id_col)
     hc = ngram_counts(hyp, [id_col, idx_col], hyp_tokens, max_n)
     rc = ngram_counts(ref, [id_col], ref_tokens, max_n).withColumnRenamed("c", "rc")
     clipped = (hc.join(rc, on=[id_col, "n", "g"], how="inner")
@@ -132,7 +135,8 @@ def self_bleu_rows(cands: DataFrame, id_col: str = "id", idx_col: str = "idx", t
     length is the other candidate length closest to the hypothesis length (ties: shorter).
     The per-(id, n, gram) window holds at most N rows (one per candidate), so it is bounded.
     """
-    cands = cands.repartition(id_col)  # every later grouping key starts with the id: one shuffle
+    # every later grouping key starts with the id: one shuffle, explicit count (CPU-heavy stage)
+    cands = cands.repartition(shuffle_partitions(cands.sparkSession), id_col)
     hc = ngram_counts(cands, [id_col, idx_col], tokens_col, max_n)
     w = Window.partitionBy(id_col, "n", "g")
     hc = (hc.withColumn("_max1", F.max("c").over(w))

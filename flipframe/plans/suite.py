@@ -25,7 +25,7 @@ from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
 from flipframe.operators.distance import normalised_distance, with_token_edit_distance
 from flipframe.operators.models import parity_scorer, score_texts
-from flipframe.session import ensure_checkpoint_dir
+from flipframe.session import ensure_checkpoint_dir, shuffle_partitions
 
 _AT = [f"_at_{n}" for n in range(1, 5)]
 
@@ -52,8 +52,17 @@ def _two_level(rows: DataFrame, score: str, prefix: str, extra_means: list[str]
                    *([F.avg("_p").alias(f"{prefix}pearson")] if corr else []))
 
 
-def _spearman_mean(rows: DataFrame, score: str, name: str) -> DataFrame:
-    return M.spearman_by(rows, score, "counter_size", by=["idx"]).agg(F.avg("spearman").alias(name))
+def _spearman_means(stacked: DataFrame) -> DataFrame:
+    """One distributed mid-rank pass for every metric family: (family, idx, score, counter_size)
+    rows in, ``<family>_spearman`` metric rows out (mean over candidate indexes)."""
+    per = M.spearman_by(stacked, "score", "counter_size", by=["family", "idx"])
+    return (per.groupBy("family").agg(F.avg("spearman").alias("value"))
+            .select(F.concat(F.col("family"), F.lit("_spearman")).alias("metric"), "value"))
+
+
+def _for_spearman(rows: DataFrame, family: str, score: str) -> DataFrame:
+    return rows.select(F.lit(family).alias("family"), F.col("idx").cast("int").alias("idx"),
+                       F.col(score).cast("double").alias("score"), "counter_size")
 
 
 def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer,
@@ -63,12 +72,18 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     kept, removed = clean_candidates(pairs, cands, id_col, n)
     parts = [_long(removed)]
     c = cands.join(kept.select(id_col, "label_counter", "example"), on=id_col, how="inner")
-    hyp = _materialise(c.select(F.col(id_col).alias("id"), "idx", "generated", "label_counter",
-                                word_tokens("generated").alias("hyp_tokens"),
-                                word_tokens("example").alias("seed_tokens")), materialise)
-    ref = _materialise(kept.select(F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
+    # spread by pair id with an explicit count before tokenising: tokenising, n-grams and edit
+    # distance are CPU-heavy per row, so they must not collapse into the few tasks AQE would
+    # choose from the small byte size of the text
+    n_parts = shuffle_partitions(pairs.sparkSession)
+    hyp = _materialise(c.repartition(n_parts, id_col).select(
+        F.col(id_col).alias("id"), "idx", "generated", "label_counter",
+        word_tokens("generated").alias("hyp_tokens"), word_tokens("example").alias("seed_tokens")), materialise)
+    ref = _materialise(kept.repartition(n_parts, id_col).select(
+        F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
                        .withColumn("counter_size", F.size("ref_tokens").cast("long")), materialise)
     sizes = ref.select("id", "counter_size")
+    rank_inputs: list[DataFrame] = []
 
     if "g" in metrics:
         scored = score_texts(hyp, "generated", scorer)
@@ -85,22 +100,24 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
                                              for k, w in ngram.bleu_weightings("sent_bleu").items()])
         sent = sent.join(sizes, "id")
         parts.append(_long(_two_level(sent, "sent_bleu", "sent_bleu_", [f"sent_bleu{k}" for k in _AT], calculate_corr)))
-        if calculate_corr:
-            parts.append(_long(_spearman_mean(sent, "sent_bleu", "sent_bleu_spearman")))
+        rank_inputs.append(_for_spearman(sent, "sent_bleu", "sent_bleu"))
     if "c" in metrics:
         dist = with_token_edit_distance(hyp.select("id", "idx", "seed_tokens", "hyp_tokens"), "seed_tokens", "hyp_tokens", "lev")
         dist = dist.withColumn("lev_norm", normalised_distance(F.col("lev"), F.col("seed_tokens"))).join(sizes, "id")
         parts.append(_long(_two_level(dist, "lev_norm", "lev_", corr=calculate_corr)))
-        if calculate_corr:
-            parts.append(_long(_spearman_mean(dist, "lev_norm", "lev_spearman")))
+        rank_inputs.append(_for_spearman(dist, "lev", "lev_norm"))
     if "d" in metrics:
         sb = ngram.self_bleu_rows(hyp.select("id", "idx", F.col("hyp_tokens").alias("tokens"))).join(sizes, "id")
         aggs = [F.avg("self_bleu").alias("self_bleu_mean"), F.var_pop("self_bleu").alias("self_bleu_var")]
         if calculate_corr:
             aggs.append(F.corr("self_bleu", "counter_size").alias("self_bleu_pearson"))
         parts.append(_long(sb.agg(*aggs)))
-        if calculate_corr:
-            parts.append(_long(_spearman_mean(sb.withColumn("idx", F.lit(0)), "self_bleu", "self_bleu_spearman")))
+        rank_inputs.append(_for_spearman(sb.withColumn("idx", F.lit(0)), "self_bleu", "self_bleu"))
+    if calculate_corr and rank_inputs:
+        stacked = rank_inputs[0]
+        for r in rank_inputs[1:]:
+            stacked = stacked.unionByName(r)
+        parts.append(_spearman_means(stacked))
     if not calculate_corr:
         # correlations switched off: the metrics are still listed, with a null value
         names = [f"{fam}_{c}" for fam, flag in (("sent_bleu", "b"), ("lev", "c"), ("self_bleu", "d")) if flag in metrics

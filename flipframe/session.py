@@ -35,6 +35,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count, used for explicit-count repartitions.
+
+    CPU-heavy per-row work after a shuffle of compact rows (token arrays before n-gram
+    explosion, pairs before edit distance) must not be coalesced by AQE into a few tasks on the
+    strength of a small byte size; a repartition with an explicit count keeps it spread.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 _SHIPPED: set[str] = set()
 
 
