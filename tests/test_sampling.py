@@ -61,3 +61,23 @@ def test_value_rank_quantile_buckets_on_clustered_keys(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     got = {r.k: r["rank"] for r in S.value_rank(df, "k", n_buckets=8).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_skewed_group_ranks_are_exact(spark):
+    # one class holds 90 % of the rows; ranks inside every class must still be 0..n-1
+    df = spark.range(3000).select(F.col("id").alias("rid"), F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("y"))
+    r = S.hash_rank(df, "rid", 5, by=["y"], size_col="n")
+    for y, n in ((0, 2700), (1, 300)):
+        got = sorted(x["rank"] for x in r.filter(F.col("y") == y).collect())
+        assert got == list(range(n))
+
+
+def test_pair_assign_with_a_huge_pair(spark):
+    from flipframe.operators.pairs import assign_counterfactual
+
+    # pair 0 holds a third of all rows; every pair still gets exactly one counterfactual
+    df = spark.range(900).select(F.col("id").alias("row_id"),
+                                 F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("paired_id"))
+    a = assign_counterfactual(df, "paired_id", "row_id", 1)
+    per = {r.paired_id: r.s for r in a.groupBy("paired_id").agg(F.sum("is_counterfactual").alias("s")).collect()}
+    assert set(per.values()) == {1} and len(per) == 601
