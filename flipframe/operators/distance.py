@@ -152,31 +152,45 @@ def _postorder(tree):
     return labels, lmd
 
 
+def _keyroots(lmd: list[int]) -> list[int]:
+    """Nodes that are the highest (last in post-order) with their leftmost-leaf value."""
+    last = {}
+    for i, leaf in enumerate(lmd):
+        last[leaf] = i
+    return sorted(last.values())
+
+
 def tree_edit_distance(a, b) -> int:
-    """Zhang-Shasha distance with unit insert/remove and 0/1 relabel cost."""
+    """Zhang-Shasha distance with unit insert/remove and 0/1 relabel cost (plain lists: the
+    inner loops index Python lists, which is much faster than indexing NumPy scalars)."""
     la, la_l = _postorder(a)
     lb, lb_l = _postorder(b)
     n, m = len(la), len(lb)
-    kr_a = sorted({max(i for i in range(n) if la_l[i] == x) for x in set(la_l)})
-    kr_b = sorted({max(j for j in range(m) if lb_l[j] == y) for y in set(lb_l)})
-    td = np.zeros((n, m), dtype=np.int64)
-    for i in kr_a:
-        for j in kr_b:
-            li, lj = la_l[i], lb_l[j]
-            fd = np.zeros((i - li + 2, j - lj + 2), dtype=np.int64)
-            fd[1:, 0] = np.arange(1, i - li + 2)
-            fd[0, 1:] = np.arange(1, j - lj + 2)
+    td = [[0] * m for _ in range(n)]
+    for i in _keyroots(la_l):
+        li = la_l[i]
+        for j in _keyroots(lb_l):
+            lj = lb_l[j]
+            rows, cols = i - li + 2, j - lj + 2
+            fd = [[0] * cols for _ in range(rows)]
+            for x in range(1, rows):
+                fd[x][0] = x
+            for y in range(1, cols):
+                fd[0][y] = y
             for x in range(li, i + 1):
+                xi = x - li + 1
+                fx, fprev = fd[xi], fd[xi - 1]
+                lx = la_l[x]
                 for y in range(lj, j + 1):
-                    xi, yj = x - li + 1, y - lj + 1
-                    if la_l[x] == li and lb_l[y] == lj:
+                    yj = y - lj + 1
+                    if lx == li and lb_l[y] == lj:
                         cost = 0 if la[x] == lb[y] else 1
-                        fd[xi, yj] = min(fd[xi - 1, yj] + 1, fd[xi, yj - 1] + 1, fd[xi - 1, yj - 1] + cost)
-                        td[x, y] = fd[xi, yj]
+                        v = min(fprev[yj] + 1, fx[yj - 1] + 1, fprev[yj - 1] + cost)
+                        fx[yj] = v
+                        td[x][y] = v
                     else:
-                        px, py = la_l[x] - li, lb_l[y] - lj
-                        fd[xi, yj] = min(fd[xi - 1, yj] + 1, fd[xi, yj - 1] + 1, fd[px, py] + td[x, y])
-    return int(td[n - 1, m - 1])
+                        fx[yj] = min(fprev[yj] + 1, fx[yj - 1] + 1, fd[lx - li][lb_l[y] - lj] + td[x][y])
+    return td[n - 1][m - 1]
 
 
 def _tree_pairs_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
