@@ -176,7 +176,7 @@ def spearman_by(df: DataFrame, x: str, y: str, by: Sequence[str] = ("idx",), mat
     The ranking reads its input several times (distinct values, bucket offsets, join back), so
     the three needed columns are checkpointed once to the shared checkpoint folder first.
     """
-    d = df.select(*by, x, y)
+    d = df.select(*by, x, y).na.drop(subset=[x, y])  # complete cases only, as for Pearson
     if materialise:
         from flipframe.session import ensure_checkpoint_dir
 

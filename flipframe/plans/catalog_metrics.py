@@ -766,7 +766,17 @@ def feature_cache(spark, d):
 
 # --- T7 / T8 / S12: suite, report, metrics table --------------------------------------------------
 
-def _suite_sql() -> str:
+def token_lev_sql(a: str, b: str) -> str:
+    """Token-level Levenshtein of two lists in DuckDB: one DP row per token of ``a``."""
+    return f"""list_reduce(list_transform(range(1, len({a}) + 1), lambda i: i),
+    lambda prow, i: list_reduce(list_transform(range(1, len({b}) + 1), lambda j: j),
+        lambda acc, j: list_append(acc, least(prow[j + 1] + 1, acc[len(acc)] + 1,
+                                              prow[j] + CASE WHEN {a}[i] = {b}[j] THEN 0 ELSE 1 END)),
+        [i]),
+    list_transform(range(0, len({b}) + 1), lambda k: k))[len({b}) + 1]"""
+
+
+def _suite_sql(closeness: bool = False) -> str:
     parity = _PARITY_G
     parts = [
         "SELECT 'n_removed' AS metric, CAST((SELECT count(*) FROM pairs) - (SELECT count(*) FROM kept) AS DOUBLE) AS value",
@@ -787,6 +797,17 @@ def _suite_sql() -> str:
     parts.append("SELECT 'self_bleu_pearson', (SELECT corr(self_bleu, counter_size) FROM selfb)")
     parts.append(f"""SELECT 'self_bleu_spearman', (SELECT corr(rx, ry) FROM (SELECT {_midrank_sql('self_bleu', '1')} AS rx,
   {_midrank_sql('counter_size', '1')} AS ry FROM selfb) q)""")
+    extra = []
+    if closeness:
+        extra = [f"""lv AS (SELECT paired_id AS id, idx, {tokens_sql('example')} AS a, {tokens_sql('generated')} AS b FROM kc)""",
+                 f"""lvs AS (SELECT l.idx, CASE WHEN len(l.a) > 0 THEN {token_lev_sql('l.a', 'l.b')} / len(l.a) END AS s,
+  {ntok_sql('k.counterfactual')} AS counter_size FROM lv l JOIN kept k ON l.id = k.paired_id)"""]
+        parts += [
+            "SELECT 'lev_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s) AS mm FROM lvs GROUP BY idx) t)",
+            "SELECT 'lev_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s) AS vv FROM lvs GROUP BY idx) t)",
+            "SELECT 'lev_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM lvs GROUP BY idx) t)",
+            f"""SELECT 'lev_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
+  {_midrank_sql('counter_size', 'idx')} AS ry FROM lvs WHERE s IS NOT NULL) q GROUP BY idx) t)"""]
     self_ctes = _SELF_SQL.split("WITH ", 1)[1].rsplit("SELECT id AS paired_id", 1)[0].rstrip()
     # the self-BLEU CTEs repeat the pair CTEs; keep only the ones after hyp n-grams
     self_only = self_ctes[self_ctes.index("oth AS ("):]
@@ -798,6 +819,7 @@ def _suite_sql() -> str:
         self_only,
         f"""selfb AS (SELECT sm.id, avg({sent_bleu_sql(WEIGHTS[''])}) AS self_bleu, any_value({ntok_sql('k.counterfactual')}) AS counter_size
   FROM sm JOIN kept k ON sm.id = k.paired_id GROUP BY sm.id)""",
+        *extra,
         body=body)
 
 
@@ -811,7 +833,7 @@ def eval_suite(spark, d):
     return SU.evaluate(pairs.drop("cf_turn"), cands, N, metrics="gbd")
 
 
-@query("eval_suite_full")
+@query("eval_suite_full", sql=_suite_sql(closeness=True), doubles=["value"])
 def eval_suite_full(spark, d):
     """T7 with every flag ('gbcd', closeness included): the flagship job."""
     pairs, cands = TB.conversation_pairs(spark, d)
