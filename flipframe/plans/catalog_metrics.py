@@ -205,7 +205,33 @@ def token_edit_distance(spark, d):
     return out.select("seed_id", "cand_id", "distance", D.normalised_distance(F.col("distance"), F.col("a")).alias("normalised"))
 
 
-@query("tree_edit_distance")
+def token_lev_sql(a: str, b: str, indel: int = 1) -> str:
+    """Token-level edit distance of two lists in DuckDB (substitution 1, insert/delete ``indel``):
+    one DP row per token of ``a``, built with nested ``list_reduce``."""
+    return f"""list_reduce(list_transform(range(1, len({a}) + 1), lambda i: i),
+    lambda prow, i: list_reduce(list_transform(range(1, len({b}) + 1), lambda j: j),
+        lambda acc, j: list_append(acc, least(prow[j + 1] + {indel}, acc[len(acc)] + {indel},
+                                              prow[j] + CASE WHEN {a}[i] = {b}[j] THEN 0 ELSE 1 END)),
+        [i * {indel}]),
+    list_transform(range(0, len({b}) + 1), lambda k: k * {indel}))[len({b}) + 1]"""
+
+
+def _pad_tree_sql(x: str) -> str:
+    # distance of a flat tree to the "." pad tree: 3 for an empty line, else 2k (+1 without a "." token)
+    return f"(CASE WHEN len({x}) = 0 THEN 3 ELSE 2 * len({x}) + CASE WHEN list_contains({x}, '.') THEN 0 ELSE 1 END END)"
+
+
+_TREE_SQL = W(TB.PAIRS_SQL(), _COMPLETE_SQL, """tl AS (SELECT paired_id, idx, string_split(example, chr(10)) AS rl,
+  string_split(generated, chr(10)) AS gl FROM kc)""",
+              """pos AS (SELECT paired_id, idx, rl, gl, unnest(range(1, greatest(len(rl), len(gl)) + 1)) AS p FROM tl)""",
+              f"""pr AS (SELECT paired_id, idx, CASE WHEN p <= len(rl) THEN {tokens_sql('rl[p]')} END AS ra,
+  CASE WHEN p <= len(gl) THEN {tokens_sql('gl[p]')} END AS gb FROM pos)""",
+              f"""d AS (SELECT paired_id, idx, CASE WHEN ra IS NULL THEN {_pad_tree_sql('gb')} WHEN gb IS NULL THEN {_pad_tree_sql('ra')}
+  ELSE {token_lev_sql('ra', 'gb', indel=2)} END AS dist FROM pr)""",
+              body="SELECT paired_id, CAST(idx AS BIGINT) AS idx, avg(dist) AS tree_distance FROM d GROUP BY paired_id, idx")
+
+
+@query("tree_edit_distance", sql=_TREE_SQL, doubles=["tree_distance"])
 def tree_edit_distance(spark, d):
     """Sentence-aligned tree edit distance (flat bracketed trees per line), averaged per row."""
     _, kc = _kept(spark, d)
@@ -766,16 +792,6 @@ def feature_cache(spark, d):
 
 # --- T7 / T8 / S12: suite, report, metrics table --------------------------------------------------
 
-def token_lev_sql(a: str, b: str) -> str:
-    """Token-level Levenshtein of two lists in DuckDB: one DP row per token of ``a``."""
-    return f"""list_reduce(list_transform(range(1, len({a}) + 1), lambda i: i),
-    lambda prow, i: list_reduce(list_transform(range(1, len({b}) + 1), lambda j: j),
-        lambda acc, j: list_append(acc, least(prow[j + 1] + 1, acc[len(acc)] + 1,
-                                              prow[j] + CASE WHEN {a}[i] = {b}[j] THEN 0 ELSE 1 END)),
-        [i]),
-    list_transform(range(0, len({b}) + 1), lambda k: k))[len({b}) + 1]"""
-
-
 def _suite_sql(closeness: bool = False) -> str:
     parity = _PARITY_G
     parts = [

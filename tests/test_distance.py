@@ -39,3 +39,31 @@ def test_tree_rows_pad_shorter_side(spark):
     r = D.tree_distance_rows(t).first()
     pad = D.tree_edit_distance(D.parse_bracketed("(S (T b))"), D.parse_bracketed(D.PAD_TREE))
     assert r.tree_distance == pytest.approx((0 + pad) / 2)
+
+
+def test_flat_tree_distance_closed_forms():
+    """For one-level trees (S (T t1) ... (T tk)) Zhang-Shasha equals a token edit distance with
+    substitution 1 and insert/delete 2; against the '.' pad tree it is 3 (empty) or 2k (+1 without
+    a '.' token). The SQL oracle relies on both."""
+    import random
+
+    def flat(toks):
+        return "(S " + " ".join(f"(T {t})" for t in toks) + ")"
+
+    def wlev(a, b):
+        prev = [2 * j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            cur = [2 * i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j] + 2, cur[j - 1] + 2, prev[j - 1] + (x != y)))
+            prev = cur
+        return prev[-1]
+
+    rnd = random.Random(5)
+    alpha = ["a", "b", ".", "T", "S", "ROOT"]
+    for _ in range(300):
+        a = [rnd.choice(alpha) for _ in range(rnd.randint(0, 5))]
+        b = [rnd.choice(alpha) for _ in range(rnd.randint(0, 5))]
+        assert D.tree_edit_distance(D.parse_bracketed(flat(a)), D.parse_bracketed(flat(b))) == wlev(a, b)
+        pad = 3 if not a else 2 * len(a) + (0 if "." in a else 1)
+        assert D.tree_edit_distance(D.parse_bracketed(flat(a)), D.parse_bracketed(D.PAD_TREE)) == pad
