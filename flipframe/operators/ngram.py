@@ -1,12 +1,14 @@
 """BLEU family over n-gram count tables (corpus BLEU, BLEU@n, sentence BLEU, self-BLEU).
 
-Plan: every text is tokenised once; its 1..4-grams are produced inside the row by
-``transform`` (never by exploding the token array together with a copy of itself, which
-would be quadratic in the text length) and exploded into ``(key..., n, gram)`` rows; a
-partial aggregate counts them.  Reference-side counts are computed once per pair id and
-joined to all N candidates.  Clipped matches are summed back to one row per (id, idx) with
-``num1..num4`` and the two lengths, from which every BLEU variant is a closed-form column
-expression -- one count table serves corpus, sentence and BLEU@1..4 at once.
+Plan: every text is tokenised once; candidate and reference token rows are repartitioned by
+pair id (explicit count), then each text's 1..4-grams come from one ``explode`` of
+``arrays_zip`` over the token array and its shifted slices, joined with ``concat_ws``
+(whole-stage codegen, O(length) per text).  Counting, the clip join on (id, n, gram) and the
+per-(id, idx) sums all reuse the by-id partitioning, so the n-gram rows are never shuffled.
+Reference-side counts are computed once per pair id and joined to all N candidates.  Clipped
+matches are summed back to one row per (id, idx) with ``num1..num4`` and the two lengths, from
+which every BLEU variant is a closed-form column expression -- one count table serves corpus,
+sentence and BLEU@1..4 at once.
 
 Smoothing is "method 1" (epsilon 0.1 for a zero numerator); the per-row denominator is
 ``max(1, len - n + 1)`` and the corpus score sums numerators and denominators over rows.

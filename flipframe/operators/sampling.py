@@ -11,8 +11,9 @@ window, in two passes over the data:
    back (AQE broadcasts the table when its measured size is under the broadcast threshold)
    and a ``row_number`` inside each (group, bucket) window adds the local position.
 
-The windows are partitioned by bucket, so even a class holding a third of all rows spreads
-over 65,536 tasks' worth of buckets instead of landing in one task.
+The windows are partitioned by (group, bucket), so even a class holding a third of all rows is
+spread over up to 65,536 buckets instead of landing in one task.  ``hex_chars`` sets the bucket
+count (16**hex_chars); 4 keeps each bucket near 1.5 million rows at 10**11 rows.
 """
 
 from __future__ import annotations
