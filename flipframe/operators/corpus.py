@@ -104,9 +104,12 @@ def pack_blocks(encoded: DataFrame, offsets: DataFrame, block_size: int, id_col:
         encoded = encoded.join(offsets.select(id_col, "start"), on=id_col).withColumn("gpos", F.col("start") + F.col("pos"))
     g = (encoded.filter(F.col("gpos") < n_full * block_size)
          .withColumn("block_id", F.floor(F.col("gpos") / block_size).cast("long")))
+    # pack (stream position, id) into one long so the gather collects and sorts a primitive
+    # array; ids are non-negative ints, so the low 32 bits give them back
+    packed = F.shiftleft(F.col("gpos"), 32) + F.col("id").cast("long")
     blocks = (g.groupBy("block_id")
-              .agg(F.sort_array(F.collect_list(F.struct("gpos", "id"))).alias("_p"))
-              .select("block_id", F.col("_p.id").alias("ids")))
+              .agg(F.sort_array(F.collect_list(packed)).alias("_p"))
+              .select("block_id", F.transform("_p", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")).alias("ids")))
     if bos_id is not None:
         blocks = blocks.withColumn("ids", F.concat(F.array(F.lit(bos_id)), "ids"))
     if eos_id is not None:
