@@ -1,20 +1,17 @@
 """Language-modelling corpora: vocabulary ids, fixed-length blocks, masking, bigram perplexity.
 
-Token positions across the whole corpus stream are a distributed prefix sum: per-line token
-counts, bucketed offsets (``sampling.ranked`` style, no single-partition window over the
-data), then ``posexplode``.  Vocabulary lookups are joins (the vocabulary table is capped at
-``vocab_size`` rows, so it is a bounded broadcast candidate), never per-token map scans.
+Token positions across the whole corpus stream are a distributed prefix sum over per-line token
+counts (``positions.running_totals``).  Vocabulary lookups are joins, never per-token map scans.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flipframe.functions.order import hash_key, uniform01
 from flipframe.functions.text import word_tokens
+from flipframe.session import scratch_table
 
 # --- fixed values -------------------------------------------------------------------------
 SPECIAL_IDS = {"<|PAD|>": 0, "<|UNK|>": 1, "<|BOS|>": 2, "<|EOS|>": 3, "<|SEP|>": 4, "<|MASK|>": 5}
@@ -30,86 +27,88 @@ def tokenize_lines(lines: DataFrame, id_col: str = "line_id", text_col: str = "t
     return lines.select(id_col, word_tokens(text_col).alias("tokens"))
 
 
-def build_vocab(tokens: DataFrame, vocab_size: int = 30000, tokens_col: str = "tokens") -> DataFrame:
-    """(token, id): the ``vocab_size`` most frequent tokens (ties by token), ids after the specials.
+def build_vocab(tokens: DataFrame, vocab_size: int | None = None, tokens_col: str = "tokens") -> DataFrame:
+    """(token, id): tokens by frequency (ties by token), ids after the specials.
 
-    No top-k is gathered in one task: the distinct-token table gets an exact global rank in
-    (frequency desc, token asc) order from bucketed offsets (``sampling.ranked``).  The bucket
-    is the position of the token's frequency among the distinct frequencies (a small table)
-    times 65,536 plus the token's first two bytes, so even a huge set of equally rare tokens is
-    spread over many buckets.
+    All tokens by default, else the ``vocab_size`` most frequent.  A limited vocabulary first drops
+    every token below the frequency at which the histogram of frequencies reaches the limit (about
+    sqrt(2 * number of tokens) distinct values); the survivors get their global position.
     """
-    from flipframe.operators.sampling import ranked
+    from flipframe.operators.positions import global_position
 
     counts = (tokens.select(F.explode(tokens_col).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    # distinct frequency values: at most about sqrt(2 * number of tokens) rows
-    freqs = counts.select("freq").distinct()
-    freqs = freqs.withColumn("_fr", F.row_number().over(Window.orderBy(F.desc("freq"))) - 1)
-    head = F.conv(F.rpad(F.substring(F.hex(F.col("token")), 1, 4), 4, "0"), 16, 10).cast("long")
-    keyed = counts.join(freqs, on="freq").withColumn("_vb", F.col("_fr") * F.lit(65536) + head)
-    r = ranked(keyed, [F.desc("freq"), F.asc("token")], F.col("_vb"), rank_col="_rank")
-    return r.filter(F.col("_rank") < vocab_size).select(
-        "token", (F.col("_rank") + len(SPECIAL_IDS)).cast("int").alias("id"))
+    if vocab_size is not None:
+        counts = scratch_table(counts, "token-counts")
+        before = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
+        hist = counts.groupBy("freq").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        least = hist.filter(F.col("_b") < vocab_size).agg(F.min("freq").alias("_least"))
+        counts = counts.crossJoin(F.broadcast(least)).filter(F.col("freq") >= F.col("_least")).drop("_least")  # one row
+    r = global_position(counts, [F.desc("freq"), F.asc("token")], "_rank")
+    if vocab_size is not None:
+        r = r.filter(F.col("_rank") < vocab_size)
+    return r.select("token", (F.col("_rank") + len(SPECIAL_IDS)).cast("int").alias("id"))
 
 
 def encode_lines(tokens: DataFrame, vocab: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens") -> DataFrame:
-    """(line_id, pos, id) long form: every token mapped through the vocabulary, unknown -> UNK."""
+    """(line_id, pos, id) long form: every token mapped through the vocabulary, unknown -> UNK.
+
+    A plain join: AQE broadcasts a vocabulary that it measures as small and splits the partitions
+    of very frequent tokens otherwise.
+    """
     toks = tokens.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
-    return (toks.join(F.broadcast(vocab), on="token", how="left")
+    return (toks.join(vocab, on="token", how="left")
             .select(id_col, "pos", F.coalesce(F.col("id"), F.lit(SPECIAL_IDS["<|UNK|>"])).cast("int").alias("id")))
 
 
-def encode_stream(tokens: DataFrame, vocab: DataFrame, offsets: DataFrame, id_col: str = "line_id",
-                  tokens_col: str = "tokens") -> DataFrame:
-    """(line_id, pos, gpos, id): like :func:`encode_lines` plus the global stream position.
+def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
+    """Long (line_id, pos, id) back to one ordered id array per line.
 
-    Offsets are joined per *line* before the tokens are exploded, so no token-level join is needed.
+    Position and id travel as one long (ids are non-negative ints, positions within a line fit 31
+    bits), so the gather collects and sorts a primitive array.
     """
-    lines = tokens.join(offsets.select(id_col, "start"), on=id_col)
-    toks = lines.select(id_col, "start", F.posexplode(tokens_col).alias("pos", "token"))
-    return (toks.join(F.broadcast(vocab), on="token", how="left")
-            .select(id_col, "pos", (F.col("start") + F.col("pos")).alias("gpos"),
-                    F.coalesce(F.col("id"), F.lit(SPECIAL_IDS["<|UNK|>"])).cast("int").alias("id")))
-
-
-def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
-    """Long (line_id, pos, id) back to one ordered id array per line."""
+    packed = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("id").cast("long")
     return (encoded.groupBy(id_col)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-            .select(id_col, F.col("_p.id").alias("ids")))
+            .agg(F.sort_array(F.collect_list(packed)).alias("_p"))
+            .select(id_col, F.transform("_p", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("ids")))
 
 
-def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens", n_buckets: int | None = None) -> DataFrame:
+def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens") -> DataFrame:
     """(line_id, n_tokens, start): the first stream position of every line, lines in id order."""
-    from flipframe.operators.sampling import quantile_buckets
+    from flipframe.operators.positions import in_ranges, running_totals
 
     sized = tokens.select(id_col, F.size(tokens_col).cast("long").alias("n_tokens"))
-    sized = quantile_buckets(sized, id_col, n_buckets, "_bkt")
-    per_b = sized.groupBy("_bkt").agg(F.sum("n_tokens").alias("_bt"))
-    offs = per_b.select("_bkt", F.coalesce(F.sum("_bt").over(
-        Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    sized = sized.join(offs, on="_bkt")
-    inside = Window.partitionBy("_bkt").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_off") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return sized.select(id_col, "n_tokens", start.cast("long").alias("start"))
+    ranged = in_ranges(sized, [id_col])
+    starts = running_totals(ranged, [id_col], F.col("n_tokens"), "start")
+    return starts.select(id_col, "n_tokens", F.col("start").cast("long").alias("start"))
 
 
-def pack_blocks(encoded: DataFrame, offsets: DataFrame, block_size: int, id_col: str = "line_id",
+def _div(x: Column, n: int) -> Column:
+    """Exact integer quotient of a non-negative long (the remainder goes first: a rounded quotient could step over a border)."""
+    return ((x - F.pmod(x, F.lit(int(n)).cast("long"))) / F.lit(int(n))).cast("long")
+
+
+def pack_blocks(ids: DataFrame, offsets: DataFrame, block_size: int, id_col: str = "line_id",
                 bos_id: int | None = None, eos_id: int | None = None) -> DataFrame:
-    """Cut the corpus stream into blocks of ``block_size`` ids; the last partial block is dropped."""
-    total = offsets.agg(F.sum("n_tokens")).first()[0] or 0
-    n_full = total // block_size
-    if "gpos" not in encoded.columns:
-        encoded = encoded.join(offsets.select(id_col, "start"), on=id_col).withColumn("gpos", F.col("start") + F.col("pos"))
-    g = (encoded.filter(F.col("gpos") < n_full * block_size)
-         .withColumn("block_id", F.floor(F.col("gpos") / block_size).cast("long")))
-    # pack (stream position, id) into one long so the gather collects and sorts a primitive
-    # array; ids are non-negative ints, so the low 32 bits give them back
-    packed = F.shiftleft(F.col("gpos"), 32) + F.col("id").cast("long")
-    blocks = (g.groupBy("block_id")
-              .agg(F.sort_array(F.collect_list(packed)).alias("_p"))
-              .select("block_id", F.transform("_p", lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")).alias("ids")))
+    """Cut the corpus stream into blocks of ``block_size`` ids; the last partial block is dropped.
+
+    ``ids`` has one id array per line (:func:`ids_arrays`).  Each array is cut at block borders
+    into at most ``length / block_size + 2`` slices; a block gathers its slices, ordered by their
+    offset inside the block, and concatenates them.
+    """
+    size = F.lit(int(block_size)).cast("long")
+    total = offsets.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_total"))
+    lines = ids.join(offsets.select(id_col, "start", "n_tokens").filter("n_tokens > 0"), on=id_col)
+    last = F.col("start") + F.col("n_tokens") - 1
+    cut = lines.select("ids", "start", "n_tokens", F.explode(F.sequence(_div(F.col("start"), block_size), _div(last, block_size))).alias("block_id"))
+    begin = F.greatest(F.col("block_id") * size - F.col("start"), F.lit(0))
+    end = F.least((F.col("block_id") + 1) * size - F.col("start"), F.col("n_tokens"))
+    part = F.struct((F.col("start") + begin - F.col("block_id") * size).cast("int").alias("at"),
+                    F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"))
+    blocks = (cut.select("block_id", part.alias("_part")).crossJoin(F.broadcast(total))  # one row
+              .filter((F.col("block_id") + 1) * size <= F.col("_total"))
+              .groupBy("block_id").agg(F.sort_array(F.collect_list("_part")).alias("_p"))
+              .select("block_id", F.flatten("_p.ids").alias("ids")))
     if bos_id is not None:
         blocks = blocks.withColumn("ids", F.concat(F.array(F.lit(bos_id)), "ids"))
     if eos_id is not None:
@@ -117,13 +116,15 @@ def pack_blocks(encoded: DataFrame, offsets: DataFrame, block_size: int, id_col:
     return blocks
 
 
-def mlm_mask(blocks: DataFrame, seed, vocab_max_id: int, id_col: str = "block_id", ids_col: str = "ids",
+def mlm_mask(blocks: DataFrame, seed, vocab_max_id: int | Column, id_col: str = "block_id", ids_col: str = "ids",
              special_ids=tuple(SPECIAL_IDS.values()), mask_id: int = SPECIAL_IDS["<|MASK|>"]) -> DataFrame:
     """Masked-LM inputs/labels from a per-position hash (no shuffle, partitioning-independent).
 
     A non-special position is selected with probability 0.15; selected positions become the mask
     id (80 %), a random id (10 %) or stay (10 %); labels keep the original id only where selected.
+    ``vocab_max_id`` may be a column of ``blocks``.
     """
+    vocab_max_id = vocab_max_id if isinstance(vocab_max_id, Column) else F.lit(vocab_max_id)
     special = F.array(*[F.lit(i) for i in special_ids])
 
     def u(pos, salt):
@@ -151,14 +152,21 @@ def bigram_table(train_lines: DataFrame, text_col: str = "text") -> DataFrame:
 
 def bigram_token_nll(train_lines: DataFrame, heldout: DataFrame, id_col: str, text_col: str = "text",
                      k: float = 1.0) -> DataFrame:
-    """Per held-out token negative log-likelihood under an add-k bigram model of the training lines."""
-    bi = bigram_table(train_lines, text_col)
+    """Held-out negative log-likelihoods under an add-k bigram model of the training lines:
+    (id, nll, n), one row per distinct bigram of an item, which occurs ``n`` times in it.
+
+    The training counts are written once and read for the bigrams, the first words and the
+    vocabulary size.  Held-out bigrams are counted before they meet the model, so a frequent first
+    word brings at most as many rows as it has distinct successors per item.
+    """
+    bi = scratch_table(bigram_table(train_lines, text_col), "bigrams")
     uni = bi.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    vocab_n = bi.select("w2").distinct().count() + 1
+    size = bi.agg((F.countDistinct("w2") + 1).alias("_v"))
     toks = heldout.select(id_col, F.concat(F.array(F.lit("<s>")), word_tokens(text_col)).alias("t"))
-    hg = toks.select(id_col, F.posexplode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("w1"),
-                                                       F.slice("t", 2, F.size("t")).alias("w2"))).alias("pos", "z"))
-    hg = hg.select(id_col, "pos", F.col("z.w1").alias("w1"), F.col("z.w2").alias("w2"))
-    j = hg.join(bi, on=["w1", "w2"], how="left").join(uni, on="w1", how="left")
-    p = (F.coalesce(F.col("c12"), F.lit(0)) + F.lit(k)) / (F.coalesce(F.col("c1"), F.lit(0)) + F.lit(k * vocab_n))
-    return j.select(id_col, "pos", (-F.log(p)).alias("nll"))
+    hg = toks.select(id_col, F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("w1"),
+                                                    F.slice("t", 2, F.size("t")).alias("w2"))).alias("z"))
+    hg = hg.groupBy(id_col, F.col("z.w1").alias("w1"), F.col("z.w2").alias("w2")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = hg.select("w1", "w2").distinct().join(bi, on=["w1", "w2"], how="left").join(uni, on="w1", how="left")
+    pairs = pairs.crossJoin(F.broadcast(size))  # one row
+    p = (F.coalesce(F.col("c12"), F.lit(0)) + F.lit(k)) / (F.coalesce(F.col("c1"), F.lit(0)) + F.lit(k) * F.col("_v"))
+    return hg.join(pairs.select("w1", "w2", (-F.log(p)).alias("nll")), on=["w1", "w2"]).select(id_col, "nll", "n")

@@ -146,26 +146,19 @@ def pearson_by(df: DataFrame, x: str, y: str, by: Sequence[str] = ("idx",)) -> D
     return df.groupBy(*by).agg(F.corr(x, y).alias("pearson"))
 
 
-def mid_ranks(df: DataFrame, value_col: str, by: Sequence[str], out_col: str, n_buckets: int = 65536) -> DataFrame:
+def mid_ranks(df: DataFrame, value_col: str, by: Sequence[str], out_col: str) -> DataFrame:
     """Average rank (1-based, ties share the mean rank) of ``value_col`` within ``by``.
 
-    Distinct values are counted per group and cut into order-preserving buckets
-    (``atan`` maps any double monotonically into a bounded range, so no min/max pass is
-    needed); a running sum over the small (group, bucket) table gives each bucket's offset and
-    a window inside each bucket the count of smaller values -- no window ever holds a whole
-    group.
+    Distinct values are counted per group, range-partitioned on (group, value) -- any double, at
+    any scale, falls in a partition of about equal size -- and the counts of smaller values come
+    from ``positions.running_totals``; the ranks join back on (group, value).
     """
+    from flipframe.operators.positions import in_ranges, running_totals
+
     by = list(by)
     vals = df.groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    unit = (F.atan(F.col(value_col).cast("double")) / F.lit(math.pi)) + F.lit(0.5)
-    bucket = F.least(F.floor(unit * n_buckets), F.lit(n_buckets - 1)).cast("long")
-    vals = vals.withColumn("_bkt", bucket)
-    per_bucket = vals.groupBy(*by, "_bkt").agg(F.sum("_cnt").alias("_bc"))
-    before_b = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_bucket.select(*by, "_bkt", F.coalesce(F.sum("_bc").over(before_b), F.lit(0)).alias("_off"))
-    vals = vals.join(offs, on=[*by, "_bkt"])
-    before_v = Window.partitionBy(*by, "_bkt").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_before", F.col("_off") + F.coalesce(F.sum("_cnt").over(before_v), F.lit(0)))
+    ranged = in_ranges(vals, [*by, value_col])
+    vals = running_totals(ranged, [value_col], F.col("_cnt"), "_before", by)
     vals = vals.select(*by, value_col, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(out_col))
     return df.join(vals, on=[*by, value_col], how="left")
 
@@ -173,23 +166,27 @@ def mid_ranks(df: DataFrame, value_col: str, by: Sequence[str], out_col: str, n_
 def spearman_by(df: DataFrame, x: str, y: str, by: Sequence[str] = ("idx",), materialise: bool = True) -> DataFrame:
     """Spearman correlation per group: Pearson over mid-ranks of x and y.
 
-    The ranking reads its input several times (distinct values, bucket offsets, join back), so
-    the three needed columns are checkpointed once to the shared checkpoint folder first.
+    The ranking reads its input several times (distinct values, join back), so the needed columns
+    are written once to the shared scratch folder first.
     """
     d = df.select(*by, x, y).na.drop(subset=[x, y])  # complete cases only, as for Pearson
     if materialise:
-        from flipframe.session import ensure_checkpoint_dir
+        from flipframe.session import scratch_table
 
-        ensure_checkpoint_dir(d.sparkSession)
-        d = d.checkpoint(eager=True)
+        d = scratch_table(d, "spearman")
     d = mid_ranks(d, x, by, "_rx")
     d = mid_ranks(d, y, by, "_ry")
     return d.groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearman"))
 
 
-def perplexity(token_losses: DataFrame, batch_col: str = "batch", loss_col: str = "nll") -> DataFrame:
-    """exp(mean over batches of the batch-mean token loss)."""
-    per = token_losses.groupBy(batch_col).agg(F.avg(loss_col).alias("_bm"))
+def weighted_mean(value: str, weight: str) -> Column:
+    return F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
+
+
+def perplexity(token_losses: DataFrame, batch_col: str = "batch", loss_col: str = "nll", weight_col: str | None = None) -> DataFrame:
+    """exp(mean over batches of the batch-mean token loss); a row stands for ``weight_col`` tokens."""
+    mean = weighted_mean(loss_col, weight_col) if weight_col else F.avg(loss_col)
+    per = token_losses.groupBy(batch_col).agg(mean.alias("_bm"))
     return per.agg(F.exp(F.avg("_bm")).alias("perplexity"), F.avg("_bm").alias("eval_loss"))
 
 

@@ -11,9 +11,10 @@ window, in two passes over the data:
    back (AQE broadcasts the table when its measured size is under the broadcast threshold)
    and a ``row_number`` inside each (group, bucket) window adds the local position.
 
-The windows are partitioned by (group, bucket), so even a class holding a third of all rows is
-spread over up to 65,536 buckets instead of landing in one task.  ``hex_chars`` sets the bucket
-count (16**hex_chars); 4 keeps each bucket near 1.5 million rows at 10**11 rows.
+The windows and joins are partitioned by (group, bucket), so a class holding a third of all rows
+is spread over up to 65,536 buckets.  ``hex_chars`` sets the bucket count (16**hex_chars); 4 keeps
+each bucket near 1.5 million rows at 10**11 rows.  Samples and splits rank only the rows of the
+bucket that holds the cut: lower buckets are taken and higher ones left by their number alone.
 """
 
 from __future__ import annotations
@@ -61,43 +62,11 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: Sequence[str] = (), rank_col
     return out.drop("_hk")
 
 
-ROWS_PER_BUCKET = 20000
-MAX_BUCKETS = 65536
+def value_rank(df: DataFrame, order_col: str, rank_col: str = "rank", n_parts: int | None = None) -> DataFrame:
+    """Position of each row in ascending ``order_col`` (a unique key), 0-based (``positions``)."""
+    from flipframe.operators.positions import global_position
 
-
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int | None = None, out_col: str = "_bkt") -> DataFrame:
-    """Add an order-preserving bucket of a numeric column with roughly equal row counts.
-
-    Bucket bounds are approximate quantiles (one sketch pass; the driver receives at most
-    ``n_buckets`` numbers), applied with MLlib's JVM ``Bucketizer`` -- unlike equal-width
-    ranges, a dense cluster of keys cannot pile into one bucket.  By default the bucket count
-    follows the row count (about 20,000 rows per bucket, at most 65,536 buckets), so the window
-    inside one bucket stays small at any scale.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    if n_buckets is None:
-        n_buckets = int(min(MAX_BUCKETS, max(1, df.count() // ROWS_PER_BUCKET)))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    inner = sorted({float(c) for c in cuts if c is not None})
-    if not inner:  # small input: one bucket
-        return df.withColumn(out_col, F.lit(0).cast("long"))
-    splits = [float("-inf")] + inner + [float("inf")]
-    # a double copy of the key feeds the Bucketizer (long -> double is monotone, so order holds)
-    b = Bucketizer(splits=splits, inputCol="_qv", outputCol="_qb", handleInvalid="keep")
-    out = b.transform(df.withColumn("_qv", F.col(col).cast("double")))
-    return out.withColumn(out_col, F.col("_qb").cast("long")).drop("_qv", "_qb")
-
-
-def value_rank(df: DataFrame, order_col: str, by: Sequence[str] = (), rank_col: str = "rank",
-               n_buckets: int | None = None, size_col: str | None = None) -> DataFrame:
-    """Position of each row in ascending ``order_col`` (a numeric, unique key), 0-based.
-
-    Buckets are approximate-quantile ranges of the key, so each holds about N / n_buckets rows.
-    """
-    d = quantile_buckets(df, order_col, n_buckets, "_vb")
-    return ranked(d, [F.col(order_col)], F.col("_vb"), by, rank_col, size_col).drop("_vb")
+    return global_position(df, [F.col(order_col)], rank_col, n_parts)
 
 
 def row_numbering(df: DataFrame, order_col: str, out_col: str = "row_id") -> DataFrame:
@@ -114,18 +83,51 @@ def _target_count(size: Column, n: int | None, frac: float | None) -> Column:
     return F.bround(size.cast("double") * F.lit(float(frac)), 0).cast("long")
 
 
+def _limits(keyed: DataFrame, id_col: str, by: list[str], target, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, bucket) that holds any of the group's first ``target(size)`` rows.
+
+    Buckets that lie wholly before the cut have a null ``_cut``; in the one bucket of each group
+    that holds the cut, the rows are ranked and ``_cut`` is the (key, id) of the last row taken.
+    No other row is ever sorted.
+    """
+    counts = keyed.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"), *[F.max(c).alias(c) for c in carry])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*by, "_bkt", "_cnt", *carry, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_cnt").over(group).alias("_size"))
+    offs = offs.withColumn("_take", target(F.col("_size")) - F.col("_off")).filter(F.col("_take") > 0)
+    edge = offs.filter(F.col("_take") < F.col("_cnt")).select(*by, "_bkt", "_take")
+    nth = F.row_number().over(Window.partitionBy(*by, "_bkt").orderBy("_hk", id_col))
+    cut = (keyed.select(*by, "_bkt", "_hk", id_col).join(edge, on=[*by, "_bkt"]).withColumn("_nth", nth)
+           .filter(F.col("_nth") == F.col("_take")).select(*by, "_bkt", F.struct(F.col("_hk"), F.col(id_col)).alias("_cut")))
+    return offs.select(*by, "_bkt", "_size").join(cut, on=[*by, "_bkt"], how="left").withColumn("_in", F.lit(True))
+
+
+def _marked(df: DataFrame, id_col: str, seed, by: Sequence[str], target, how: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``_flag``: is the row among the first ``target(group size)`` of its group in the
+    seeded order?  The rows meet the small limits table on (group, bucket)."""
+    by = list(by)
+    keyed = df.withColumn("_hk", hash_key(seed, id_col)).withColumn("_bkt", hash_bucket("_hk", DEFAULT_HEX_CHARS))
+    lim = _limits(keyed, id_col, by, target, carry)
+    taken = F.col("_in") & (F.col("_cut").isNull() | (F.struct(F.col("_hk"), F.col(id_col)) <= F.col("_cut")))
+    return (keyed.join(lim, on=[*by, "_bkt"], how=how).withColumn("_flag", F.coalesce(taken, F.lit(False)))
+            .drop("_hk", "_bkt", "_cut", "_in", "_size"))
+
+
 def exact_sample(df: DataFrame, id_col: str, seed, n: int | None = None, frac: float | None = None,
                  by: Sequence[str] = ()) -> DataFrame:
     """Exactly ``n`` (or ``round(frac*N)``) rows per group, without replacement."""
-    d = hash_rank(df, id_col, seed, by, rank_col="_r", size_col="_n")
-    return d.filter(F.col("_r") < _target_count(F.col("_n"), n, frac)).drop("_r", "_n")
+    cols = df.columns
+    d = _marked(df, id_col, seed, by, lambda size: _target_count(size, n, frac), "inner")
+    return d.filter("_flag").select(*cols)
 
 
 def mark_sample(df: DataFrame, id_col: str, seed, n: int | None = None, frac: float | None = None,
                 by: Sequence[str] = (), flag_col: str = "in_sample") -> DataFrame:
     """Same rows as :func:`exact_sample`, kept as a boolean flag so the complement costs nothing."""
-    d = hash_rank(df, id_col, seed, by, rank_col="_r", size_col="_n")
-    return d.withColumn(flag_col, F.col("_r") < _target_count(F.col("_n"), n, frac)).drop("_r", "_n")
+    cols = df.columns
+    d = _marked(df, id_col, seed, by, lambda size: _target_count(size, n, frac), "left")
+    return d.select(*cols, F.col("_flag").alias(flag_col))
 
 
 def complement(df: DataFrame, sample: DataFrame, id_col: str) -> DataFrame:
@@ -140,9 +142,9 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed, rank_col: str = "rank") ->
 
 def prefix_split(df: DataFrame, id_col: str, seed, train_frac: float = 0.9, split_col: str = "split") -> DataFrame:
     """Shuffle, then the first ``int(train_frac*N)`` rows are train, the rest test."""
-    d = hash_rank(df, id_col, seed, rank_col="_r", size_col="_n")
-    cut = F.floor(F.col("_n").cast("double") * F.lit(train_frac))
-    return d.withColumn(split_col, F.when(F.col("_r") < cut, "train").otherwise("test")).drop("_r", "_n")
+    cols = df.columns
+    d = _marked(df, id_col, seed, [], lambda size: F.floor(size.cast("double") * F.lit(train_frac)), "left")
+    return d.select(*cols, F.when(F.col("_flag"), "train").otherwise("test").alias(split_col))
 
 
 def train_val_split(df: DataFrame, id_col: str, seed, val_frac: float, split_col: str = "split") -> DataFrame:
@@ -158,18 +160,18 @@ def split_train_val_test(df: DataFrame, id_col: str, seed, train_frac: float = 0
     Stage 1 keeps ``round(train_frac*N)`` rows (the rest is test); stage 2 takes
     ``round(N*val_frac/|stage1| * |stage1|)`` of those in a second seeded order as validation.
     """
-    d = hash_rank(df, id_col, seed, rank_col="_r1", size_col="_n")
-    n1 = F.bround(F.col("_n").cast("double") * F.lit(train_frac), 0)
-    d = d.withColumn("_in1", F.col("_r1") < n1)
-    first = d.filter("_in1")
-    rest = d.filter(~F.col("_in1"))
-    k2 = hash_key(f"{seed}/val", id_col)
-    first = hash_rank(first, id_col, seed, rank_col="_r2", size_col="_m", key=k2)
-    new_frac = F.col("_n").cast("double") * F.lit(val_frac) / F.col("_m").cast("double")
-    n2 = F.bround(F.col("_m").cast("double") * new_frac, 0)
-    first = first.withColumn(split_col, F.when(F.col("_r2") < n2, "val").otherwise("train")).drop("_r2", "_m")
-    rest = rest.withColumn(split_col, F.lit("test"))
-    return first.unionByName(rest).drop("_r1", "_n", "_in1")
+    cols = df.columns
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    d = _marked(df, id_col, seed, [], lambda size: _target_count(size, None, train_frac), "left").withColumnRenamed("_flag", "_in1")
+    d = d.crossJoin(F.broadcast(total))  # one row
+
+    def n_val(size: Column) -> Column:
+        rescaled = F.col("_n").cast("double") * F.lit(val_frac) / size.cast("double")
+        return F.when(F.col("_in1"), F.bround(size.cast("double") * rescaled, 0)).otherwise(0).cast("long")
+
+    d = _marked(d, id_col, f"{seed}/val", ["_in1"], n_val, "left", carry=["_n"])
+    split = F.when(F.col("_flag"), "val").when(F.col("_in1"), "train").otherwise("test")
+    return d.select(*cols, split.alias(split_col))
 
 
 def bernoulli_split(df: DataFrame, id_col: str, seed, p: float = 0.8, flag_col: str = "is_train") -> DataFrame:
@@ -177,29 +179,49 @@ def bernoulli_split(df: DataFrame, id_col: str, seed, p: float = 0.8, flag_col:
     return df.withColumn(flag_col, uniform01(hash_key(seed, id_col)) < F.lit(p))
 
 
-def poisson_thresholds(lam: float, tail: float = 1e-15, max_k: int = 200) -> list[float]:
-    """Cumulative Poisson(lam) probabilities P(K <= j) for j = 0.. until the tail is negligible."""
-    out, p, c = [], math.exp(-lam), 0.0
-    for j in range(max_k):
+def poisson_thresholds(lam: float, tail: float = 1e-15) -> list[float]:
+    """Cumulative Poisson(lam) probabilities P(K <= j), j = 0.. until the tail is negligible.
+
+    Each probability is computed in log space, so large ``lam`` neither underflows nor is cut.
+    """
+    out, c, j = [], 0.0, 0
+    while True:
+        p = math.exp(j * math.log(lam) - lam - math.lgamma(j + 1)) if lam > 0 else float(j == 0)
         c += p
         out.append(c)
-        if 1.0 - c < tail:
-            break
-        p *= lam / (j + 1)
-    return out
+        if j > lam and (1.0 - c < tail or p < tail * tail):
+            return out
+        j += 1
 
 
 def sample_with_replacement(df: DataFrame, id_col: str, seed, fraction: float) -> DataFrame:
     """Each row repeated K ~ Poisson(fraction) times, K drawn from the row's own hash.
 
-    Same expected size as ``DataFrame.sample(True, fraction)`` but independent of partitioning.
+    Same expected size as ``DataFrame.sample(True, fraction)`` but independent of partitioning;
+    :func:`draw_with_replacement` has the exact size.
     """
     u = uniform01(hash_key(seed, id_col))
-    k = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in poisson_thresholds(fraction)), F.lit(0))
-    d = df.withColumn("_k", k).filter(F.col("_k") > 0)
+    steps = F.array(*[F.lit(c) for c in poisson_thresholds(fraction)])
+    d = df.withColumn("_k", F.size(F.filter(steps, lambda c: u >= c))).filter(F.col("_k") > 0)
     return d.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
 
 
+def draw_with_replacement(df: DataFrame, id_col: str, seed, n: int | None = None, frac: float | None = None) -> DataFrame:
+    """Exactly ``n`` (or ``round(frac*N)``) independent uniform draws of rows, numbered by ``draw``.
+
+    Draw j takes the row at position ``floor(u_j * N)`` in id order, u_j being 52 hash bits of
+    (seed, j).  Rows meet their draws on the position; a row drawn often is repeated as often.
+    """
+    from flipframe.operators.positions import global_position
+
+    size = df.count()
+    want = n if n is not None else int(round(frac * size))
+    cols = df.columns
+    u = F.conv(F.substring(hash_key(seed, "draw"), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    draws = df.sparkSession.range(want if size else 0).withColumnRenamed("id", "draw").withColumn("_pos", F.floor(u * F.lit(size)).cast("long"))
+    return global_position(df, [F.col(id_col)], "_pos").join(draws, on="_pos").select(*cols, "draw")
+
+
 def balanced_sample(df: DataFrame, id_col: str, label_col: str, seed, n_per_class: int) -> DataFrame:
     """Exactly ``n_per_class`` rows of every class (all of a smaller class)."""
     return exact_sample(df, id_col, seed, n=n_per_class, by=[label_col])
@@ -216,22 +238,21 @@ def balanced_nested_split(df: DataFrame, id_col: str, label_col: str, seed, n_pe
                           test_per_class: int, split_col: str = "split") -> DataFrame:
     """Balanced sample of ``n_per_class`` per class, then ``test_per_class`` of it per class as test."""
     data = balanced_sample(df, id_col, label_col, seed, n_per_class)
-    k2 = hash_key(f"{seed}/test", id_col)
-    d = hash_rank(data, id_col, seed, by=[label_col], rank_col="_r", key=k2)
-    return d.withColumn(split_col, F.when(F.col("_r") < test_per_class, "test").otherwise("train")).drop("_r")
+    d = mark_sample(data, id_col, f"{seed}/test", n=test_per_class, by=[label_col], flag_col="_t")
+    return d.withColumn(split_col, F.when(F.col("_t"), "test").otherwise("train")).drop("_t")
 
 
 def nested_samples(df: DataFrame, id_col: str, seed, n: int, m: int) -> DataFrame:
-    """origin (n+m rows) > n_data (n rows) > seed (m rows), as membership flags on the origin rows."""
-    origin = exact_sample(df, id_col, seed, n=n + m)
-    d = hash_rank(origin, id_col, seed, rank_col="_r2", key=hash_key(f"{seed}/n", id_col))
-    d = d.withColumn("in_n", F.col("_r2") < n).drop("_r2")
-    nd = d.filter("in_n")
-    nd = hash_rank(nd, id_col, seed, rank_col="seed_pos", key=hash_key(f"{seed}/m", id_col))
-    nd = nd.withColumn("in_seed", F.col("seed_pos") < m)
-    nd = nd.withColumn("seed_pos", F.when(F.col("in_seed"), F.col("seed_pos")))
-    rest = d.filter(~F.col("in_n")).withColumn("seed_pos", F.lit(None).cast("long")).withColumn("in_seed", F.lit(False))
-    return nd.unionByName(rest)
+    """origin (n+m rows) > n_data (n rows) > seed (m rows), as membership flags on the origin rows.
+
+    The nesting is drawn on ids alone; the other columns join the chosen rows once at the end.
+    """
+    ids = df.select(id_col)
+    d = mark_sample(exact_sample(ids, id_col, seed, n=n + m), id_col, f"{seed}/n", n=n, flag_col="in_n")
+    seeds = exact_sample(d.filter("in_n").select(id_col), id_col, f"{seed}/m", n=m)
+    seeds = hash_rank(seeds, id_col, f"{seed}/m", rank_col="seed_pos")
+    d = d.join(seeds, on=id_col, how="left").withColumn("in_seed", F.col("seed_pos").isNotNull())
+    return df.join(d, on=id_col) if len(df.columns) > 1 else d
 
 
 def seed_table(nested: DataFrame, text_col: str = "text", label_col: str = "labels",
@@ -267,8 +288,13 @@ def kfold(df: DataFrame, id_col: str, seed, k: int = 5, val_frac: float = 0.15,
     d = hash_rank(df, id_col, seed, rank_col="_r", size_col="_n")
     d = d.withColumn("_home", fold_of(F.col("_r"), F.col("_n"), k)).drop("_r", "_n")
     d = d.withColumn(fold_col, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    test = d.filter(F.col("_home") == F.col(fold_col)).withColumn(split_col, F.lit("test"))
-    rest = d.filter(F.col("_home") != F.col(fold_col))
-    rest = mark_sample(rest, id_col, f"{seed}/val", frac=val_frac, by=[fold_col], flag_col="_v")
-    rest = rest.withColumn(split_col, F.when(F.col("_v"), "val").otherwise("training")).drop("_v")
-    return test.unionByName(rest).drop("_home")
+    # one second order for all copies: the test rows form their own groups and take none
+    d = d.withColumn("_rest", F.col("_home") != F.col(fold_col))
+    cols = [c for c in d.columns if c not in ("_home", "_rest")]
+
+    def n_val(size: Column) -> Column:
+        return F.when(F.col("_rest"), _target_count(size, None, val_frac)).otherwise(F.lit(0).cast("long"))
+
+    d = _marked(d, id_col, f"{seed}/val", [fold_col, "_rest"], n_val, "left")
+    split = F.when(~F.col("_rest"), "test").when(F.col("_flag"), "val").otherwise("training")
+    return d.select(*cols, split.alias(split_col))

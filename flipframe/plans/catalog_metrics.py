@@ -21,7 +21,7 @@ from flipframe.plans import tables as TB
 from flipframe.plans.catalog_io import (_COMPLETE_SQL, TOK_SQL, W, hash_sql, kfold_sql, ntok_sql, sentiment_prompt_sql, sq,
                                         strip_html_sql, tokens_sql, trunc_sql, words_sql)
 from flipframe.plans.registry import query
-from flipframe.session import ensure_checkpoint_dir, scratch_path
+from flipframe.session import scratch_path, scratch_table
 from flipframe.sources import files as IO
 
 N = TB.N_CANDIDATES
@@ -39,8 +39,7 @@ def _kept(spark, d, materialise: bool = False):
     kept, _ = C.clean_candidates(pairs, cands, "paired_id", N)
     kc = cands.join(kept.select("paired_id", "example", "counterfactual", "label_ex", "label_counter"), "paired_id")
     if materialise:
-        ensure_checkpoint_dir(spark)
-        kept, kc = kept.checkpoint(eager=True), kc.checkpoint(eager=True)
+        kept, kc = scratch_table(kept, "kept"), scratch_table(kc, "candidates")
     return kept, kc
 
 
@@ -478,7 +477,7 @@ def _nll(spark, d):
        doubles=["perplexity"])
 def bigram_perplexity(spark, d):
     """C4: held-out perplexity of an add-one bigram model (documents -> benchmark)."""
-    return _nll(spark, d).agg(F.exp(F.avg("nll")).alias("perplexity"), F.count(F.lit(1)).alias("n_tokens"))
+    return _nll(spark, d).agg(F.exp(M.weighted_mean("nll", "n")).alias("perplexity"), F.sum("n").alias("n_tokens"))
 
 
 @query("perplexity", sql=_BIGRAM_SQL + "SELECT exp(avg(bm)) AS perplexity, avg(bm) AS eval_loss FROM (SELECT item_id // 8 AS b, avg(nll) AS bm FROM nll GROUP BY b) t",
@@ -486,14 +485,14 @@ def bigram_perplexity(spark, d):
 def perplexity(spark, d):
     """exp(mean of batch-mean token losses), batches of 8 held-out items."""
     n = _nll(spark, d).withColumn("batch", F.floor(F.col("item_id") / 8))
-    return M.perplexity(n, "batch", "nll")
+    return M.perplexity(n, "batch", "nll", "n")
 
 
 @query("running_loss", sql=_BIGRAM_SQL + """SELECT CAST(item_id // 8 AS BIGINT) AS log_point, avg(loss) AS avg_loss, CAST(count(*) AS BIGINT) AS n_steps
 FROM (SELECT item_id, avg(nll) AS loss FROM nll GROUP BY item_id) t GROUP BY log_point""", doubles=["avg_loss"])
 def running_loss(spark, d):
     """Average loss per logging interval (a step = one held-out item)."""
-    steps = _nll(spark, d).groupBy("item_id").agg(F.avg("nll").alias("loss"))
+    steps = _nll(spark, d).groupBy("item_id").agg(M.weighted_mean("nll", "n").alias("loss"))
     return M.running_loss(steps, "item_id", "loss", 8)
 
 
@@ -571,6 +570,18 @@ def sample_with_replacement(spark, d):
     return S.sample_with_replacement(TB.table(spark, d, "documents").select("doc_id"), "doc_id", 17, 0.5)
 
 
+_DRAW_U = "(CAST('0x' || substr(md5(concat_ws(':', '29', CAST(j AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+@query("draw_with_replacement", sql=f"""WITH n AS (SELECT count(*) AS n FROM documents),
+dr AS (SELECT j AS draw, CAST(floor({_DRAW_U} * n) AS BIGINT) AS pos FROM n, LATERAL (SELECT unnest(range(CAST(round_even(n * 0.5, 0) AS BIGINT))) AS j)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT doc_id, draw FROM dr JOIN r USING (pos)""")
+def draw_with_replacement(spark, d):
+    """K4: exactly round(frac * N) uniform draws with replacement."""
+    return S.draw_with_replacement(TB.table(spark, d, "documents").select("doc_id"), "doc_id", 29, frac=0.5)
+
+
 @query("train_val_split", sql=f"SELECT doc_id, CASE WHEN r < round_even(n * 0.2, 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, {_rank_sql(42, 'doc_id', 'documents')} FROM documents) t")
 def train_val_split(spark, d):
     """K7: seeded train/validation split (validation = round(0.2 N) rows)."""
@@ -695,31 +706,28 @@ def cat_filtered(spark, d):
 
 # --- C1-C3: token ids, blocks, masking ----------------------------------------------------------------
 
-VOCAB = 500
-BLOCK = 64
+BLOCK = 510  # a model limit of 512 less two special ids
 _SPECIAL_N = len(CO.SPECIAL_IDS)
 
 _VOCAB_SQL = f"""dtok AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents),
 dpos AS (SELECT doc_id, unnest(t) AS token, unnest(generate_series(0, len(t) - 1)) AS pos FROM dtok),
 voc AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token) - 1 + {_SPECIAL_N} AS INTEGER) AS id
-  FROM (SELECT token, count(*) AS freq FROM dpos GROUP BY token ORDER BY freq DESC, token LIMIT {VOCAB}) v),
+  FROM (SELECT token, count(*) AS freq FROM dpos GROUP BY token) v),
 enc AS (SELECT p.doc_id, p.pos, coalesce(v.id, {CO.SPECIAL_IDS['<|UNK|>']}) AS id FROM dpos p LEFT JOIN voc v ON p.token = v.token)"""
 
 
 def _encoded(spark, d):
-    """Tokenise the corpus once (checkpointed to the shared folder), then vocabulary + encoding."""
+    """Tokenise the corpus once (written to the shared folder), full vocabulary, one id array a line."""
     docs = TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text")
-    ensure_checkpoint_dir(spark)
-    toks = CO.tokenize_lines(docs).checkpoint(eager=True)
-    vocab = CO.build_vocab(toks, vocab_size=VOCAB)
-    return toks, CO.encode_lines(toks, vocab)
+    toks = scratch_table(CO.tokenize_lines(docs), "tokens")
+    vocab = scratch_table(CO.build_vocab(toks), "vocab")
+    return toks, vocab, CO.ids_arrays(CO.encode_lines(toks, vocab))
 
 
 @query("token_ids", sql=W(_VOCAB_SQL, body="SELECT doc_id, array_to_string(list(id ORDER BY pos), ' ') AS ids FROM enc GROUP BY doc_id"))
 def token_ids(spark, d):
-    """Word-level vocabulary ids (top 500 by frequency, unknown -> UNK id)."""
-    _, enc = _encoded(spark, d)
-    arr = CO.ids_arrays(enc)
+    """Word-level ids over the full vocabulary (by frequency, ties by token)."""
+    _, _, arr = _encoded(spark, d)
     return arr.select(F.col("line_id").alias("doc_id"), F.array_join("ids", " ").alias("ids"))
 
 
@@ -729,8 +737,7 @@ def token_ids(spark, d):
   array_to_string(ids[1:16] || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0), ' ') AS labels FROM ia"""))
 def pad_ids(spark, d):
     """P20: truncate/pad ids to 16 with an attention mask; labels copy the ids (pads included)."""
-    _, enc = _encoded(spark, d)
-    arr = CO.ids_arrays(enc)
+    _, _, arr = _encoded(spark, d)
     from flipframe.functions.text import pad_ids as pad
 
     ids, mask, labels = pad(F.col("ids"), 16, 0)
@@ -746,18 +753,15 @@ blocks AS (SELECT block_id, list(id ORDER BY gpos) AS ids FROM blk GROUP BY bloc
 
 
 def _blocks(spark, d):
-    docs = TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text")
-    ensure_checkpoint_dir(spark)
-    toks = CO.tokenize_lines(docs).checkpoint(eager=True)
-    vocab = CO.build_vocab(toks, vocab_size=VOCAB)
-    offs = CO.line_offsets(toks)
-    return CO.pack_blocks(CO.encode_stream(toks, vocab, offs), offs, BLOCK)
+    """Packed blocks and the vocabulary."""
+    toks, vocab, arr = _encoded(spark, d)
+    return CO.pack_blocks(arr, CO.line_offsets(toks), BLOCK), vocab
 
 
 @query("lm_blocks", sql=_BLOCKS_SQL + "SELECT block_id, array_to_string(ids, ' ') AS ids FROM blocks")
 def lm_blocks(spark, d):
-    """Corpus stream cut into 64-id blocks (distributed prefix sum of line lengths)."""
-    return _blocks(spark, d).select("block_id", F.array_join("ids", " ").alias("ids"))
+    """Corpus stream cut into 510-id blocks (distributed prefix sum of line lengths)."""
+    return _blocks(spark, d)[0].select("block_id", F.array_join("ids", " ").alias("ids"))
 
 
 def _mlm_sql(seed) -> str:
@@ -765,28 +769,30 @@ def _mlm_sql(seed) -> str:
         return f"(CAST('0x' || substr(md5(concat_ws(':', '{seed}/{salt}', CAST(block_id AS VARCHAR), CAST({pos} AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0)"
 
     special = "[" + ", ".join(str(i) for i in CO.SPECIAL_IDS.values()) + "]"
-    vmax = VOCAB + _SPECIAL_N - 1
+    vmax = "vmax"
     sel = f"(NOT list_contains({special}, x) AND {u('sel', 'i - 1')} < {CO.MLM_PROBABILITY})"
     rnd = f"CAST(floor({u('rnd', 'i - 1')} * ({vmax} + 1)) AS INTEGER)"
     masked = (f"CASE WHEN NOT {sel} THEN x WHEN {u('band', 'i - 1')} < {CO.MASK_SHARE} THEN {CO.SPECIAL_IDS['<|MASK|>']} "
               f"WHEN {u('band', 'i - 1')} < {CO.MASK_SHARE + CO.RANDOM_SHARE} THEN {rnd} ELSE x END")
     label = f"CASE WHEN {sel} THEN x ELSE {CO.IGNORE_INDEX} END"
     return (f"SELECT block_id, array_to_string(list_transform(ids, lambda x, i: {masked}), ' ') AS input_ids, "
-            f"array_to_string(list_transform(ids, lambda x, i: {label}), ' ') AS labels FROM blocks")
+            f"array_to_string(list_transform(ids, lambda x, i: {label}), ' ') AS labels FROM (SELECT *, (SELECT max(id) FROM voc) AS vmax FROM blocks) t")
 
 
 @query("mlm_mask", sql=_BLOCKS_SQL + _mlm_sql(13))
 def mlm_mask(spark, d):
     """Masked-LM inputs and labels from per-position hashes (15 %; 80/10/10)."""
-    m = CO.mlm_mask(_blocks(spark, d), 13, VOCAB + _SPECIAL_N - 1)
+    blocks, vocab = _blocks(spark, d)
+    blocks = blocks.crossJoin(F.broadcast(vocab.agg(F.max("id").alias("vmax"))))  # one row
+    m = CO.mlm_mask(blocks, 13, F.col("vmax"))
     return m.select("block_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
 
 
 @query("feature_cache", sql=_BLOCKS_SQL + "SELECT block_id, array_to_string(ids, ' ') AS ids FROM blocks")
 def feature_cache(spark, d):
     """Packed blocks written once under a key path and read back from the cache."""
-    path = scratch_path(spark, f"features-b{BLOCK}-v{VOCAB}")
-    cached = IO.cached_features(spark, path, lambda: _blocks(spark, d))
+    path = scratch_path(spark, f"features-b{BLOCK}")
+    cached = IO.cached_features(spark, path, lambda: _blocks(spark, d)[0])
     return cached.select("block_id", F.array_join("ids", " ").alias("ids"))
 
 

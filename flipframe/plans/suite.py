@@ -1,11 +1,11 @@
 """Metric suite (T7) and augmentation-run report.
 
-``evaluate`` tokenises the cleaned candidate table and the gold side once and checkpoints both
+``evaluate`` tokenises the cleaned candidate table and the gold side once and writes both
 to the shared checkpoint folder (reliable storage: a lost executor does not send the job back
 to the pairing shuffle).  Every metric family then reads those two tables:
 
 * g  label flip + confidence          one aggregate by candidate index, then over indexes
-* b  BLEU family                      one n-gram match table (checkpointed) -> corpus BLEU and
+* b  BLEU family                      one n-gram match table (written once) -> corpus BLEU and
                                       BLEU@1..4 in one aggregate, sentence BLEU mean/var/@n and
                                       Pearson in one aggregate, Spearman via distributed mid-ranks
 * c  closeness (token edit distance)  one aggregate + Spearman
@@ -25,7 +25,7 @@ from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
 from flipframe.operators.distance import normalised_distance, with_token_edit_distance
 from flipframe.operators.models import parity_scorer, score_texts
-from flipframe.session import ensure_checkpoint_dir, shuffle_partitions
+from flipframe.session import scratch_table, shuffle_partitions
 
 _AT = [f"_at_{n}" for n in range(1, 5)]
 
@@ -38,8 +38,7 @@ def _long(df: DataFrame) -> DataFrame:
 def _materialise(df: DataFrame, on: bool) -> DataFrame:
     if not on:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return scratch_table(df, "suite")
 
 
 def _two_level(rows: DataFrame, score: str, prefix: str, extra_means: list[str] = (), corr: bool = True) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "flipframe") -> SparkSession:
@@ -19,9 +20,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # joins keyed by (id, ...) may reuse an existing hash(id) partitioning: the pair/n-gram
-        # pipelines partition by pair id once and never reshuffle the larger derived rows
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -81,7 +79,6 @@ CLUSTER_CONF = {
     "spark.sql.shuffle.partitions": "20000",                     # upper bound; AQE coalesces down
     "spark.sql.files.maxPartitionBytes": "256m",                 # scan split size
     "spark.sql.autoBroadcastJoinThreshold": "64m",               # AQE broadcasts only measured-small sides
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",    # reuse hash(id) partitioning for (id, ...) joins
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",      # Arrow batch size for model plug-ins
     "spark.checkpoint.dir": "<shared folder, e.g. a distributed file system path>",
 }
@@ -90,8 +87,9 @@ CLUSTER_CONF = {
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the setting is
-    absent (local tests) a fresh folder under the system temp dir is created and set.
+    A cluster names a shared folder there; it is used as is.  Only a ``local`` master may go
+    without: a fresh folder under the system temp dir is then created and set.  Any other master
+    must name one, as each node would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -101,6 +99,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="flipframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -111,3 +111,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read back.
+
+    Cuts the lineage in a columnar form that later branches scan with pruned columns; the folder
+    is deleted by :func:`drop_scratch`.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this session, once nothing reads them any more."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "tables"))
+    base.getFileSystem(spark._jsc.hadoopConfiguration()).delete(base, True)

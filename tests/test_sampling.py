@@ -52,14 +52,14 @@ def test_blocks_drop_partial(spark):
     toks = CO.tokenize_lines(lines)
     vocab = CO.build_vocab(toks)
     enc = CO.encode_lines(toks, vocab)
-    blocks = CO.pack_blocks(enc, CO.line_offsets(toks), 4).orderBy("block_id").collect()
+    blocks = CO.pack_blocks(CO.ids_arrays(enc), CO.line_offsets(toks), 4).orderBy("block_id").collect()
     assert [len(b.ids) for b in blocks] == [4, 4]
 
 
 def test_value_rank_quantile_buckets_on_clustered_keys(spark):
     keys = list(range(0, 50)) + list(range(10**9, 10**9 + 50)) + [2**40]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = {r.k: r["rank"] for r in S.value_rank(df, "k", n_buckets=8).collect()}
+    got = {r.k: r["rank"] for r in S.value_rank(df, "k", n_parts=8).collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
@@ -81,3 +81,51 @@ def test_pair_assign_with_a_huge_pair(spark):
     a = assign_counterfactual(df, "paired_id", "row_id", 1)
     per = {r.paired_id: r.s for r in a.groupBy("paired_id").agg(F.sum("is_counterfactual").alias("s")).collect()}
     assert set(per.values()) == {1} and len(per) == 601
+
+
+def test_blocks_keep_stream_order_past_2_31_tokens(spark):
+    # offsets as of a corpus with billions of tokens before these lines
+    for base in (2**31, 3 * 2**31):
+        start = base - 200
+        rows = [(0, list(range(300)), start, 300), (1, list(range(1000, 1500)), start + 300, 500), (2, list(range(5000, 6200)), start + 800, 1200)]
+        df = spark.createDataFrame(rows, "line_id long, ids array<int>, start long, n_tokens long")
+        before = spark.createDataFrame([(-1, 0, start)], "line_id long, start long, n_tokens long")
+        offs = before.unionByName(df.select("line_id", "start", "n_tokens"))
+        stream = [i for r in rows for i in r[1]]
+        for r in CO.pack_blocks(df.select("line_id", "ids"), offs, 510).collect():
+            lo = r.block_id * 510 - start
+            assert r.ids == stream[max(lo, 0):lo + 510]
+
+
+def test_samples_and_splits_equal_full_ranks(spark):
+    df = spark.range(4000).select(F.col("id").alias("rid"), (F.col("id") % 7 == 0).cast("int").alias("y"), F.lit("t").alias("text"))
+    full = {r.rid: (r["rank"], r.n) for r in S.hash_rank(df, "rid", 3, by=["y"], size_col="n").collect()}
+    for n, frac in ((0, None), (1, None), (37, None), (10**6, None), (None, 0.31), (None, 1.0)):
+        want = {i for i, (r, size) in full.items() if r < (min(n, size) if n is not None else round(frac * size))}
+        assert {r.rid for r in S.exact_sample(df, "rid", 3, n=n, frac=frac, by=["y"]).collect()} == want
+        marked = S.mark_sample(df, "rid", 3, n=n, frac=frac, by=["y"]).collect()
+        assert len(marked) == 4000 and {r.rid for r in marked if r.in_sample} == want
+
+
+def test_poisson_tail_and_exact_draws(spark):
+    import math
+
+    for lam in (0.0, 0.5, 200.0, 800.0):
+        t = S.poisson_thresholds(lam)
+        assert abs(t[-1] - 1.0) < 1e-9 and t == sorted(t)
+        mean = sum(j * p for j, p in enumerate([t[0]] + [b - a for a, b in zip(t, t[1:])]))
+        assert math.isclose(mean, lam, abs_tol=1e-6)
+    df = spark.range(50).withColumnRenamed("id", "rid")
+    d = S.draw_with_replacement(df, "rid", 1, n=500).collect()
+    assert len(d) == 500 and sorted(r.draw for r in d) == list(range(500)) and len({r.rid for r in d}) == 50
+    assert S.draw_with_replacement(df.limit(0), "rid", 1, frac=0.5).count() == 0
+
+
+def test_position_of_any_doubles(spark):
+    from flipframe.operators.metrics import mid_ranks
+
+    vals = [1e-300, 5.0, 5.0, 20862.0, 1e9, 1e300, -1e300, 0.0]
+    df = spark.createDataFrame([(0, v) for v in vals] + [(1, 2.0)], "g int, v double")
+    got = sorted((r.g, r.v, r.k) for r in mid_ranks(df, "v", ["g"], "k").collect())
+    rank = lambda v: sum(w < v for w in vals) + (vals.count(v) + 1) / 2
+    assert got == sorted([(0, v, rank(v)) for v in vals] + [(1, 2.0, 1.0)])
