@@ -18,8 +18,6 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # Markup removed before tag stripping: comments and script/style bodies (their text is not page text).
 HTML_BLOCK_PATTERN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 HTML_TAG_PATTERN = r"<[^>]*>"
-# Character entities decoded after tags are gone; '&amp;' last so '&amp;lt;' stays '&lt;'.
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 # Scoring length rule: texts longer than 512 characters are cut to their first 511.
 SCORE_MAX_CHARS = 512
 SCORE_CUT_CHARS = 511
@@ -47,13 +45,64 @@ def char_count(text) -> Column:
     return F.length(as_col(text)).cast("long")
 
 
+def _entity_table() -> tuple[dict[str, str], list[str]]:
+    """HTML character references by name (with the final ``;``) from the standard library's table,
+    and the old names that also count without it, longest first."""
+    from html.entities import html5
+
+    named = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return named, sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True)
+
+
+def _from_code_point(code: Column) -> Column:
+    """The character of a numeric reference: 0x80-0x9F read as Windows-1252, as browsers do; U+FFFD
+    for zero, surrogates and numbers beyond Unicode."""
+    bad = code.isNull() | (code == 0) | ((code >= 0xD800) & (code <= 0xDFFF)) | (code > 0x10FFFF)
+    c1 = F.array(*[F.lit(ord(bytes([b]).decode("cp1252", "ignore") or chr(b))) for b in range(0x80, 0xA0)])
+    code = F.when((code >= 0x80) & (code <= 0x9F), F.get(c1, (code - 0x80).cast("int"))).otherwise(code)
+    return F.when(bad, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+
+
+def decode_entities(text) -> Column:
+    """All named and numeric character references decoded in one pass (``&amp;lt;`` gives ``&lt;``).
+
+    The text is split at ``&``; each later piece that starts with a reference has it replaced.
+    The few names that pages are full of are compared first, the full table follows.
+    """
+    named, bare = _entity_table()
+    table = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    bare_map = F.create_map(*[F.lit(x) for k in bare for x in (k, named[k])])
+    bare_pattern = "^(" + "|".join(bare) + ")"
+    common = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot")
+
+    def piece(p: Column) -> Column:
+        number = F.regexp_extract(p, "^(#[xX][0-9a-fA-F]+|#[0-9]+);?", 1)
+        name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        old = F.regexp_extract(p, bare_pattern, 1)
+        hexed = F.rlike(number, F.lit("^#[xX]"))
+        digits = F.regexp_extract(number, "^#[xX]?0*(.*)$", 1)
+        code = F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(
+            F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.when(digits == "", "0").otherwise(digits)).cast("long"))
+        value = F.lit(None).cast("string")
+        for k in reversed(common):
+            value = F.when(name == k, named[k]).otherwise(value) if value is not None else value
+        value = F.when(name != "", F.coalesce(value, table[name]))
+        skip = F.length(number) + F.when(F.substring(p, F.length(number) + 1, F.lit(1)) == ";", 1).otherwise(0)
+        return (F.when(number != "", F.concat(_from_code_point(code), F.substring(p, skip + 1, F.length(p))))
+                .when(value.isNotNull(), F.concat(value, F.substring(p, F.length(name) + 2, F.length(p))))
+                .when(old != "", F.concat(bare_map[old], F.substring(p, F.length(old) + 1, F.length(p))))
+                .otherwise(F.concat(F.lit("&"), p)))
+
+    c = as_col(text)
+    parts = F.split(c, "&", -1)
+    decoded = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+
+
 def strip_html(html) -> Column:
     """Visible text of an HTML fragment: drop comments/script/style, drop tags, decode entities."""
     c = F.regexp_replace(as_col(html), HTML_BLOCK_PATTERN, "")
-    c = F.regexp_replace(c, HTML_TAG_PATTERN, "")
-    for ent, ch in HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    return decode_entities(F.regexp_replace(c, HTML_TAG_PATTERN, ""))
 
 
 def truncate_for_scoring(text) -> Column:

@@ -37,15 +37,16 @@ def first_flip(scored: DataFrame, id_col: str, n: int, target_col: str = "target
                text_col: str = "generated", pred_col: str = "pred") -> DataFrame:
     """Per id the lowest-index candidate whose prediction equals the target; if none, candidate 0.
 
-    Output label is the *predicted* label of the chosen text.  One partial aggregate (``min_by``)
-    per id, no window and no list.
+    Output label is the *predicted* label of the chosen text.  The choice is a hash aggregate over
+    numbers; the chosen text is joined back on (id, index).  ``scored`` is read twice, so callers
+    with a costly scorer write it first (``session.scratch_table``).
     """
     rank = F.when(F.col(pred_col) == F.col(target_col), F.col(idx_col)).otherwise(F.lit(n) + F.col(idx_col))
-    chosen = F.min_by(F.struct(F.col(idx_col).alias("idx"), F.col(text_col).alias("text"),
-                               F.col(pred_col).alias("label")), rank)
-    return (scored.groupBy(id_col).agg(chosen.alias("_c"))
-            .select(id_col, F.col("_c.idx").alias("chosen_idx"), F.col("_c.text").alias("text"),
-                    F.col("_c.label").cast("int").alias("labels")))
+    chosen = scored.groupBy(id_col).agg(F.min(rank).alias("_rank"))
+    chosen = chosen.select(id_col, (F.col("_rank") % n).cast("int").alias("chosen_idx"))
+    texts = scored.select(id_col, F.col(idx_col).cast("int").alias("chosen_idx"), F.col(text_col).alias("text"),
+                          F.col(pred_col).cast("int").alias("labels"))
+    return chosen.join(texts, on=[id_col, "chosen_idx"]).select(id_col, "chosen_idx", "text", "labels")
 
 
 def first_flip_two_pass(scored_first: DataFrame, score_rest, id_col: str, n: int, target_col: str = "target",

@@ -1,10 +1,9 @@
 """Token edit distance (T5) and sentence-aligned tree edit distance.
 
-Token edit distance stays inside the JVM: the distinct tokens of a pair are numbered, each
-token becomes one character (a code point, UTF-32 encoded), and Spark's built-in
-``levenshtein`` (code-point based) runs on the two encoded strings.  Pairs whose joint
-vocabulary does not fit the code-point range take an Arrow-batched NumPy path instead; the two
-paths are split by a filter and unioned, so the Python worker only sees the rows that need it.
+Token edit distance stays inside the JVM: each token becomes one character (a code point, UTF-32
+encoded), and Spark's built-in ``levenshtein`` (code-point based) runs on the two encoded strings.
+Only tokens that both sides hold need codes of their own; the others can match nothing and share
+one code per side.
 
 Tree edit distance needs Zhang-Shasha, which no SQL engine has: the distinct (tree, tree)
 pairs are computed once in ``mapInPandas`` and joined back, everything around it (sentence
@@ -26,26 +25,30 @@ from pyspark.sql import types as T
 CODE_BASE = 0x1000
 SURROGATE_START, SURROGATE_SIZE = 0xD800, 0x800
 MAX_CODE_POINT = 0x10FFFF
-MAX_NATIVE_VOCAB = MAX_CODE_POINT - CODE_BASE - SURROGATE_SIZE + 1
+MAX_SHARED_TOKENS = MAX_CODE_POINT - CODE_BASE - SURROGATE_SIZE + 1
 
 
-def _encode(tokens: Column, vocab: Column) -> Column:
+def _encode(tokens: Column, shared: Column, alone: str) -> Column:
     def one(t):
-        code = F.lit(CODE_BASE - 1) + F.array_position(vocab, t)
+        at = F.array_position(shared, t)
+        code = F.lit(CODE_BASE - 1) + at
         code = F.when(code >= SURROGATE_START, code + SURROGATE_SIZE).otherwise(code)
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(at == 0, alone).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     return F.array_join(F.transform(tokens, one), "")
 
 
-def token_edit_distance_native(a: Column, b: Column, vocab: Column | None = None) -> Column:
+def token_edit_distance_native(a: Column, b: Column, shared: Column | None = None) -> Column:
     """Unit-cost insert/delete/substitute distance between two token arrays (JVM only).
 
-    ``vocab`` should be a column holding ``array_distinct(concat(a, b))`` computed once per row:
-    an expression passed here would be re-evaluated inside the per-token lambda.
+    ``shared`` should be a column holding ``array_intersect(a, b)`` computed once per row: an
+    expression passed here would be re-evaluated inside the per-token lambda.  More than
+    MAX_SHARED_TOKENS distinct shared tokens (about 1.1 million, a table of 10**12 cells) raise an
+    error; :func:`token_edit_distance_udf` has no such bound.
     """
-    vocab = vocab if vocab is not None else F.array_distinct(F.concat(a, b))
-    return F.levenshtein(_encode(a, vocab), _encode(b, vocab)).cast("long")
+    shared = shared if shared is not None else F.array_intersect(a, b)
+    distance = F.levenshtein(_encode(a, shared, "a"), _encode(b, shared, "b")).cast("long")
+    return F.when(F.size(shared) > MAX_SHARED_TOKENS, F.raise_error("too many distinct tokens for one pair").cast("long")).otherwise(distance)
 
 
 def _lev_np(a: list, b: list) -> int:
@@ -76,27 +79,12 @@ def token_edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
-def with_token_edit_distance(df: DataFrame, a_col: str, b_col: str, out_col: str = "distance",
-                             check_fallback: bool = True) -> DataFrame:
-    """Add the token edit distance of two array columns.
-
-    Every pair whose joint vocabulary fits the code-point range (about 1.1 million distinct
-    tokens) runs natively in the JVM.  Only if a size check finds a pair beyond that range is
-    the NumPy branch added to the plan, so a job without such pairs never starts Python workers.
-    """
-    present = F.col(a_col).isNotNull() & F.col(b_col).isNotNull()
-    # the joint vocabulary is computed once per row and then referenced by the per-token lambda
-    with_v = df.withColumn("_vocab", F.array_distinct(F.concat(F.col(a_col), F.col(b_col))))
-    vocab_size = F.size("_vocab")
-    native = with_v.filter(present & (vocab_size <= MAX_NATIVE_VOCAB)).withColumn(
-        out_col, token_edit_distance_native(F.col(a_col), F.col(b_col), F.col("_vocab"))).drop("_vocab")
-    nulls = df.filter(F.col(a_col).isNull() | F.col(b_col).isNull()).withColumn(out_col, F.lit(None).cast("long"))
-    out = native.unionByName(nulls)
-    too_wide = present & (F.size(F.array_distinct(F.concat(F.col(a_col), F.col(b_col)))) > MAX_NATIVE_VOCAB)
-    if not check_fallback or df.filter(too_wide).limit(1).count() > 0:
-        wide = df.filter(too_wide).withColumn(out_col, token_edit_distance_udf(F.col(a_col), F.col(b_col)))
-        out = out.unionByName(wide)
-    return out
+def with_token_edit_distance(df: DataFrame, a_col: str, b_col: str, out_col: str = "distance") -> DataFrame:
+    """Add the token edit distance of two array columns (null where either is null): one narrow
+    pass, no job of its own."""
+    # the shared tokens are found once per row (a hash intersection) and then referenced by the lambda
+    with_v = df.withColumn("_shared", F.array_intersect(F.col(a_col), F.col(b_col)))
+    return with_v.withColumn(out_col, token_edit_distance_native(F.col(a_col), F.col(b_col), F.col("_shared"))).drop("_shared")
 
 
 def normalised_distance(distance: Column, seed_tokens: Column) -> Column:
@@ -111,106 +99,155 @@ PAD_TREE = "(ROOT (S (. .)))"
 
 
 def parse_bracketed(s: str):
-    """'(A (B b) c)' -> ('A', [('B', [('b', [])]), ('c', [])])."""
+    """'(A (B b) c)' -> ('A', [('B', [('b', [])]), ('c', [])]).  Trees of any depth: no recursion."""
     toks = s.replace("(", " ( ").replace(")", " ) ").split()
-    pos = 0
-
-    def node():
-        nonlocal pos
-        if toks[pos] == "(":
-            pos += 1
-            label = toks[pos] if toks[pos] not in ("(", ")") else ""
-            if label:
-                pos += 1
-            kids = []
-            while pos < len(toks) and toks[pos] != ")":
-                kids.append(node())
-            pos += 1
-            return (label, kids)
-        label = toks[pos]
-        pos += 1
-        return (label, [])
-
-    return node() if toks else ("", [])
+    root: tuple[str, list] = ("", [])
+    top, open_ = [], []
+    fresh = False  # the next plain token labels the node just opened
+    for t in toks:
+        if t == "(":
+            if fresh:
+                open_[-1] = ("", open_[-1][1])
+            open_.append(("", []))
+            fresh = True
+        elif t == ")":
+            if not open_:
+                continue
+            done = open_.pop()
+            (open_[-1][1] if open_ else top).append(done)
+            fresh = False
+        elif fresh:
+            open_[-1] = (t, open_[-1][1])
+            fresh = False
+        else:
+            (open_[-1][1] if open_ else top).append((t, []))
+    while open_:
+        done = open_.pop()
+        (open_[-1][1] if open_ else top).append(done)
+    return top[0] if top else root
 
 
 def _postorder(tree):
-    labels, lmd = [], []
-
-    def walk(t):
-        first = None
-        for k in t[1]:
-            leftmost = walk(k)
-            if first is None:
-                first = leftmost
-        me = len(labels)
-        labels.append(t[0])
-        lmd.append(first if first is not None else me)
-        return lmd[me]
-
-    walk(tree)
-    return labels, lmd
-
-
-def _keyroots(lmd: list[int]) -> list[int]:
-    """Nodes that are the highest (last in post-order) with their leftmost-leaf value."""
-    last = {}
-    for i, leaf in enumerate(lmd):
-        last[leaf] = i
-    return sorted(last.values())
+    """Labels, leftmost leaf and number of children of each node in post-order."""
+    labels, lmd, kids = [], [], []
+    stack = [(tree, 0, None)]
+    while stack:
+        (label, children), at, first = stack.pop()
+        if at < len(children):
+            stack.append(((label, children), at + 1, len(labels) if first is None else first))
+            stack.append((children[at], 0, None))
+            continue
+        labels.append(label)
+        lmd.append(len(labels) - 1 if first is None else first)
+        kids.append(len(children))
+    return labels, lmd, kids
 
 
 def tree_edit_distance(a, b) -> int:
-    """Zhang-Shasha distance with unit insert/remove and 0/1 relabel cost (plain lists: the
-    inner loops index Python lists, which is much faster than indexing NumPy scalars)."""
-    la, la_l = _postorder(a)
-    lb, lb_l = _postorder(b)
-    n, m = len(la), len(lb)
-    td = [[0] * m for _ in range(n)]
-    for i in _keyroots(la_l):
-        li = la_l[i]
-        for j in _keyroots(lb_l):
-            lj = lb_l[j]
-            rows, cols = i - li + 2, j - lj + 2
-            fd = [[0] * cols for _ in range(rows)]
-            for x in range(1, rows):
-                fd[x][0] = x
-            for y in range(1, cols):
-                fd[0][y] = y
+    """Zhang-Shasha distance with unit insert/remove and 0/1 relabel cost.
+
+    Where one of two subtrees is a leaf the distance has a closed form (keep one node, with the
+    leaf's label if the other subtree has it), so only pairs of inner key roots need a forest
+    table, and only distances of inner nodes are stored.  A table's row is computed as a vector
+    and kept while a later row still refers to it: memory grows with nodes x inner nodes, not with
+    the product of both sizes.
+    """
+    la, lla, ka = _postorder(a)
+    lb, llb, kb = _postorder(b)
+    code = {t: i for i, t in enumerate(dict.fromkeys([*la, *lb]))}
+    ca, cb = np.array([code[t] for t in la]), np.array([code[t] for t in lb])
+    lb_l = np.array(llb)
+    size_a, size_b = np.arange(len(la)) - np.array(lla) + 1, np.arange(len(lb)) - lb_l + 1
+    leaf_a, leaf_b = np.array(ka) == 0, np.array(kb) == 0
+    where_a: dict[int, np.ndarray] = {c: np.flatnonzero(ca == c) for c in set(ca.tolist())}
+    where_b: dict[int, np.ndarray] = {c: np.flatnonzero(cb == c) for c in set(cb.tolist())}
+    none = np.empty(0, np.int64)
+
+    def leaf_row(x: int, lj: int, j: int) -> np.ndarray:
+        """Distances of leaf x of a to the subtrees lj..j of b."""
+        ys = np.arange(lj, j + 1)
+        at = where_b.get(int(ca[x]), none)
+        has = np.searchsorted(at, ys, "right") > np.searchsorted(at, lb_l[lj : j + 1], "left")
+        return size_b[lj : j + 1] - has
+
+    inner: dict[int, np.ndarray] = {}  # inner node of a: distances to all subtrees of b
+    leaves_b = np.flatnonzero(leaf_b)
+    for x in np.flatnonzero(~leaf_a).tolist():
+        row = np.zeros(len(lb), np.int64)
+        # a leaf of b against subtree x: keep the node of x that has its label, if any
+        for c in set(cb[leaves_b].tolist()):
+            at = where_a.get(c, none)
+            has = bool(np.searchsorted(at, x, "right") > np.searchsorted(at, lla[x], "left"))
+            row[leaves_b[cb[leaves_b] == c]] = int(size_a[x]) - has
+        inner[x] = row
+    if leaf_a[-1] or leaf_b[-1]:
+        return int(leaf_row(len(la) - 1, 0, len(lb) - 1)[-1]) if leaf_a[-1] else int(inner[len(la) - 1][-1])
+
+    def roots(lmd: list[int], leaf: np.ndarray) -> list[int]:
+        last = {v: i for i, v in enumerate(lmd)}
+        return [i for i in sorted(last.values()) if not leaf[i]]
+
+    for i in roots(lla, leaf_a):
+        li = lla[i]
+        last_use: dict[int, int] = {}  # forest row -> last row that reads it
+        for x in range(li, i + 1):
+            last_use[lla[x] - li] = x - li + 1
+        for j in roots(llb, leaf_b):
+            lj = llb[j]
+            m = j - lj + 1
+            step = np.arange(m + 1)
+            whole = lb_l[lj : j + 1] == lj
+            back = lb_l[lj : j + 1] - lj
+            rows = {0: step.astype(np.int64)}
+            prev = rows[0]
             for x in range(li, i + 1):
-                xi = x - li + 1
-                fx, fprev = fd[xi], fd[xi - 1]
-                lx = la_l[x]
-                for y in range(lj, j + 1):
-                    yj = y - lj + 1
-                    if lx == li and lb_l[y] == lj:
-                        cost = 0 if la[x] == lb[y] else 1
-                        v = min(fprev[yj] + 1, fx[yj - 1] + 1, fprev[yj - 1] + cost)
-                        fx[yj] = v
-                        td[x][y] = v
-                    else:
-                        fx[yj] = min(fprev[yj] + 1, fx[yj - 1] + 1, fd[lx - li][lb_l[y] - lj] + td[x][y])
-    return td[n - 1][m - 1]
+                r = x - li + 1
+                tree = leaf_row(x, lj, j) if leaf_a[x] else inner[x][lj : j + 1]
+                best = prev[1:] + 1
+                if lla[x] == li:
+                    # both forests are whole trees: relabel; else the subtree distance found before
+                    relabel = prev[:-1] + (ca[x] != cb[lj : j + 1])
+                    other = rows[0][back] + tree
+                    best = np.minimum(best, np.where(whole, relabel, other))
+                else:
+                    best = np.minimum(best, rows[lla[x] - li][back] + tree)
+                row = np.empty(m + 1, np.int64)
+                row[0] = r
+                row[1:] = best
+                row = np.minimum.accumulate(row - step) + step
+                if lla[x] == li and not leaf_a[x]:
+                    fill = whole & ~leaf_b[lj : j + 1]
+                    inner[x][lj : j + 1][fill] = row[1:][fill]
+                for done in [k for k in rows if last_use.get(k, 0) <= r and k != r]:
+                    del rows[done]
+                if last_use.get(r, 0) > r:
+                    rows[r] = row
+                prev = row
+    return int(inner[len(la) - 1][-1])
 
 
 def _tree_pairs_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         d = [tree_edit_distance(parse_bracketed(a), parse_bracketed(b)) for a, b in zip(pdf["t_ref"], pdf["t_gen"])]
-        yield pdf.assign(tree_distance=pd.Series(d, dtype="int64"))
+        yield pdf.assign(tree_distance=pd.Series(d, dtype="int64"))[["_key", "tree_distance"]]
 
 
 def tree_distance_rows(trees: DataFrame, id_cols=("paired_id", "idx"), ref_col: str = "ref_trees",
                        gen_col: str = "gen_trees", pad_tree: str = PAD_TREE) -> DataFrame:
-    """Mean sentence-aligned tree edit distance per row; the shorter list is padded with ``pad_tree``."""
+    """Mean sentence-aligned tree edit distance per row; the shorter list is padded with ``pad_tree``.
+
+    Both lists are in one row, so they are zipped (a missing tree is null) and exploded, not
+    joined.  Equal pairs of trees are compared once; a pair is known by its SHA-256, so the trees
+    themselves are shuffled only to drop repeated pairs.
+    """
     ids = list(id_cols)
-    ref = trees.select(*ids, F.posexplode(ref_col).alias("pos", "t_ref"))
-    gen = trees.select(*ids, F.posexplode(gen_col).alias("pos", "t_gen"))
-    aligned = (ref.join(gen, on=[*ids, "pos"], how="full_outer")
-               .select(*ids, "pos", F.coalesce("t_ref", F.lit(pad_tree)).alias("t_ref"),
-                       F.coalesce("t_gen", F.lit(pad_tree)).alias("t_gen")))
-    pairs = aligned.select("t_ref", "t_gen").distinct()
-    scored = pairs.mapInPandas(_tree_pairs_udf, "t_ref string, t_gen string, tree_distance long")
-    return (aligned.join(scored, on=["t_ref", "t_gen"], how="inner")
+    zipped = F.arrays_zip(F.col(ref_col).alias("r"), F.col(gen_col).alias("g"))
+    aligned = trees.select(*ids, F.explode(zipped).alias("_z"))
+    aligned = aligned.select(*ids, F.coalesce("_z.r", F.lit(pad_tree)).alias("t_ref"), F.coalesce("_z.g", F.lit(pad_tree)).alias("t_gen"))
+    aligned = aligned.withColumn("_key", F.sha2(F.concat_ws("\n", "t_ref", "t_gen").cast("binary"), 256))
+    pairs = aligned.dropDuplicates(["_key"]).select("_key", "t_ref", "t_gen")
+    scored = pairs.mapInPandas(_tree_pairs_udf, "_key string, tree_distance long")
+    return (aligned.select(*ids, "_key").join(scored, on="_key")
             .groupBy(*ids).agg(F.avg("tree_distance").alias("tree_distance")))
 
 

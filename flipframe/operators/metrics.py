@@ -105,20 +105,26 @@ def crosstab_margins(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.cube(a, b).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 
 
-def mcnemar_exact_p(b: Column, c: Column) -> Column:
-    """Two-sided exact McNemar p = min(1, 2 * P[Bin(b+c, 1/2) <= min(b, c)]), summed in log space."""
-    n = (b + c).cast("double")
-    k = F.least(b, c)
-    lp0 = n * F.lit(math.log(0.5))
-    init = F.struct(lp0.alias("lp"), F.exp(lp0).alias("s"))
+def _log10_exact(b: int, c: int) -> float:
+    """log10 of min(1, 2 P[Bin(b + c, 1/2) <= min(b, c)]): the tail is summed from its largest term
+    down until the terms no longer count, about sqrt(b + c) of them."""
+    n, k = b + c, min(b, c)
+    if n == 0:
+        return 0.0
+    term = total = 1.0
+    for i in range(k, 0, -1):
+        term *= i / (n - i + 1)
+        total += term
+        if term < total * 1e-18:
+            break
+    log_p = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (n + 1) * math.log(0.5) + math.log(total) + 2 * math.log(2)
+    return min(0.0, log_p / math.log(10))
 
-    def step(acc, i):
-        lp = acc["lp"] + F.log(n - i + 1) - F.log(i.cast("double"))
-        return F.struct(lp.alias("lp"), (acc["s"] + F.exp(lp)).alias("s"))
 
-    tail = F.aggregate(F.sequence(F.lit(1).cast("long"), k.cast("long")), init, step)["s"]
-    tail = F.when(k == 0, F.exp(lp0)).otherwise(tail)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+@F.pandas_udf(T.DoubleType())
+def mcnemar_exact_log10(b: pd.Series, c: pd.Series) -> pd.Series:
+    """Two-sided exact McNemar test, as log10 of its p-value (tiny values keep their size)."""
+    return pd.Series([_log10_exact(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")
 
 
 def mcnemar_chi2(b: Column, c: Column) -> Column:
@@ -135,8 +141,8 @@ def chi2_1df_sf(x: pd.Series) -> pd.Series:
 def mcnemar(table: DataFrame, alphas: Sequence[float] = (0.05, 0.01)) -> DataFrame:
     """Exact and chi-square McNemar tests on a :func:`contingency` row."""
     b, c = F.col("ci"), F.col("ic")
-    out = table.select("*", mcnemar_exact_p(b, c).alias("p_exact"), mcnemar_chi2(b, c).alias("chi2"))
-    out = out.withColumn("p_chi2", chi2_1df_sf(F.col("chi2")))
+    out = table.select("*", mcnemar_exact_log10(b, c).alias("log10_p_exact"), mcnemar_chi2(b, c).alias("chi2"))
+    out = out.withColumn("p_exact", F.pow(F.lit(10.0), F.col("log10_p_exact"))).withColumn("p_chi2", chi2_1df_sf(F.col("chi2")))
     for a in alphas:
         out = out.withColumn(f"significant_{str(a).replace('0.', '')}", F.col("p_chi2") < F.lit(a))
     return out

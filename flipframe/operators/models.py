@@ -130,7 +130,7 @@ def generate_candidates(prompts: DataFrame, generate_fn: Callable[[pd.DataFrame,
                         errs.append(None)
                     except Exception as e:  # noqa: BLE001 - recorded per row
                         gens.append([None] * n)
-                        errs.append(repr(e)[:500])
+                        errs.append(repr(e))
             res = pdf[keep].copy()
             res["generated"] = gens
             res["error"] = errs
@@ -171,29 +171,20 @@ def train_classifier(train: DataFrame, reg_param: float = 0.0, max_iter: int = 5
     return pipe.fit(train.select("text", F.col("labels").cast("double").alias("labels")))
 
 
-def sweep_classifier(train: DataFrame, grid: dict, seed: int = 2023, train_ratio: float = 0.8,
-                     parallelism: int = 2, random_k: int | None = None):
-    """M5: grid (or a seeded random subset of it) over regParam/maxIter/numFeatures, best accuracy."""
-    import random
-
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-
-    pipe, lr, tf = text_classifier()
-    b = ParamGridBuilder()
-    if "regParam" in grid:
-        b = b.addGrid(lr.regParam, grid["regParam"])
-    if "maxIter" in grid:
-        b = b.addGrid(lr.maxIter, grid["maxIter"])
-    if "numFeatures" in grid:
-        b = b.addGrid(tf.numFeatures, grid["numFeatures"])
-    maps = b.build()
-    if random_k is not None and random_k < len(maps):
-        maps = random.Random(seed).sample(maps, random_k)
-    ev = MulticlassClassificationEvaluator(labelCol="labels", predictionCol="prediction", metricName="accuracy")
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, trainRatio=train_ratio,
-                               parallelism=parallelism, seed=seed)
-    return tvs.fit(train.select("text", F.col("labels").cast("double").alias("labels"))), maps
+def sweep_classifier(train: DataFrame, val: DataFrame, settings: Sequence[dict]):
+    """M5 with MLlib: one fit per setting (reg_param, max_iter) on ``train``, accuracy on ``val``.
+
+    Both tables come from a hash split, so the chosen setting doesn't depend on the cluster.
+    Returns [(setting, accuracy)] and the model of the best (ties: the first).
+    """
+    scored, best = [], None
+    for s in settings:
+        model = train_classifier(train, **s)
+        acc = predict(model, val).agg(F.avg((F.col("pred") == F.col("labels")).cast("double"))).first()[0]
+        if best is None or acc > max(a for _, a in scored):
+            best = model
+        scored.append((s, acc))
+    return scored, best
 
 
 def predict(model, df: DataFrame, pred_col: str = "pred") -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from flipframe.functions.order import hash_key
 from flipframe.functions.text import strip_html
-from flipframe.functions.templates import nli_counter_text
 
 
 def encode_sentiment(col, positive: str = "Positive"):
@@ -47,28 +46,40 @@ def assign_counterfactual(df: DataFrame, pair_col: str, row_col: str, seed, flag
 
 def pivot_pairs(df: DataFrame, pair_col: str = "paired_id", text_col: str = "text", label_col: str = "sentiment",
                 flag_col: str = "is_counterfactual", clean_html: bool = True) -> DataFrame:
-    """Two rows per pair -> one (example, counterfactual) row; pairs of any other size are dropped."""
-    is_cf = F.col(flag_col) == 1
-    out = (df.groupBy(pair_col)
-           .agg(F.max(F.when(~is_cf, F.col(text_col))).alias("example"),
-                F.max(F.when(~is_cf, F.col(label_col))).cast("int").alias("label_ex"),
-                F.max(F.when(is_cf, F.col(text_col))).alias("counterfactual"),
-                F.max(F.when(is_cf, F.col(label_col))).cast("int").alias("label_counter"),
-                F.count(F.lit(1)).alias("_n"),
-                F.sum(F.col(flag_col)).alias("_ncf"))
-           .filter((F.col("_n") == 2) & (F.col("_ncf") == 1))
-           .drop("_n", "_ncf"))
-    if clean_html:
-        out = out.withColumn("example", strip_html("example")).withColumn("counterfactual", strip_html("counterfactual"))
-    return out.select(pair_col, "example", "label_ex", "counterfactual", "label_counter")
+    """Two rows per pair -> one (example, counterfactual) row; pairs of any other size are dropped.
+
+    The sizes are a hash aggregate over numbers; the texts are filtered by it and meet in a join,
+    so no text goes through an aggregate buffer.
+    """
+    sizes = df.groupBy(pair_col).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(flag_col)).alias("_ncf"))
+    whole = sizes.filter((F.col("_n") == 2) & (F.col("_ncf") == 1)).select(pair_col)
+    rows = df.join(whole, on=pair_col, how="left_semi")
+
+    def side(flag: int, text: str, label: str) -> DataFrame:
+        t = F.col(text_col)
+        return rows.filter(F.col(flag_col) == flag).select(
+            pair_col, (strip_html(t) if clean_html else t).alias(text), F.col(label_col).cast("int").alias(label))
+
+    return (side(0, "example", "label_ex").join(side(1, "counterfactual", "label_counter"), on=pair_col)
+            .select(pair_col, "example", "label_ex", "counterfactual", "label_counter"))
 
 
 def first_match_lookup(original: DataFrame, key_col: str, order_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """One row per distinct ``key_col``: the values of the first original row (lowest ``order_col``)."""
-    packed = F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in value_cols])
-    return (original.groupBy(key_col)
-            .agg(F.min(packed).alias("_m"))
-            .select(key_col, *[F.col(f"_m.{c}").alias(c) for c in value_cols]))
+    """One row per distinct ``key_col``: the values of the first original row (lowest ``order_col``).
+
+    The first row of each key is found on the key's SHA-256 and the order number alone; its
+    values are joined back by the (unique) order number.  Adds the digest as ``_key``.
+    """
+    digest = F.sha2(F.col(key_col).cast("binary"), 256)
+    first = original.groupBy(digest.alias("_key")).agg(F.min(order_col).alias(order_col))
+    return (first.join(original.filter(F.col(key_col).isNotNull()), on=order_col)
+            .select("_key", key_col, *value_cols))
+
+
+def _match(revised: DataFrame, lookup: DataFrame, key_col: str) -> DataFrame:
+    """Revised rows with their lookup row: joined on the digest, verified on the text itself."""
+    keyed = revised.withColumn("_key", F.sha2(F.col(key_col).cast("binary"), 256))
+    return keyed.join(lookup, on="_key").filter(F.col(key_col) == F.col("_match")).drop("_key", "_match")
 
 
 def revised_premise_pairs(revised: DataFrame, original: DataFrame, order_col: str = "row_order") -> DataFrame:
@@ -78,18 +89,18 @@ def revised_premise_pairs(revised: DataFrame, original: DataFrame, order_col: st
     hypothesis, label, ``order_col``.  Rows without a match are dropped (inner join).
     """
     lookup = first_match_lookup(original, "hypothesis", order_col, ["premise", "label"])
-    lookup = lookup.select(F.col("hypothesis").alias("original_hyp"), F.col("premise").alias("original_prem"),
+    lookup = lookup.select("_key", F.col("hypothesis").alias("_match"), F.col("premise").alias("original_prem"),
                            F.col("label").alias("original_label"))
-    out = revised.join(lookup, on="original_hyp", how="inner")
+    out = _match(revised, lookup, "original_hyp")
     return out.withColumn("task", F.lit("RP")).withColumn("counter_hyp", F.lit(""))
 
 
 def revised_hypothesis_pairs(revised: DataFrame, original: DataFrame, order_col: str = "row_order") -> DataFrame:
     """RH rows: original premise + revised hypothesis -> original hypothesis and label by first match."""
     lookup = first_match_lookup(original, "premise", order_col, ["hypothesis", "label"])
-    lookup = lookup.select(F.col("premise").alias("original_prem"), F.col("hypothesis").alias("original_hyp"),
+    lookup = lookup.select("_key", F.col("premise").alias("_match"), F.col("hypothesis").alias("original_hyp"),
                            F.col("label").alias("original_label"))
-    out = revised.join(lookup, on="original_prem", how="inner")
+    out = _match(revised, lookup, "original_prem")
     return out.withColumn("task", F.lit("RH")).withColumn("counter_prem", F.lit(""))
 
 
@@ -133,5 +144,3 @@ def candidates_wide(long: DataFrame, id_cols: Sequence[str], n: int, prefix: str
     piv = long.groupBy(*id_cols).pivot("idx", list(range(n))).agg(F.first("generated"))
     return piv.select(*id_cols, *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(n)])
 
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["nli_counter_text"]

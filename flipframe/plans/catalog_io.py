@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flipframe.functions import templates as TP
-from flipframe.functions.text import (HTML_BLOCK_PATTERN, HTML_ENTITIES, HTML_TAG_PATTERN, NA_TOKENS, TOKEN_PATTERN,
+from flipframe.functions.text import (HTML_BLOCK_PATTERN, HTML_TAG_PATTERN, NA_TOKENS, TOKEN_PATTERN,
                                       between_markers, char_count, null_to_none, space_word_count, strip_html,
                                       token_count, truncate_for_scoring)
 from flipframe.operators import candidates as C
@@ -59,10 +59,14 @@ def label_word_sql(c: str) -> str:
     return f"(['Negative', 'Positive'])[{c} + 1]"
 
 
+ORACLE_ENTITIES = [("copy", "\u00a9"), ("middot", "\u00b7"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")]
+
+
 def strip_html_sql(c: str) -> str:
     s = f"regexp_replace(regexp_replace({c}, {sq(HTML_BLOCK_PATTERN)}, '', 'g'), {sq(HTML_TAG_PATTERN)}, '', 'g')"
-    for ent, ch in HTML_ENTITIES:
-        s = f"replace({s}, {sq(ent)}, {sq(ch)})"
+    # the references that the tables hold; "&amp" last, so that "&amp;lt;" stays "&lt;"
+    for name, ch in ORACLE_ENTITIES:
+        s = f"regexp_replace({s}, '&{name};?', {sq(ch)}, 'g')"
     return s
 
 
@@ -99,12 +103,15 @@ def csv_column_scan(spark, d):
     return IO.read_csv_column(spark, path, "text", "item_id long, text string")
 
 
-@query("corpus_lines_scan", sql="SELECT unnest(string_split(text, chr(10))) AS text FROM documents")
+@query("corpus_lines_scan", sql="""SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS line_id, text FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) t""")
 def corpus_lines_scan(spark, d):
-    """Raw text corpus scan (every line of every file is a row)."""
+    """Raw text corpus scan: every line of every file with its place in the stream."""
     path = scratch_path(spark, "corpus")
-    TB.table(spark, d, "documents").select("text").write.mode("overwrite").text(path)
-    return IO.read_text_corpus(spark, path).select("text")
+    # part files in document order, so the stream order is known to the oracle
+    docs = TB.table(spark, d, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    docs.select("text").write.mode("overwrite").text(path)
+    return IO.read_text_corpus(spark, path).select("line_id", "text")
 
 
 @query("folder_labelled_scan",

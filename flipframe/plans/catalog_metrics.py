@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flipframe.functions import templates as TP
 from flipframe.functions.order import hash_key, uniform01
 from flipframe.functions.text import space_word_count, word_tokens
+from flipframe.operators import bayes as BY
 from flipframe.operators import candidates as C
 from flipframe.operators import corpus as CO
 from flipframe.operators import distance as D
@@ -411,24 +412,31 @@ def crosstab_margins(spark, d):
                               """ct AS (SELECT count_if(pred = labels AND pred_b <> labels) AS b, count_if(pred <> labels AND pred_b = labels) AS c FROM pr)""",
                               body="""SELECT CAST(b AS BIGINT) AS ci, CAST(c AS BIGINT) AS ic, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * (
   SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) + (b + c) * ln(0.5)))
-  FROM range(0, CAST(least(b, c) + 1 AS BIGINT)) r(k))) END AS p_exact FROM ct"""), doubles=["p_exact"])
+  FROM range(0, CAST(least(b, c) + 1 AS BIGINT)) r(k))) END AS p_exact,
+  CASE WHEN b + c = 0 THEN 0.0 ELSE least(0.0, (ln(2) + mx + ln((SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) + (b + c) * ln(0.5) - mx))
+  FROM range(0, CAST(least(b, c) + 1 AS BIGINT)) r(k)))) / ln(10)) END AS log10_p_exact
+FROM (SELECT *, lgamma(b + c + 1) - lgamma(least(b, c) + 1) - lgamma(greatest(b, c) + 1) + (b + c) * ln(0.5) AS mx FROM ct) t"""), doubles=["p_exact", "log10_p_exact"])
 def mcnemar_exact(spark, d):
     """Exact McNemar test on the two classifiers' disagreements."""
     t = M.mcnemar(M.contingency(_two_preds(spark, d), "labels", "pred", "pred_b"))
-    return t.select("ci", "ic", "p_exact")
+    return t.select("ci", "ic", "p_exact", "log10_p_exact")
 
 
 @query("mcnemar_chi2", sql=W(TB.LABELLED_SQL, f"pr AS (SELECT doc_id, labels, {_PAR_T[0]} AS pred, {_FL_T[0]} AS pred_b FROM labelled)",
                              """ct AS (SELECT count_if(pred = labels AND pred_b <> labels) AS b, count_if(pred <> labels AND pred_b = labels) AS c FROM pr)""",
                              body="""SELECT CAST(b AS BIGINT) AS ci, CAST(c AS BIGINT) AS ic,
   CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) END AS chi2,
+  -- erfc(sqrt(chi2 / 2)) by the positive series of erf
+  1 - 2 / sqrt(pi()) * exp(-chi2_half) * sqrt(chi2_half) * (SELECT sum(exp(j * ln(2 * greatest(chi2_half, 1e-300)) - (lgamma(2 * j + 2) - lgamma(j + 1) - j * ln(2))))
+    FROM range(0, 400) s(j)) AS p_chi2,
   (CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) END) > 3.841458820694124 AS significant_05,
-  (CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) END) > 6.634896601021214 AS significant_01 FROM ct"""),
-       doubles=["chi2"])
+  (CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) END) > 6.634896601021214 AS significant_01
+FROM (SELECT *, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) / 2 END AS chi2_half FROM ct) t"""),
+       doubles=["chi2", "p_chi2"])
 def mcnemar_chi2(spark, d):
     """Continuity-corrected chi-square McNemar statistic with .05/.01 significance flags."""
     t = M.mcnemar(M.contingency(_two_preds(spark, d), "labels", "pred", "pred_b"))
-    return t.select("ci", "ic", "chi2", "significant_05", "significant_01")
+    return t.select("ci", "ic", "chi2", "p_chi2", "significant_05", "significant_01")
 
 
 _CORR_BASE = with_match(f"""sb AS (SELECT m.idx, {sent_bleu_sql(WEIGHTS[''])} AS s, {ntok_sql('k.counterfactual')} AS counter_size
@@ -790,9 +798,16 @@ def mlm_mask(spark, d):
 
 @query("feature_cache", sql=_BLOCKS_SQL + "SELECT block_id, array_to_string(ids, ' ') AS ids FROM blocks")
 def feature_cache(spark, d):
-    """Packed blocks written once under a key path and read back from the cache."""
-    path = scratch_path(spark, f"features-b{BLOCK}")
-    cached = IO.cached_features(spark, path, lambda: _blocks(spark, d)[0])
+    """Packed blocks built once, then served from the cache (the second call must not build)."""
+    path = scratch_path(spark, "features")
+    params = {"block": BLOCK, "tokenizer": "words"}
+
+    def no_build():
+        raise AssertionError("the cache was not hit")
+
+    IO.cached_features(spark, path, lambda: _blocks(spark, d)[0].limit(0), params=params)  # an older content
+    IO.cached_features(spark, path, lambda: _blocks(spark, d)[0], overwrite_cache=True, params=params)
+    cached = IO.cached_features(spark, path, no_build, params=params)
     return cached.select("block_id", F.array_join("ids", " ").alias("ids"))
 
 
@@ -990,42 +1005,111 @@ def generation_sweep(spark, d):
     return NG.corpus_bleu_by_idx(m, idx_col="idx", weights_by_name={"corpus_bleu": NG.UNIFORM_WEIGHTS}).withColumnRenamed("idx", "setting_id")
 
 
-def _train_test(spark, d):
+def _train_val_test(spark, d):
+    """Hash splits, the same on any cluster: a quarter is test, a fifth of the rest validation."""
     lt = TB.labelled_text(spark, d).select("doc_id", "text", "labels")
     sp = S.train_val_split(lt, "doc_id", 2023, 0.25)
-    return sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val")
+    rest = S.train_val_split(sp.filter(F.col("split") == "train").drop("split"), "doc_id", "2023/sel", 0.2)
+    pick = lambda name: rest.filter(F.col("split") == name).drop("split")
+    return pick("train"), pick("val"), sp.filter(F.col("split") == "val").drop("split")
+
+
+def _hash_split_sql(src: str, seed, frac: float, out: str) -> str:
+    return (f"{out} AS (SELECT * EXCLUDE (r, n), r < round_even(n * {frac}, 0) AS held FROM (SELECT *, {_rank_sql(seed, 'doc_id', src)} "
+            f"FROM {src}) t)")
+
+
+def _bayes_sql(train: str, texts: str, settings: list[dict], tag: str) -> list[str]:
+    """CTEs of the naive Bayes model ``{tag}``: predictions (doc_id, setting, pred) in ``{tag}_p``."""
+    st = ", ".join(f"({s['setting']}, CAST({s['alpha']!r} AS DOUBLE), {s['prior']})" for s in settings)
+    return [
+        f"{tag}_w AS (SELECT token, label, count(*) AS c FROM (SELECT labels AS label, unnest({tokens_sql('text')}) AS token FROM {train}) t GROUP BY ALL)",
+        f"{tag}_c AS (SELECT label, tokens, docs, (SELECT count(*) FROM {train}) AS all_docs, (SELECT count(DISTINCT token) FROM {tag}_w) AS v FROM "
+        f"(SELECT label, sum(c) AS tokens FROM {tag}_w GROUP BY label) a JOIN (SELECT labels AS label, count(*) AS docs FROM {train} GROUP BY labels) b USING (label))",
+        f"{tag}_s AS (SELECT * FROM (VALUES {st}) t(setting, alpha, prior))",
+        f"{tag}_n AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM {texts}) t GROUP BY ALL)",
+        f"{tag}_k AS (SELECT doc_id, label, setting, sum(n * ln((c + alpha) / alpha)) AS g FROM {tag}_n JOIN {tag}_w USING (token) CROSS JOIN {tag}_s GROUP BY ALL)",
+        f"{tag}_l AS (SELECT d.doc_id, s.setting, c.label, CASE WHEN prior THEN ln(docs / all_docs) ELSE 0.0 END "
+        f"+ len({tokens_sql('d.text')}) * ln(alpha / (tokens + alpha * v)) + coalesce(g, 0.0) AS score "
+        f"FROM {texts} d CROSS JOIN {tag}_c c CROSS JOIN {tag}_s s LEFT JOIN {tag}_k k ON k.doc_id = d.doc_id AND k.label = c.label AND k.setting = s.setting)",
+        f"{tag}_p AS (SELECT doc_id, setting, arg_max(label, score) AS pred FROM {tag}_l GROUP BY doc_id, setting)",
+    ]
+
+
+_GRID = BY.settings_grid([0.01, 0.1, 1.0, 10.0], [True, False])
+_RANDOM = BY.random_settings(_GRID, 3, 7)
+_SPLIT_SQL = [TB.LABELLED_SQL, _hash_split_sql("labelled", 2023, 0.25, "sp1"), "rest AS (SELECT * EXCLUDE (held) FROM sp1 WHERE NOT held)",
+              _hash_split_sql("rest", "2023/sel", 0.2, "sp2"), "tr AS (SELECT * FROM sp2 WHERE NOT held)", "va AS (SELECT * FROM sp2 WHERE held)",
+              "te AS (SELECT * FROM sp1 WHERE held)"]
+
+
+def _sweep_ctes(settings) -> list[str]:
+    return [*_SPLIT_SQL, *_bayes_sql("tr", "va", settings, "m"), """acc AS (SELECT setting, avg(CAST(pred = labels AS DOUBLE)) AS accuracy
+  FROM m_p JOIN va USING (doc_id) GROUP BY setting)""", "top AS (SELECT setting FROM acc ORDER BY accuracy DESC, setting LIMIT 1)"]
+
+
+def _sweep_body() -> str:
+    return "SELECT CAST(setting AS BIGINT) AS setting, alpha, prior, accuracy, setting = (SELECT setting FROM top) AS best FROM m_s JOIN acc USING (setting)"
+
 
+_BEST_SQL = W(*_sweep_ctes(_GRID), *_bayes_sql("tr", "te", _GRID, "t"),
+              "bp AS (SELECT doc_id, labels, pred, setting FROM t_p JOIN te USING (doc_id) WHERE setting = (SELECT setting FROM top))", body="")
 
-@query("train_classifier")
+
+@query("train_classifier", sql=_BEST_SQL + """SELECT CAST(any_value(setting) AS BIGINT) AS setting, avg(CAST(pred = labels AS DOUBLE)) AS accuracy,
+  coalesce(sum(CAST(pred = 1 AND labels = 1 AS INT)) / nullif(sum(CAST(pred = 1 AS INT)), 0), 0.0) AS precision,
+  coalesce(sum(CAST(pred = 1 AND labels = 1 AS INT)) / nullif(sum(CAST(labels = 1 AS INT)), 0), 0.0) AS recall,
+  coalesce(2.0 * sum(CAST(pred = 1 AND labels = 1 AS INT)) / nullif(sum(CAST(pred = 1 AS INT)) + sum(CAST(labels = 1 AS INT)), 0), 0.0) AS f1 FROM bp""",
+       doubles=["accuracy", "precision", "recall", "f1"])
 def train_classifier(spark, d):
-    """M4: MLlib text classifier (tokenise, TF-IDF, logistic regression) and its test metrics."""
-    train, test = _train_test(spark, d)
-    model = MD.train_classifier(train)
-    return M.binary_prf(MD.predict(model, test), "labels", "pred")
+    """M4: text classifiers of several settings, the best by validation accuracy, its test metrics."""
+    train, val, test = _train_val_test(spark, d)
+    p = BY.best_predictions(train, val, test, _GRID, "doc_id").join(test.select("doc_id", "labels"), "doc_id")
+    return M.binary_prf(p, "labels", "pred", by=["setting"])
 
 
-@query("sweep_classifier")
+@query("sweep_classifier", sql=W(*_sweep_ctes(_GRID), body=_sweep_body()), doubles=["accuracy"])
 def sweep_classifier(spark, d):
-    """M5: grid sweep over regularisation and iterations, best validation accuracy."""
-    train, _ = _train_test(spark, d)
-    tvs, maps = MD.sweep_classifier(train, {"regParam": [0.0, 0.1], "maxIter": [10, 30]})
-    rows = [(i, float(m)) for i, m in enumerate(tvs.validationMetrics)]
-    return spark.createDataFrame(rows, "setting long, accuracy double")
+    """M5: grid sweep over smoothing and prior, validation accuracy of each setting, the best marked."""
+    train, val, _ = _train_val_test(spark, d)
+    return BY.sweep(train, val, _GRID, "doc_id")
+
+
+@query("sweep_classifier_random", sql=W(*_sweep_ctes(_RANDOM), body=_sweep_body()), doubles=["accuracy"])
+def sweep_classifier_random(spark, d):
+    """M5: random search, three settings of the grid drawn by seed."""
+    train, val, _ = _train_val_test(spark, d)
+    return BY.sweep(train, val, _RANDOM, "doc_id")
+
 
+@query("train_classifier_mllib")
+def train_classifier_mllib(spark, d):
+    """M4: MLlib text classifier (tokenise, TF-IDF, logistic regression) and its test metrics."""
+    train, _, test = _train_val_test(spark, d)
+    return M.binary_prf(MD.predict(MD.train_classifier(train), test), "labels", "pred")
+
+
+_CAT_TRAIN = """ct_tr AS (SELECT text, labels FROM tr WHERE text IS NOT NULL UNION ALL SELECT c.generated AS text, p.label_counter AS labels
+  FROM cands c JOIN pairs p ON c.paired_id = p.paired_id WHERE c.idx = 0 AND c.generated IS NOT NULL)"""
+_ONE = BY.settings_grid([1.0])
 
-@query("cat_vs_origin")
+
+@query("cat_vs_origin", sql=W(*_SPLIT_SQL, TB.PAIRS_SQL(), _CAT_TRAIN, *_bayes_sql("tr", "te", _ONE, "a"), *_bayes_sql("ct_tr", "te", _ONE, "b"),
+                              "bo AS (SELECT doc_id, labels, a_p.pred AS pa, b_p.pred AS pb FROM te JOIN a_p USING (doc_id) JOIN b_p USING (doc_id))",
+                              body="""SELECT cc, ci, ic, ii, CASE WHEN ci + ic > 0 THEN pow(abs(ci - ic) - 1, 2) / (ci + ic) END AS chi2 FROM (SELECT
+  CAST(count_if(pa = labels AND pb = labels) AS BIGINT) AS cc, CAST(count_if(pa = labels AND pb <> labels) AS BIGINT) AS ci,
+  CAST(count_if(pa <> labels AND pb = labels) AS BIGINT) AS ic, CAST(count_if(pa <> labels AND pb <> labels) AS BIGINT) AS ii FROM bo) t"""),
+       doubles=["chi2"])
 def cat_vs_origin(spark, d):
     """M7: classifier on originals vs on originals + counterfactuals, same test set, McNemar."""
-    train, test = _train_test(spark, d)
+    train, _, test = _train_val_test(spark, d)
     pairs, cands = TB.conversation_pairs(spark, d)
     gen = cands.filter(F.col("idx") == 0).join(pairs.select("paired_id", "label_counter"), "paired_id")
     cat = C.cat_assemble(train, gen).na.drop(subset=["text", "labels"])
-    m0 = MD.train_classifier(train)
-    m1 = MD.train_classifier(cat)
-    a = MD.predict(m0, test).select("doc_id", "labels", "pred")
-    b = MD.predict(m1, test).select("doc_id", F.col("pred").alias("pred_b"))
-    both = a.join(b, "doc_id")
-    return M.mcnemar(M.contingency(both, "labels", "pred", "pred_b")).drop("p_chi2")
+    a = BY.predict(BY.train_counts(train), test, _ONE, "doc_id").select("doc_id", "pred")
+    b = BY.predict(BY.train_counts(cat), test, _ONE, "doc_id").select("doc_id", F.col("pred").alias("pred_b"))
+    both = test.select("doc_id", "labels").join(a, "doc_id").join(b, "doc_id")
+    return M.mcnemar(M.contingency(both, "labels", "pred", "pred_b")).select("cc", "ci", "ic", "ii", "chi2")
 
 
 # --- streaming: incremental per-file evaluation ---------------------------------------------------
@@ -1044,17 +1128,17 @@ _STREAM_SQL = W(TB.PAIRS_SQL(), f"""rs AS (SELECT 'gpt2@prompt-' || CAST(c.idx +
 @query("streaming_runs_report", sql=_STREAM_SQL, doubles=["label_flip", "confidence", "avg_len_seed", "avg_len_counter"])
 def streaming_runs_report(spark, d):
     """S6/T8 incrementally: candidate files land in a folder, a file-source stream reports each."""
-    from flipframe.streaming.runs import evaluate_folder
+    from flipframe.streaming.runs import evaluate_folder, read_report
 
     pairs, cands = TB.conversation_pairs(spark, d)
     runs = (cands.join(pairs.select("paired_id", "example", "label_counter"), "paired_id")
             .withColumn("run", F.concat(F.lit("gpt2@prompt-"), (F.col("idx") + 1).cast("string"), F.lit("@fold-0")))
             .select("paired_id", "example", "label_counter", "generated", "run"))
     folder, sink, ckpt = (scratch_path(spark, x) for x in ("landing", "report", "stream-ckpt"))
-    # one file per run, as a generator writes it
-    (runs.repartition("run").write.mode("overwrite").partitionBy("run").option("sep", "\t").option("header", "true")
+    # several files per run, as parallel generators write them, read over several triggers
+    (runs.repartition(24, "paired_id").write.mode("overwrite").partitionBy("run").option("sep", "\t").option("header", "true")
      .option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", '""').csv(folder))
-    q = evaluate_folder(spark, folder, sink, ckpt, available_now=True)
+    q = evaluate_folder(spark, folder, sink, ckpt, available_now=True, max_files_per_trigger=40)
     q.awaitTermination()
-    return IO.read_metrics(spark, sink).select("run", "prompt", "fold", "n_removed", "label_flip", "confidence",
+    return read_report(spark, sink).select("run", "prompt", "fold", "n_removed", "label_flip", "confidence",
                                                "avg_len_seed", "avg_len_counter")

@@ -128,14 +128,37 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     return out
 
 
+def augmentation_sums(runs: DataFrame, run_col: str = "run", scorer=parity_scorer, text_col: str = "generated",
+                      target_col: str = "label_counter", seed_col: str = "example") -> DataFrame:
+    """Per run the sums and counts behind :func:`augmentation_report`; they add up over any cut of
+    the rows into batches."""
+    label, score = scorer(F.col(text_col))
+    present = F.col(text_col).isNotNull()
+
+    def total(value) -> F.Column:
+        return F.coalesce(F.sum(F.when(present, value.cast("double"))), F.lit(0.0))
+
+    return runs.groupBy(run_col).agg(
+        F.count_if(~present).alias("n_removed"), F.count_if(present).alias("n_present"),
+        F.count_if(present & F.col(target_col).isNotNull()).alias("n_target"),
+        F.count_if(present & (label == F.col(target_col))).alias("n_flipped"),
+        total(score).alias("sum_confidence"),
+        total(space_word_count(seed_col)).alias("sum_len_seed"), F.count_if(present & F.col(seed_col).isNotNull()).alias("n_seed"),
+        total(space_word_count(text_col)).alias("sum_len_counter"))
+
+
+def report_from_sums(sums: DataFrame, run_col: str = "run") -> DataFrame:
+    """One report row per run from partial sums, however many partial rows a run has."""
+    def mean(total: str, n: str) -> F.Column:
+        return F.try_divide(F.sum(total).cast("double"), F.sum(n).cast("double"))
+
+    return sums.groupBy(run_col).agg(
+        F.sum("n_removed").alias("n_removed"), mean("n_flipped", "n_target").alias("label_flip"),
+        mean("sum_confidence", "n_present").alias("confidence"), mean("sum_len_seed", "n_seed").alias("avg_len_seed"),
+        mean("sum_len_counter", "n_present").alias("avg_len_counter"))
+
+
 def augmentation_report(runs: DataFrame, run_col: str = "run", scorer=parity_scorer, text_col: str = "generated",
                         target_col: str = "label_counter", seed_col: str = "example") -> DataFrame:
     """Per run: null rows removed, label flip, mean confidence, mean words of seed and candidate."""
-    label, score = scorer(F.col(text_col))
-    present = F.col(text_col).isNotNull()
-    return (runs.groupBy(run_col).agg(
-        F.count_if(~present).alias("n_removed"),
-        F.avg(F.when(present, (label == F.col(target_col)).cast("double"))).alias("label_flip"),
-        F.avg(F.when(present, score)).alias("confidence"),
-        F.avg(F.when(present, space_word_count(seed_col).cast("double"))).alias("avg_len_seed"),
-        F.avg(F.when(present, space_word_count(text_col).cast("double"))).alias("avg_len_counter")))
+    return report_from_sums(augmentation_sums(runs, run_col, scorer, text_col, target_col, seed_col), run_col)

@@ -3,8 +3,8 @@
 | role                       | built from |
 | labelled text              | documents JOIN labels (labels = quality) |
 | paired source, 2 rows/id   | documents: paired_id = doc_id div 2, sentiment = doc_id % 2 |
-| pair table + N candidates  | conversations: first user turn = example, next assistant turn =
-|                            | counterfactual, the N turns after it = candidates 0..N-1 |
+| pair table + N candidates  | conversations: each user turn = example, the assistant turn after
+|                            | it = counterfactual, the N turns after that = candidates 0..N-1 |
 | NLI original / revised     | documents (premise = lang:source, hypothesis = text, label by doc_id),
 |                            | revised premise rows from documents + benchmark, revised hypotheses
 |                            | from documents |
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flipframe.session import scratch_table
+
 N_CANDIDATES = 3
 # fixed value: NLI label names by class id
 NLI_LABELS = ["entailment", "neutral", "contradiction"]
@@ -58,47 +60,46 @@ PAIRED_SQL = """paired_src AS (
 
 
 # --- pair table and candidates from conversations ---------------------------------------------
+TURNS = 1 << 20  # paired_id = conv_id * TURNS + turn of the user text
+
+
 def conversation_pairs(spark: SparkSession, sf_dir: str, n: int = N_CANDIDATES) -> tuple[DataFrame, DataFrame]:
-    """(pairs, candidates_long).
+    """(pairs, candidates_long), both written once to the shared scratch folder.
+
+    Every exchange is a pair: a user turn (example) and the assistant turn right after it
+    (counterfactual); the ``n`` turns after that are its candidates.
 
     pairs: paired_id, example, label_ex, counterfactual, label_counter, cf_turn
     candidates_long: paired_id, idx, generated -- one row per idx 0..n-1 (null when missing)
     """
-    # keyed by conversation throughout; no explicit repartition: a conversation holding a large
-    # share of all turns is reduced by partial aggregation and split by AQE's skew-join handling
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    users = (conv.filter(F.col("role") == "user").groupBy("conv_id")
-             .agg(F.min("turn").alias("u_turn"), F.min_by("text", "turn").alias("example")))
-    after = (conv.filter(F.col("role") == "assistant").join(users.select("conv_id", "u_turn"), "conv_id")
-             .filter(F.col("turn") > F.col("u_turn"))
-             .groupBy("conv_id").agg(F.min("turn").alias("cf_turn"), F.min_by("text", "turn").alias("counterfactual")))
-    pairs = users.join(after, "conv_id").select(
-        F.col("conv_id").alias("paired_id"), "example", (F.col("conv_id") % 2).cast("int").alias("label_ex"),
-        "counterfactual", (1 - F.col("conv_id") % 2).cast("int").alias("label_counter"), "cf_turn")
-    slots = pairs.select("paired_id", "cf_turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
-    later = conv.select(F.col("conv_id").alias("paired_id"), "turn", F.col("text").alias("generated"))
-    cands = (slots.withColumn("turn", F.col("cf_turn") + 1 + F.col("idx"))
-             .join(later, on=["paired_id", "turn"], how="left")
-             .select("paired_id", F.col("idx").cast("int").alias("idx"), "generated"))
+    # every join is keyed by (conversation, turn), so a conversation with a large share of all
+    # turns is spread like any other rows
+    user = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("example"))
+    reply = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("counterfactual"))
+    pairs = scratch_table(user.join(reply, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("paired_id"), "example", (F.col("conv_id") % 2).cast("int").alias("label_ex"),
+        "counterfactual", (1 - F.col("conv_id") % 2).cast("int").alias("label_counter"), (F.col("turn") + 1).alias("cf_turn")), "pairs")
+    conv_id = ((F.col("paired_id") - (F.col("cf_turn") - 1)) / TURNS).cast("long")
+    slots = pairs.select("paired_id", conv_id.alias("conv_id"), "cf_turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+    later = conv.select("conv_id", "turn", F.col("text").alias("generated"))
+    cands = scratch_table(slots.withColumn("turn", F.col("cf_turn") + 1 + F.col("idx"))
+                          .join(later, on=["conv_id", "turn"], how="left")
+                          .select("paired_id", F.col("idx").cast("int").alias("idx"), "generated"), "candidates")
     return pairs, cands
 
 
 def PAIRS_SQL(n: int = N_CANDIDATES) -> str:
-    return f"""users AS (
-  SELECT conv_id, min(turn) AS u_turn, arg_min(text, turn) AS example
-  FROM conversations WHERE role = 'user' GROUP BY conv_id),
-asst AS (
-  SELECT c.conv_id, min(c.turn) AS cf_turn, arg_min(c.text, c.turn) AS counterfactual
-  FROM conversations c JOIN users u ON c.conv_id = u.conv_id
-  WHERE c.role = 'assistant' AND c.turn > u.u_turn GROUP BY c.conv_id),
-pairs AS (
-  SELECT u.conv_id AS paired_id, u.example, CAST(u.conv_id % 2 AS INTEGER) AS label_ex, a.counterfactual,
-         CAST(1 - u.conv_id % 2 AS INTEGER) AS label_counter, a.cf_turn
-  FROM users u JOIN asst a ON u.conv_id = a.conv_id),
+    return f"""pairs AS (
+  SELECT u.conv_id * {TURNS} + u.turn AS paired_id, u.text AS example, CAST(u.conv_id % 2 AS INTEGER) AS label_ex,
+         a.text AS counterfactual, CAST(1 - u.conv_id % 2 AS INTEGER) AS label_counter, a.turn AS cf_turn, u.conv_id
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
 cands AS (
   SELECT p.paired_id, CAST(s.idx AS BIGINT) AS idx, c.text AS generated
   FROM pairs p CROSS JOIN range(0, {n}) s(idx)
-  LEFT JOIN conversations c ON c.conv_id = p.paired_id AND c.turn = p.cf_turn + 1 + s.idx)"""
+  LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.cf_turn + 1 + s.idx)"""
 
 
 # --- NLI roles ---------------------------------------------------------------------------------

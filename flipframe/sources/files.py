@@ -8,6 +8,8 @@ predicate pushdown and column pruning apply.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,9 +66,18 @@ def read_lines(spark: SparkSession, path, col: str = "text") -> DataFrame:
 
 
 def read_text_corpus(spark: SparkSession, path) -> DataFrame:
-    """Raw text lines with a stable (file, byte-order) line id: ``line_id`` orders the stream."""
-    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return df.withColumn("line_id", F.monotonically_increasing_id()).withColumnRenamed("value", "text")
+    """Raw text lines with their place in the stream: ``line_id`` is 0..n-1 in (file path, byte)
+    order, however the reader packs file splits into tasks.
+
+    Inside a split the reader keeps the file's order, so (file, split start, order in the task)
+    is the stream order; its global position comes from range partitions and their counts.
+    """
+    from flipframe.operators.positions import global_position
+
+    df = spark.read.text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"))
+    return global_position(df, ["file", "_start", "_nth"], "line_id").drop("_start", "_nth")
 
 
 def read_folder_labelled(spark: SparkSession, root: str) -> DataFrame:
@@ -112,6 +123,7 @@ def append_metrics(row: DataFrame, path: str, run: str, tags: dict | None = None
 
     Each run owns the folder ``run=<name>`` and rewrites it whole, so re-running (or retrying) a
     run replaces its rows instead of appending duplicates; other runs are untouched.
+    :func:`read_metrics` gives ``run`` back as text.
     """
     value_cols = [f.name for f in row.schema.fields if f.dataType.simpleString() in ("double", "float", "int", "bigint")]
     long = row.select(*[F.col(c).cast("double").alias(c) for c in value_cols]).unpivot(
@@ -121,18 +133,22 @@ def append_metrics(row: DataFrame, path: str, run: str, tags: dict | None = None
     long.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}")
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_metrics(spark: SparkSession, path: str, tags: Sequence[str] = ()) -> DataFrame:
+    """The metrics table; the schema is stated, so a run called ``2023`` stays text."""
+    schema = ", ".join(["metric string", "value double", *[f"`{t}` string" for t in tags], "run string"])
+    return spark.read.schema(schema).parquet(path)
 
 
-def cached_features(spark: SparkSession, path: str, build, overwrite_cache: bool = False) -> DataFrame:
-    """Feature cache keyed by its path: build and write once, read afterwards (any Hadoop file system)."""
-    from pyspark.errors import AnalysisException
+def cached_features(spark: SparkSession, path: str, build, overwrite_cache: bool = False, params: dict | None = None) -> DataFrame:
+    """Feature cache: build and write once, read afterwards (any Hadoop file system).
 
-    if not overwrite_cache:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    The folder below ``path`` is named by a digest of ``params``, so other parameters never meet
+    these features, and counts as a cache only with the commit marker ``_SUCCESS`` that Spark
+    writes last: what a failed job left behind is overwritten.
+    """
+    digest = hashlib.sha256(json.dumps(params or {}, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    folder = f"{path.rstrip('/')}/{digest}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if overwrite_cache or not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        build().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)

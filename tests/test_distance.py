@@ -67,3 +67,45 @@ def test_flat_tree_distance_closed_forms():
         assert D.tree_edit_distance(D.parse_bracketed(flat(a)), D.parse_bracketed(flat(b))) == wlev(a, b)
         pad = 3 if not a else 2 * len(a) + (0 if "." in a else 1)
         assert D.tree_edit_distance(D.parse_bracketed(flat(a)), D.parse_bracketed(D.PAD_TREE)) == pad
+
+
+def _plain_tree_distance(a, b):
+    """Forest recursion straight from the definition, for small trees."""
+    from functools import cache
+
+    @cache
+    def size(f):
+        return sum(1 + size(kids) for _, kids in f)
+
+    @cache
+    def dist(f, g):
+        if not f or not g:
+            return size(f) + size(g)
+        (x, fx), (y, gy) = f[-1], g[-1]
+        return min(dist(f[:-1] + fx, g) + 1, dist(f, g[:-1] + gy) + 1, dist(f[:-1], g[:-1]) + dist(fx, gy) + (x != y))
+
+    def frozen(t):
+        return (t[0], tuple(frozen(k) for k in t[1]))
+
+    return dist((frozen(a),), (frozen(b),))
+
+
+def test_nested_trees_equal_the_definition():
+    import random
+
+    rnd = random.Random(9)
+
+    def tree(depth):
+        return (rnd.choice("abc"), [tree(depth - 1) for _ in range(rnd.randint(0, 3))] if depth else [])
+
+    for _ in range(400):
+        a, b = tree(3), tree(3)
+        assert D.tree_edit_distance(a, b) == _plain_tree_distance(a, b), (a, b)
+
+
+def test_deep_and_wide_trees():
+    deep = "(a " * 3000 + "x" + ")" * 3000
+    assert D.tree_edit_distance(D.parse_bracketed(deep), D.parse_bracketed("(a x)")) == 2999
+    wide = D.parse_bracketed("(S " + " ".join(f"w{i}" for i in range(4000)) + ")")
+    other = D.parse_bracketed("(S " + " ".join(f"w{i}" for i in range(1, 4001)) + ")")
+    assert D.tree_edit_distance(wide, other) == 2

@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from flipframe.streaming.runs import evaluate_folder
+from flipframe.streaming.runs import evaluate_folder, read_report
 
 
 def _land(spark, folder, run, rows):
@@ -16,12 +16,30 @@ def test_stream_reports_each_file_once_and_resumes(spark):
     _land(spark, folder, "gpt2@prompt-1@fold-0", [(1, "a b", 1, "x y z"), (2, "c", 0, None)])
     _land(spark, folder, "gpt2@prompt-2@fold-1", [(1, "a b", 1, "x")])
     evaluate_folder(spark, folder, sink, ckpt).awaitTermination()
-    first = {r.run: r for r in spark.read.parquet(sink).collect()}
+    first = {r.run: r for r in read_report(spark, sink).collect()}
     assert set(first) == {"gpt2@prompt-1@fold-0", "gpt2@prompt-2@fold-1"}
     r = first["gpt2@prompt-1@fold-0"]
     assert (r.n_removed, r.avg_len_seed, r.avg_len_counter, r.prompt, r.fold) == (1, 2.0, 3.0, "1", "0")
 
     _land(spark, folder, "baseline", [(3, "d e f", 0, "g")])
     evaluate_folder(spark, folder, sink, ckpt).awaitTermination()
-    runs = [r.run for r in spark.read.parquet(sink).collect()]
+    runs = [r.run for r in read_report(spark, sink).collect()]
     assert sorted(runs) == ["baseline", "gpt2@prompt-1@fold-0", "gpt2@prompt-2@fold-1"]
+
+
+def test_run_of_many_files_gives_one_exact_row(spark):
+    base = tempfile.mkdtemp(prefix="ff-stream-")
+    folder, sink, ckpt = (os.path.join(base, x) for x in ("landing", "report", "ckpt"))
+    rows = [(i, "a b", i % 2, None if i % 10 == 9 else " ".join("x" * (1 + i % 3))) for i in range(140)]
+    df = spark.createDataFrame(rows, "paired_id long, example string, label_counter int, generated string")
+    (df.repartitionByRange(70, "paired_id").write.option("sep", "\t").option("header", "true").option("quote", '"')
+     .option("escape", '"').csv(os.path.join(folder, "run=big")))
+    evaluate_folder(spark, folder, sink, ckpt, max_files_per_trigger=16).awaitTermination()
+    assert len(os.listdir(sink)) > 1
+    from flipframe.plans.suite import augmentation_report
+    from pyspark.sql import functions as F
+
+    want = augmentation_report(df.withColumn("run", F.lit("big"))).first()
+    got = read_report(spark, sink).collect()
+    assert len(got) == 1
+    assert all(abs(got[0][c] - want[c]) < 1e-12 for c in ("n_removed", "label_flip", "confidence", "avg_len_seed", "avg_len_counter"))

@@ -67,3 +67,16 @@ def test_run_name_parse(spark):
     df = spark.createDataFrame([("gpt2@prompt-1@fold-0",), ("plain",)], "n string")
     p, f = IO.parse_run_name("n")
     assert [tuple(r) for r in df.select(p, f).collect()] == [("1", "0"), ("None", "0")]
+
+
+def test_entities_decode_like_the_standard_library(spark):
+    import html
+
+    from flipframe.functions.text import decode_entities
+
+    cases = ["", "no reference", "&", "&&", "& &amp", "&amp;lt;", "&lt;b&gt; &quot;x&quot; &#39;&apos;", "&copy; &middot;&hellip;&NotEqualTilde;&fjlig;", "&copy2020 &ampx &notit;",
+             "&#233;&#xE9;&#XE9 &#x1F600;&#128;&#x9f;&#0;&#xD800;&#x110000;&#99999999999999999999;", "&am &quo &unknown; &nbsp;|", "a&lt", "&#;&#x;&#xZ;", "&&lt;&"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(99, None)], "i long, c string")
+    got = {r.i: r.d for r in df.select("i", decode_entities("c").alias("d")).collect()}
+    assert got.pop(99) is None
+    assert got == {i: html.unescape(c) for i, c in enumerate(cases)}
