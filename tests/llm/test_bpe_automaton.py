@@ -1,4 +1,5 @@
 import hashlib
+import struct
 
 import pytest
 from helpers import AWKWARD, docs_of, sf
@@ -57,9 +58,10 @@ def test_portions_of_long_texts(monkeypatch, library):
 
 
 def test_lexicon_holds_exactly_its_words(tmp_path):
-    words = {w.encode(): tuple(range(k, k + k % 4 + 1)) for k, w in enumerate("the then there here he her hers a an and band hand é ez".split())}
+    ids = {w.encode(): tuple(range(k, k + k % 4 + 1)) for k, w in enumerate("the then there here he her hers a an and band hand é ez".split())}
     path = tmp_path / "lex"
-    path.write_bytes(B.compile_lexicon(words.items()))
+    words = {w: B.pack(x) for w, x in ids.items()}
+    path.write_bytes(B.compile_lexicon(ids.items()))
     lex = B.Lexicon(str(path))
     assert {w: lex.get(w) for w in words} == words
     assert all(lex.get(x) is None for x in (b"", b"t", b"thenn", b"ban", b"zz", "è".encode()))
@@ -78,3 +80,17 @@ def test_word_counts_cover_all_texts(spark):
     d = docs_of(spark, ["a b a", "b b", None])
     got = {r.word: r.n for r in B.word_counts(d, PATH).collect()}
     assert got == {"a": 1, " b": 2, " a": 1, "b": 1}
+
+
+def test_words_merged_together_equal_the_library(library):
+    import random
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("aeinorst huéß") for _ in range(n)) for n in [*range(0, 30), 63, 64, 65, 200] for _ in range(20)]
+    bpe = B.Bpe.load(PATH)
+    got = bpe.merge_many([w.encode() for w in words])
+    assert got == [B.pack(bpe.merge(w.encode())) for w in words]
+    assert bpe.merge_many([]) == []
+    for w, x in zip(words, got):
+        if w and " " not in w:
+            assert list(struct.unpack(f"<{len(x) // 4}i", x)) == library.encode(w, add_special_tokens=False).ids
