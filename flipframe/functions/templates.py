@@ -32,6 +32,9 @@ SENTIMENT_GENERATION_PROMPTS = {
 }
 NLI_TEMPLATE = ("<bos_token>Label: <original_label>\n<sep>P: <P>\n<sep>H: <H>\n<sep>"
                 "Counterfactual Label: <counter_label>\n<sep><TC>: <counter_text><eos_token>")
+NLI_GENERATION_PROMPT = ("<bos_token>Label: <original_label>\n<sep>P: <P>\n<sep>H: <H>\n<sep>"
+                         "Counterfactual Label: <counter_label>\n<sep><TC>: ")
+# Template "3" lacks the "<" of its first placeholder, so that token is never substituted.
 # Generation length budget: twice the prompt tokens, at most 1024; minimum output length 5.
 LENGTH_BUDGET_FACTOR = 2
 LENGTH_BUDGET_MAX = 1024

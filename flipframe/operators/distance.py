@@ -143,87 +143,154 @@ def _postorder(tree):
     return labels, lmd, kids
 
 
-def tree_edit_distance(a, b) -> int:
-    """Zhang-Shasha distance with unit insert/remove and 0/1 relabel cost.
+SMALL_TREE = 8  # nodes up to which a subtree's distances are computed when needed, not stored
+CHUNK = 128  # small subtrees computed together
 
-    Where one of two subtrees is a leaf the distance has a closed form (keep one node, with the
-    leaf's label if the other subtree has it), so only pairs of inner key roots need a forest
-    table, and only distances of inner nodes are stored.  A table's row is computed as a vector
-    and kept while a later row still refers to it: memory grows with nodes x inner nodes, not with
-    the product of both sizes.
-    """
-    la, lla, ka = _postorder(a)
-    lb, llb, kb = _postorder(b)
-    code = {t: i for i, t in enumerate(dict.fromkeys([*la, *lb]))}
-    ca, cb = np.array([code[t] for t in la]), np.array([code[t] for t in lb])
-    lb_l = np.array(llb)
-    size_a, size_b = np.arange(len(la)) - np.array(lla) + 1, np.arange(len(lb)) - lb_l + 1
-    leaf_a, leaf_b = np.array(ka) == 0, np.array(kb) == 0
-    where_a: dict[int, np.ndarray] = {c: np.flatnonzero(ca == c) for c in set(ca.tolist())}
-    where_b: dict[int, np.ndarray] = {c: np.flatnonzero(cb == c) for c in set(cb.tolist())}
-    none = np.empty(0, np.int64)
-
-    def leaf_row(x: int, lj: int, j: int) -> np.ndarray:
-        """Distances of leaf x of a to the subtrees lj..j of b."""
-        ys = np.arange(lj, j + 1)
-        at = where_b.get(int(ca[x]), none)
-        has = np.searchsorted(at, ys, "right") > np.searchsorted(at, lb_l[lj : j + 1], "left")
-        return size_b[lj : j + 1] - has
-
-    inner: dict[int, np.ndarray] = {}  # inner node of a: distances to all subtrees of b
-    leaves_b = np.flatnonzero(leaf_b)
-    for x in np.flatnonzero(~leaf_a).tolist():
-        row = np.zeros(len(lb), np.int64)
-        # a leaf of b against subtree x: keep the node of x that has its label, if any
-        for c in set(cb[leaves_b].tolist()):
-            at = where_a.get(c, none)
-            has = bool(np.searchsorted(at, x, "right") > np.searchsorted(at, lla[x], "left"))
-            row[leaves_b[cb[leaves_b] == c]] = int(size_a[x]) - has
-        inner[x] = row
-    if leaf_a[-1] or leaf_b[-1]:
-        return int(leaf_row(len(la) - 1, 0, len(lb) - 1)[-1]) if leaf_a[-1] else int(inner[len(la) - 1][-1])
-
-    def roots(lmd: list[int], leaf: np.ndarray) -> list[int]:
+
+class _Tree:
+    def __init__(self, tree, code: dict[str, int]):
+        labels, lmd, kids = _postorder(tree)
+        self.code = np.array([code.setdefault(t, len(code)) for t in labels])
+        self.lmd, self.leaf = np.array(lmd), np.array(kids) == 0
+        self.size = np.arange(len(labels)) - self.lmd + 1
         last = {v: i for i, v in enumerate(lmd)}
-        return [i for i in sorted(last.values()) if not leaf[i]]
-
-    for i in roots(lla, leaf_a):
-        li = lla[i]
-        last_use: dict[int, int] = {}  # forest row -> last row that reads it
-        for x in range(li, i + 1):
-            last_use[lla[x] - li] = x - li + 1
-        for j in roots(llb, leaf_b):
-            lj = llb[j]
-            m = j - lj + 1
+        self.roots = [i for i in sorted(last.values()) if not self.leaf[i]]  # inner key roots
+
+    def shape(self, x: int) -> tuple:
+        return tuple((self.lmd[self.lmd[x] : x + 1] - self.lmd[x]).tolist())
+
+
+class _TreePair:
+    """Zhang-Shasha over vectors.
+
+    A row of distances runs over all subtrees of ``b``. Where a leaf is involved the distance has a
+    closed form: keep one node, with the leaf's label if the other subtree has it. Inner subtrees
+    of ``a`` up to SMALL_TREE nodes get their rows in chunks, just before a larger forest reads
+    them; rows are stored for larger ones only, so memory grows with their number, not with the
+    product of both sizes. Forest tables against all subtrees of ``b`` of one shape are filled
+    together, and keep a row only while a later one refers to it.
+    """
+
+    def __init__(self, a, b):
+        code: dict[str, int] = {}
+        self.a, self.b = _Tree(a, code), _Tree(b, code)
+        shapes: dict[tuple, list[int]] = {}
+        for j in self.b.roots:
+            shapes.setdefault(self.b.shape(j), []).append(j)
+        self.classes = []  # nested subtrees first
+        for shape, js in sorted(shapes.items(), key=lambda kv: len(kv[0])):
+            back, m = np.array(shape), len(shape)
+            ys = np.array(js)[:, None] - (m - 1) + np.arange(m)
+            whole = np.flatnonzero(back == 0)
+            self.classes.append((back, ys, whole, whole[~self.b.leaf[ys[0][whole]]]))
+
+    def leaf_rows(self, xs: np.ndarray) -> np.ndarray:
+        """Distances of leaves of a to all subtrees of b."""
+        met = np.cumsum(self.b.code[None, :] == self.a.code[xs][:, None], axis=1)
+        before = np.where(self.b.lmd > 0, met[:, self.b.lmd - 1], 0)
+        return self.b.size - (met > before)
+
+    def forest(self, li: np.ndarray, lmd: np.ndarray, row_of, on_path) -> None:
+        """Forest tables of equally shaped subtrees of a (first nodes ``li``, leftmost leaves ``lmd``
+        as offsets) against all of b; ``row_of(p)`` has the distances of the subtrees at offset p.
+        Distances of whole trees go to ``on_path(p)``, a row array or None."""
+        n, b = len(lmd), self.b
+        last_use = {int(v): r + 1 for r, v in enumerate(lmd)}
+        ended: dict[int, list[int]] = {}
+        for k, r in last_use.items():
+            ended.setdefault(r, []).append(k)
+        for back, ys, whole, fill in self.classes:
+            m = len(back)
             step = np.arange(m + 1)
-            whole = lb_l[lj : j + 1] == lj
-            back = lb_l[lj : j + 1] - lj
-            rows = {0: step.astype(np.int64)}
-            prev = rows[0]
-            for x in range(li, i + 1):
-                r = x - li + 1
-                tree = leaf_row(x, lj, j) if leaf_a[x] else inner[x][lj : j + 1]
-                best = prev[1:] + 1
-                if lla[x] == li:
-                    # both forests are whole trees: relabel; else the subtree distance found before
-                    relabel = prev[:-1] + (ca[x] != cb[lj : j + 1])
-                    other = rows[0][back] + tree
-                    best = np.minimum(best, np.where(whole, relabel, other))
-                else:
-                    best = np.minimum(best, rows[lla[x] - li][back] + tree)
-                row = np.empty(m + 1, np.int64)
-                row[0] = r
-                row[1:] = best
-                row = np.minimum.accumulate(row - step) + step
-                if lla[x] == li and not leaf_a[x]:
-                    fill = whole & ~leaf_b[lj : j + 1]
-                    inner[x][lj : j + 1][fill] = row[1:][fill]
-                for done in [k for k in rows if last_use.get(k, 0) <= r and k != r]:
-                    del rows[done]
-                if last_use.get(r, 0) > r:
-                    rows[r] = row
+            prev = np.broadcast_to(step, (len(li), len(ys), m + 1))
+            rows = {0: prev}
+            for p in range(n):
+                match = rows[int(lmd[p])][:, :, back] + row_of(p)[:, ys]
+                if lmd[p] == 0:  # where both forests are whole trees the roots are relabelled
+                    match[:, :, whole] = prev[:, :, whole] + (b.code[ys[:, whole]][None] != self.a.code[li + p][:, None, None])
+                row = np.empty((len(li), len(ys), m + 1), np.int64)
+                row[:, :, 0] = p + 1
+                np.minimum(prev[:, :, 1:] + 1, match, out=row[:, :, 1:])
+                row -= step
+                np.minimum.accumulate(row, axis=2, out=row)
+                row += step
+                if lmd[p] == 0 and (to := on_path(p)) is not None:
+                    to[:, ys[:, fill]] = row[:, :, fill + 1]
+                if last_use.get(p + 1, 0) > p + 1:
+                    rows[p + 1] = row
+                for k in ended.get(p + 1, ()):
+                    rows.pop(k, None)
                 prev = row
-    return int(inner[len(la) - 1][-1])
+
+    def against_leaves(self, xs: np.ndarray) -> np.ndarray:
+        """Rows for inner nodes of a with the closed form at the leaves of b, zero elsewhere."""
+        out = np.zeros((len(xs), len(self.b.code)), np.int64)
+        at = np.flatnonzero(self.b.leaf)
+        if len(xs) == 1:
+            x = int(xs[0])
+            out[0, at] = self.a.size[x] - np.isin(self.b.code[at], self.a.code[self.a.lmd[x] : x + 1])
+            return out
+        size = int(self.a.size[xs[0]])  # many subtrees are of equal shape
+        has = np.zeros((len(xs), len(at)), bool)
+        for k in range(size):
+            has |= self.b.code[at][None, :] == self.a.code[xs - k][:, None]
+        out[:, at] = size - has
+        return out
+
+    def small_rows(self, xs: np.ndarray) -> np.ndarray:
+        """Rows of equally shaped small inner subtrees, their own inner subtrees first."""
+        a, size = self.a, int(self.a.size[xs[0]])
+        first = xs - size + 1
+        rel = a.lmd[first[0] : xs[0] + 1] - first[0]
+        done: dict[int, np.ndarray] = {}
+        for p in range(size):
+            nodes = first + p
+            if a.leaf[nodes[0]]:
+                done[p] = self.leaf_rows(nodes)
+                continue
+            out = self.against_leaves(nodes)
+            begin, lmd = int(rel[p]), rel[rel[p] : p + 1] - rel[p]
+            self.forest(first + begin, lmd, lambda q: done[begin + q] if begin + q in done else out, lambda q: out if begin + q == p else None)
+            done[p] = out
+        return done[size - 1]
+
+    def distance(self) -> int:
+        a, b = self.a, self.b
+        top = len(a.code) - 1
+        if a.leaf[top]:
+            return int(self.leaf_rows(np.array([top]))[0, -1])
+        if a.size[top] <= SMALL_TREE:
+            return int(self.small_rows(np.array([top]))[0, -1])
+        small = np.flatnonzero(a.size <= SMALL_TREE)
+        large = np.flatnonzero(a.size > SMALL_TREE)
+        stored = {int(x): r[None].copy() for x in large.tolist() for r in self.against_leaves(np.array([x]))}
+        soon: dict[int, np.ndarray] = {}
+
+        def row_at(x: int) -> np.ndarray:
+            if x in stored:
+                return stored[x]
+            if x not in soon:
+                soon.clear()
+                at = int(np.searchsorted(small, x))
+                groups: dict[tuple, list[int]] = {}
+                for y in small[at : at + CHUNK].tolist():
+                    groups.setdefault(a.shape(y), []).append(y)
+                for shape, ys in groups.items():
+                    some = np.array(ys)
+                    for y, r in zip(ys, self.leaf_rows(some) if len(shape) == 1 else self.small_rows(some)):
+                        soon[y] = r[None]
+            return soon[x]
+
+        for i in a.roots:
+            if a.size[i] > SMALL_TREE:
+                li = int(a.lmd[i])
+                self.forest(np.array([li]), a.lmd[li : i + 1] - li, lambda p: row_at(li + p), lambda p: stored.get(li + p))
+        return int(stored[top][0, -1])
+
+
+def tree_edit_distance(a, b) -> int:
+    """Zhang-Shasha distance with unit insert/remove and 0/1 relabel cost (:class:`_TreePair`)."""
+    return _TreePair(a, b).distance()
 
 
 def _tree_pairs_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,14 +1,13 @@
 """BLEU family over n-gram count tables (corpus BLEU, BLEU@n, sentence BLEU, self-BLEU).
 
-Plan: every text is tokenised once; candidate and reference token rows are repartitioned by
-pair id (explicit count), then each text's 1..4-grams come from one ``explode`` of
-``arrays_zip`` over the token array and its shifted slices, joined with ``concat_ws``
-(whole-stage codegen, O(length) per text).  Counting, the clip join on (id, n, gram) and the
-per-(id, idx) sums all reuse the by-id partitioning, so the n-gram rows are never shuffled.
-Reference-side counts are computed once per pair id and joined to all N candidates.  Clipped
-matches are summed back to one row per (id, idx) with ``num1..num4`` and the two lengths, from
-which every BLEU variant is a closed-form column expression -- one count table serves corpus,
-sentence and BLEU@1..4 at once.
+Plan: candidate and reference token rows are stacked and repartitioned by pair id once (explicit
+count); each text's 1..4-grams come from one ``explode`` of ``arrays_zip`` over the token array and
+its shifted slices, joined with ``concat_ws`` (whole-stage codegen, O(length) per text).  Counting
+is an aggregate, clipping a window over (id, n, gram) that holds one row per text of the pair, and
+the sums per (id, idx) an aggregate: all three accept the partitioning by id, so no n-gram row is
+shuffled and nothing is joined.  The result has ``num1..num4`` and the two lengths of each
+(id, idx), from which every BLEU variant is a closed-form column expression -- one count table
+serves corpus, sentence and BLEU@1..4 at once.
 
 Smoothing is "method 1" (epsilon 0.1 for a zero numerator); the per-row denominator is
 ``max(1, len - n + 1)`` and the corpus score sums numerators and denominators over rows.
@@ -30,7 +29,7 @@ ONE_HOT_WEIGHTS = {1: (1.0, 0.0, 0.0, 0.0), 2: (0.0, 1.0, 0.0, 0.0), 3: (0.0, 0.
 
 
 def ngram_rows(df: DataFrame, key_cols: Sequence[str], tokens_col: str, max_n: int = MAX_N) -> DataFrame:
-    """``(key..., n, g)``: one row per n-gram occurrence.
+    """``(key..., n, g)``: one row per n-gram occurrence; a text without tokens gives one row with n = 0.
 
     The token array is zipped with its own shifted copies (``arrays_zip`` of slices: position i
     holds tokens i..i+max_n-1, nulls past the end), exploded once, and the 1..max_n-grams of each
@@ -40,13 +39,14 @@ def ngram_rows(df: DataFrame, key_cols: Sequence[str], tokens_col: str, max_n: i
     t = F.col(tokens_col)
     size = F.size(t)
     shifted = [F.slice(t, k + 1, F.greatest(size - k, F.lit(0))).alias(f"t{k}") for k in range(max_n)]
-    z = df.select(*key_cols, F.explode(F.arrays_zip(*shifted)).alias("_z"))
+    z = df.select(*key_cols, F.explode_outer(F.arrays_zip(*shifted)).alias("_z"))
     grams = []
     for n in range(1, max_n + 1):
         g = F.when(F.col(f"_z.t{n - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"_z.t{k}") for k in range(n)]))
         grams.append(F.struct(F.lit(n).alias("n"), g.alias("g")))
-    ex = z.select(*key_cols, F.explode(F.array(*grams)).alias("_ng"))
-    return ex.select(*key_cols, F.col("_ng.n").alias("n"), F.col("_ng.g").alias("g")).filter(F.col("g").isNotNull())
+    ex = z.select(*key_cols, F.col("_z").isNull().alias("_none"), F.explode(F.array(*grams)).alias("_ng"))
+    ex = ex.filter(F.col("_ng.g").isNotNull() | (F.col("_none") & (F.col("_ng.n") == 1)))
+    return ex.select(*key_cols, F.when(F.col("_none"), 0).otherwise(F.col("_ng.n")).alias("n"), F.col("_ng.g").alias("g"))
 
 
 def ngram_counts(df: DataFrame, key_cols: Sequence[str], tokens_col: str, max_n: int = MAX_N) -> DataFrame:
@@ -61,24 +61,21 @@ def match_table(hyp: DataFrame, ref: DataFrame, id_col: str = "id", idx_col: str
     ``hyp``: (id, idx, hyp_tokens) -- one row per candidate; ``ref``: (id, ref_tokens) -- one
     row per id (the gold side).  Candidates whose id has no reference row are dropped.
     """
-    # Co-partition both sides by pair id *before* exploding: the n-gram counts, the clip join
-    # and the per-row sums all group by keys that start with the id, so they reuse this one
-    # shuffle of token rows instead of shuffling the ~10x larger n-gram rows two or three times.
-    n = shuffle_partitions(hyp.sparkSession)
-    hyp = hyp.repartition(n, id_col)
-    ref = ref.repartition(n, id_col)
-    hc = ngram_counts(hyp, [id_col, idx_col], hyp_tokens, max_n)
-    rc = ngram_counts(ref, [id_col], ref_tokens, max_n).withColumnRenamed("c", "rc")
-    clipped = (hc.join(rc, on=[id_col, "n", "g"], how="inner")
-               .groupBy(id_col, idx_col)
-               .agg(*[F.sum(F.when(F.col("n") == n, F.least(F.col("c"), F.col("rc")))).alias(f"num{n}")
-                      for n in range(1, max_n + 1)]))
-    lens = (hyp.select(id_col, idx_col, F.size(hyp_tokens).cast("long").alias("hyp_len"))
-            .join(ref.select(id_col, F.size(ref_tokens).cast("long").alias("ref_len")), on=id_col, how="inner"))
-    out = lens.join(clipped, on=[id_col, idx_col], how="left")
-    for n in range(1, max_n + 1):
-        out = out.withColumn(f"num{n}", F.coalesce(F.col(f"num{n}"), F.lit(0)).cast("long"))
-    return out
+    texts = hyp.select(id_col, F.col(idx_col).cast("long").alias("_idx"), F.col(hyp_tokens).alias("_t")).unionByName(
+        ref.select(id_col, F.lit(-1).cast("long").alias("_idx"), F.col(ref_tokens).alias("_t")))
+    # the one shuffle: token rows, before they are exploded into about ten times as many n-grams
+    texts = texts.repartition(shuffle_partitions(hyp.sparkSession), id_col)
+    counts = ngram_counts(texts, [id_col, "_idx"], "_t", max_n)
+    gram, pair = Window.partitionBy(id_col, "n", "g"), Window.partitionBy(id_col)
+    is_ref = F.col("_idx") < 0
+    seen = (counts.withColumn("_rc", F.max(F.when(is_ref, F.col("c"))).over(gram))
+            .withColumn("_ref_len", F.sum(F.when(is_ref, F.when(F.col("n") == 1, F.col("c")).otherwise(0))).over(pair))
+            .filter(~is_ref & F.col("_ref_len").isNotNull()))
+    # least() skips nulls, so a gram that the reference lacks must not count
+    nums = [F.sum(F.when((F.col("n") == n) & F.col("_rc").isNotNull(), F.least("c", "_rc")).otherwise(0)) for n in range(1, max_n + 1)]
+    return seen.groupBy(id_col, F.col("_idx").cast("int").alias(idx_col)).agg(
+        F.sum(F.when(F.col("n") == 1, F.col("c")).otherwise(0)).alias("hyp_len"), F.max("_ref_len").alias("ref_len"),
+        *[v.alias(f"num{n}") for n, v in enumerate(nums, 1)])
 
 
 def den(hyp_len: Column, n: int) -> Column:
@@ -146,18 +143,16 @@ def self_bleu_rows(cands: DataFrame, id_col: str = "id", idx_col: str = "idx", t
           .withColumn("_max2", F.max(F.when(F.col("c") < F.col("_max1"), F.col("c"))).over(w)))
     others = F.when((F.col("c") == F.col("_max1")) & (F.col("_nmax") == 1),
                     F.coalesce(F.col("_max2"), F.lit(0))).otherwise(F.col("_max1"))
-    clipped = (hc.withColumn("_clip", F.least(F.col("c"), others))
-               .groupBy(id_col, idx_col)
-               .agg(*[F.sum(F.when(F.col("n") == n, F.col("_clip"))).alias(f"num{n}") for n in range(1, max_n + 1)]))
-    lens = cands.select(id_col, idx_col, F.size(tokens_col).cast("long").alias("hyp_len"))
-    # the N lengths of an id as one bounded array, to pick the closest other length
-    len_arr = lens.groupBy(id_col).agg(F.collect_list(F.struct(F.col(idx_col).alias("i"), F.col("hyp_len").alias("l"))).alias("_lens"))
-    t = lens.join(len_arr, on=id_col).join(clipped, on=[id_col, idx_col], how="left")
+    rows = (hc.withColumn("_clip", F.least(F.col("c"), others))
+            .groupBy(id_col, idx_col)
+            .agg(F.sum(F.when(F.col("n") == 1, F.col("c")).otherwise(0)).alias("hyp_len"),
+                 *[F.sum(F.when(F.col("n") == n, F.col("_clip")).otherwise(0)).alias(f"num{n}") for n in range(1, max_n + 1)]))
+    # the N lengths of an id as one bounded list, to pick the closest other length
+    lens = F.collect_list(F.struct(F.col(idx_col).alias("i"), F.col("hyp_len").alias("l"))).over(Window.partitionBy(id_col))
+    t = rows.withColumn("_lens", lens)
     closest = F.array_min(F.transform(
         F.filter(F.col("_lens"), lambda x: x["i"] != F.col(idx_col)),
         lambda x: F.struct(F.abs(x["l"] - F.col("hyp_len")).alias("d"), x["l"].alias("l"))))
     t = t.withColumn("ref_len", closest["l"])
-    for n in range(1, max_n + 1):
-        t = t.withColumn(f"num{n}", F.coalesce(F.col(f"num{n}"), F.lit(0)).cast("long"))
     t = t.withColumn("_score", F.when(F.col("ref_len").isNotNull(), sentence_bleu_col(weights, max_n)))
     return t.groupBy(id_col).agg(F.avg("_score").alias("self_bleu"))

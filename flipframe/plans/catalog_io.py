@@ -79,11 +79,12 @@ def trunc_sql(c: str) -> str:
 @query("tsv_round_trip", sql=f"SELECT doc_id, {na_sql('text')} AS text, {na_sql('lang')} AS lang, "
                              f"{na_sql('source')} AS source FROM documents")
 def tsv_round_trip(spark, d):
-    """Documents -> header TSV (quoted newlines/tabs) -> typed scan with null tokens."""
+    """Documents -> header TSV (quoted newlines/tabs) -> typed scan with null tokens, landed."""
     docs = TB.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     path = scratch_path(spark, "tsv")
     IO.write_tsv(docs, path)
-    return IO.read_tsv(spark, path, "doc_id long, text string, lang string, source string")
+    rows = IO.read_tsv(spark, path, "doc_id long, text string, lang string, source string")
+    return IO.land_parquet(rows, scratch_path(spark, "tsv-landed"))
 
 
 @query("text_sink_scan", sql="SELECT text FROM benchmark")
@@ -331,11 +332,11 @@ def prompt_seed_words(spark, d):
     return pairs.select("paired_id", TP.wrap_sentiment(SEED_WORDS_TEMPLATE).alias("prompt"))
 
 
-def nli_prompt_sql() -> str:
+def nli_prompt_sql(template: str = TP.NLI_TEMPLATE) -> str:
     steps = [("<original_label>", "original_label"), ("<P>", "original_prem"), ("<H>", "original_hyp"),
              ("<counter_label>", "counter_label"), ("<TC>", "task"),
              ("<counter_text>", "CASE WHEN task = 'RP' THEN counter_prem ELSE counter_hyp END")]
-    return _replace_chain_sql(TP.NLI_TEMPLATE, steps + _special_sql())
+    return _replace_chain_sql(template, steps + _special_sql())
 
 
 @query("prompt_wrap_nli", sql=W(TB.NLI_SQL(), body=f"SELECT rid, task, {nli_prompt_sql()} AS prompt FROM nli"))
@@ -344,6 +345,12 @@ def prompt_wrap_nli(spark, d):
     return TB.nli_pairs(spark, d).select("rid", "task", TP.wrap_nli().alias("prompt"))
 
 
+@query("prompt_generate_nli", sql=W(TB.NLI_SQL(), body=f"SELECT rid, task, {nli_prompt_sql(TP.NLI_GENERATION_PROMPT)} AS prompt FROM nli"))
+def prompt_generate_nli(spark, d):
+    """The NLI generation prompt, which ends where the counter text is to be written."""
+    return TB.nli_pairs(spark, d).select("rid", "task", TP.wrap_nli(TP.NLI_GENERATION_PROMPT).alias("prompt"))
+
+
 @query("nli_side_choice", sql=W(TB.NLI_SQL(), body="""SELECT rid, task,
   CASE WHEN task = 'RP' THEN lower(CASE WHEN task = 'RH' THEN counter_hyp ELSE counter_prem END) ELSE original_prem END AS premise,
   CASE WHEN task = 'RH' THEN lower(CASE WHEN task = 'RH' THEN counter_hyp ELSE counter_prem END) ELSE original_hyp END AS hypothesis,

@@ -19,7 +19,7 @@ from flipframe.operators import pairs as PR
 from flipframe.operators import sampling as S
 from flipframe.plans import suite as SU
 from flipframe.plans import tables as TB
-from flipframe.plans.catalog_io import (_COMPLETE_SQL, TOK_SQL, W, hash_sql, kfold_sql, ntok_sql, sentiment_prompt_sql, sq,
+from flipframe.plans.catalog_io import (_COMPLETE_SQL, TOK_SQL, W, hash_sql, kfold_sql, nli_prompt_sql, ntok_sql, sentiment_prompt_sql, sq,
                                         strip_html_sql, tokens_sql, trunc_sql, words_sql)
 from flipframe.plans.registry import query
 from flipframe.session import scratch_path, scratch_table
@@ -33,8 +33,8 @@ N = TB.N_CANDIDATES
 def _kept(spark, d, materialise: bool = False):
     """Complete pairs (all N candidates present) and their long candidates.
 
-    With ``materialise`` the two tables are checkpointed to the shared folder: queries that read
-    them from several branches then scan them instead of re-deriving the pairing each time.
+    The pairing itself is written once (``tables.conversation_pairs``); with ``materialise`` these
+    two tables are as well, for queries that read them from several branches.
     """
     pairs, cands = TB.conversation_pairs(spark, d)
     kept, _ = C.clean_candidates(pairs, cands, "paired_id", N)
@@ -235,13 +235,17 @@ _TREE_SQL = W(TB.PAIRS_SQL(), _COMPLETE_SQL, """tl AS (SELECT paired_id, idx, st
 def tree_edit_distance(spark, d):
     """Sentence-aligned tree edit distance (flat bracketed trees per line), averaged per row."""
     _, kc = _kept(spark, d)
+    t = kc.select("paired_id", "idx", _line_trees("example").alias("ref_trees"), _line_trees("generated").alias("gen_trees"))
+    return D.tree_distance_rows(t)
 
-    def trees(col):
-        lines = F.split(F.col(col), "\n", -1)
-        return F.transform(lines, lambda ln: D.flat_tree(word_tokens(ln)))
 
-    t = kc.select("paired_id", "idx", trees("example").alias("ref_trees"), trees("generated").alias("gen_trees"))
-    return D.tree_distance_rows(t)
+@query("tree_edit_distance_nested")
+def tree_edit_distance_nested(spark, d):
+    """T6 on nested trees (document > line > word), one tree per text (no SQL form; tested against the
+    recursive definition)."""
+    _, kc = _kept(spark, d)
+    doc = lambda c: F.array(F.concat(F.lit("(D "), F.array_join(_line_trees(c), " "), F.lit(")")))
+    return D.tree_distance_rows(kc.select("paired_id", "idx", doc("example").alias("ref_trees"), doc("generated").alias("gen_trees")))
 
 
 # --- A: aggregates ---------------------------------------------------------------------------------
@@ -813,19 +817,32 @@ def feature_cache(spark, d):
 
 # --- T7 / T8 / S12: suite, report, metrics table --------------------------------------------------
 
-def _suite_sql(closeness: bool = False) -> str:
+_LABEL_MAP = {"contradiction": 0, "entailment": 1, "neutral": 2}
+
+
+def _flat_tree_dist_ctes() -> list[str]:
+    """``td`` (paired_id, idx, s): mean distance of line-aligned flat trees, by their closed forms."""
+    ctes = _TREE_SQL[_TREE_SQL.index("tl AS ("):_TREE_SQL.rindex("SELECT paired_id")].rstrip()
+    return [ctes, "td AS (SELECT paired_id, idx, avg(dist) AS s FROM d GROUP BY paired_id, idx)"]
+
+
+def _suite_sql(closeness: bool = False, nli: bool = False) -> str:
     parity = _PARITY_G
     parts = [
         "SELECT 'n_removed' AS metric, CAST((SELECT count(*) FROM pairs) - (SELECT count(*) FROM kept) AS DOUBLE) AS value",
         "SELECT 'label_flip', (SELECT avg(a) FROM (SELECT idx, avg(CAST(pred = label_counter AS DOUBLE)) AS a FROM sc GROUP BY idx) t)",
-        "SELECT 'confidence', (SELECT avg(a) FROM (SELECT idx, avg(score) AS a FROM sc GROUP BY idx) t)",
+        f"SELECT 'avg_len_counter', (SELECT avg({ntok_sql('counterfactual')}) FROM kept)",
+        f"SELECT 'avg_len_generated_counter', (SELECT avg({ntok_sql('generated')}) FROM kc)",
     ]
+    if not nli:
+        parts.append("SELECT 'confidence', (SELECT avg(a) FROM (SELECT idx, avg(score) AS a FROM sc GROUP BY idx) t)")
     for k in [""] + _AT:
         parts.append(f"SELECT 'corpus_bleu{k}', (SELECT avg(b) FROM (SELECT idx, {corpus_sql(WEIGHTS[k])} AS b FROM m GROUP BY idx) t)")
     parts.append("SELECT 'sent_bleu_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s) AS mm FROM sb GROUP BY idx) t)")
     parts.append("SELECT 'sent_bleu_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s) AS vv FROM sb GROUP BY idx) t)")
     for k in _AT:
         parts.append(f"SELECT 'sent_bleu{k}_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s{k}) AS mm FROM sb GROUP BY idx) t)")
+        parts.append(f"SELECT 'sent_bleu{k}_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s{k}) AS vv FROM sb GROUP BY idx) t)")
     parts.append("SELECT 'sent_bleu_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM sb GROUP BY idx) t)")
     parts.append(f"""SELECT 'sent_bleu_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
   {_midrank_sql('counter_size', 'idx')} AS ry FROM sb) q GROUP BY idx) t)""")
@@ -844,13 +861,25 @@ def _suite_sql(closeness: bool = False) -> str:
             "SELECT 'lev_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s) AS vv FROM lvs GROUP BY idx) t)",
             "SELECT 'lev_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM lvs GROUP BY idx) t)",
             f"""SELECT 'lev_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
-  {_midrank_sql('counter_size', 'idx')} AS ry FROM lvs WHERE s IS NOT NULL) q GROUP BY idx) t)"""]
+  {_midrank_sql('counter_size', 'idx')} AS ry FROM lvs WHERE s IS NOT NULL) q GROUP BY idx) t)""",
+            "SELECT 'zss_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s) AS mm FROM zs GROUP BY idx) t)",
+            "SELECT 'zss_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s) AS vv FROM zs GROUP BY idx) t)",
+            "SELECT 'zss_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM zs GROUP BY idx) t)",
+            f"""SELECT 'zss_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
+  {_midrank_sql('counter_size', 'idx')} AS ry FROM zs) q GROUP BY idx) t)"""]
+        extra += [*_flat_tree_dist_ctes(), f"""zs AS (SELECT td.idx, td.s, {ntok_sql('k.counterfactual')} AS counter_size
+  FROM td JOIN kept k ON td.paired_id = k.paired_id)"""]
     self_ctes = _SELF_SQL.split("WITH ", 1)[1].rsplit("SELECT id AS paired_id", 1)[0].rstrip()
     # the self-BLEU CTEs repeat the pair CTEs; keep only the ones after hyp n-grams
     self_only = self_ctes[self_ctes.index("oth AS ("):]
     body = "\nUNION ALL ".join(parts)
-    return with_match(
-        f"sc AS (SELECT paired_id, idx, generated, label_counter, {parity[0]} AS pred, {parity[1]} AS score FROM kc)",
+    scored = f"sc AS (SELECT paired_id, idx, generated, label_counter, {parity[0]} AS pred, {parity[1]} AS score FROM kc)"
+    if nli:
+        prem, hyp = ("CASE WHEN p.task = 'RP' THEN c.generated ELSE p.original_prem END", "CASE WHEN p.task = 'RH' THEN c.generated ELSE p.original_hyp END")
+        scored = (f"sc AS (SELECT c.paired_id, c.idx, c.label_counter, (len({tokens_sql(prem)}) + len({tokens_sql(hyp)})) % 3 AS pred "
+                  "FROM kc c JOIN pairs p ON p.paired_id = c.paired_id)")
+    sql = with_match(
+        scored,
         f"""sb AS (SELECT m.id, m.idx, {sent_bleu_sql(WEIGHTS[''])} AS s, """ + ", ".join(f"{sent_bleu_sql(WEIGHTS[k])} AS s{k}" for k in _AT)
         + f""", {ntok_sql('k.counterfactual')} AS counter_size FROM m JOIN kept k ON m.id = k.paired_id)""",
         self_only,
@@ -858,6 +887,30 @@ def _suite_sql(closeness: bool = False) -> str:
   FROM sm JOIN kept k ON sm.id = k.paired_id GROUP BY sm.id)""",
         *extra,
         body=body)
+    return sql.replace(TB.PAIRS_SQL(), ",\n".join(_NLI_PAIRS_CTES)) if nli else sql
+
+
+def _nli_gen_ctes(src: str) -> list[str]:
+    """Prompts and length budgets of the NLI rows ``src``; ``nli_gen`` has the toy generator's texts."""
+    side = "CASE WHEN task = 'RP' THEN original_prem ELSE original_hyp END"
+    return [f"npr AS (SELECT *, {side} AS example, {nli_prompt_sql(TP.NLI_GENERATION_PROMPT)} AS prompt FROM {src})",
+            f"nml AS (SELECT rid, example, least({ntok_sql('prompt')} * 2, 1024) AS max_length FROM npr)",
+            "nli_gen AS (" + " UNION ALL ".join(
+                f"SELECT rid, CAST({i - 1} AS BIGINT) AS idx, array_to_string((string_split({_rot_sql(i)}, ' '))[1:max_length], ' ') AS generated FROM nml"
+                for i in range(1, N + 1)) + ")"]
+
+
+def _rot_sql(i: int) -> str:
+    """SQL twin of the toy generator: seed words rotated by i mod len, cut to max_length words."""
+    w = "string_split(example, ' ')"
+    k = f"({i} % greatest(len({w}), 1))"
+    return f"array_to_string(({w})[{k} + 1:] || ({w})[1:{k}], ' ')"
+
+
+_NLI_PAIRS_CTES = [TB.NLI_SHORT_SQL(), *_nli_gen_ctes("nli_s"),
+                   f"""pairs AS (SELECT rid AS paired_id, example, 0 AS label_ex, CASE WHEN task = 'RH' THEN counter_hyp ELSE counter_prem END AS counterfactual,
+  CASE counter_label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _LABEL_MAP.items())} END AS label_counter, task, original_prem, original_hyp FROM npr)""",
+                   "cands AS (SELECT rid AS paired_id, idx, generated FROM nli_gen)"]
 
 
 _SUITE_SQL = _suite_sql()
@@ -872,9 +925,39 @@ def eval_suite(spark, d):
 
 @query("eval_suite_full", sql=_suite_sql(closeness=True), doubles=["value"])
 def eval_suite_full(spark, d):
-    """T7 with every flag ('gbcd', closeness included): the flagship job."""
+    """T7 with every flag ('gbcd'; closeness by tokens and by line-aligned trees): the flagship job."""
     pairs, cands = TB.conversation_pairs(spark, d)
-    return SU.evaluate(pairs.drop("cf_turn"), cands, N, metrics="gbcd")
+    return SU.evaluate(pairs.drop("cf_turn").withColumn("ref_trees", _line_trees("example")),
+                       cands.withColumn("gen_trees", _line_trees("generated")), N, metrics="gbcd")
+
+
+def _line_trees(col):
+    """One flat bracketed tree per line; null for a null text."""
+    return F.transform(F.split(F.col(col), "\n", -1), lambda ln: D.flat_tree(word_tokens(ln)))
+
+
+def _nli_generated(rows):
+    """M3 for NLI: generation prompts -> N candidates of the side that the task revises."""
+    p = rows.select("rid", PR.nli_original_text().alias("example"), TP.wrap_nli(TP.NLI_GENERATION_PROMPT).alias("prompt"))
+    p = p.withColumn("max_length", TP.length_budget(F.size(word_tokens("prompt"))))
+    return MD.explode_generated(MD.generate_candidates(p, MD.toy_generate, N, ["rid"]), ["rid"])
+
+
+@query("generate_nli", sql=W(TB.NLI_SQL(), *_nli_gen_ctes("nli"), body="SELECT rid, idx, generated FROM nli_gen"))
+def generate_nli(spark, d):
+    """M3: NLI generation in Arrow batches over the premise and hypothesis tasks."""
+    return _nli_generated(TB.nli_pairs(spark, d))
+
+
+@query("eval_suite_nli", sql=_suite_sql(closeness=True, nli=True), doubles=["value"])
+def eval_suite_nli(spark, d):
+    """T7 for NLI: label flip of generated candidates against the counter label, BLEU family, token and
+    tree distance to the task's own original side, self-BLEU."""
+    rows = scratch_table(TB.nli_short(spark, d), "nli")
+    cands = scratch_table(_nli_generated(rows), "nli-candidates").withColumn("gen_trees", _line_trees("generated"))
+    side = F.when(F.col("task") == "RP", F.col("original_prem")).otherwise(F.col("original_hyp"))
+    rows = rows.withColumn("_side", side).withColumn("ref_trees", _line_trees("_side")).drop("_side")
+    return SU.evaluate_nli(rows, cands, N, _LABEL_MAP)
 
 
 @query("metrics_table", sql="SELECT 'suite' AS run, metric, value FROM (" + _SUITE_SQL + ") s", doubles=["value"])
@@ -930,13 +1013,6 @@ def _prompts(pairs):
     return p.withColumn("max_length", TP.length_budget(F.size(word_tokens("prompt"))))
 
 
-def _rot_sql(i: int) -> str:
-    """SQL twin of the toy generator: seed words rotated by i mod len, cut to max_length words."""
-    w = "string_split(example, ' ')"
-    k = f"({i} % greatest(len({w}), 1))"
-    return f"array_to_string(({w})[{k} + 1:] || ({w})[1:{k}], ' ')"
-
-
 _GEN_SQL = W(TB.PAIRS_SQL(), f"""pr AS (SELECT paired_id, example, {sentiment_prompt_sql(TP.SENTIMENT_GENERATION_PROMPTS['1'])} AS prompt FROM pairs),
 ml AS (SELECT paired_id, example, least({ntok_sql('prompt')} * 2, 1024) AS max_length FROM pr)""",
              body=" UNION ALL ".join(
@@ -985,24 +1061,38 @@ m AS (SELECT h.setting_id, CAST(len(h.ht) AS BIGINT) AS hyp_len, CAST(len(r.rt)
                    f"CAST(coalesce(c.s{n}, 0) AS BIGINT) AS num{n}" for n in range(1, 5)) + """
   FROM hyp_tok h JOIN ref_tok r ON h.paired_id = r.paired_id AND h.setting_id = r.setting_id
   LEFT JOIN clipped c ON h.paired_id = c.paired_id AND h.setting_id = c.setting_id)""",
-               body=f"SELECT CAST(setting_id AS BIGINT) AS setting_id, {corpus_sql(WEIGHTS[''])} AS corpus_bleu FROM m GROUP BY setting_id")
+               f"""sw AS (SELECT setting_id, {sent_bleu_sql(WEIGHTS[''])} AS sb FROM m)""",
+               f"""gl AS (SELECT g.setting_id, g.text, p.label_counter, {parity_sql('g.text')[0]} AS pred, {parity_sql('g.text')[1]} AS score
+  FROM gen g JOIN pairs p ON p.paired_id = g.paired_id)""",
+               body=f"""SELECT CAST(c.setting_id AS BIGINT) AS setting_id, corpus_bleu, sent_bleu_mean, sent_bleu_var, label_flip, confidence, n_null
+FROM (SELECT setting_id, {corpus_sql(WEIGHTS[''])} AS corpus_bleu FROM m GROUP BY setting_id) c
+JOIN (SELECT setting_id, avg(sb) AS sent_bleu_mean, var_pop(sb) AS sent_bleu_var FROM sw GROUP BY setting_id) s USING (setting_id)
+JOIN (SELECT setting_id, avg(CAST(pred = label_counter AS DOUBLE)) AS label_flip, avg(score) AS confidence,
+  CAST(count_if(text IS NULL) AS BIGINT) AS n_null FROM gl GROUP BY setting_id) g USING (setting_id)""")
 
 
-@query("generation_sweep", sql=_SWEEP_SQL, doubles=["corpus_bleu"])
+@query("generation_sweep", sql=_SWEEP_SQL, doubles=["corpus_bleu", "sent_bleu_mean", "sent_bleu_var", "label_flip", "confidence"])
 def generation_sweep(spark, d):
-    """M6: every generation setting over every prompt in one job, corpus BLEU per setting."""
+    """M6: every generation setting over every prompt in one job; corpus and sentence BLEU, label flip,
+    confidence and null texts per setting."""
     pairs, _ = TB.conversation_pairs(spark, d)
     settings = [{"setting_id": 0, "n_words": 8}, {"setting_id": 1, "n_words": 32}]
     p = MD.with_settings(_prompts(pairs), settings)
     p = p.withColumn("max_length", F.least(F.col("max_length"), F.col("setting.n_words"))).withColumn(
         "setting_id", F.col("setting.setting_id")).drop("setting")
     gen = MD.generate_candidates(p, MD.toy_generate, 1, ["paired_id", "setting_id"])
-    g = gen.select("paired_id", "setting_id", F.col("generated")[0].alias("text"))
+    # the generator runs once; its texts are read by the label and the BLEU branch
+    g = scratch_table(gen.select("paired_id", "setting_id", F.col("generated")[0].alias("text")), "sweep-texts")
     hyp = g.select(F.struct("paired_id", "setting_id").alias("id"), F.col("setting_id").alias("idx"), word_tokens("text").alias("hyp_tokens"))
     ref = MD.with_settings(pairs, settings).withColumn("setting_id", F.col("setting.setting_id"))
     ref = ref.select(F.struct("paired_id", "setting_id").alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
-    m = NG.match_table(hyp, ref)
-    return NG.corpus_bleu_by_idx(m, idx_col="idx", weights_by_name={"corpus_bleu": NG.UNIFORM_WEIGHTS}).withColumnRenamed("idx", "setting_id")
+    m = scratch_table(NG.match_table(hyp, ref), "sweep-matches")
+    corpus = NG.corpus_bleu_by_idx(m, idx_col="idx", weights_by_name={"corpus_bleu": NG.UNIFORM_WEIGHTS}).withColumnRenamed("idx", "setting_id")
+    sent = m.groupBy(F.col("idx").alias("setting_id")).agg(F.avg(NG.sentence_bleu_col()).alias("sent_bleu_mean"), F.var_pop(NG.sentence_bleu_col()).alias("sent_bleu_var"))
+    scored = MD.score_texts(g.join(pairs.select("paired_id", "label_counter"), "paired_id"), "text")
+    flip = scored.groupBy("setting_id").agg(F.avg((F.col("pred") == F.col("label_counter")).cast("double")).alias("label_flip"),
+                                            F.avg("score").alias("confidence"), F.count_if(F.col("text").isNull()).alias("n_null"))
+    return corpus.join(sent, "setting_id").join(flip, "setting_id")
 
 
 def _train_val_test(spark, d):

@@ -23,8 +23,9 @@ from flipframe.functions.text import space_word_count, word_tokens
 from flipframe.operators import metrics as M
 from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
-from flipframe.operators.distance import normalised_distance, with_token_edit_distance
-from flipframe.operators.models import parity_scorer, score_texts
+from flipframe.operators.distance import normalised_distance, tree_distance_rows, with_token_edit_distance
+from flipframe.operators.models import nli_rule_scorer, parity_scorer, score_pairs, score_texts
+from flipframe.operators.pairs import encode_with_map, nli_counter_side, nli_original_text, nli_scoring_sides
 from flipframe.session import scratch_table, shuffle_partitions
 
 _AT = [f"_at_{n}" for n in range(1, 5)]
@@ -45,9 +46,11 @@ def _two_level(rows: DataFrame, score: str, prefix: str, extra_means: list[str]
     """Per candidate: mean, variance, extra means and Pearson vs size; then across candidates."""
     per = rows.groupBy("idx").agg(F.avg(score).alias("_m"), F.var_pop(score).alias("_v"),
                                   *[F.avg(c).alias(f"_e{c}") for c in extra_means],
+                                  *[F.var_pop(c).alias(f"_ev{c}") for c in extra_means],
                                   *([F.corr(score, "counter_size").alias("_p")] if corr else []))
     return per.agg(F.avg("_m").alias(f"{prefix}mean"), F.var_pop("_v").alias(f"{prefix}var"),
                    *[F.avg(f"_e{c}").alias(f"{c}_mean") for c in extra_means],
+                   *[F.var_pop(f"_ev{c}").alias(f"{c}_var") for c in extra_means],
                    *([F.avg("_p").alias(f"{prefix}pearson")] if corr else []))
 
 
@@ -65,30 +68,43 @@ def _for_spearman(rows: DataFrame, family: str, score: str) -> DataFrame:
 
 
 def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer,
-             id_col: str = "paired_id", calculate_corr: bool = True, materialise: bool = True) -> DataFrame:
+             id_col: str = "paired_id", calculate_corr: bool = True, materialise: bool = True, score=None,
+             carry: tuple[str, ...] = ()) -> DataFrame:
     """Metric flags: g = label flip + confidence, b = BLEU family, c = closeness (token edit
-    distance), d = diversity (self-BLEU).  Returns (metric, value) rows."""
+    distance, and tree edit distance if ``pairs`` has ``ref_trees`` and ``cands`` ``gen_trees``),
+    d = diversity (self-BLEU).  Returns (metric, value) rows.
+
+    ``pairs``: id, example (the seed side), counterfactual (the gold text), label_counter.
+    ``score(rows)`` replaces the text scorer: it adds ``pred`` (and ``score``, if it has a
+    confidence) to rows that hold the ``carry`` columns of ``pairs`` and ``generated``.
+    """
     kept, removed = clean_candidates(pairs, cands, id_col, n)
     parts = [_long(removed)]
-    c = cands.join(kept.select(id_col, "label_counter", "example"), on=id_col, how="inner")
+    trees = "c" in metrics and "ref_trees" in pairs.columns and "gen_trees" in cands.columns
+    c = cands.join(kept.select(id_col, "label_counter", "example", *carry, *(["ref_trees"] if trees else [])), on=id_col, how="inner")
     # spread by pair id with an explicit count before tokenising: tokenising, n-grams and edit
     # distance are CPU-heavy per row, so they must not collapse into the few tasks AQE would
     # choose from the small byte size of the text
     n_parts = shuffle_partitions(pairs.sparkSession)
     hyp = _materialise(c.repartition(n_parts, id_col).select(
-        F.col(id_col).alias("id"), "idx", "generated", "label_counter",
-        word_tokens("generated").alias("hyp_tokens"), word_tokens("example").alias("seed_tokens")), materialise)
+        F.col(id_col).alias("id"), "idx", "generated", "label_counter", *carry,
+        word_tokens("generated").alias("hyp_tokens"), word_tokens("example").alias("seed_tokens"),
+        *(["ref_trees", "gen_trees"] if trees else [])), materialise)
     ref = _materialise(kept.repartition(n_parts, id_col).select(
         F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
                        .withColumn("counter_size", F.size("ref_tokens").cast("long")), materialise)
     sizes = ref.select("id", "counter_size")
     rank_inputs: list[DataFrame] = []
+    # every kept row has all n candidates, so the mean over rows of their mean size is the overall mean
+    parts.append(_long(ref.agg(F.avg("counter_size").alias("avg_len_counter"))))
+    parts.append(_long(hyp.agg(F.avg(F.size("hyp_tokens")).alias("avg_len_generated_counter"))))
 
     if "g" in metrics:
-        scored = score_texts(hyp, "generated", scorer)
+        scored = score(hyp) if score else score_texts(hyp, "generated", scorer)
         hit = (F.col("pred") == F.col("label_counter")).cast("double")
-        per = scored.groupBy("idx").agg(F.avg(hit).alias("_f"), F.avg("score").alias("_c"))
-        parts.append(_long(per.agg(F.avg("_f").alias("label_flip"), F.avg("_c").alias("confidence"))))
+        aggs = [F.avg(hit).alias("_label_flip")] + ([F.avg("score").alias("_confidence")] if "score" in scored.columns else [])
+        per = scored.groupBy("idx").agg(*aggs)
+        parts.append(_long(per.agg(*[F.avg(x).alias(x[1:]) for x in per.columns if x != "idx"])))
     if "b" in metrics:
         matches = _materialise(ngram.match_table(hyp.select("id", "idx", "hyp_tokens"), ref.select("id", "ref_tokens")),
                                materialise)
@@ -105,6 +121,11 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
         dist = dist.withColumn("lev_norm", normalised_distance(F.col("lev"), F.col("seed_tokens"))).join(sizes, "id")
         parts.append(_long(_two_level(dist, "lev_norm", "lev_", corr=calculate_corr)))
         rank_inputs.append(_for_spearman(dist, "lev", "lev_norm"))
+        if trees:
+            zss = tree_distance_rows(hyp.select("id", "idx", "ref_trees", "gen_trees"), ("id", "idx")).join(sizes, "id")
+            zss = _materialise(zss, materialise)
+            parts.append(_long(_two_level(zss, "tree_distance", "zss_", corr=calculate_corr)))
+            rank_inputs.append(_for_spearman(zss, "zss", "tree_distance"))
     if "d" in metrics:
         sb = ngram.self_bleu_rows(hyp.select("id", "idx", F.col("hyp_tokens").alias("tokens"))).join(sizes, "id")
         aggs = [F.avg("self_bleu").alias("self_bleu_mean"), F.var_pop("self_bleu").alias("self_bleu_var")]
@@ -119,7 +140,7 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
         parts.append(_spearman_means(stacked))
     if not calculate_corr:
         # correlations switched off: the metrics are still listed, with a null value
-        names = [f"{fam}_{c}" for fam, flag in (("sent_bleu", "b"), ("lev", "c"), ("self_bleu", "d")) if flag in metrics
+        names = [f"{fam}_{c}" for fam, flag in (("sent_bleu", "b"), ("lev", "c"), ("zss", "c" if trees else "-"), ("self_bleu", "d")) if flag in metrics
                  for c in ("pearson", "spearman")]
         parts += [removed.select(F.lit(n).alias("metric"), F.lit(None).cast("double").alias("value")) for n in names]
     out = parts[0]
@@ -128,6 +149,23 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     return out
 
 
+def evaluate_nli(rows: DataFrame, cands: DataFrame, n: int, label_map: dict[str, int], metrics: str = "gbcd", id_col: str = "rid",
+                 scorer=nli_rule_scorer, **more) -> DataFrame:
+    """The suite for premise/hypothesis rows (task RP or RH, original and counter sides, counter_label).
+
+    The seed side is the original text that the task revises, the gold text the revised one; a
+    candidate takes the revised side's place when the pair is scored, and flips the label if the
+    predicted class is that of ``counter_label``.
+    """
+    premise, hypothesis = nli_scoring_sides("generated")
+    carry = ("task", "original_prem", "original_hyp")
+    pairs = rows.select(id_col, *carry, nli_original_text().alias("example"), nli_counter_side().alias("counterfactual"),
+                        encode_with_map("counter_label", label_map).alias("label_counter"),
+                        *(["ref_trees"] if "ref_trees" in rows.columns else []))
+    return evaluate(pairs, cands, n, metrics, id_col=id_col, carry=carry,
+                    score=lambda hyp: score_pairs(hyp, premise, hypothesis, scorer), **more)
+
+
 def augmentation_sums(runs: DataFrame, run_col: str = "run", scorer=parity_scorer, text_col: str = "generated",
                       target_col: str = "label_counter", seed_col: str = "example") -> DataFrame:
     """Per run the sums and counts behind :func:`augmentation_report`; they add up over any cut of

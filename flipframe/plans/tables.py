@@ -177,3 +177,26 @@ def nli_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rp = revised_premise_pairs(nli_revised_premises(spark, sf_dir), orig)
     rh = revised_hypothesis_pairs(nli_revised_hypotheses(spark, sf_dir), orig)
     return rp.select(*NLI_COLS).unionByName(rh.select(*NLI_COLS))
+
+
+def nli_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NLI rows over the benchmark passages: premise = a passage, hypothesis = the next one by id, the
+    revised side = the one after that; even items revise the premise (RP), odd ones the hypothesis."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    shifted = lambda k, name: b.select((F.col("item_id") - k).alias("item_id"), F.col("text").alias(name))
+    rows = b.withColumnRenamed("text", "original_prem").join(shifted(1, "original_hyp"), "item_id").join(shifted(2, "revised"), "item_id")
+    rp = F.col("item_id") % 2 == 0
+    return rows.select(
+        F.col("item_id").alias("rid"), _label_name(F.col("item_id")).alias("original_label"), _label_name(F.col("item_id") + 1).alias("counter_label"),
+        F.when(rp, "RP").otherwise("RH").alias("task"), "original_prem", F.when(rp, F.col("revised")).otherwise("").alias("counter_prem"),
+        "original_hyp", F.when(rp, "").otherwise(F.col("revised")).alias("counter_hyp"))
+
+
+def NLI_SHORT_SQL() -> str:
+    lab = _LABEL_SQL
+    return f"""nli_s AS (
+  SELECT a.item_id AS rid, {lab.format(x='a.item_id')} AS original_label, {lab.format(x='a.item_id + 1')} AS counter_label,
+         CASE WHEN a.item_id % 2 = 0 THEN 'RP' ELSE 'RH' END AS task, a.text AS original_prem,
+         CASE WHEN a.item_id % 2 = 0 THEN c.text ELSE '' END AS counter_prem, b.text AS original_hyp,
+         CASE WHEN a.item_id % 2 = 0 THEN '' ELSE c.text END AS counter_hyp
+  FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 JOIN benchmark c ON c.item_id = a.item_id + 2)"""

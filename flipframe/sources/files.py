@@ -43,9 +43,10 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("nullValue", "").option("emptyValue", '""').csv(path))
 
 
-def land_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def land_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Write a scanned file table as Parquet once; later stages read the columnar, splittable copy."""
     df.write.mode(mode).parquet(path)
-    return path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_csv_column(spark: SparkSession, path, column: str, schema: StructType | str | None = None) -> DataFrame:
