@@ -45,4 +45,5 @@ def test_bleu_joins_nothing_and_shuffles_no_ngram(spark):
 def test_text_is_not_sorted_in_aggregates(spark):
     for name in ("nli_first_match_rp", "nli_first_match_rh", "pair_pivot", "first_flip"):
         plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "SortAggregate" not in plan, name
+        lines = [x for x in plan.split("\n") if "SortAggregate" in x]
+        assert not any(re.search(r"\b(text|generated|premise|hypothesis|example)#", x) for x in lines), name
