@@ -16,16 +16,13 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
-import os
 import re
 import struct
-import tempfile
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from hashlib import sha256
 from itertools import islice
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flipframe.llm.common import ready, scan_texts, written
+from flipframe.llm.common import put, ready, scan_texts, written
+from flipframe.session import scratch_path
 
 #: Most words compiled into the lexicon.  The counts behind the choice cover all texts.
 LEXICON_WORDS = 65_536
@@ -515,12 +513,10 @@ def share_lexicon(spark: SparkSession, docs: DataFrame, tokenizer: str, words: i
     top = counts.where(F.col("n") >= least).select("word").collect() if least is not None else []
     bpe = Bpe.load(tokenizer)
     data = compile_lexicon([(r.word.encode(), bpe.merge(r.word.encode())) for r in top])
-    name = f"lexicon-{uuid4().hex[:12]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(path)
-    return name
+    path = scratch_path(spark, "lexicon")
+    put(spark, path, data)
+    spark.sparkContext.addFile(path)  # executors that join later fetch it too
+    return path.rsplit("/", 1)[1]
 
 
 _CODERS: dict[str, Encoder] = {}  # one entry: the lexicon this Python worker last encoded with

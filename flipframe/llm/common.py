@@ -58,6 +58,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one file to the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    out = fs.create(p)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
 def _slices(batch: pa.RecordBatch, size: pa.Array) -> Iterator[pa.RecordBatch]:
     start = total = 0
     for i, n in enumerate(size):
