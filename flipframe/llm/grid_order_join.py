@@ -33,7 +33,7 @@ from flipframe.session import shuffle_partitions
 
 COSINE = 0.93
 DIMS = 6  # leading principal directions that order the grid
-BLOCK = 512  # vectors of a block
+BLOCK = 2048  # vectors of a block; a block travels once for each block it may link with
 LEAF = 64  # intervals up to this size are compared directly
 SAMPLE_ROWS = 4096  # vectors on which the principal directions are fitted
 
@@ -154,10 +154,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, dims: int = DIMS, b
     """
     spark = vectors.sparkSession
     ready(spark)
-    raw = F.col(f"`{vec_col}`").cast("array<double>")
+    # single-precision vectors travel as such; all arithmetic is in double precision
+    single = vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType()) or vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), False)
+    kind = "float" if single else "double"
+    raw = F.col(f"`{vec_col}`").cast(f"array<{kind}>")
     rows = vectors.select(
         F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{label_col}`").alias("label"),
-        F.transform(raw, lambda x: F.when(x == 0, 0.0).otherwise(x)).alias("vec"),  # -0.0 and 0.0 are one value
+        F.transform(raw, lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)).alias("vec"),  # -0.0 and 0.0 are one value
     ).withColumn("usable", F.coalesce(
         F.col("label").isNotNull()
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
