@@ -70,33 +70,38 @@ def decode_entities(text) -> Column:
     The few names that pages are full of are compared first, the full table follows.
     """
     named, bare = _entity_table()
-    table = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
-    bare_map = F.create_map(*[F.lit(x) for k in bare for x in (k, named[k])])
+    # one string literal that folds to a map: thousands of literals would slow every plan down
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in named.items())), F.lit("\x01"), F.lit("\x02"))
+    bare_map = F.str_to_map(F.lit("\x01".join(f"{k}\x02{named[k]}" for k in bare)), F.lit("\x01"), F.lit("\x02"))
     bare_pattern = "^(" + "|".join(bare) + ")"
     common = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot")
 
-    def piece(p: Column) -> Column:
+    def full(p: Column) -> Column:
         number = F.regexp_extract(p, "^(#[xX][0-9a-fA-F]+|#[0-9]+);?", 1)
         name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
         old = F.regexp_extract(p, bare_pattern, 1)
-        hexed = F.rlike(number, F.lit("^#[xX]"))
         digits = F.regexp_extract(number, "^#[xX]?0*(.*)$", 1)
         code = F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(
-            F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.when(digits == "", "0").otherwise(digits)).cast("long"))
-        value = F.lit(None).cast("string")
-        for k in reversed(common):
-            value = F.when(name == k, named[k]).otherwise(value) if value is not None else value
-        value = F.when(name != "", F.coalesce(value, table[name]))
+            F.when(F.rlike(number, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(F.when(digits == "", "0").otherwise(digits)).cast("long"))
         skip = F.length(number) + F.when(F.substring(p, F.length(number) + 1, F.lit(1)) == ";", 1).otherwise(0)
+        value = F.when(name != "", table[name])
         return (F.when(number != "", F.concat(_from_code_point(code), F.substring(p, skip + 1, F.length(p))))
                 .when(value.isNotNull(), F.concat(value, F.substring(p, F.length(name) + 2, F.length(p))))
                 .when(old != "", F.concat(bare_map[old], F.substring(p, F.length(old) + 1, F.length(p))))
                 .otherwise(F.concat(F.lit("&"), p)))
 
+    def piece(p: Column) -> Column:
+        # a lone "&" and the few common names need no regular expression
+        first = F.substring(p, 1, 1)
+        out = F.when(~((first == "#") | ((first >= "A") & (first <= "Z")) | ((first >= "a") & (first <= "z"))), F.concat(F.lit("&"), p))
+        for k in common:
+            out = out.when(F.startswith(p, F.lit(k + ";")), F.concat(F.lit(named[k]), F.substring(p, F.lit(len(k) + 2), F.length(p))))
+        return out.otherwise(full(p))
+
     c = as_col(text)
     parts = F.split(c, "&", -1)
     decoded = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    return F.when(F.rlike(c, F.lit("&[#A-Za-z]")), decoded).otherwise(c)
 
 
 def strip_html(html) -> Column:
