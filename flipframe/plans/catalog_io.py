@@ -305,12 +305,12 @@ def _seed_word_sql(i: int) -> str:
     return f"coalesce(string_split(example, ' ')[{i + 1}], '')"
 
 
-def sentiment_prompt_sql(template: str) -> str:
+def sentiment_prompt_sql(template: str, special: bool = True) -> str:
     steps = [("<label_ex>", label_word_sql("label_ex")), ("<example_text>", "example"),
              ("<label_counter>", label_word_sql("label_counter"))]
     if "<counter_text>" in template:
         steps.append(("<counter_text>", "counterfactual"))
-    steps += _special_sql()
+    steps += _special_sql() if special else []
     steps += [(f"<{i}>", _seed_word_sql(i)) for i in range(3)]
     return _replace_chain_sql(template, steps)
 
@@ -325,6 +325,24 @@ def prompt_wrap(spark, d):
     return pairs.select("paired_id", TP.wrap_sentiment(TP.SENTIMENT_TEMPLATES["1"]).alias("prompt"))
 
 
+@query("prompt_wrap_all", sql=W(TB.PAIRS_SQL(), body="SELECT paired_id, " + ", ".join(
+    f"{sentiment_prompt_sql(t)} AS prompt_{k}, {sentiment_prompt_sql(g)} AS generation_{k}"
+    for (k, t), g in zip(TP.SENTIMENT_TEMPLATES.items(), TP.SENTIMENT_GENERATION_PROMPTS.values())) + " FROM pairs"))
+def prompt_wrap_all(spark, d):
+    """Every sentiment template and generation prompt."""
+    pairs, _ = TB.conversation_pairs(spark, d)
+    cols = [c for k in TP.SENTIMENT_TEMPLATES for c in (TP.wrap_sentiment(TP.SENTIMENT_TEMPLATES[k]).alias(f"prompt_{k}"),
+                                                        TP.wrap_sentiment(TP.SENTIMENT_GENERATION_PROMPTS[k]).alias(f"generation_{k}"))]
+    return pairs.select("paired_id", *cols)
+
+
+@query("prompt_wrap_plain", sql=W(TB.PAIRS_SQL(), body=f"SELECT paired_id, {sentiment_prompt_sql(TP.SENTIMENT_TEMPLATES['1'], special=False)} AS prompt FROM pairs"))
+def prompt_wrap_plain(spark, d):
+    """Special tokens given as "None" are left as they stand in the template."""
+    pairs, _ = TB.conversation_pairs(spark, d)
+    return pairs.select("paired_id", TP.wrap_sentiment(TP.SENTIMENT_TEMPLATES["1"], spec_tokens="None").alias("prompt"))
+
+
 @query("prompt_seed_words", sql=W(TB.PAIRS_SQL(), body=f"SELECT paired_id, {sentiment_prompt_sql(SEED_WORDS_TEMPLATE)} AS prompt FROM pairs"))
 def prompt_seed_words(spark, d):
     """First three seed words into ``<0> <1> <2>`` slots (empty when the seed is shorter)."""
