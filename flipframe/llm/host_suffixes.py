@@ -2,16 +2,21 @@
 
 A page's blocks (text between block-level tags) carry their markup's zone: article, marked
 boilerplate (menus, headers, footers, asides, forms, adverts, notices, comments by element, role
-or class) or plain.  The words outside articles of all pages of a host form its token stream.
-Every position starts a suffix; suffixes whose first ``RUN`` words are equal stand next to each
-other in the host's suffix array with a common prefix of at least ``RUN`` words.  Where such a
-group comes from two or more distinct pages its words are a repeated run; the union of these
-windows is exactly the set of all repeats of ``RUN`` words or more, so the array need not be
-sorted any deeper.  Covered words go; of what is left, unique plain runs stay, marked boilerplate
-goes.  Article blocks stay even where they repeat: a mirrored or quoted article is no template.
+or class) or plain.  The blocks outside articles of all pages of a host form its token stream.
+Every position starts a suffix that ends with its block; suffixes whose first ``RUN`` words are
+equal stand next to each other in the host's suffix array with a common prefix of at least ``RUN``
+words.  Where such a group comes from ``SHARE`` of the host's distinct pages, and from two at least,
+its words are a repeated run; the union of these windows is exactly the set of all repeats of
+``RUN`` words or more on as many pages, so the array need not be sorted any deeper.  A block of
+fewer words is repeated as a whole or not at all, and from ``SHORT_PAGES`` pages on.  Covered words
+go; of what is left, unique plain runs stay, marked boilerplate goes.  Article blocks stay even
+where they repeat: a mirrored or quoted article is no template.
+
+Pages of a host with equal words outside marked blocks are copies of one page and count once, so
+an article that is stored or mirrored under many ids and urls is no repeat.
 
 The groups are found by an aggregate over (host, prefix) hashes with map-side partial results, so
-a host with a third of all pages needs no task of its own.  Repeated rows count as one page.
+a host with a third of all pages needs no task of its own.
 
 Null, empty and text-less pages give an empty text.  Entities are decoded; white space inside a
 block becomes one space; blocks are joined by two newlines in page order.
@@ -28,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flipframe.llm.common import free_name, ready, scan_texts
+from flipframe.llm.common import free_name, ready, scan_texts, written
 from flipframe.llm.url_automaton import host_and_path
 
-RUN = 6  # words of the shortest repeated run
+RUN = 6  # words of the shortest repeated run inside a block
+SHARE = 0.3  # of a host's distinct pages that a repeated run is on
+SHORT_PAGES = 3  # distinct pages, at least, that a repeated block of under RUN words is on
+SALTS = 64  # rows of a host in the join of its page count
 UNIQUE = 10  # words of the shortest unique plain run kept beside an article
 
 ARTICLE, MARKED, PLAIN = 0, 1, 2
@@ -167,11 +175,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def main_text(found: list[tuple[int, str]], covered: set[int]) -> str:
+def main_text(found: list[tuple[int, str]], starts: set[int], run: int = RUN) -> str:
     """Article blocks, and the unique runs of plain blocks.
 
-    ``covered`` holds the positions, in the stream of words outside articles, that repeated runs
-    cover.  Beside an article, a unique run needs ``UNIQUE`` words.
+    ``starts`` holds the positions, in the stream of words outside articles, where repeated runs
+    of ``run`` words or to the end of a shorter block begin.  Beside an article, a unique run needs
+    ``UNIQUE`` words.
     """
     has_article = any(z == ARTICLE for z, _ in found)
     least = UNIQUE if has_article else 1
@@ -182,26 +191,47 @@ def main_text(found: list[tuple[int, str]], covered: set[int]) -> str:
             continue
         words = text.split(" ")
         if zone == PLAIN:
-            run: list[str] = []
+            covered = {k + n for k in range(len(words)) if at + k in starts for n in range(run)}
+            left: list[str] = []
             for k, w in enumerate([*words, None]):
-                if w is not None and at + k not in covered:
-                    run.append(w)
+                if w is not None and k not in covered:
+                    left.append(w)
                     continue
-                if len(run) >= least:
-                    out.append(" ".join(run))
-                run = []
+                if len(left) >= least:
+                    out.append(" ".join(left))
+                left = []
         at += len(words)
     return "\n\n".join(out)
 
 
-def suffix_keys(host: bytes, found: list[tuple[int, str]], run: int) -> list[int]:
-    """Signed hash of host and first ``run`` words of every suffix of the stream outside articles."""
+def _signed(data: bytes) -> int:
     import xxhash
 
-    stream = [w.encode() for z, t in found if z != ARTICLE for w in t.split(" ")]
-    head = host + b"\0"
-    keys = (xxhash.xxh64_intdigest(head + b" ".join(stream[i : i + run])) for i in range(len(stream) - run + 1))
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+    k = xxhash.xxh64_intdigest(data)
+    return k - (1 << 64) if k >> 63 else k
+
+
+def suffix_keys(host: bytes, found: list[tuple[int, str]], run: int) -> list[tuple[int, int, bool]]:
+    """(key, place, short) of every suffix of the stream outside articles that is ``run`` words or
+    a whole shorter block long; the key is a hash of host and the first ``run`` words.  No suffix
+    reaches into the next block."""
+    head, out, at = host + b"\0", [], 0
+    for zone, text in found:
+        if zone == ARTICLE:
+            continue
+        words = text.encode().split(b" ")
+        if len(words) < run:
+            out.append((_signed(head + b"\0" + text.encode()), at, True))
+        else:
+            out += [(_signed(head + b" ".join(words[i : i + run])), at + i, False) for i in range(len(words) - run + 1)]
+        at += len(words)
+    return out
+
+
+def copy_key(host: bytes, found: list[tuple[int, str]]) -> int:
+    """Hash of host and the words outside marked blocks, or of all words if there are none."""
+    kept = [t for z, t in found if z != MARKED] or [t for _, t in found]
+    return _signed(host + b"\0" + " ".join(kept).encode())
 
 
 def _parsed(raw: bytes | None) -> list[tuple[int, str]]:
@@ -209,32 +239,37 @@ def _parsed(raw: bytes | None) -> list[tuple[int, str]]:
 
 
 def _suffix_rows(run: int):
+    """Rows of all suffixes, and one row without a key for each page."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, pages, places, plain = [], [], [], []
+            out: list[list] = [[] for _ in _SUFFIX.fields]
             for ident, url, html in zip(*[c.to_pylist() for c in batch.columns]):
                 found = blocks(html or "")
-                got = suffix_keys(host_and_path((url or "").encode())[0], found, run)
-                keys += got
-                pages += [ident] * len(got)
-                places += range(len(got))
-                plain += [any(z == PLAIN for z, _ in found)] * len(got)
-                if len(keys) > 1 << 17:
-                    yield _batch(keys, pages, places, plain)
-                    keys, pages, places, plain = [], [], [], []
-            yield _batch(keys, pages, places, plain)
+                name = host_and_path((url or "").encode())[0]
+                got = [(None, -1, False), *suffix_keys(name, found, run)]
+                fixed = (_signed(name), copy_key(name, found), ident, any(z == PLAIN for z, _ in found))
+                for column, value in zip(out, fixed):
+                    column += [value] * len(got)
+                for column, values in zip(out[len(fixed) :], zip(*got)):
+                    column += values
+                if len(out[0]) > 1 << 17:
+                    yield _batch(out)
+                    out = [[] for _ in _SUFFIX.fields]
+            yield _batch(out)
 
     return rows
 
 
-def _batch(keys, pages, places, plain) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(places, pa.int32()), pa.array(plain, pa.bool_())],
-        names=["key", "ident", "place", "plain"],
-    )
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_SUFFIX.names)
 
 
-_SUFFIX = T.StructType([T.StructField("key", T.LongType()), T.StructField("ident", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("plain", T.BooleanType())])
+_SUFFIX = T.StructType(
+    [T.StructField("host", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("ident", T.LongType()), T.StructField("plain", T.BooleanType())]
+    + [T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("short", T.BooleanType())]
+)
 _TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("open", T.BooleanType())])
 
 
@@ -242,7 +277,7 @@ def page_texts(pages: DataFrame, run: int = RUN, id_col: str = "page_id", url_co
     """One row per page: page_id, url, text, n_chars (code points).
 
     A page whose blocks are all article or marked is finished by the first pass, as no repeated
-    run can change its text; only pages with plain blocks meet their covered positions.
+    run can change its text; only pages with plain blocks meet the starts of their repeated runs.
     """
     ready(pages.sparkSession)
     src = pages.select(id_col, url_col, F.col(f"`{html_col}`").cast("string").alias("html"))
@@ -262,9 +297,14 @@ def page_texts(pages: DataFrame, run: int = RUN, id_col: str = "page_id", url_co
     done = got.where(~F.col(f"{s}.open")).select(id_col, url_col, F.col(f"{s}.text").alias("text"))
 
     rows = src.select(ident.alias("ident"), F.col(url_col).cast("string").alias("u"), "html").mapInArrow(_suffix_rows(run), _SUFFIX)
-    repeated = rows.groupBy("key").agg(F.min("ident").alias("a"), F.max("ident").alias("b")).where("a <> b").select("key")
+    # a row without a key stands for a page, so their groups count a host's distinct pages
+    met = rows.select("host", "key", "short", "copy").distinct().groupBy("host", "key", "short").agg(F.count("*").alias("n"))
+    met, _ = written(pages.sparkSession, met.where("n > 1 or key is null"), "host_suffixes")
+    hosts = met.where("key is null").select("host", F.col("n").alias("n_pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    least = F.greatest(F.when(F.col("short"), SHORT_PAGES).otherwise(2), F.ceil(F.col("n_pages") * SHARE))
+    repeated = met.where("key is not null").withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"]).where(F.col("n") >= least).select("key")
     places = (
-        rows.where("plain").dropDuplicates(["ident", "place"]).join(repeated, "key")
+        rows.where("plain and key is not null").dropDuplicates(["ident", "place"]).join(repeated, "key")
         .groupBy("ident").agg(F.sort_array(F.collect_list("place")).alias("places"))  # at most a page's words
     )
     undecided = _open_pages(src, id_col, url_col).withColumn("ident", ident).join(places, "ident", "left")
@@ -284,8 +324,7 @@ def _second_pass(run: int, id_col: str, url_col: str):
             col = lambda n: batch.column(batch.schema.get_field_index(n))
             out = []
             for html, starts in zip(col("html").to_pylist(), col("places").to_pylist()):
-                covered = {p + k for p in starts or () for k in range(run)}
-                out.append(main_text(blocks(html or ""), covered))
+                out.append(main_text(blocks(html or ""), set(starts or ()), run))
             yield pa.RecordBatch.from_arrays([col(id_col), col(url_col), pa.array(out, pa.string())], names=[id_col, url_col, "text"])
 
     return texts

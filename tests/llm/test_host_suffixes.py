@@ -83,3 +83,24 @@ def test_null_urls_long_pages_and_empty_tables(spark):
     got = texts(spark, [(1, None, "<p>a</p>"), (None, None, long), (3, "", None)])
     assert got[1] == "a" and got[3] == "" and got[None].count("w&w") == 30_000
     assert S.page_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+ESSAY = "The river rose in spring and the whole village moved its boats to higher ground"
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<nav>Menu {}</nav><div>" + ESSAY + "</div>"
+    pages = [(k, f"http://m.com/{k}", page.format(k)) for k in range(3)] + [(3, "http://m.com/other", "<div>Something else</div>")]
+    assert texts(spark, pages) == {**{k: ESSAY for k in range(3)}, 3: "Something else"}
+
+
+def test_runs_end_with_their_block(spark):
+    page = "<nav>Home News Sport Travel Money</nav><p>The story {0} tells of w{0}</p>"
+    pages = [(k, f"http://n.com/{k}", page.format(k)) for k in range(4)]
+    assert texts(spark, pages) == {k: f"The story {k} tells of w{k}" for k in range(4)}
+
+
+def test_a_run_needs_its_share_of_the_pages(spark):
+    phrase = "as far as anyone here can tell"
+    pages = [(k, f"http://p.com/{k}", f"<p>In {k} it was so, {phrase if k < 2 else 'and'} more{k}</p><p>Share this</p>") for k in range(10)]
+    assert texts(spark, pages) == {k: f"In {k} it was so, {phrase if k < 2 else 'and'} more{k}" for k in range(10)}
