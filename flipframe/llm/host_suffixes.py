@@ -62,6 +62,14 @@ _CLASSES = frozenset(
 )
 _CONTENT = frozenset("content article main post entry story body text".split())
 _COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Containers whose <article> elements are teasers.
+_TEASERS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar widget related recommended trending".split())
+#: A class with one of these at its begin or end tells the state or layout of a wrapper, not what it holds.
+_BEFORE = frozenset("has no not without with is hide show js".split())
+_AFTER = frozenset("open opened closed fixed active visible enabled disabled collapsed expanded on off layout page template".split())
+
+#: What an element lets inside it be an article: anything, a <main> only, nothing.
+ANY, MAIN, NONE = 0, 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -71,35 +79,53 @@ _CLOSES_P = _BLOCK - frozenset(["html", "body"])
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in _RAW}
 
 
-def _zone_of(name: str, attrs: str, in_article: bool) -> int | None:
-    """The zone that an element opens, or None if it has none of its own."""
-    words, role, hidden = set(), "", False
+def _names(value: str) -> tuple[set[str], set[str]]:
+    """All words of a class or id value, and the first and last words of its names that mark what
+    an element holds: whole names or compounds such as cookie-notice, but no layout or state
+    classes such as has-sidebar or menu-open."""
+    words, ends = set(), set()
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        words.update(parts)
+        if parts and parts[0] not in _BEFORE and (len(parts) == 1 or parts[-1] not in _AFTER) and not {"with", "has", "no", "without"} & set(parts):
+            ends |= {parts[0], parts[-1]}
+    return words, ends
+
+
+def _zone_of(name: str, attrs: str, in_article: bool) -> tuple[int | None, int]:
+    """The zone that an element opens, or None if it has none of its own, and what may be an
+    article inside it."""
+    words, ends, role, hidden = set(), set(), "", False
     if attrs:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                words |= set(re.split(r"[^a-z0-9]+", value))
+                got = _names(value)
+                words |= got[0]
+                ends |= got[1]
             elif key == "role":
                 role = value
             else:
                 hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", "")
-    if words & _COMMENTS or hidden:
-        return MARKED
+    if name not in ("html", "body") and ends & _COMMENTS or hidden:
+        return MARKED, NONE
     if name in ("article", "main") or role in ("main", "article"):
-        return ARTICLE
+        return ARTICLE, ANY
     if name in ("html", "body"):
-        return None
-    if name in _MARKED or role in _ROLES or words & _CLASSES and not words & _CONTENT:
-        return MARKED
-    if not in_article and (name == "header" or "header" in words and not words & _CONTENT):
-        return MARKED
-    return None
+        return None, ANY
+    if name in ("aside", "footer") or role in ("complementary", "contentinfo"):
+        return MARKED, NONE
+    if name in _MARKED or role in _ROLES or ends & _CLASSES and not words & _CONTENT:
+        return MARKED, MAIN if ends & _TEASERS else ANY
+    if not in_article and (name == "header" or "header" in ends and not words & _CONTENT):
+        return MARKED, ANY
+    return None, ANY
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block of a page, in order, white space normalised."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements and the zone inside
+    stack: list[tuple[str, int, int]] = []  # open elements, the zone inside and what may be an article there
     buf: list[str] = []
     zone, at, n = PLAIN, 0, len(page)
 
@@ -131,7 +157,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name not in _BLOCK and any(t in _BLOCK for t, _ in stack[k + 1 :]):
+                    if name not in _BLOCK and any(t[0] in _BLOCK for t in stack[k + 1 :]):
                         break  # a stray inline end tag closes no block
                     flush_needed = stack[k][1] != (stack[k - 1][1] if k else PLAIN)
                     if flush_needed:
@@ -150,9 +176,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if name in _BLOCK:
             flush()
-            if name in _CLOSES_P and stack and any(t == "p" for t, _ in stack):
-                k = max(i for i, (t, _) in enumerate(stack) if t == "p")
-                if not any(t in _BLOCK for t, _ in stack[k + 1 :]):
+            if name in _CLOSES_P and stack and any(t[0] == "p" for t in stack):
+                k = max(i for i, t in enumerate(stack) if t[0] == "p")
+                if not any(t[0] in _BLOCK for t in stack[k + 1 :]):
                     del stack[k:]
             if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
@@ -161,15 +187,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
             buf.append(" ")
         if name in _VOID or m.group(3).endswith("/"):
             continue
-        opened = _zone_of(name, m.group(3), zone == ARTICLE)
+        opened, lets = _zone_of(name, m.group(3), zone == ARTICLE)
+        shut = stack[-1][2] if stack else ANY
         inside = zone
         if opened == MARKED:
             inside = MARKED
-        elif opened == ARTICLE and (zone != MARKED or not any(t in ("aside", "div", "section") for t, z in stack if z == MARKED)):
+        elif opened == ARTICLE and (shut == ANY or shut == MAIN and name == "main"):
             inside = ARTICLE
+            shut = ANY
         if inside != zone:
             flush()
-        stack.append((name, inside))
+        stack.append((name, inside, max(shut, lets)))
         zone = inside
     flush()
     return out

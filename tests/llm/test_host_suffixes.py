@@ -104,3 +104,22 @@ def test_a_run_needs_its_share_of_the_pages(spark):
     phrase = "as far as anyone here can tell"
     pages = [(k, f"http://p.com/{k}", f"<p>In {k} it was so, {phrase if k < 2 else 'and'} more{k}</p><p>Share this</p>") for k in range(10)]
     assert texts(spark, pages) == {k: f"In {k} it was so, {phrase if k < 2 else 'and'} more{k}" for k in range(10)}
+
+
+def test_layout_classes_mark_nothing():
+    kept = [
+        "<div class='{}'><article><p>text</p></article></div>".format(c)
+        for c in ("layout has-sidebar", "menu-open", "nav-fixed", "no-comments", "widget-layout", "toolbar", "cookie-notice", "modal")
+    ]
+    kept += ["<div class='{}'><p>text</p></div>".format(c) for c in ("layout has-sidebar", "menu-open", "nav-fixed", "no-comments", "page no_ads")]
+    kept += [
+        "<article class='post comments-open'><p>text</p></article>", "<body class='comments'><p>text</p></body>",
+        "<div class=sidebar><main><p>text</p></main></div>", "<section class='menu'><div><article>text</article></div></section>",
+    ]
+    for page in kept:
+        assert [t for z, t in S.blocks(page) if z != S.MARKED] == ["text"], page
+    gone = ["<{0}><article>text</article></{0}>".format(t) for t in ("aside", "footer", "div class=related", "div id='comments'", "div hidden")]
+    gone += ["<div class='{}'>text</div>".format(c) for c in ("cookie-notice", "sidebar", "Site-Footer", "left sidebar-left", "nav", "comment-list")]
+    gone += ["<article class=comment>text</article>", "<aside><main>text</main></aside>", "<article><div class=comments><article>text</article></div></article>"]
+    for page in gone:
+        assert S.blocks(page) == [(S.MARKED, "text")], page
