@@ -15,7 +15,7 @@ where they repeat: a mirrored or quoted article is no template.
 Pages of a host with equal words outside marked blocks are copies of one page and count once, so
 an article that is stored or mirrored under many ids and urls is no repeat.
 
-The groups are found by an aggregate over (host, prefix) hashes with map-side partial results, so
+The groups are found by an aggregate over (host, prefix) words with map-side partial results, so
 a host with a third of all pages needs no task of its own.
 
 Null, empty and text-less pages give an empty text.  Entities are decoded; white space inside a
@@ -40,7 +40,6 @@ RUN = 6  # words of the shortest repeated run inside a block
 SHARE = 0.3  # of a host's distinct pages that a repeated run is on
 SHORT_PAGES = 3  # distinct pages, at least, that a repeated block of under RUN words is on
 SALTS = 64  # rows of a host in the join of its page count
-UNIQUE = 10  # words of the shortest unique plain run kept beside an article
 
 ARTICLE, MARKED, PLAIN = 0, 1, 2
 
@@ -207,11 +206,8 @@ def main_text(found: list[tuple[int, str]], starts: set[int], run: int = RUN) ->
     """Article blocks, and the unique runs of plain blocks.
 
     ``starts`` holds the positions, in the stream of words outside articles, where repeated runs
-    of ``run`` words or to the end of a shorter block begin.  Beside an article, a unique run needs
-    ``UNIQUE`` words.
+    of ``run`` words or to the end of a shorter block begin.
     """
-    has_article = any(z == ARTICLE for z, _ in found)
-    least = UNIQUE if has_article else 1
     out, at = [], 0
     for zone, text in found:
         if zone == ARTICLE:
@@ -225,7 +221,7 @@ def main_text(found: list[tuple[int, str]], starts: set[int], run: int = RUN) ->
                 if w is not None and k not in covered:
                     left.append(w)
                     continue
-                if len(left) >= least:
+                if left:
                     out.append(" ".join(left))
                 left = []
         at += len(words)
@@ -239,19 +235,19 @@ def _signed(data: bytes) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-def suffix_keys(host: bytes, found: list[tuple[int, str]], run: int) -> list[tuple[int, int, bool]]:
+def suffix_keys(found: list[tuple[int, str]], run: int) -> list[tuple[str, int, bool]]:
     """(key, place, short) of every suffix of the stream outside articles that is ``run`` words or
-    a whole shorter block long; the key is a hash of host and the first ``run`` words.  No suffix
-    reaches into the next block."""
-    head, out, at = host + b"\0", [], 0
+    a whole shorter block long; the key is its first ``run`` words.  No suffix reaches into the
+    next block."""
+    out, at = [], 0
     for zone, text in found:
         if zone == ARTICLE:
             continue
-        words = text.encode().split(b" ")
+        words = text.split(" ")
         if len(words) < run:
-            out.append((_signed(head + b"\0" + text.encode()), at, True))
+            out.append((text, at, True))
         else:
-            out += [(_signed(head + b" ".join(words[i : i + run])), at + i, False) for i in range(len(words) - run + 1)]
+            out += [(" ".join(words[i : i + run]), at + i, False) for i in range(len(words) - run + 1)]
         at += len(words)
     return out
 
@@ -275,8 +271,8 @@ def _suffix_rows(run: int):
             for ident, url, html in zip(*[c.to_pylist() for c in batch.columns]):
                 found = blocks(html or "")
                 name = host_and_path((url or "").encode())[0]
-                got = [(None, -1, False), *suffix_keys(name, found, run)]
-                fixed = (_signed(name), copy_key(name, found), ident, any(z == PLAIN for z, _ in found))
+                got = [(None, -1, False), *suffix_keys(found, run)]
+                fixed = (name, copy_key(name, found), ident, any(z == PLAIN for z, _ in found))
                 for column, value in zip(out, fixed):
                     column += [value] * len(got)
                 for column, values in zip(out[len(fixed) :], zip(*got)):
@@ -290,13 +286,13 @@ def _suffix_rows(run: int):
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_()]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_SUFFIX.names)
 
 
 _SUFFIX = T.StructType(
-    [T.StructField("host", T.LongType()), T.StructField("copy", T.LongType()), T.StructField("ident", T.LongType()), T.StructField("plain", T.BooleanType())]
-    + [T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("short", T.BooleanType())]
+    [T.StructField("host", T.BinaryType()), T.StructField("copy", T.LongType()), T.StructField("ident", T.LongType()), T.StructField("plain", T.BooleanType())]
+    + [T.StructField("key", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("short", T.BooleanType())]
 )
 _TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("open", T.BooleanType())])
 
@@ -330,9 +326,9 @@ def page_texts(pages: DataFrame, run: int = RUN, id_col: str = "page_id", url_co
     met, _ = written(pages.sparkSession, met.where("n > 1 or key is null"), "host_suffixes")
     hosts = met.where("key is null").select("host", F.col("n").alias("n_pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     least = F.greatest(F.when(F.col("short"), SHORT_PAGES).otherwise(2), F.ceil(F.col("n_pages") * SHARE))
-    repeated = met.where("key is not null").withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"]).where(F.col("n") >= least).select("key")
+    repeated = met.where("key is not null").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"]).where(F.col("n") >= least).select("host", "key")
     places = (
-        rows.where("plain and key is not null").dropDuplicates(["ident", "place"]).join(repeated, "key")
+        rows.where("plain and key is not null").dropDuplicates(["ident", "place"]).join(repeated, ["host", "key"])
         .groupBy("ident").agg(F.sort_array(F.collect_list("place")).alias("places"))  # at most a page's words
     )
     undecided = _open_pages(src, id_col, url_col).withColumn("ident", ident).join(places, "ident", "left")

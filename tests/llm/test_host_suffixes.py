@@ -123,3 +123,9 @@ def test_layout_classes_mark_nothing():
     gone += ["<article class=comment>text</article>", "<aside><main>text</main></aside>", "<article><div class=comments><article>text</article></div></article>"]
     for page in gone:
         assert S.blocks(page) == [(S.MARKED, "text")], page
+
+
+def test_short_plain_text_beside_an_article_stays(spark):
+    page = "<nav>Home</nav><div>By author {0}</div><article><p>Text {0}</p></article><p>" + FOOT + "</p>"
+    pages = [(k, f"http://s.com/{k}", page.format(k)) for k in range(4)]
+    assert texts(spark, pages) == {k: f"By author {k}\n\nText {k}" for k in range(4)}
