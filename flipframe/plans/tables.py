@@ -16,7 +16,7 @@ whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipframe.session import scratch_table
@@ -60,7 +60,26 @@ PAIRED_SQL = """paired_src AS (
 
 
 # --- pair table and candidates from conversations ---------------------------------------------
-TURNS = 1 << 20  # paired_id = conv_id * TURNS + turn of the user text
+TURNS = 1 << 20  # paired_id = conv_id * TURNS + turn of the user text, while turn < TURNS
+
+
+def pair_key(conv_id: Column, turn: Column) -> Column:
+    """One BIGINT for (conv_id, turn), different for different pairs of any size.
+
+    Turns below ``TURNS`` of conversations 0 .. 2^43 - 1 get conv_id * TURNS + turn.  All others get
+    a negative number from Cantor's pairing of the two, so the later turns of a long conversation meet
+    no id of the next one; what 64 bits can't number is an error, never a shared id.
+    """
+    conv_id, turn = conv_id.cast("long"), turn.cast("long")
+    small = turn.between(0, TURNS - 1) & conv_id.between(0, (1 << 43) - 1)
+    numbered = lambda x: x.between(-(1 << 30), (1 << 30) - 1)
+    natural = lambda x: F.when(x < 0, -2 * x - 1).otherwise(2 * x)
+    total = natural(conv_id) + natural(turn)
+    odd = total % 2
+    triangle = F.shiftright(total + odd, 1) * (total + 1 - odd)
+    return (F.when(small, conv_id * TURNS + turn)
+            .when(numbered(conv_id) & numbered(turn), -1 - triangle - natural(turn))
+            .otherwise(F.raise_error(F.concat_ws(" ", F.lit("no pair id for conversation and turn"), conv_id, turn)).cast("long")))
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str, n: int = N_CANDIDATES) -> tuple[DataFrame, DataFrame]:
@@ -79,15 +98,14 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, n: int = N_CANDIDATES)
     reply = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("counterfactual"))
     pairs = scratch_table(user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * TURNS + F.col("turn")).alias("paired_id"), "example", (F.col("conv_id") % 2).cast("int").alias("label_ex"),
+        "conv_id", pair_key(F.col("conv_id"), F.col("turn")).alias("paired_id"), "example", (F.col("conv_id") % 2).cast("int").alias("label_ex"),
         "counterfactual", (1 - F.col("conv_id") % 2).cast("int").alias("label_counter"), (F.col("turn") + 1).alias("cf_turn")), "pairs")
-    conv_id = ((F.col("paired_id") - (F.col("cf_turn") - 1)) / TURNS).cast("long")
-    slots = pairs.select("paired_id", conv_id.alias("conv_id"), "cf_turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+    slots = pairs.select("paired_id", "conv_id", "cf_turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
     later = conv.select("conv_id", "turn", F.col("text").alias("generated"))
     cands = scratch_table(slots.withColumn("turn", F.col("cf_turn") + 1 + F.col("idx"))
                           .join(later, on=["conv_id", "turn"], how="left")
                           .select("paired_id", F.col("idx").cast("int").alias("idx"), "generated"), "candidates")
-    return pairs, cands
+    return pairs.drop("conv_id"), cands
 
 
 def PAIRS_SQL(n: int = N_CANDIDATES) -> str:
