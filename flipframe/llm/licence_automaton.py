@@ -153,10 +153,20 @@ class LicenceScanner:
             matches.append((len(words) - run, run, v, len(words)))
         return places, matches
 
-    def chains(self, matches: Sequence[tuple[int, int, int, int]]) -> dict[int, tuple[int, int, int]]:
-        """Best chain per template: covered template tokens, first and last text word."""
+    def chains(self, matches: Sequence[tuple[int, int, int, int]]) -> tuple[float, list[tuple[int, int, int, float]]]:
+        """Largest share of a template that a chain covers, and every chain that covers
+        ``MIN_COVER`` of one, in text order: first and last text word, template, share."""
         open_: dict[int, list[int]] = {}  # template: covered, text begin, text end, template end
-        best: dict[int, tuple[int, int, int]] = {}
+        most, spans = 0.0, []
+
+        def close(k: int) -> None:
+            nonlocal most
+            cover, first, end, _ = open_[k]
+            share = cover / self.template_size[k]
+            most = max(most, share)
+            if share >= MIN_COVER:
+                spans.append((first, end, k, share))
+
         for start, run, v, end in matches:
             seen = set()
             for k, e in self.ends[v]:
@@ -170,24 +180,23 @@ class LicenceScanner:
                     continue
                 else:
                     new = [run, start, end, e]
+                    if cur:
+                        close(k)
                 seen.add(k)
                 open_[k] = new
-                if new[0] > best.get(k, (0,))[0]:
-                    best[k] = (new[0], new[1], end)
-        return best
+        for k in open_:
+            close(k)
+        return most, sorted(spans)
 
     def judge(self, text: bytes | None) -> dict:
         words = ascii_words(text)
         places, matches = self.scan(words)
         base = sorted({self.phrase_label[k] for k, _ in places})
         starts = [s for _, s in places]
-        score, added, spans = (1.0 if places else 0.0), set(), []
-        for k, (cover, first, end) in sorted(self.chains(matches).items()):
-            share = cover / self.template_size[k]
-            score = max(score, share)
-            if share >= MIN_COVER:
-                added.add(self.template_label[k])
-                spans.append({"label": self.template_label[k], "start": first, "end": end, "share": share})
+        most, covered = self.chains(matches)
+        score = max(1.0 if places else 0.0, most)
+        added = {self.template_label[k] for _, _, k, _ in covered}
+        spans = [{"label": self.template_label[k], "start": first, "end": end, "share": share} for first, end, k, share in covered]
         return {
             "n_words": len(words), "n_base": len(places),
             "first_word": min(starts, default=None), "last_word": max(starts, default=None),
@@ -208,7 +217,8 @@ def licence_scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, n_base (all phrase places), first_word and last_word (their
     smallest and largest start), base_labels, labels (with those of covered templates), score
-    (1 with a phrase, else the best share of a template that a chain covers), spans."""
+    (1 with a phrase, else the best share of a template that a chain covers), spans (every covered
+    notice, in text order)."""
     ready(docs.sparkSession)
     phrases, templates = tuple(phrases), tuple(templates)
 

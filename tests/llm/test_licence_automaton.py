@@ -74,3 +74,18 @@ def test_awkward_rows(spark):
     assert len(rows) == len(texts)
     check(rows, texts)
     assert L.licence_scan(docs_of(spark, [])).count() == 0
+
+
+def test_every_copy_of_a_notice_is_a_span(spark):
+    scan = L.LicenceScanner(L.PHRASES, L.TEMPLATES)
+    for label, text in L.TEMPLATES:
+        n = len(words(text))
+        apart = scan.judge(f"one {text} two {text.lower()} three {text}".encode())
+        assert [(x["start"], x["end"], x["share"]) for x in apart["spans"] if x["label"] == label] == [(k * (n + 1) + 1, (k + 1) * (n + 1), 1.0) for k in range(3)]
+        joined = scan.judge(f"{text} {text} {text}".encode())
+        assert [(x["start"], x["end"]) for x in joined["spans"] if x["label"] == label] == [(k * n, (k + 1) * n) for k in range(3)]
+        assert joined["labels"] == scan.judge(text.encode())["labels"] and joined["score"] == 1.0
+    isc, mpl = dict(L.TEMPLATES)["isc"], dict(L.TEMPLATES)["mpl"]
+    edited = isc.replace("any purpose", "each and every purpose")
+    rows = L.licence_scan(docs_of(spark, [f"{isc} {mpl} {edited} code code {mpl} {isc}", "no notice here"])).collect()
+    assert [x["label"] for x in rows[0].spans] == ["isc", "mpl", "isc", "mpl", "isc"] and rows[1].spans == []
