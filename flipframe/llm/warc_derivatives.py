@@ -2,10 +2,10 @@
 
 Every ``response`` record yields a ``metadata`` record (application/warc-fields: status, source
 headers, title, language, out-links) and, when its payload is HTML or plain text, a
-``conversion`` record (text/plain).  Both name their source: WARC-Refers-To holds the response's
-record id, the target URI and date are the response's, and the source's own header lines and
-payload digest travel along unchanged.  Record ids are derived from the source id and the type,
-so a rerun gives the same archive.
+``conversion`` record (text/plain).  Each source header line is one ``source-header`` field of the
+metadata record.  Both name their source: WARC-Refers-To holds the response's record id, the target
+URI and date are the response's, and the source's own header lines and payload digest travel along
+unchanged.  Record ids are derived from the source id and the type, so a rerun gives the same archive.
 
 Rows that are no ``response``, or have no record id, derive nothing.  A null or empty block is a
 response without HTTP headers or payload: it gives a metadata record only.  Repeated responses
@@ -112,7 +112,8 @@ def derive_one(ident: str, uri: str, date: str, headers: str, block: bytes) -> I
     """The derived records of one response."""
     status, lines, payload = split_http(block)
     source = {"refers_to": ident, "target_uri": uri, "warc_date": date, "source_digest": digest(payload)}
-    source["source_headers"] = "\r\n".join([x for x in headers.split("\r\n") if x] + lines)
+    kept = [x for x in headers.split("\r\n") if x] + lines
+    source["source_headers"] = "\r\n".join(kept)
     kind = _field(lines, "content-type").split(";")[0].strip().lower()
     charset = re.search(r"charset=[\"']?([\w-]+)", _field(lines, "content-type"), re.I)
     try:
@@ -129,6 +130,7 @@ def derive_one(ident: str, uri: str, date: str, headers: str, block: bytes) -> I
         plain = "\n".join(t for _, t in blocks(text))
     elif kind == "text/plain":
         plain = text
+    fields += [("source-header", re.sub(r"\r\n|\r|\n", "\r\n ", x)) for x in kept]  # a stray line end is folded
     made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields))]
     if payload and plain is not None:
         made.append(("conversion", "text/plain; charset=utf-8", plain))

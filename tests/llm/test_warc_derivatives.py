@@ -74,3 +74,17 @@ def test_null_pages(spark):
     df = spark.createDataFrame([(None, None, None), (1, "u", "")], "page_id long, url string, html string")
     got = W.derivatives(W.page_responses(df)).collect()
     assert [r.warc_type for r in got] == ["metadata"] * 2
+
+
+def test_metadata_bytes_hold_every_source_header(spark):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nServer: s/1 (x: y)\r\nLast-Modified: Mon\r\nX: a\nb\r\nServer: two\r\n\r\n<a href='u'>t</a>"
+    rows = [response(1, block, headers="X-Own: 1\r\nX-Two: 2"), response(2, None, headers=None)]
+    made = {(r.page_id, r.warc_type): bytes(r.record) for r in W.record_bytes(W.derivatives(spark.createDataFrame(rows, SCHEMA))).collect()}
+    head, _, rest = made[1, "metadata"].partition(b"\r\n\r\n")
+    lines = rest.decode().split("\r\n")
+    assert [x[15:] for x in lines if x.startswith("source-header: ")] == [
+        "X-Own: 1", "X-Two: 2", "Content-Type: text/html", "Server: s/1 (x: y)", "Last-Modified: Mon", "X: a", "Server: two",
+    ]
+    assert lines[lines.index("source-header: X: a") + 1] == " b" and "outlink: u" in lines
+    assert f"Content-Length: {len(rest) - 4}".encode() in head.split(b"\r\n")
+    assert b"source-header" not in made[2, "metadata"] and b"source-header" not in made[1, "conversion"]
