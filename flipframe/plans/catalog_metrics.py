@@ -22,7 +22,7 @@ from flipframe.plans import tables as TB
 from flipframe.plans.catalog_io import (_COMPLETE_SQL, TOK_SQL, W, hash_sql, kfold_sql, nli_prompt_sql, ntok_sql, sentiment_prompt_sql, sq,
                                         strip_html_sql, tokens_sql, trunc_sql, words_sql)
 from flipframe.plans.registry import query
-from flipframe.session import scratch_path, scratch_table
+from flipframe.session import scratch_path, scratch_table, shuffle_partitions
 from flipframe.sources import files as IO
 
 N = TB.N_CANDIDATES
@@ -205,6 +205,18 @@ def token_edit_distance(spark, d):
     return out.select("seed_id", "cand_id", "distance", D.normalised_distance(F.col("distance"), F.col("a")).alias("normalised"))
 
 
+@query("token_edit_distance_candidates", doubles=["normalised"])
+def token_edit_distance_candidates(spark, d):
+    """T5 over the kept pairs of all conversations: token edit distance of each candidate to its
+    example, / example tokens (tested against brute force)."""
+    _, kc = _kept(spark, d)
+    # spread by pair before the distances, as in the suite
+    kc = kc.select("paired_id", "idx", "example", "generated").repartition(shuffle_partitions(spark), "paired_id", "idx")
+    p = kc.select("paired_id", "idx", word_tokens("example").alias("a"), word_tokens("generated").alias("b"))
+    out = D.with_token_edit_distance(p, "a", "b", "distance")
+    return out.select("paired_id", "idx", "distance", D.normalised_distance(F.col("distance"), F.col("a")).alias("normalised"))
+
+
 def token_lev_sql(a: str, b: str, indel: int = 1) -> str:
     """Token-level edit distance of two lists in DuckDB (substitution 1, insert/delete ``indel``):
     one DP row per token of ``a``, built with nested ``list_reduce``."""
@@ -953,7 +965,20 @@ def generate_nli(spark, d):
 def eval_suite_nli(spark, d):
     """T7 for NLI: label flip of generated candidates against the counter label, BLEU family, token and
     tree distance to the task's own original side, self-BLEU."""
-    rows = scratch_table(TB.nli_short(spark, d), "nli")
+    return _nli_suite(TB.nli_short(spark, d))
+
+
+@query("eval_suite_nli_documents", doubles=["value"])
+def eval_suite_nli_documents(spark, d):
+    """The same over all premise and hypothesis rows of the documents, as in generate_nli (tested
+    against brute force)."""
+    # a document has a row in both tasks, so the row id alone names two rows
+    rows = TB.nli_pairs(spark, d)
+    return _nli_suite(rows.withColumn("rid", F.col("rid") * 2 + (F.col("task") == "RH").cast("long")))
+
+
+def _nli_suite(rows):
+    rows = scratch_table(rows, "nli")
     cands = scratch_table(_nli_generated(rows), "nli-candidates").withColumn("gen_trees", _line_trees("generated"))
     side = F.when(F.col("task") == "RP", F.col("original_prem")).otherwise(F.col("original_hyp"))
     rows = rows.withColumn("_side", side).withColumn("ref_trees", _line_trees("_side")).drop("_side")
