@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from flipframe.llm import (
     bpe_automaton,
+    butterfly_manifest,
     byte_shards,
     covering_simhash,
     grid_order_join,
@@ -67,12 +68,17 @@ def op10_embedding_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_order_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof digest of every document, and the check against sampled tampering."""
+    return butterfly_manifest.checked_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_gam, op2_html_host_suffixes, op3_url_shift_and, op4_shard_prefix_sums, op5_warc_derivatives,
         op6_decontaminate_wu_manber, op7_licence_suffix_automaton, op8_bpe_transducer, op9_simhash_covering,
-        op10_embedding_grid_order,
+        op10_embedding_grid_order, op13_merkle_butterfly,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -119,6 +125,50 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id) AS n_links, componen
 FROM embeddings JOIN comp ON x = vec_id
 """
 
-ORACLES: dict[str, str] = {"op3_url_shift_and": _OP3, "op6_decontaminate_wu_manber": _OP6, "op10_embedding_grid_order": _OP10}
+_TREE_LEVELS = (5, 4)  # levels that the SQL spells out below and above the subroots: 16**5 leaves, 16**4 sources
+
+
+def _tree_sql(nodes: str, levels: int, tag: str) -> str:
+    """CTEs that fold ``nodes`` (grp, idx, h) by 16: {tag}s0.. with left and right siblings per level, and {tag}n{levels}."""
+    out = [f"{tag}n0 AS (SELECT grp, idx, h FROM {nodes})"]
+    for k in range(levels):
+        near = "PARTITION BY grp, idx // 16 ORDER BY idx ROWS BETWEEN"
+        out.append(f"""{tag}s{k} AS (SELECT grp, idx, h, count(*) OVER (PARTITION BY grp) AS c,
+  coalesce(string_agg(h, '') OVER ({near} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER ({near} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tag}n{k})""")
+        out.append(f"""{tag}n{k + 1} AS (SELECT grp, idx // 16 AS idx, CASE WHEN max(c) > 1 THEN sha256(string_agg(h, '' ORDER BY idx)) ELSE min(h) END AS h
+  FROM {tag}s{k} GROUP BY grp, idx // 16)""")
+    return ",\n".join(out)
+
+
+def _climb_sql(start: str, levels: int, tag: str) -> str:
+    """CTEs that carry ``start`` (grp, idx, acc, proof, ...) up the levels: {tag}c{levels}."""
+    out = [f"{tag}c0 AS (SELECT * FROM {start})"]
+    for k in range(levels):
+        out.append(f"""{tag}c{k + 1} AS (SELECT c.* REPLACE (c.idx // 16 AS idx, CASE WHEN s.c > 1 THEN sha256(s.l || c.acc || s.r) ELSE c.acc END AS acc,
+  CASE WHEN s.c > 1 THEN c.proof || s.l || s.r ELSE c.proof END AS proof) FROM {tag}c{k} c JOIN {tag}s{k} s ON s.grp = c.grp AND s.idx = c.idx)""")
+    return ",\n".join(out)
+
+
+_LEAF = " || ".join(
+    f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f}::VARCHAR))::VARCHAR || ':' || {f}::VARCHAR END"
+    for f in ("doc_id", "source", "lang", "n_chars", "{text}")
+)
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS grp, sha256({_LEAF.format(text="text")}) AS leaf, sha256({_LEAF.format(text="low")}) AS claimed
+  FROM (SELECT *, CASE WHEN {_CRC32} % 5 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS low FROM documents)),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS h FROM d),
+{_tree_sql("p", _TREE_LEVELS[0], "a")},
+{_climb_sql("(SELECT doc_id, grp, idx, leaf, claimed AS acc, '' AS proof FROM p)", _TREE_LEVELS[0], "a")},
+top AS (SELECT '' AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, h, grp AS source FROM an{_TREE_LEVELS[0]}),
+{_tree_sql("top", _TREE_LEVELS[1], "b")},
+{_climb_sql(f"(SELECT a.doc_id, t.grp, t.idx, a.leaf, t.h AS subroot, a.acc, a.proof FROM ac{_TREE_LEVELS[0]} a JOIN top t ON t.source = a.grp)", _TREE_LEVELS[1], "b")}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = r.h AS verified FROM bc{_TREE_LEVELS[1]} JOIN bn{_TREE_LEVELS[1]} r ON true
+"""
+
+ORACLES: dict[str, str] = {"op3_url_shift_and": _OP3, "op6_decontaminate_wu_manber": _OP6, "op10_embedding_grid_order": _OP10, "op13_merkle_butterfly": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
