@@ -15,7 +15,9 @@ from flipframe.llm import (
     covering_simhash,
     grid_order_join,
     host_suffixes,
+    interval_search,
     licence_automaton,
+    pruned_graph,
     quality_gam,
     url_automaton,
     warc_derivatives,
@@ -68,6 +70,17 @@ def op10_embedding_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_order_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every row whose vec_id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return pruned_graph.nearest_vectors(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op12_interval_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return interval_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof digest of every document, and the check against sampled tampering."""
     return butterfly_manifest.checked_manifest(table(spark, sf_dir, "documents"))
@@ -78,7 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_gam, op2_html_host_suffixes, op3_url_shift_and, op4_shard_prefix_sums, op5_warc_derivatives,
         op6_decontaminate_wu_manber, op7_licence_suffix_automaton, op8_bpe_transducer, op9_simhash_covering,
-        op10_embedding_grid_order, op13_merkle_butterfly,
+        op10_embedding_grid_order, op11_pruned_graph, op12_interval_search,
+        op13_merkle_butterfly,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -125,6 +139,19 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id) AS n_links, componen
 FROM embeddings JOIN comp ON x = vec_id
 """
 
+_OP12 = f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_WORDS}) AS w FROM benchmark),
+asked AS (SELECT q, item_id, unnest(w) AS term FROM item),
+n AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM doc WHERE len(w) > 0),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM doc) WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, n GROUP BY term, n_docs),
+part AS (SELECT rid, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * n_docs) // n_terms)) AS f FROM tf JOIN doc USING (rid), n),
+score AS (SELECT q, item_id, rid, CAST(sum(w * f) AS BIGINT) AS score FROM asked JOIN part USING (term) JOIN wt USING (term) GROUP BY q, item_id, rid)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score
+FROM score JOIN doc USING (rid) WHERE score > 0 QUALIFY rank <= 10
+"""
+
 _TREE_LEVELS = (5, 4)  # levels that the SQL spells out below and above the subroots: 16**5 leaves, 16**4 sources
 
 
@@ -169,6 +196,6 @@ top AS (SELECT '' AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS idx, h
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = r.h AS verified FROM bc{_TREE_LEVELS[1]} JOIN bn{_TREE_LEVELS[1]} r ON true
 """
 
-ORACLES: dict[str, str] = {"op3_url_shift_and": _OP3, "op6_decontaminate_wu_manber": _OP6, "op10_embedding_grid_order": _OP10, "op13_merkle_butterfly": _OP13}
+ORACLES: dict[str, str] = {"op3_url_shift_and": _OP3, "op6_decontaminate_wu_manber": _OP6, "op10_embedding_grid_order": _OP10, "op12_interval_search": _OP12, "op13_merkle_butterfly": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
