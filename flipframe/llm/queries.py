@@ -148,7 +148,7 @@ tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest
 wt AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, n GROUP BY term, n_docs),
 part AS (SELECT rid, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * n_docs) // n_terms)) AS f FROM tf JOIN doc USING (rid), n),
 score AS (SELECT q, item_id, rid, CAST(sum(w * f) AS BIGINT) AS score FROM asked JOIN part USING (term) JOIN wt USING (term) GROUP BY q, item_id, rid)
-SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
 FROM score JOIN doc USING (rid) WHERE score > 0 QUALIFY rank <= 10
 """
 
