@@ -79,7 +79,7 @@ def trunc_sql(c: str) -> str:
 @query("tsv_round_trip", sql=f"SELECT doc_id, {na_sql('text')} AS text, {na_sql('lang')} AS lang, "
                              f"{na_sql('source')} AS source FROM documents")
 def tsv_round_trip(spark, d):
-    """Documents -> header TSV (quoted newlines/tabs) -> typed scan with null tokens, landed."""
+    """Documents -> header TSV (quoted newlines/tabs) -> split-wise typed scan with null tokens, landed."""
     docs = TB.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     path = scratch_path(spark, "tsv")
     IO.write_tsv(docs, path)
@@ -159,7 +159,7 @@ def multi_file_runs(spark, d):
         .option("quote", '"').option("escape", '"').csv(root)
     names = [f"gpt2@prompt-{i + 1}@fold-0" for i in range(N)] + ["baseline"]
     df = IO.read_runs(spark, [f"{root}/run={n}" for n in names], "paired_id long, generated string")
-    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]+)/[^/]+$", 1))
+    df = df.withColumn("run", F.regexp_extract("file_path", r"/run=([^/]+)/[^/]+$", 1))
     df = df.withColumn("run", F.expr("url_decode(run)"))
     prompt, fold = IO.parse_run_name(F.col("run"))
     return (df.groupBy("run").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("generated").isNull()).alias("n_null"))

@@ -1,13 +1,14 @@
 """Scans and sinks: TSV/CSV with explicit schemas, headerless text, folder-labelled files,
 multi-file runs, fold store, metrics table, feature cache.
 
-TSV with embedded newlines needs ``multiLine`` which makes a file one task: such files are
-landed once as parquet (``land_parquet``) and every later stage reads the columnar copy, where
-predicate pushdown and column pruning apply.
+Delimited files whose quoted fields hold line ends are read in splits (``sources/quoted.py``).  What is
+read more than once is landed as parquet (``land_parquet``), where predicate pushdown and column
+pruning apply.
 """
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 from collections.abc import Sequence
@@ -17,7 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from flipframe.functions.text import NA_TOKENS, null_tokens_to_null
+from flipframe.sources.quoted import read_quoted, records
 
+#: What from_csv needs beside the separator: an empty field is null, a quoted empty one is a text.
+FIELD_OPTIONS = {"nullValue": "\u0000null\u0000", "emptyValue": ""}
+#: For the streaming source, which has only Spark's own reader.
 TSV_OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true",
                "nullValue": "\u0000null\u0000", "emptyValue": ""}
 
@@ -28,7 +33,7 @@ def read_tsv(spark: SparkSession, path, schema: StructType | str, na_tokens: Seq
     Spark keeps ``NA``/``NaN``/... as text; what pandas would read as missing is nulled
     explicitly for the string columns (``na_tokens=None`` keeps the raw text).
     """
-    df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(path)
+    df = read_quoted(spark, path, schema, "\t", options=FIELD_OPTIONS)
     if na_tokens is None:
         return df
     for f in df.schema.fields:
@@ -50,10 +55,12 @@ def land_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame
 
 
 def read_csv_column(spark: SparkSession, path, column: str, schema: StructType | str | None = None) -> DataFrame:
-    """Comma CSV with header, one column projected (pruned before any further work)."""
-    r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-    r = r.schema(schema) if schema is not None else r
-    return r.csv(path).select(column)
+    """Comma CSV with header, one column projected; without a schema, the header names text columns."""
+    if schema is None:
+        head = records(spark, path, ",").where("first").select("record").first()
+        names = next(csv.reader([head.record])) if head else [column]
+        schema = ", ".join(f"`{n}` string" for n in names)
+    return read_quoted(spark, path, schema, ",").select(column)
 
 
 def write_lines(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> None:
@@ -62,8 +69,8 @@ def write_lines(df: DataFrame, col: str, path: str, mode: str = "overwrite") ->
 
 
 def read_lines(spark: SparkSession, path, col: str = "text") -> DataFrame:
-    return (spark.read.schema(f"{col} string").option("header", "false").option("multiLine", "true")
-            .option("quote", '"').option("escape", '"').csv(path))
+    """Headerless one-text-per-record scan, the inverse of :func:`write_lines`."""
+    return read_quoted(spark, path, f"`{col}` string", ",", header=False)
 
 
 def read_text_corpus(spark: SparkSession, path) -> DataFrame:
@@ -93,9 +100,9 @@ def read_folder_labelled(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:
-    """Several candidate files in one scan; ``file_name`` says which run each row came from."""
-    df = spark.read.schema(schema).options(**TSV_OPTIONS).csv(list(paths))
-    return df.withColumn("file_name", F.col("_metadata.file_name"))
+    """Several candidate files in one scan; ``file_path`` and ``file_name`` say which run each row came from."""
+    df = read_quoted(spark, paths, schema, "\t", options=FIELD_OPTIONS, file_col="file_path")
+    return df.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
 
 
 def parse_run_name(name_col) -> tuple:
