@@ -1,9 +1,3 @@
 """Importing this module registers every query of the catalogue."""
 
-from flipframe.plans import catalog_io  # noqa: F401
-
-try:  # the second half is optional while it is being built
-    from flipframe.plans import catalog_metrics  # noqa: F401
-except ImportError as _e:  # pragma: no cover
-    if "catalog_metrics" not in str(_e):
-        raise
+from flipframe.plans import catalog_io, catalog_learn, catalog_metrics  # noqa: F401
