@@ -1,10 +1,11 @@
-"""Queries over trained models: classifier epochs, their sweep, originals against augmented sets."""
+"""Queries over trained models: classifier epochs, their sweep, originals against augmented sets, decoding."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from flipframe.operators import candidates as C
+from flipframe.operators import decoding as DE
 from flipframe.operators import epochs as E
 from flipframe.operators import metrics as M
 from flipframe.plans import tables as TB
@@ -129,3 +130,84 @@ def cat_train_epochs(spark, d):
     top = next(e for e in epochs if e["best"])
     return p.agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("test_accuracy")).select(
         F.lit(top["epoch"]).cast("long").alias("epoch"), F.lit(top["accuracy"]).alias("val_accuracy"), "test_accuracy")
+
+
+# --- M3: decoding ---------------------------------------------------------------------------------
+
+_BEAM = DE.Decoding(n=2, beams=2, min_length=3, no_repeat_ngram=2, penalty=1.2, top_k=8, top_p=0.9)
+_DRAW = DE.Decoding(n=2, min_length=3, no_repeat_ngram=2, top_k=8, top_p=0.9, seed="draw")
+_LONGEST = 6  # generated tokens of a query's text
+
+
+def _next_sql(s: DE.Decoding) -> list[str]:
+    """CTEs of the next-token table ``nx`` over the counterfactuals of each class, and the prompts ``pm``."""
+    return [
+        TB.PAIRS_SQL(),
+        f"tk AS (SELECT label_counter AS label, list_concat(['<s>'], {tokens_sql('counterfactual')}, ['</s>']) AS t FROM pairs WHERE counterfactual IS NOT NULL)",
+        "pq AS (SELECT label, t[i] AS prev, t[i + 1] AS token FROM (SELECT label, t, unnest(range(1, len(t))) AS i FROM tk) z)",
+        "sc AS (SELECT label, prev, token, CAST(count(*) AS BIGINT) AS c FROM pq GROUP BY ALL)",
+        "tt AS (SELECT label, prev, sum(c) AS total FROM sc GROUP BY ALL)",
+        f"tp AS (SELECT *, row_number() OVER (PARTITION BY label, prev ORDER BY c DESC, token) AS nth FROM sc QUALIFY nth <= {s.top_k})",
+        "hd AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY label, prev ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, "
+        "sum(c) OVER (PARTITION BY label, prev) AS al FROM tp)",
+        f"nx AS MATERIALIZED (SELECT h.label, h.prev, CAST(t.total AS DOUBLE) AS total, list(struct_pack(token := token, c := c) ORDER BY nth) AS succ "
+        f"FROM hd h JOIN tt t ON t.label = h.label AND t.prev = h.prev WHERE bf < {s.top_p}::DOUBLE * al GROUP BY h.label, h.prev, t.total)",
+        f"pb AS (SELECT paired_id AS id, label_counter AS label, {tokens_sql("coalesce(example, '')")} AS t FROM pairs)",
+        f"pc AS (SELECT id, label, t[1:2] AS seed, least(2 * len(t), {_LONGEST}) AS budget, CASE WHEN len(t) > 0 THEN t[1:2][-1] ELSE '<s>' END AS lt FROM pb)",
+        "pm AS MATERIALIZED (SELECT p.id, p.label, p.seed, p.budget, CASE WHEN n.prev IS NULL THEN '<s>' ELSE p.lt END AS prev FROM pc p LEFT JOIN nx n ON n.label = p.label AND n.prev = p.lt)",
+    ]
+
+
+def _allowed_sql(s: DE.Decoding) -> str:
+    n = s.no_repeat_ngram
+    hist = "list_concat(seed, tokens)"
+    return (f"list_filter(succ, lambda e: NOT (e.token = '</s>' AND len(tokens) < {s.min_length}) AND NOT (len({hist}) >= {n} AND "
+            f"len(list_filter(range(1, len({hist}) - {n} + 2), lambda i: {hist}[i:i + {n - 1}] = list_append({hist}[len({hist}) - {n} + 2:len({hist})], e.token))) > 0))")
+
+
+def _beam_sql(s: DE.Decoding) -> list[str]:
+    out = ["f0 AS MATERIALIZED (SELECT id, label, seed, budget, prev, CAST([] AS VARCHAR[]) AS tokens, 0::BIGINT AS score, 0 AS scored, budget <= 0 AS done FROM pm)"]
+    for k in range(1, _LONGEST + 1):
+        out.append(f"o{k} AS (SELECT f.*, total, {_allowed_sql(s)} AS ok FROM f{k - 1} f LEFT JOIN nx n ON n.label = f.label AND n.prev = f.prev WHERE NOT done)")
+        out.append(f"e{k} AS (SELECT * EXCLUDE (ok), unnest(CASE WHEN coalesce(len(ok), 0) > 0 THEN ok ELSE [NULL] END) AS e FROM o{k})")
+        out.append(f"g{k} AS (SELECT *, e.token AS tok, CAST(coalesce(round(ln(e.c / total) * {DE.MICRO}), 0) AS BIGINT) AS w0 FROM e{k})")
+        out.append(f"h{k} AS (SELECT *, CASE WHEN list_contains(list_concat(seed, tokens), tok) THEN CAST(round(w0 * {s.penalty}::DOUBLE) AS BIGINT) ELSE w0 END AS w, "
+                   f"tok IS NULL OR tok = '</s>' AS ends FROM g{k})")
+        out.append(f"m{k} AS (SELECT id, label, seed, budget, CASE WHEN ends THEN prev ELSE tok END AS prev, CASE WHEN ends THEN tokens ELSE list_append(tokens, tok) END AS tokens, "
+                   f"score + w AS score, scored + CAST(tok IS NOT NULL AS INT) AS scored, ends OR len(tokens) + 1 >= budget AS done FROM h{k} "
+                   f"UNION ALL SELECT * FROM f{k - 1} WHERE done)")
+        out.append(f"f{k} AS MATERIALIZED (SELECT * FROM m{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score::DOUBLE / greatest(scored, 1) DESC, tokens) <= {max(s.beams, s.n)})")
+    return out
+
+
+@query("generate_beam", sql=W(*_next_sql(_BEAM), *_beam_sql(_BEAM), body=f"""SELECT p.id AS paired_id, CAST(i.idx AS BIGINT) AS idx, array_to_string(list_concat(b.seed, b.tokens), ' ') AS generated,
+  b.score FROM pm p CROSS JOIN range(0, {_BEAM.n}) i(idx) LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score::DOUBLE / greatest(scored, 1) DESC, tokens) - 1 AS idx
+  FROM f{_LONGEST}) b ON b.id = p.id AND b.idx = i.idx"""))
+def generate_beam(spark, d):
+    """M3: beam search over a next-token table of each class's counterfactuals, from the example's first words."""
+    pairs, _ = TB.conversation_pairs(spark, d)
+    table = DE.next_tokens(pairs.select(F.col("label_counter").alias("label"), "counterfactual"), "counterfactual", ["label"], _BEAM)
+    prompts = DE.seeded_prompts(pairs, "paired_id", "example", "label_counter", longest=_LONGEST)
+    return DE.beam_search(prompts, table, _BEAM, ["label"], max_steps=_LONGEST).withColumnRenamed("id", "paired_id")
+
+
+def _draw_sql(s: DE.Decoding) -> list[str]:
+    out = [f"f0 AS (SELECT p.*, i.idx, CAST([] AS VARCHAR[]) AS tokens, budget <= 0 AS done FROM pm p CROSS JOIN range(0, {s.n}) i(idx))"]
+    for k in range(1, _LONGEST + 1):
+        u = f"CAST(('0x' || substr(md5(concat_ws(':', '{s.seed}', CAST(id AS VARCHAR), CAST(idx AS VARCHAR), '{k}')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+        out.append(f"o{k} AS MATERIALIZED (SELECT f.*, {_allowed_sql(s)} AS ok, {u} AS u FROM f{k - 1} f LEFT JOIN nx n ON n.label = f.label AND n.prev = f.prev)")
+        out.append(f"g{k} AS (SELECT *, list_transform(ok, lambda e: e.c) AS cs FROM o{k})")
+        out.append(f"h{k} AS (SELECT *, CASE WHEN NOT done THEN ok[list_filter(range(1, len(cs) + 1), lambda i: list_sum(cs[1:i]) > u * CAST(list_sum(cs) AS DOUBLE))[1]].token END AS tok FROM g{k})")
+        out.append(f"f{k} AS MATERIALIZED (SELECT id, label, seed, budget, CASE WHEN ends THEN prev ELSE tok END AS prev, idx, CASE WHEN ends THEN tokens ELSE list_append(tokens, tok) END AS tokens, "
+                   f"done OR ends OR len(tokens) + 1 >= budget AS done FROM (SELECT *, tok IS NULL OR tok = '</s>' AS ends FROM h{k}) z)")
+    return out
+
+
+@query("generate_sampled", sql=W(*_next_sql(_DRAW), *_draw_sql(_DRAW), body=f"""SELECT id AS paired_id, CAST(idx AS BIGINT) AS idx,
+  array_to_string(list_concat(seed, tokens), ' ') AS generated FROM f{_LONGEST}"""))
+def generate_sampled(spark, d):
+    """M3: seeded top-k and top-p sampling over the same kind of table."""
+    pairs, _ = TB.conversation_pairs(spark, d)
+    table = DE.next_tokens(pairs.select(F.col("label_counter").alias("label"), "counterfactual"), "counterfactual", ["label"], _DRAW)
+    prompts = DE.seeded_prompts(pairs, "paired_id", "example", "label_counter", longest=_LONGEST)
+    return DE.sample(prompts, table, _DRAW, ["label"], max_steps=_LONGEST).withColumnRenamed("id", "paired_id")
