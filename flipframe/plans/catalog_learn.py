@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flipframe.operators import candidates as C
 from flipframe.operators import decoding as DE
 from flipframe.operators import epochs as E
+from flipframe.operators import kneser as KN
 from flipframe.operators import metrics as M
 from flipframe.plans import tables as TB
 from flipframe.plans.catalog_io import W, tokens_sql
@@ -211,3 +212,41 @@ def generate_sampled(spark, d):
     table = DE.next_tokens(pairs.select(F.col("label_counter").alias("label"), "counterfactual"), "counterfactual", ["label"], _DRAW)
     prompts = DE.seeded_prompts(pairs, "paired_id", "example", "label_counter", longest=_LONGEST)
     return DE.sample(prompts, table, _DRAW, ["label"], max_steps=_LONGEST).withColumnRenamed("id", "paired_id")
+
+
+# --- C4 / A18: back-off language model ------------------------------------------------------------
+
+_ORDER = 4
+
+
+def _grams_sql(src: str, cols: str) -> str:
+    pads = "[" + ", ".join(["'<s>'"] * (_ORDER - 1)) + "]"
+    return (f"SELECT {cols}array_to_string(t[i:i + {_ORDER - 1}], ' ') AS gram FROM (SELECT {cols}t, unnest(range(1, len(t) - {_ORDER - 2})) AS i FROM "
+            f"(SELECT {cols}list_concat({pads}, {tokens_sql('text')}, ['</s>']) AS t FROM {src} WHERE text IS NOT NULL) a) b")
+
+
+def _kn_sql() -> list[str]:
+    tail = lambda k: f"array_to_string(list_slice(string_split(gram, ' '), -{k}, -1), ' ')"
+    head = "array_to_string(string_split(gram, ' ')[1:-2], ' ')"
+    out = [f"k{_ORDER} AS MATERIALIZED (SELECT gram, count(*) AS c FROM ({_grams_sql('documents', '')}) q GROUP BY gram)"]
+    out += [f"k{k} AS MATERIALIZED (SELECT {tail(k)} AS gram, count(*) AS c FROM k{k + 1} GROUP BY 1)" for k in range(_ORDER - 1, 0, -1)]
+    out.append(f"h0 AS MATERIALIZED (SELECT item_id, gram, count(*) AS n FROM ({_grams_sql('benchmark', 'item_id, ')}) q GROUP BY ALL)")
+    out.append("r0 AS (SELECT DISTINCT gram, 0.0::DOUBLE AS p FROM h0)")
+    for k in range(1, _ORDER + 1):
+        out.append(f"x{k} AS MATERIALIZED (SELECT {head} AS ctx, sum(c) AS total, count(*) AS types FROM k{k} GROUP BY 1)")
+        out.append(f"d{k} AS MATERIALIZED (SELECT CASE WHEN count_if(c = 1) > 0 THEN count_if(c = 1) / (count_if(c = 1) + 2 * count_if(c = 2)) ELSE {KN.DISCOUNT} END AS d FROM k{k})")
+        below = "1 / (types + 1)" if k == 1 else "p"
+        mixed = f"greatest(coalesce(c, 0) - d, 0) / total + d * types / total * {below}"
+        out.append(f"r{k} AS MATERIALIZED (SELECT r.gram, CASE WHEN total IS NULL THEN p ELSE {mixed} END AS p FROM (SELECT *, {tail(k)} AS g, "
+                   f"array_to_string(list_slice(string_split(gram, ' '), -{k}, -2), ' ') AS ctx FROM r{k - 1}) r "
+                   f"CROSS JOIN d{k} LEFT JOIN k{k} ON k{k}.gram = r.g LEFT JOIN x{k} ON x{k}.ctx = r.ctx)")
+    return out
+
+
+@query("kneser_ney_perplexity", sql=W(*_kn_sql(), body=f"""SELECT item_id, CAST(sum(n) AS BIGINT) AS n_tokens, exp(sum(n * -ln(p)) / sum(n)) AS perplexity
+  FROM h0 JOIN r{_ORDER} USING (gram) GROUP BY item_id"""), doubles=["perplexity"])
+def kneser_ney_perplexity(spark, d):
+    """Held-out perplexity of every benchmark item under an interpolated Kneser-Ney model of order 4."""
+    model = KN.train(TB.table(spark, d, "documents").select("text"), order=_ORDER)
+    losses = KN.token_losses(model, TB.table(spark, d, "benchmark").select("item_id", "text"), "item_id")
+    return losses.groupBy("item_id").agg(F.sum("n").alias("n_tokens"), F.exp(M.weighted_mean("nll", "n")).alias("perplexity"))
