@@ -1,20 +1,18 @@
 """Table-level aggregates: distributions, two-level means/variances, label flip, precision/
 recall/F1, leaderboards, contingency tables, correlations, McNemar tests, perplexity.
 
-Everything is a partial (map-side combined) aggregate; the only driver-side arithmetic is on
-one already-aggregated row (the chi-square tail probability).
+Everything is a partial (map-side combined) aggregate; tail probabilities are expressions on the
+aggregated row (``functions/tails.py``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from flipframe.functions.tails import binomial_half_log10_two_sided, chi2_1df_sf
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -105,43 +103,15 @@ def crosstab_margins(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.cube(a, b).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 
 
-def _log10_exact(b: int, c: int) -> float:
-    """log10 of min(1, 2 P[Bin(b + c, 1/2) <= min(b, c)]): the tail is summed from its largest term
-    down until the terms no longer count, about sqrt(b + c) of them."""
-    n, k = b + c, min(b, c)
-    if n == 0:
-        return 0.0
-    term = total = 1.0
-    for i in range(k, 0, -1):
-        term *= i / (n - i + 1)
-        total += term
-        if term < total * 1e-18:
-            break
-    log_p = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (n + 1) * math.log(0.5) + math.log(total) + 2 * math.log(2)
-    return min(0.0, log_p / math.log(10))
-
-
-@F.pandas_udf(T.DoubleType())
-def mcnemar_exact_log10(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Two-sided exact McNemar test, as log10 of its p-value (tiny values keep their size)."""
-    return pd.Series([_log10_exact(int(x), int(y)) for x, y in zip(b, c)], dtype="float64")
-
-
 def mcnemar_chi2(b: Column, c: Column) -> Column:
     """Continuity-corrected statistic (|b-c| - 1)^2 / (b+c)."""
     return F.when(b + c > 0, F.pow(F.abs(b - c) - 1, 2) / (b + c))
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_1df_sf(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with 1 degree of freedom: erfc(sqrt(x/2))."""
-    return x.map(lambda v: None if v is None or pd.isna(v) else math.erfc(math.sqrt(v / 2.0)))
-
-
 def mcnemar(table: DataFrame, alphas: Sequence[float] = (0.05, 0.01)) -> DataFrame:
     """Exact and chi-square McNemar tests on a :func:`contingency` row."""
     b, c = F.col("ci"), F.col("ic")
-    out = table.select("*", mcnemar_exact_log10(b, c).alias("log10_p_exact"), mcnemar_chi2(b, c).alias("chi2"))
+    out = table.select("*", binomial_half_log10_two_sided(b, c).alias("log10_p_exact"), mcnemar_chi2(b, c).alias("chi2"))
     out = out.withColumn("p_exact", F.pow(F.lit(10.0), F.col("log10_p_exact"))).withColumn("p_chi2", chi2_1df_sf(F.col("chi2")))
     for a in alphas:
         out = out.withColumn(f"significant_{str(a).replace('0.', '')}", F.col("p_chi2") < F.lit(a))

@@ -378,6 +378,13 @@ def score_pairs_batch(spark, d):
     return _nli_pred(spark, d).select("rid", "pred")
 
 
+@query("score_pairs_batch_udf", sql=_NLI_PRED + "SELECT rid, CAST(pred AS BIGINT) AS pred FROM np")
+def score_pairs_batch_udf(spark, d):
+    """M2 through the model path: predict_batch_udf on both texts, arg-max of the class scores."""
+    p, h, _ = PR.nli_label_switch(True)
+    return MD.score_pairs_udf(TB.nli_pairs(spark, d), p, h, MD.make_joint_count_model, batch_size=256).select("rid", "pred")
+
+
 _LB_SQL = W(TB.LABELLED_SQL, f"""lp AS (SELECT 'parity' AS model, doc_id, labels, {_PAR_T[0]} AS pred FROM labelled
   UNION ALL SELECT 'first_letter' AS model, doc_id, labels, {_FL_T[0]} AS pred FROM labelled)""", body="")
 
@@ -433,7 +440,7 @@ def crosstab_margins(spark, d):
   FROM range(0, CAST(least(b, c) + 1 AS BIGINT)) r(k)))) / ln(10)) END AS log10_p_exact
 FROM (SELECT *, lgamma(b + c + 1) - lgamma(least(b, c) + 1) - lgamma(greatest(b, c) + 1) + (b + c) * ln(0.5) AS mx FROM ct) t"""), doubles=["p_exact", "log10_p_exact"])
 def mcnemar_exact(spark, d):
-    """Exact McNemar test on the two classifiers' disagreements."""
+    """Exact McNemar test on the two classifiers' disagreements, as expressions in the JVM."""
     t = M.mcnemar(M.contingency(_two_preds(spark, d), "labels", "pred", "pred_b"))
     return t.select("ci", "ic", "p_exact", "log10_p_exact")
 
