@@ -32,6 +32,11 @@ def word_tokens(text) -> Column:
     return F.regexp_extract_all(as_col(text), F.lit(TOKEN_PATTERN), 0)
 
 
+def line_tokens(text) -> Column:
+    """The word tokens of each line, an array per line; null for a null text."""
+    return F.transform(F.split(as_col(text), "\n", -1), word_tokens)
+
+
 def token_count(text) -> Column:
     return F.size(word_tokens(text)).cast("long")
 

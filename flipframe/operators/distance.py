@@ -5,9 +5,10 @@ encoded), and Spark's built-in ``levenshtein`` (code-point based) runs on the tw
 Only tokens that both sides hold need codes of their own; the others can match nothing and share
 one code per side.
 
-Tree edit distance needs Zhang-Shasha, which no SQL engine has: the distinct (tree, tree)
-pairs are computed once in ``mapInPandas`` and joined back, everything around it (sentence
-alignment, padding, averaging) is DataFrame work.
+The distance of two one-level trees (a root over tagged tokens) is a token edit distance in which a
+token costs two nodes to insert or delete and one to change, so aligned sentences are compared as token
+arrays, a batch of pairs at a time.  Nested trees need Zhang-Shasha, which no SQL engine has: the
+distinct (tree, tree) pairs are computed once in ``mapInPandas`` and joined back.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -318,6 +320,77 @@ def tree_distance_rows(trees: DataFrame, id_cols=("paired_id", "idx"), ref_col:
             .groupBy(*ids).agg(F.avg("tree_distance").alias("tree_distance")))
 
 
+FLAT_CELLS = 1 << 20  # cells of a step over a group of pairs
+
+
+def batch_token_distances(a: list[np.ndarray], b: list[np.ndarray], indel: int) -> np.ndarray:
+    """Edit distances of pairs of code arrays (change 1, insert or delete ``indel``): pairs of like size
+    advance together, one token of ``a`` at a time."""
+    la, lb = (np.array([len(x) for x in s], np.int64) for s in (a, b))
+    out = np.zeros(len(a), np.int64)
+    order = np.lexsort((lb, la))
+    longest = np.maximum(la, lb) + 1
+    lo = 0
+    while lo < len(order):
+        hi, top = lo, 0
+        while hi < len(order) and (hi == lo or max(top, longest[order[hi]]) * (hi - lo + 1) <= FLAT_CELLS):
+            top = max(top, longest[order[hi]])
+            hi += 1
+        g = order[lo:hi]
+        lo, wide = hi, lb[g].max() + 1
+        left, right = np.full((len(g), la[g].max()), -1), np.full((len(g), wide - 1), -2)
+        for k, p in enumerate(g):
+            left[k, : la[p]], right[k, : lb[p]] = a[p], b[p]
+        slope = indel * np.arange(wide)
+        row = np.broadcast_to(slope, (len(g), wide)).copy()
+        for i in range(left.shape[1] + 1):
+            ends = np.nonzero(la[g] == i)[0]
+            out[g[ends]] = row[ends, lb[g[ends]]]
+            if i < left.shape[1]:
+                nxt = np.empty_like(row)
+                nxt[:, 0] = indel * (i + 1)
+                nxt[:, 1:] = np.minimum(row[:, :-1] + (left[:, i : i + 1] != right), row[:, 1:] + indel)
+                # insertions: a running minimum along the row
+                row = np.minimum.accumulate(nxt - slope, axis=1) + slope
+    return out
+
+
+def flat_tree_distance_rows(rows: DataFrame, id_cols=("paired_id", "idx"), ref_col: str = "ref_lines", gen_col: str = "gen_lines") -> DataFrame:
+    """Mean distance of aligned sentences per row, each a one-level tree over its tokens
+    (``flat_tree``); a missing sentence is the padding tree of a lone "."
+
+    ``ref_col`` and ``gen_col`` are arrays of token arrays.  Equal sentences and missing ones are
+    settled by expressions; the others meet in Arrow batches.
+    """
+    ids = list(id_cols)
+    z = F.arrays_zip(F.col(ref_col).alias("r"), F.col(gen_col).alias("g"))
+    pairs = rows.select(*ids, F.explode(z).alias("z")).select(*ids, F.col("z.r").alias("a"), F.col("z.g").alias("b"))
+
+    def padded(t: str) -> Column:  # against (ROOT (S (. .)))
+        return F.when(F.size(t) == 0, 3).otherwise(2 * F.size(t) + F.when(F.array_contains(t, "."), 0).otherwise(1))
+
+    easy = F.when(F.col("a").isNull(), padded("b")).when(F.col("b").isNull(), padded("a")).when(F.col("a") == F.col("b"), 0)
+    pairs = pairs.withColumn("d", easy.cast("long"))
+    spec = T.StructType([*rows.select(*ids).schema.fields, T.StructField("d", T.LongType())])
+
+    def codes(col: pa.Array, book: dict) -> list[np.ndarray]:
+        flat = col.flatten().dictionary_encode()
+        at = np.array([book.setdefault(t, len(book)) for t in flat.dictionary.to_pylist()], np.int64)
+        own = at[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+        ends = np.cumsum([len(v) if v.is_valid else 0 for v in col])
+        return np.split(own, ends[:-1])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            book: dict = {}
+            a, b = (codes(batch.column(len(ids) + k), book) for k in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], pa.array(batch_token_distances(a, b, 2))], names=[*ids, "d"])
+
+    hard = pairs.where(F.col("d").isNull()).select(*ids, "a", "b").mapInArrow(compare, spec)
+    both = pairs.where(F.col("d").isNotNull()).select(*ids, "d").unionByName(hard)
+    return both.groupBy(*ids).agg(F.avg("d").alias("tree_distance"))
+
+
 def escape_tree_token(t: Column) -> Column:
     return F.replace(F.replace(t, F.lit("("), F.lit("-LRB-")), F.lit(")"), F.lit("-RRB-"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flipframe.functions import templates as TP
 from flipframe.functions.order import hash_key, uniform01
-from flipframe.functions.text import space_word_count, word_tokens
+from flipframe.functions.text import line_tokens, space_word_count, word_tokens
 from flipframe.operators import bayes as BY
 from flipframe.operators import candidates as C
 from flipframe.operators import corpus as CO
@@ -245,10 +245,10 @@ _TREE_SQL = W(TB.PAIRS_SQL(), _COMPLETE_SQL, """tl AS (SELECT paired_id, idx, st
 
 @query("tree_edit_distance", sql=_TREE_SQL, doubles=["tree_distance"])
 def tree_edit_distance(spark, d):
-    """Sentence-aligned tree edit distance (flat bracketed trees per line), averaged per row."""
+    """Sentence-aligned tree edit distance (a one-level tree per line), averaged per row."""
     _, kc = _kept(spark, d)
-    t = kc.select("paired_id", "idx", _line_trees("example").alias("ref_trees"), _line_trees("generated").alias("gen_trees"))
-    return D.tree_distance_rows(t)
+    t = kc.select("paired_id", "idx", line_tokens("example").alias("ref_lines"), line_tokens("generated").alias("gen_lines"))
+    return D.flat_tree_distance_rows(t)
 
 
 @query("tree_edit_distance_nested")
@@ -946,8 +946,7 @@ def eval_suite(spark, d):
 def eval_suite_full(spark, d):
     """T7 with every flag ('gbcd'; closeness by tokens and by line-aligned trees): the flagship job."""
     pairs, cands = TB.conversation_pairs(spark, d)
-    return SU.evaluate(pairs.drop("cf_turn").withColumn("ref_trees", _line_trees("example")),
-                       cands.withColumn("gen_trees", _line_trees("generated")), N, metrics="gbcd")
+    return SU.evaluate(pairs.drop("cf_turn"), cands, N, metrics="gbcd", line_trees=True)
 
 
 def _line_trees(col):
@@ -986,10 +985,8 @@ def eval_suite_nli_documents(spark, d):
 
 def _nli_suite(rows):
     rows = scratch_table(rows, "nli")
-    cands = scratch_table(_nli_generated(rows), "nli-candidates").withColumn("gen_trees", _line_trees("generated"))
-    side = F.when(F.col("task") == "RP", F.col("original_prem")).otherwise(F.col("original_hyp"))
-    rows = rows.withColumn("_side", side).withColumn("ref_trees", _line_trees("_side")).drop("_side")
-    return SU.evaluate_nli(rows, cands, N, _LABEL_MAP)
+    cands = scratch_table(_nli_generated(rows), "nli-candidates")
+    return SU.evaluate_nli(rows, cands, N, _LABEL_MAP, line_trees=True)
 
 
 @query("metrics_table", sql="SELECT 'suite' AS run, metric, value FROM (" + _SUITE_SQL + ") s", doubles=["value"])

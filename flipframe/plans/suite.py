@@ -19,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipframe.functions.text import space_word_count, word_tokens
+from flipframe.functions.text import line_tokens, space_word_count, word_tokens
 from flipframe.operators import metrics as M
 from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
-from flipframe.operators.distance import normalised_distance, tree_distance_rows, with_token_edit_distance
+from flipframe.operators.distance import flat_tree_distance_rows, normalised_distance, with_token_edit_distance
 from flipframe.operators.models import nli_rule_scorer, parity_scorer, score_pairs, score_texts
 from flipframe.operators.pairs import encode_with_map, nli_counter_side, nli_original_text, nli_scoring_sides
 from flipframe.session import scratch_table, shuffle_partitions
@@ -69,9 +69,9 @@ def _for_spearman(rows: DataFrame, family: str, score: str) -> DataFrame:
 
 def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer,
              id_col: str = "paired_id", calculate_corr: bool = True, materialise: bool = True, score=None,
-             carry: tuple[str, ...] = ()) -> DataFrame:
+             carry: tuple[str, ...] = (), line_trees: bool = False) -> DataFrame:
     """Metric flags: g = label flip + confidence, b = BLEU family, c = closeness (token edit
-    distance, and tree edit distance if ``pairs`` has ``ref_trees`` and ``cands`` ``gen_trees``),
+    distance, and with ``line_trees`` the distance of line-aligned one-level trees),
     d = diversity (self-BLEU).  Returns (metric, value) rows.
 
     ``pairs``: id, example (the seed side), counterfactual (the gold text), label_counter.
@@ -80,8 +80,8 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     """
     kept, removed = clean_candidates(pairs, cands, id_col, n)
     parts = [_long(removed)]
-    trees = "c" in metrics and "ref_trees" in pairs.columns and "gen_trees" in cands.columns
-    c = cands.join(kept.select(id_col, "label_counter", "example", *carry, *(["ref_trees"] if trees else [])), on=id_col, how="inner")
+    trees = "c" in metrics and line_trees
+    c = cands.join(kept.select(id_col, "label_counter", "example", *carry), on=id_col, how="inner")
     # spread by pair id with an explicit count before tokenising: tokenising, n-grams and edit
     # distance are CPU-heavy per row, so they must not collapse into the few tasks AQE would
     # choose from the small byte size of the text
@@ -89,7 +89,7 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     hyp = _materialise(c.repartition(n_parts, id_col).select(
         F.col(id_col).alias("id"), "idx", "generated", "label_counter", *carry,
         word_tokens("generated").alias("hyp_tokens"), word_tokens("example").alias("seed_tokens"),
-        *(["ref_trees", "gen_trees"] if trees else [])), materialise)
+        *([line_tokens("example").alias("ref_lines"), line_tokens("generated").alias("gen_lines")] if trees else [])), materialise)
     ref = _materialise(kept.repartition(n_parts, id_col).select(
         F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
                        .withColumn("counter_size", F.size("ref_tokens").cast("long")), materialise)
@@ -122,7 +122,7 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
         parts.append(_long(_two_level(dist, "lev_norm", "lev_", corr=calculate_corr)))
         rank_inputs.append(_for_spearman(dist, "lev", "lev_norm"))
         if trees:
-            zss = tree_distance_rows(hyp.select("id", "idx", "ref_trees", "gen_trees"), ("id", "idx")).join(sizes, "id")
+            zss = flat_tree_distance_rows(hyp.select("id", "idx", "ref_lines", "gen_lines"), ("id", "idx")).join(sizes, "id")
             zss = _materialise(zss, materialise)
             parts.append(_long(_two_level(zss, "tree_distance", "zss_", corr=calculate_corr)))
             rank_inputs.append(_for_spearman(zss, "zss", "tree_distance"))
@@ -160,8 +160,7 @@ def evaluate_nli(rows: DataFrame, cands: DataFrame, n: int, label_map: dict[str,
     premise, hypothesis = nli_scoring_sides("generated")
     carry = ("task", "original_prem", "original_hyp")
     pairs = rows.select(id_col, *carry, nli_original_text().alias("example"), nli_counter_side().alias("counterfactual"),
-                        encode_with_map("counter_label", label_map).alias("label_counter"),
-                        *(["ref_trees"] if "ref_trees" in rows.columns else []))
+                        encode_with_map("counter_label", label_map).alias("label_counter"))
     return evaluate(pairs, cands, n, metrics, id_col=id_col, carry=carry,
                     score=lambda hyp: score_pairs(hyp, premise, hypothesis, scorer), **more)
 

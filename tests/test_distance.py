@@ -109,3 +109,32 @@ def test_deep_and_wide_trees():
     wide = D.parse_bracketed("(S " + " ".join(f"w{i}" for i in range(4000)) + ")")
     other = D.parse_bracketed("(S " + " ".join(f"w{i}" for i in range(1, 4001)) + ")")
     assert D.tree_edit_distance(wide, other) == 2
+
+
+def test_aligned_sentences_equal_their_trees(spark):
+    """The batched token distances are the tree distances of the sentences' one-level trees."""
+    import random
+
+    rnd = random.Random(11)
+    line = lambda: [rnd.choice(["a", "b", ".", "c", "d"]) for _ in range(rnd.choice([0, 1, 2, 5, 9, 40]))]
+    rows = [(i, i % 3, [line() for _ in range(rnd.randint(1, 5))], [line() for _ in range(rnd.randint(1, 5))]) for i in range(60)]
+    rows.append((60, 0, [["x", "y"]], [["x", "y"]]))
+    df = spark.createDataFrame(rows, "paired_id long, idx int, ref_lines array<array<string>>, gen_lines array<array<string>>")
+    got = {(r.paired_id, r.idx): r.tree_distance for r in D.flat_tree_distance_rows(df).collect()}
+    flat = lambda t: "(S " + " ".join(f"(T {w})" for w in t) + ")"
+    trees = spark.createDataFrame([(i, k, [flat(t) for t in a], [flat(t) for t in b]) for i, k, a, b in rows],
+                                  "paired_id long, idx int, ref_trees array<string>, gen_trees array<string>")
+    want = {(r.paired_id, r.idx): r.tree_distance for r in D.tree_distance_rows(trees).collect()}
+    assert got == pytest.approx(want) and len(got) == len(rows)
+
+
+def test_batches_bound_their_cells(monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    make = lambda n: D.np.array([rnd.randrange(4) for _ in range(n)])
+    a, b = ([make(rnd.randint(0, 12)) for _ in range(80)] for _ in range(2))
+    want = [D._lev_np(list(x), list(y)) for x, y in zip(a, b)]
+    for cells in (1, 50, 1 << 20):
+        monkeypatch.setattr(D, "FLAT_CELLS", cells)
+        assert D.batch_token_distances(a, b, 1).tolist() == want
