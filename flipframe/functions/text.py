@@ -16,7 +16,7 @@ from flipframe.functions.util import as_col
 # The same pattern is valid in Java regex (Spark) and RE2 (DuckDB oracle).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # Markup removed before tag stripping: comments and script/style bodies (their text is not page text).
-HTML_BLOCK_PATTERN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+HTML_BLOCK_PATTERN = r"(?is)<(?:!--.*?--|script[^>]*>.*?</script|style[^>]*>.*?</style)>"
 HTML_TAG_PATTERN = r"<[^>]*>"
 # Scoring length rule: texts longer than 512 characters are cut to their first 511.
 SCORE_MAX_CHARS = 512
@@ -71,15 +71,17 @@ def _from_code_point(code: Column) -> Column:
 def decode_entities(text) -> Column:
     """All named and numeric character references decoded in one pass (``&amp;lt;`` gives ``&lt;``).
 
-    The text is split at ``&``; each later piece that starts with a reference has it replaced.
-    The few names that pages are full of are compared first, the full table follows.
+    A text that holds only the few names that pages are full of has them replaced one after the
+    other, ``&amp;`` last, so that no replacement makes a new reference.  Any other text is split
+    at ``&``; each later piece that starts with a reference has it replaced.
     """
     named, bare = _entity_table()
     # one string literal that folds to a map: thousands of literals would slow every plan down
     table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in named.items())), F.lit("\x01"), F.lit("\x02"))
     bare_map = F.str_to_map(F.lit("\x01".join(f"{k}\x02{named[k]}" for k in bare)), F.lit("\x01"), F.lit("\x02"))
     bare_pattern = "^(" + "|".join(bare) + ")"
-    common = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot")
+    common = ("lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "amp")
+    rare = "&(?!(?:" + "|".join(common) + ");)[#A-Za-z]"
 
     def full(p: Column) -> Column:
         number = F.regexp_extract(p, "^(#[xX][0-9a-fA-F]+|#[0-9]+);?", 1)
@@ -95,24 +97,20 @@ def decode_entities(text) -> Column:
                 .when(old != "", F.concat(bare_map[old], F.substring(p, F.length(old) + 1, F.length(p))))
                 .otherwise(F.concat(F.lit("&"), p)))
 
-    def piece(p: Column) -> Column:
-        # a lone "&" and the few common names need no regular expression
-        first = F.substring(p, 1, 1)
-        out = F.when(~((first == "#") | ((first >= "A") & (first <= "Z")) | ((first >= "a") & (first <= "z"))), F.concat(F.lit("&"), p))
-        for k in common:
-            out = out.when(F.startswith(p, F.lit(k + ";")), F.concat(F.lit(named[k]), F.substring(p, F.lit(len(k) + 2), F.length(p))))
-        return out.otherwise(full(p))
-
     c = as_col(text)
+    simple = c
+    for k in common:
+        simple = F.replace(simple, F.lit(f"&{k};"), F.lit(named[k]))
     parts = F.split(c, "&", -1)
-    decoded = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))
-    return F.when(F.rlike(c, F.lit("&[#A-Za-z]")), decoded).otherwise(c)
+    decoded = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), full), ""))
+    return F.when(~F.contains(c, F.lit("&")), c).when(F.rlike(c, F.lit(rare)), decoded).otherwise(simple)
 
 
 def strip_html(html) -> Column:
     """Visible text of an HTML fragment: drop comments/script/style, drop tags, decode entities."""
-    c = F.regexp_replace(as_col(html), HTML_BLOCK_PATTERN, "")
-    return decode_entities(F.regexp_replace(c, HTML_TAG_PATTERN, ""))
+    c = as_col(html)
+    bare = F.regexp_replace(F.regexp_replace(c, HTML_BLOCK_PATTERN, ""), HTML_TAG_PATTERN, "")
+    return decode_entities(F.when(F.contains(c, F.lit("<")), bare).otherwise(c))
 
 
 def truncate_for_scoring(text) -> Column:

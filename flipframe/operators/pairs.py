@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flipframe.functions.order import hash_key
 from flipframe.functions.text import strip_html
+from flipframe.session import shuffle_partitions
 
 
 def encode_sentiment(col, positive: str = "Positive"):
@@ -53,7 +54,9 @@ def pivot_pairs(df: DataFrame, pair_col: str = "paired_id", text_col: str = "tex
     """
     sizes = df.groupBy(pair_col).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(flag_col)).alias("_ncf"))
     whole = sizes.filter((F.col("_n") == 2) & (F.col("_ncf") == 1)).select(pair_col)
-    rows = df.join(whole, on=pair_col, how="left_semi")
+    # an explicit count: stripping markup is CPU-heavy, so AQE must not gather small texts into one task;
+    # both sides of the join reuse this exchange
+    rows = df.join(whole, on=pair_col, how="left_semi").repartition(shuffle_partitions(df.sparkSession), pair_col)
 
     def side(flag: int, text: str, label: str) -> DataFrame:
         t = F.col(text_col)
@@ -64,6 +67,31 @@ def pivot_pairs(df: DataFrame, pair_col: str = "paired_id", text_col: str = "tex
             .select(pair_col, "example", "label_ex", "counterfactual", "label_counter"))
 
 
+def pivot_seeded(df: DataFrame, row_col: str, seed, pair_col: str = "paired_id", text_col: str = "text", label_col: str = "sentiment",
+                 clean_html: bool = True) -> DataFrame:
+    """:func:`assign_counterfactual` and :func:`pivot_pairs` in one pass over the numbers.
+
+    In a pair of two rows the first of the seeded shuffle is the counterfactual and the last the
+    example, so one aggregate gives both row numbers and the size.  Texts are then found by row
+    number (unique) and meet by pair in one exchange that both sides read.
+    """
+    keyed = df.select(pair_col, row_col, hash_key(seed, row_col).alias("_hk"))
+    key = F.struct("_hk", row_col)
+    per = keyed.groupBy(pair_col).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_cf"), F.max(key).alias("_ex")).filter(F.col("_n") == 2)
+    sides = per.select(pair_col, F.explode(F.array(
+        F.struct(F.col(f"_cf.{row_col}").alias("row"), F.lit(1).alias("flag")), F.struct(F.col(f"_ex.{row_col}").alias("row"), F.lit(0).alias("flag")))).alias("_s"))
+    sides = sides.select(pair_col, F.col("_s.row").alias(row_col), F.col("_s.flag").alias("_flag"))
+    # an explicit count, as in pivot_pairs
+    rows = sides.join(df.select(row_col, text_col, label_col), row_col).repartition(shuffle_partitions(df.sparkSession), pair_col)
+
+    def side(flag: int, text: str, label: str) -> DataFrame:
+        t = F.col(text_col)
+        return rows.filter(F.col("_flag") == flag).select(pair_col, (strip_html(t) if clean_html else t).alias(text), F.col(label_col).cast("int").alias(label))
+
+    return (side(0, "example", "label_ex").join(side(1, "counterfactual", "label_counter"), on=pair_col)
+            .select(pair_col, "example", "label_ex", "counterfactual", "label_counter"))
+
+
 def first_match_lookup(original: DataFrame, key_col: str, order_col: str, value_cols: Sequence[str]) -> DataFrame:
     """One row per distinct ``key_col``: the values of the first original row (lowest ``order_col``).
 

@@ -17,7 +17,7 @@ from flipframe.operators import pairs as PR
 from flipframe.operators import sampling as S
 from flipframe.plans import tables as TB
 from flipframe.plans.registry import query
-from flipframe.session import scratch_path
+from flipframe.session import scratch_path, spread
 from flipframe.sources import files as IO
 
 N = TB.N_CANDIDATES
@@ -244,7 +244,7 @@ def row_numbering(spark, d):
 @query("html_strip", sql=f"SELECT page_id, {strip_html_sql('html')} AS text FROM pages")
 def html_strip(spark, d):
     """Visible text of raw HTML pages."""
-    return TB.table(spark, d, "pages").select("page_id", strip_html("html").alias("text"))
+    return spread(TB.table(spark, d, "pages").select("page_id", "html")).select("page_id", strip_html("html").alias("text"))
 
 
 @query("word_len_filter", sql=f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, {words_sql('text')} AS n_words

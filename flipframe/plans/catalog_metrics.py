@@ -22,7 +22,7 @@ from flipframe.plans import tables as TB
 from flipframe.plans.catalog_io import (_COMPLETE_SQL, TOK_SQL, W, hash_sql, kfold_sql, nli_prompt_sql, ntok_sql, sentiment_prompt_sql, sq,
                                         strip_html_sql, tokens_sql, trunc_sql, words_sql)
 from flipframe.plans.registry import query
-from flipframe.session import scratch_path, scratch_table, shuffle_partitions
+from flipframe.session import scratch_path, scratch_table, shuffle_partitions, spread
 from flipframe.sources import files as IO
 
 N = TB.N_CANDIDATES
@@ -548,8 +548,7 @@ def pair_assign(spark, d):
 FROM asg GROUP BY paired_id HAVING count(*) = 2 AND sum(is_counterfactual) = 1""")
 def pair_pivot(spark, d):
     """A3: two rows per pair -> one (example, counterfactual) row, HTML stripped."""
-    a = PR.assign_counterfactual(TB.paired_source(spark, d), "paired_id", "row_id", 1)
-    return PR.pivot_pairs(a)
+    return PR.pivot_seeded(TB.paired_source(spark, d), "row_id", 1)
 
 
 # --- K: sampling and splits ---------------------------------------------------------------------
@@ -749,7 +748,7 @@ enc AS (SELECT p.doc_id, p.pos, coalesce(v.id, {CO.SPECIAL_IDS['<|UNK|>']}) AS i
 
 def _encoded(spark, d):
     """Tokenise the corpus once (written to the shared folder), full vocabulary, one id array a line."""
-    docs = TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text")
+    docs = spread(TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text"))
     toks = scratch_table(CO.tokenize_lines(docs), "tokens")
     vocab = scratch_table(CO.build_vocab(toks), "vocab")
     return toks, vocab, CO.ids_arrays(CO.encode_lines(toks, vocab))

@@ -43,6 +43,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to every core if its scan has fewer splits than there are cores.
+
+    For CPU-heavy expressions over a small file, whose few row groups would keep most cores idle.
+    Large inputs have more splits than cores and are left alone, so no large table is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -129,3 +129,13 @@ def test_position_of_any_doubles(spark):
     got = sorted((r.g, r.v, r.k) for r in mid_ranks(df, "v", ["g"], "k").collect())
     rank = lambda v: sum(w < v for w in vals) + (vals.count(v) + 1) / 2
     assert got == sorted([(0, v, rank(v)) for v in vals] + [(1, 2.0, 1.0)])
+
+
+def test_one_pass_pivot_equals_assignment_and_pivot(spark):
+    from flipframe.operators.pairs import assign_counterfactual, pivot_pairs, pivot_seeded
+
+    rows = [(i, i // 2, f"<b>t{i}</b> &amp; x", i % 2) for i in range(40)] + [(100, 60, "alone", 1), (101, 61, "a", 0), (102, 61, "b", 1), (103, 61, "c", 0), (104, 62, None, 1), (105, 62, "d", 0)]
+    df = spark.createDataFrame(rows, "row_id long, paired_id long, text string, sentiment int")
+    want = pivot_pairs(assign_counterfactual(df, "paired_id", "row_id", 3))
+    got = pivot_seeded(df, "row_id", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
