@@ -22,6 +22,16 @@ _WORD_MAP = bytes(
 )
 
 
+def scaled(x):
+    """Rows of a matrix scaled by a power of two to components below 1, in double precision: exact, and
+    neither squares nor products of tiny or huge components vanish or overflow."""
+    import numpy as np
+
+    x = np.asarray(x, np.float64)
+    _, e = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -e)
+
+
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words of A-Z lower-cased UTF-8 text; null gives none.
 

@@ -12,7 +12,8 @@ Links are counted, not listed: a block pair yields the number of partners of eac
 spanning forest of its links, both linear in the block size, so dense groups cost no pairs.
 Equal vectors of a label are handled once, with their multiplicity.
 
-Only vectors of equal label and equal length are compared, in double precision.  Rows with a null
+Only vectors of equal label and equal length are compared, in double precision and scaled by a power of
+two, so that tiny and huge components count like any others.  Rows with a null
 label, a null or zero vector, or null or non-finite components link with nothing.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flipframe.llm.common import ready, written
+from flipframe.llm.common import ready, scaled, written
 from flipframe.llm.components import connected
 from flipframe.session import shuffle_partitions
 
@@ -46,6 +47,7 @@ def principal_directions(vectors: np.ndarray, dims: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -55,6 +57,7 @@ def block_links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, c
     ``pa_`` and ``pb`` are the projections of the unit vectors.
     """
     eps = np.sqrt(max(0.0, 2 - 2 * cosine))
+    a, b = scaled(a), scaled(b)
     ua, ub = _unit(a), _unit(b)
     na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     got_i, got_j = [], []

@@ -44,7 +44,7 @@ SALTS = 64  # rows of a host in the join of its page count
 ARTICLE, MARKED, PLAIN = 0, 1, 2
 
 #: Elements whose content is never text of the page.
-_RAW = frozenset("script style noscript template svg math iframe object canvas head".split())
+_RAW = frozenset("script style noscript template svg math iframe object canvas head title".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th "
@@ -70,31 +70,36 @@ _AFTER = frozenset("open opened closed fixed active visible enabled disabled col
 #: What an element lets inside it be an article: anything, a <main> only, nothing.
 ANY, MAIN, NONE = 0, 1, 2
 
+#: A quote opens a value only after "="; elsewhere it is a plain character.  Possessive, so a tag without an end fails at once.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*+)>", re.S
 )
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I)
+#: Blocks of running text: an inline element inside one belongs to its sentence, whatever its class.
+_TEXTUAL = frozenset("p li h1 h2 h3 h4 h5 h6 td th dd dt blockquote figcaption pre caption".split())
 _CLOSES_P = _BLOCK - frozenset(["html", "body"])
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in _RAW}
 
 
-def _names(value: str) -> tuple[set[str], set[str]]:
-    """All words of a class or id value, and the first and last words of its names that mark what
-    an element holds: whole names or compounds such as cookie-notice, but no layout or state
-    classes such as has-sidebar or menu-open."""
-    words, ends = set(), set()
+def _names(value: str) -> tuple[set[str], set[str], bool]:
+    """All words of a class or id value; the first and last words of its names that mark what an
+    element holds: whole names or compounds such as cookie-notice, but no layout or state classes
+    such as has-sidebar or menu-open; and whether a name says content by its last word, which rules a
+    compound (main-nav is a menu, sidebar-content is not)."""
+    words, ends, content = set(), set(), False
     for name in value.split():
         parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
         words.update(parts)
+        content |= bool(parts) and parts[-1] in _CONTENT
         if parts and parts[0] not in _BEFORE and (len(parts) == 1 or parts[-1] not in _AFTER) and not {"with", "has", "no", "without"} & set(parts):
             ends |= {parts[0], parts[-1]}
-    return words, ends
+    return words, ends, content
 
 
 def _zone_of(name: str, attrs: str, in_article: bool) -> tuple[int | None, int]:
     """The zone that an element opens, or None if it has none of its own, and what may be an
     article inside it."""
-    words, ends, role, hidden = set(), set(), "", False
+    words, ends, role, hidden, content = set(), set(), "", False, False
     if attrs:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -102,6 +107,7 @@ def _zone_of(name: str, attrs: str, in_article: bool) -> tuple[int | None, int]:
                 got = _names(value)
                 words |= got[0]
                 ends |= got[1]
+                content |= got[2]
             elif key == "role":
                 role = value
             else:
@@ -114,7 +120,7 @@ def _zone_of(name: str, attrs: str, in_article: bool) -> tuple[int | None, int]:
         return None, ANY
     if name in ("aside", "footer") or role in ("complementary", "contentinfo"):
         return MARKED, NONE
-    if name in _MARKED or role in _ROLES or ends & _CLASSES and not words & _CONTENT:
+    if name in _MARKED or role in _ROLES or ends & _CLASSES and not content:
         return MARKED, MAIN if ends & _TEASERS else ANY
     if not in_article and (name == "header" or "header" in ends and not words & _CONTENT):
         return MARKED, ANY
@@ -125,6 +131,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block of a page, in order, white space normalised."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, int]] = []  # open elements, the zone inside and what may be an article there
+    where: dict[str, list[int]] = {}  # places of each name's open elements
+    open_blocks: list[int] = []  # places of the open blocks
+    endless: set[str] = set()
     buf: list[str] = []
     zone, at, n = PLAIN, 0, len(page)
 
@@ -135,6 +144,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if text:
                 out.append((zone, text))
 
+    def close(k: int) -> None:
+        """Close the elements from place ``k`` on; each is closed once, so all closing is linear."""
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -154,39 +170,39 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if m.group(1):
             if name in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name not in _BLOCK and any(t[0] in _BLOCK for t in stack[k + 1 :]):
-                        break  # a stray inline end tag closes no block
-                    flush_needed = stack[k][1] != (stack[k - 1][1] if k else PLAIN)
-                    if flush_needed:
-                        flush()
-                    del stack[k:]
-                    zone = stack[-1][1] if stack else PLAIN
-                    break
+            # a stray inline end tag closes no block
+            if where.get(name) and (name in _BLOCK or not open_blocks or open_blocks[-1] < where[name][-1]):
+                k = where[name][-1]
+                if stack[k][1] != (stack[k - 1][1] if k else PLAIN):
+                    flush()
+                close(k)
+                zone = stack[-1][1] if stack else PLAIN
             continue
-        if name in _RAW and not m.group(3).endswith("/"):
+        if name in _RAW and not m.group(3).endswith("/") and name not in endless:
             if name == "head":
                 body = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
                 at = n if body is None else body.end() if body.group().startswith("</") else body.start()
+                continue
+            end = _RAW_END[name].search(page, at)
+            if end is None and name == "title":
+                endless.add(name)  # no later one ends either: plain markup
             else:
-                end = _RAW_END[name].search(page, at)
                 at = end.end() if end else n
-            continue
+                continue
         if name in _BLOCK:
             flush()
-            if name in _CLOSES_P and stack and any(t[0] == "p" for t in stack):
-                k = max(i for i, t in enumerate(stack) if t[0] == "p")
-                if not any(t[0] in _BLOCK for t in stack[k + 1 :]):
-                    del stack[k:]
+            if name in _CLOSES_P and where.get("p") and open_blocks[-1] == where["p"][-1]:
+                close(where["p"][-1])
             if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                close(len(stack) - 1)
             zone = stack[-1][1] if stack else PLAIN
         elif name == "br":
             buf.append(" ")
         if name in _VOID or m.group(3).endswith("/"):
             continue
         opened, lets = _zone_of(name, m.group(3), zone == ARTICLE)
+        if name not in _BLOCK and open_blocks and stack[open_blocks[-1]][0] in _TEXTUAL:
+            opened, lets = None, ANY  # no inline element splits a block
         shut = stack[-1][2] if stack else ANY
         inside = zone
         if opened == MARKED:
@@ -196,6 +212,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
             shut = ANY
         if inside != zone:
             flush()
+        where.setdefault(name, []).append(len(stack))
+        if name in _BLOCK:
+            open_blocks.append(len(stack))
         stack.append((name, inside, max(shut, lets)))
         zone = inside
     flush()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from flipframe.llm.common import ready, written
+from flipframe.llm.common import ready, scaled, written
 from flipframe.session import shuffle_partitions
 
 SHARD = 8192  # distinct vectors of a shard, about
@@ -42,13 +42,6 @@ WIDTH = 4  # nodes of a beam expanded at a time
 BATCH = 512  # searches that run in lockstep
 
 
-def scaled(x: np.ndarray) -> np.ndarray:
-    """Rows scaled by a power of two to components below 1, in double precision."""
-    x = np.asarray(x, np.float64)
-    _, e = np.frexp(np.abs(x).max(axis=1, keepdims=True))
-    return np.ldexp(x, -e)
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     x = scaled(x)
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import re
 import uuid
 from collections.abc import Iterator
@@ -33,18 +34,14 @@ CAPTURED = "2024-01-01T00:00:00Z"
 
 RESPONSE_COLUMNS = ("page_id", "warc_type", "record_id", "target_uri", "warc_date", "headers", "block")
 
-DERIVED = T.StructType(
-    [T.StructField("page_id", T.LongType())]
-    + [
-        T.StructField(n, T.StringType())
-        for n in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block_digest")
-    ]
-    + [T.StructField("content_length", T.LongType()), T.StructField("block", T.StringType())]
-)
+DERIVED_COLUMNS = [
+    T.StructField(n, T.StringType())
+    for n in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block_digest")
+] + [T.StructField("content_length", T.LongType()), T.StructField("block", T.StringType())]
 
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'])(href|lang)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
+_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("title", "script", "style")}
 
 
 def digest(data: bytes) -> str:
@@ -68,7 +65,7 @@ def page_responses(pages: DataFrame, captured: str = CAPTURED) -> DataFrame:
         F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
     )
     return pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.lit("response").alias("warc_type"), ident.alias("record_id"), url.alias("target_uri"),
+        "page_id", F.lit("response").alias("warc_type"), ident.alias("record_id"), url.alias("target_uri"),
         F.lit(captured).alias("warc_date"), F.lit("Content-Type: application/http; msgtype=response").alias("headers"),
         http.cast("binary").alias("block"),
     )
@@ -87,12 +84,14 @@ def split_http(block: bytes) -> tuple[str, list[str], bytes]:
 
 
 def _dechunked(data: bytes) -> bytes:
+    """The payload of a chunked body; a body that doesn't begin with a chunk size stays as it is, and
+    a broken size later on ends it there."""
     out, at = [], 0
     while (end := data.find(b"\r\n", at)) >= 0:
-        try:
-            n = int(data[at:end].split(b";")[0], 16)
-        except ValueError:
-            return data
+        size = data[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", size):
+            return b"".join(out) if out else data
+        n = int(size, 16)
         if n == 0:
             break
         out.append(data[end + 2 : end + 2 + n])
@@ -100,6 +99,63 @@ def _dechunked(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _tag_end(text: str, at: int, last: dict[str, int]) -> int:
+    """Place of the ">" that ends a tag whose attributes begin at ``at``, or -1.  A value in quotes may hold
+    ">"; a quote that never closes is a plain character.  ``last`` has the last place of each quote, so no
+    search runs to the end of the text twice."""
+    while (gt := text.find(">", at)) >= 0:
+        eq = text.find("=", at, gt)
+        if eq < 0:
+            return gt
+        at = eq + 1
+        while at < gt and text[at].isspace():
+            at += 1
+        if text[at] in last and at < last[text[at]]:
+            at = text.find(text[at], at + 1) + 1
+    return -1
+
+
+def page_facts(text: str) -> tuple[str | None, str | None, list[str]]:
+    """Title, language and link targets of a page in one pass; comments, scripts and styles hold none."""
+    title, lang, links, at = None, None, [], 0
+    endless: set[str] = set()
+    last = {q: text.rfind(q) for q in "\"'"}
+    while (lt := text.find("<", at)) >= 0:
+        if text.startswith("<!--", lt):
+            end = text.find("-->", lt + 4)
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        m = _NAME.match(text, lt + 1)
+        if not m:
+            at = lt + 1
+            continue
+        gt = _tag_end(text, m.end(), last)
+        if gt < 0:
+            break  # no tag ends after this place
+        name, at = m.group().lower(), gt + 1
+        if name in ("a", "html"):
+            found: dict[str, str] = {}
+            for k, v in _ATTRIBUTE.findall(text[m.end() : gt]):
+                found.setdefault(k.lower(), html.unescape(v[1:-1] if v[0] in "\"'" else v))
+            if name == "a" and "href" in found:
+                links.append(_one_line(found["href"]))
+            if name == "html" and lang is None and re.match(r"[A-Za-z-]+", found.get("lang", "")):
+                lang = re.match(r"[A-Za-z-]+", found["lang"])[0].lower()
+        elif name in _END and name not in endless:
+            end = _END[name].search(text, at)
+            if end is None:
+                if name != "title":
+                    break
+                endless.add(name)  # no later title ends either
+                continue
+            if name == "title" and title is None:
+                title = _one_line(html.unescape(text[at : end.start()]))
+            at = end.end()
+    return title, lang, links
+
+
 def _field(lines: list[str], name: str) -> str:
     return next((x.split(":", 1)[1].strip() for x in lines if x.lower().startswith(name + ":")), "")
 
@@ -123,10 +179,10 @@ def derive_one(ident: str, uri: str, date: str, headers: str, block: bytes) -> I
     fields = [("http-status", status), ("http-content-type", kind), ("payload-length", str(len(payload)))]
     plain = None
     if kind in ("text/html", "application/xhtml+xml"):
-        title, lang = _TITLE.search(text), _LANG.search(text)
-        fields += [("title", _one_line(title[1]))] if title else []
-        fields += [("language", lang[1].lower())] if lang else []
-        fields += [("outlink", _one_line(x.strip("\"'"))) for x in _LINK.findall(text)]
+        title, lang, links = page_facts(text)
+        fields += [("title", title)] if title is not None else []
+        fields += [("language", lang)] if lang else []
+        fields += [("outlink", x) for x in links]
         plain = "\n".join(t for _, t in blocks(text))
     elif kind == "text/plain":
         plain = text
@@ -143,14 +199,15 @@ def derive_one(ident: str, uri: str, date: str, headers: str, block: bytes) -> I
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Derived records, with their blocks, of a table of RESPONSE_COLUMNS."""
+    """Derived records, with their blocks, of a table of RESPONSE_COLUMNS; ``page_id`` keeps its type."""
     ready(responses.sparkSession)
+    spec = T.StructType([T.StructField("page_id", responses.schema["page_id"].dataType), *DERIVED_COLUMNS])
     src = responses.where((F.col("warc_type") == "response") & F.col("record_id").isNotNull()).select(*RESPONSE_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(DERIVED)
+        schema = to_arrow_schema(spec)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
@@ -159,12 +216,21 @@ def derivatives(responses: DataFrame) -> DataFrame:
                     out += [d | {"page_id": r["page_id"]} for d in made]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return src.mapInArrow(run, DERIVED)
+    return src.mapInArrow(run, spec)
 
 
 def record_bytes(derived: DataFrame, column: str = "record") -> DataFrame:
-    """Add each derived record as WARC 1.1 bytes: its header lines, an empty line, block, two line ends."""
-    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n"))
+    """Add each derived record as WARC 1.1 bytes: its header lines, an empty line, block, two line ends.
+
+    A line end inside a value is percent-encoded in a URI and a blank elsewhere, so no value makes
+    a header line of its own.
+    """
+
+    def line(name: str, c: str):
+        v = F.col(c).cast("string")
+        v = F.replace(F.replace(v, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")) if c == "target_uri" else F.translate(v, "\r\n", "  ")
+        return F.concat(F.lit(f"{name}: "), v, F.lit("\r\n"))
+
     return derived.withColumn(
         column,
         F.concat(

@@ -13,18 +13,19 @@ Repeated items count once per item_id; repeated documents are judged one by one.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flipframe.llm.common import ascii_words, free_name, ready, scan_texts
+from flipframe.llm.common import ascii_words, free_name, ready, scan_texts, written
+from flipframe.operators.positions import in_ranges, running_totals
 
 WIDTH = 10
-#: Most UTF-8 bytes of benchmark text that one broadcast carries (a larger single item travels
-#: alone); a larger benchmark is searched for in several blocks, one narrow pass each.
+#: UTF-8 bytes of benchmark text that one broadcast carries, beside its last item; a larger benchmark is
+#: searched for in several blocks, one narrow pass each.
 BLOCK_BYTES = 2 << 20
 
 
@@ -103,22 +104,26 @@ def search(words: list[bytes], searchers: Sequence[WuManber]) -> tuple[list[dict
 _BUILT: dict[str, list[WuManber]] = {}  # one entry: the block this Python worker last searched for
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
-    """Benchmark items in groups of at most ``block_bytes`` (or of one item id), by id hash."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Benchmark items in groups that begin at most ``block_bytes`` apart on their byte line, largest items
+    first: total / ``block_bytes`` + 1 groups at most, each of ``block_bytes`` and its last item.  One
+    group at a time is on the driver.
+    """
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text")
     ).where(F.col("item").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    while n > 1:
-        sizes = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(n)).alias("b")).agg(
-            F.sum(F.octet_length("text")).alias("size"), F.countDistinct("item").alias("ids")
-        )
-        if not sizes.where((F.col("size") > block_bytes) & (F.col("ids") > 1)).head(1):
-            break
-        n *= 2
-    blocks = (items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect() for b in range(n))
-    return [[(r.item, bytes(r.text)) for r in rows] for rows in blocks]
+    if total <= block_bytes:
+        groups = [items]
+    else:
+        order = [F.desc("size"), "item", "text"]
+        sized = in_ranges(items.withColumn("size", F.octet_length("text").cast("long")), order)
+        placed = running_totals(sized, order, F.col("size"), "begin").withColumn("block", F.expr(f"begin div {block_bytes}"))
+        placed, _ = written(benchmark.sparkSession, placed, "benchmark-blocks")
+        numbers = sorted(r.block for r in placed.select("block").distinct().collect())
+        groups = [placed.where(F.col("block") == b) for b in numbers]
+    for g in groups:
+        yield [(r.item, bytes(r.text)) for r in g.select("item", "text").collect()]
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text",

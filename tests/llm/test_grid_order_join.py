@@ -77,3 +77,10 @@ def test_recursion_skips_only_distant_intervals():
     i, j = G.block_links(a, a, p, p, 0.97, True)
     s = G._unit(a) @ G._unit(a).T
     assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(s >= 0.97))) if x < y}
+
+
+def test_tiny_and_huge_components(spark):
+    vecs = [[1e-200, 0.0, 0.0], [3e-200, 0.0, 1e-203], [1e200, 0.0, 0.0], [2e200, 0.0, 0.0], [0.0, 1e200, 1e200], [0.0, 5e-324, 5e-324], [1.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(vecs)] + [(9, [1e-200, 0.0, 0.0], 2)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in G.near_vectors(df).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 6: (4, 0), 4: (1, 4), 5: (1, 4), 9: (0, 9)}

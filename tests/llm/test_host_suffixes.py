@@ -129,3 +129,29 @@ def test_short_plain_text_beside_an_article_stays(spark):
     page = "<nav>Home</nav><div>By author {0}</div><article><p>Text {0}</p></article><p>" + FOOT + "</p>"
     pages = [(k, f"http://s.com/{k}", page.format(k)) for k in range(4)]
     assert texts(spark, pages) == {k: f"By author {k}\n\nText {k}" for k in range(4)}
+
+
+def _text(page):
+    return S.main_text(S.blocks(page), set())
+
+
+def test_compound_classes_and_stray_quotes():
+    for c in ("main-nav", "main-menu", "content-sidebar", "article-ad", "story-ad", "post-share"):
+        assert _text(f"<div class='{c}'>Home About</div><article>A</article>") == "A", c
+    assert _text("<article>A<div class='sidebar-content main-content'>B</div></article>") == "A\n\nB"
+    assert _text("<p class=it's>Hello</p>") == "Hello"
+    assert _text("<title>T</title><article>A</article>") == "A"
+
+
+def test_inline_elements_split_no_block():
+    assert _text("<article><p>The <span class='banner'>banner</span> text</p></article>") == "The banner text"
+    assert _text("<p>An <a class='share' href=x>a share</a> of it</p>") == "An a share of it"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    for page in ("<div>" * 40_000, "<div>" * 40_000 + "</b>" * 40_000, "<p>" * 40_000, "<a x='" * 40_000, "<p class=it's>" * 20_000, "<title>" * 40_000, "<a =\"x\"=\"x\"" * 20_000):
+        S.blocks(page)
+    assert time.perf_counter() - t < 10

@@ -88,3 +88,29 @@ def test_metadata_bytes_hold_every_source_header(spark):
     assert lines[lines.index("source-header: X: a") + 1] == " b" and "outlink: u" in lines
     assert f"Content-Length: {len(rest) - 4}".encode() in head.split(b"\r\n")
     assert b"source-header" not in made[2, "metadata"] and b"source-header" not in made[1, "conversion"]
+
+
+def test_broken_chunks_end():
+    assert W._dechunked(b"-6\r\nabc") == b"-6\r\nabc"
+    assert W._dechunked(b"3;x=1\r\nabc\r\n0x2\r\nde\r\n") == b"abc"
+    assert W._dechunked(b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n") == b"abcde"
+
+
+def test_page_facts_are_linear_and_skip_comments():
+    import time
+
+    t = time.perf_counter()
+    for page in ("<a " * 80_000, "<title>" * 40_000, '<a x="' * 50_000, "<!--" * 50_000, "<a href='" * 50_000):
+        W.page_facts(page)
+    assert time.perf_counter() - t < 5
+    page = "<html lang=EN-us><!-- <a href=/no> --><title>A &amp; B</title><a class=\"x>y\" href='/p?a=1&amp;b=2'>t</a><A HREF=/q>u</A><a data-href=/n>v</a><script>'<a href=/s>'</script>"
+    assert W.page_facts(page) == ("A & B", "en-us", ["/p?a=1&b=2", "/q"])
+
+
+def test_text_ids_and_line_ends_in_urls(spark):
+    df = spark.createDataFrame([("p-1", "http://a/\r\nX-Evil: 1", "<p>x</p>"), (None, None, None)], "page_id string, url string, html string")
+    rows = W.record_bytes(W.derivatives(W.page_responses(df))).collect()
+    assert {r.page_id for r in rows} == {"p-1", None}
+    for r in rows:
+        head = bytes(r.record).split(b"\r\n\r\n")[0]
+        assert b"X-Evil" not in b"".join(x for x in head.split(b"\r\n") if x.startswith(b"X-")) and b"%0D%0AX-Evil" in head or r.page_id is None

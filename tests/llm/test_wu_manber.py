@@ -71,3 +71,14 @@ def test_awkward_rows(spark):
     assert rows_of(W.contamination(d, b)) == brute(list(enumerate(texts)), bench)
     assert rows_of(W.contamination(d, b.limit(0))) == brute(list(enumerate(texts)), [])
     assert W.contamination(d.limit(0), b).count() == 0
+
+
+def test_skewed_items_pack_into_few_blocks(spark):
+    rows = [(k, "w%d x%d" % (k, k)) for k in range(150)] + [(999, "long " * 520)]
+    b = spark.createDataFrame(rows, "item_id long, text string")
+    groups = list(W._blocks(b, 2000))
+    assert len(groups) <= 4 and sorted(i for g in groups for i, _ in g) == sorted(str(i) for i, _ in rows)
+    d = spark.createDataFrame([(1, "w3 x3 and long long long long long long long long long long"), (2, "w3 x4")], "doc_id long, text string")
+    one, w1 = W.find_windows(d, b, keep=["doc_id"])
+    many, w2 = W.find_windows(d, b, keep=["doc_id"], block_bytes=2000)
+    assert sorted(map(str, one.select("doc_id", f"{w1}.*").collect())) == sorted(map(str, many.select("doc_id", f"{w2}.*").collect()))
