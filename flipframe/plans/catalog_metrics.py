@@ -205,18 +205,6 @@ def token_edit_distance(spark, d):
     return out.select("seed_id", "cand_id", "distance", D.normalised_distance(F.col("distance"), F.col("a")).alias("normalised"))
 
 
-@query("token_edit_distance_candidates", doubles=["normalised"])
-def token_edit_distance_candidates(spark, d):
-    """T5 over the kept pairs of all conversations: token edit distance of each candidate to its
-    example, / example tokens (tested against brute force)."""
-    _, kc = _kept(spark, d)
-    # spread by pair before the distances, as in the suite
-    kc = kc.select("paired_id", "idx", "example", "generated").repartition(shuffle_partitions(spark), "paired_id", "idx")
-    p = kc.select("paired_id", "idx", word_tokens("example").alias("a"), word_tokens("generated").alias("b"))
-    out = D.with_token_edit_distance(p, "a", "b", "distance")
-    return out.select("paired_id", "idx", "distance", D.normalised_distance(F.col("distance"), F.col("a")).alias("normalised"))
-
-
 def token_lev_sql(a: str, b: str, indel: int = 1) -> str:
     """Token-level edit distance of two lists in DuckDB (substitution 1, insert/delete ``indel``):
     one DP row per token of ``a``, built with nested ``list_reduce``."""
@@ -228,6 +216,21 @@ def token_lev_sql(a: str, b: str, indel: int = 1) -> str:
     list_transform(range(0, len({b}) + 1), lambda k: k * {indel}))[len({b}) + 1]"""
 
 
+@query("token_edit_distance_candidates", sql=W(TB.PAIRS_SQL(), _COMPLETE_SQL, f"tk AS (SELECT paired_id, idx, {tokens_sql('example')} AS a, {tokens_sql('generated')} AS b FROM kc)",
+                                              f"ds AS (SELECT *, {token_lev_sql('a', 'b')} AS dist FROM tk)",
+                                              body="SELECT paired_id, CAST(idx AS BIGINT) AS idx, CAST(dist AS BIGINT) AS distance, CASE WHEN len(a) > 0 THEN dist / len(a) END AS normalised FROM ds"),
+       doubles=["normalised"])
+def token_edit_distance_candidates(spark, d):
+    """T5 over the kept pairs of all conversations: token edit distance of each candidate to its
+    example, / example tokens."""
+    _, kc = _kept(spark, d)
+    # spread by pair before the distances, as in the suite
+    kc = kc.select("paired_id", "idx", "example", "generated").repartition(shuffle_partitions(spark), "paired_id", "idx")
+    p = kc.select("paired_id", "idx", word_tokens("example").alias("a"), word_tokens("generated").alias("b"))
+    out = D.with_token_edit_distance(p, "a", "b", "distance")
+    return out.select("paired_id", "idx", "distance", D.normalised_distance(F.col("distance"), F.col("a")).alias("normalised"))
+
+
 def _pad_tree_sql(x: str) -> str:
     # distance of a flat tree to the "." pad tree: 3 for an empty line, else 2k (+1 without a "." token)
     return f"(CASE WHEN len({x}) = 0 THEN 3 ELSE 2 * len({x}) + CASE WHEN list_contains({x}, '.') THEN 0 ELSE 1 END END)"
@@ -827,7 +830,8 @@ def feature_cache(spark, d):
     def no_build():
         raise AssertionError("the cache was not hit")
 
-    IO.cached_features(spark, path, lambda: _blocks(spark, d)[0].limit(0), params=params)  # an older content
+    older = lambda: spark.createDataFrame([], "block_id long, ids array<int>")
+    IO.cached_features(spark, path, older, params=params)
     IO.cached_features(spark, path, lambda: _blocks(spark, d)[0], overwrite_cache=True, params=params)
     cached = IO.cached_features(spark, path, no_build, params=params)
     return cached.select("block_id", F.array_join("ids", " ").alias("ids"))
@@ -1230,6 +1234,28 @@ def cat_vs_origin(spark, d):
     return M.mcnemar(M.contingency(both, "labels", "pred", "pred_b")).select("cc", "ci", "ic", "ii", "chi2")
 
 
+_REPORT_COLS = ["label_flip", "confidence", "avg_len_seed", "avg_len_counter"]
+
+
+@query("metrics_sweep", sql=W(TB.PAIRS_SQL(), f"""rs AS (SELECT 'prompt-' || CAST(c.idx + 1 AS VARCHAR) AS run, c.generated, p.example,
+  p.label_counter, {parity_sql('c.generated')[0]} AS pred, {parity_sql('c.generated')[1]} AS score FROM cands c JOIN pairs p ON c.paired_id = p.paired_id),
+rp AS (SELECT run, avg(CASE WHEN generated IS NOT NULL THEN CAST(pred = label_counter AS DOUBLE) END) AS label_flip,
+  avg(CASE WHEN generated IS NOT NULL THEN score END) AS confidence,
+  avg(CASE WHEN generated IS NOT NULL THEN CAST({words_sql('example')} AS DOUBLE) END) AS avg_len_seed,
+  avg(CASE WHEN generated IS NOT NULL THEN CAST({words_sql('generated')} AS DOUBLE) END) AS avg_len_counter FROM rs GROUP BY run)""",
+                              body=f"SELECT 'prompts' AS sweep, run, metric, value FROM (UNPIVOT rp ON {', '.join(_REPORT_COLS)} INTO NAME metric VALUE value) u"),
+       doubles=["value"])
+def metrics_sweep(spark, d):
+    """The reports of all runs of a sweep, committed together and read back."""
+    pairs, cands = TB.conversation_pairs(spark, d)
+    runs = cands.join(pairs.select("paired_id", "example", "label_counter"), "paired_id").withColumn(
+        "run", F.concat(F.lit("prompt-"), (F.col("idx") + 1).cast("string")))
+    report = SU.augmentation_report(runs).select("run", *[F.col(c).cast("double").alias(c) for c in _REPORT_COLS])
+    path = scratch_path(spark, "sweeps")
+    IO.commit_metrics(report.unpivot(["run"], _REPORT_COLS, "metric", "value"), path, "prompts")
+    return IO.read_committed_metrics(spark, path).select("sweep", "run", "metric", "value")
+
+
 # --- streaming: incremental per-file evaluation ---------------------------------------------------
 
 _STREAM_SQL = W(TB.PAIRS_SQL(), f"""rs AS (SELECT 'gpt2@prompt-' || CAST(c.idx + 1 AS VARCHAR) || '@fold-0' AS run, c.generated, p.example,
@@ -1260,3 +1286,19 @@ def streaming_runs_report(spark, d):
     q.awaitTermination()
     return read_report(spark, sink).select("run", "prompt", "fold", "n_removed", "label_flip", "confidence",
                                                "avg_len_seed", "avg_len_counter")
+
+
+@query("streaming_complete_pairs", sql=W(TB.PAIRS_SQL(), body=f"""SELECT 'gpt2@prompt-1@fold-0' AS run, paired_id, """ + ", ".join(
+    f"max(CASE WHEN idx = {i} THEN generated END) AS generated_{i}" for i in range(N)) + f" FROM cands GROUP BY paired_id HAVING count(generated) = {N}"))
+def streaming_complete_pairs(spark, d):
+    """S6/F4 with keyed state: candidates of a pair spread over files and triggers, one file delivered
+    again; each complete pair once."""
+    from flipframe.streaming.complete import collect_folder, read_pairs
+
+    _, cands = TB.conversation_pairs(spark, d)
+    folder, sink, ckpt = (scratch_path(spark, x) for x in ("candidate-files", "complete-pairs", "complete-ckpt"))
+    for part, rows in enumerate([*[cands.where(F.col("idx") == i) for i in reversed(range(N))], cands.where(F.col("idx") == 0)]):
+        (rows.select("paired_id", "idx", "generated").coalesce(1).write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
+         .option("nullValue", "").option("emptyValue", '""').csv(f"{folder}/part={part}/run=gpt2@prompt-1@fold-0"))
+    collect_folder(spark, folder, sink, ckpt, N, max_files_per_trigger=2).awaitTermination()
+    return read_pairs(spark, sink).select("run", "paired_id", *[F.get("candidates", i).alias(f"generated_{i}") for i in range(N)])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipframe.session import scratch_table
+from flipframe.session import bucketed_table, input_digest, scratch_table
 
 N_CANDIDATES = 3
 # fixed value: NLI label names by class id
@@ -82,30 +82,63 @@ def pair_key(conv_id: Column, turn: Column) -> Column:
             .otherwise(F.raise_error(F.concat_ws(" ", F.lit("no pair id for conversation and turn"), conv_id, turn)).cast("long")))
 
 
+def _with_pair_ids(pairs: DataFrame) -> DataFrame:
+    """``pairs`` written with a ``paired_id`` in place of its turn, different for every (conv_id, turn).
+
+    Where both numbers are small it is conv_id * TURNS + turn.  All others, such as hashed
+    conversation ids, get -1 - their position among their kind, so there is no pair without an id.
+    """
+    from flipframe.operators.positions import global_position
+
+    conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
+    small = turn.between(0, TURNS - 1) & conv.between(0, (1 << 43) - 1)
+    cols = ["conv_id", "paired_id", "example", "label_ex", "counterfactual", "label_counter", "cf_turn"]
+    # the guard keeps the product from overflowing where the pair gets a position instead
+    out = scratch_table(pairs.withColumn("paired_id", F.when(small, F.when(small, conv).otherwise(0) * TURNS + turn)), "pairs")
+    far = out.where(F.col("paired_id").isNull())
+    if far.isEmpty():
+        return out.select(*cols)
+    keys = global_position(far.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "_at")
+    far = far.drop("paired_id").join(keys, ["conv_id", "turn"]).withColumn("paired_id", -1 - F.col("_at"))
+    return scratch_table(out.where(F.col("paired_id").isNotNull()).select(*cols).unionByName(far.select(*cols)), "pairs-numbered")
+
+
 def conversation_pairs(spark: SparkSession, sf_dir: str, n: int = N_CANDIDATES) -> tuple[DataFrame, DataFrame]:
-    """(pairs, candidates_long), both written once to the shared scratch folder.
+    """(pairs, candidates_long), tables bucketed and sorted by pair id.
 
     Every exchange is a pair: a user turn (example) and the assistant turn right after it
     (counterfactual); the ``n`` turns after that are its candidates.
 
     pairs: paired_id, example, label_ex, counterfactual, label_counter, cf_turn
     candidates_long: paired_id, idx, generated -- one row per idx 0..n-1 (null when missing)
+
+    The tables are named by a digest of the conversation files, so a session makes them once, and
+    pairs meet their candidates without an exchange.
     """
-    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    # every join is keyed by (conversation, turn), so a conversation with a large share of all
-    # turns is spread like any other rows
-    user = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("example"))
-    reply = conv.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("counterfactual"))
-    pairs = scratch_table(user.join(reply, ["conv_id", "turn"]).select(
-        "conv_id", pair_key(F.col("conv_id"), F.col("turn")).alias("paired_id"), "example", (F.col("conv_id") % 2).cast("int").alias("label_ex"),
-        "counterfactual", (1 - F.col("conv_id") % 2).cast("int").alias("label_counter"), (F.col("turn") + 1).alias("cf_turn")), "pairs")
-    slots = pairs.select("paired_id", "conv_id", "cf_turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
-    later = conv.select("conv_id", "turn", F.col("text").alias("generated"))
-    cands = scratch_table(slots.withColumn("turn", F.col("cf_turn") + 1 + F.col("idx"))
-                          .join(later, on=["conv_id", "turn"], how="left")
-                          .select("paired_id", F.col("idx").cast("int").alias("idx"), "generated"), "candidates")
-    return pairs.drop("conv_id"), cands
+    digest = input_digest(spark, f"{sf_dir}/conversations.parquet")
+    made: list[DataFrame] = []
+
+    def numbered() -> DataFrame:
+        if not made:
+            conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+            # every join is keyed by (conversation, turn), so a conversation with a large share of all
+            # turns is spread like any other rows
+            user = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("example"))
+            reply = conv.filter(F.col("role") == "assistant").select(
+                "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("counterfactual"))
+            side = F.pmod(F.col("conv_id"), F.lit(2)).cast("int")
+            made.append(_with_pair_ids(user.join(reply, ["conv_id", "turn"]).select(
+                "conv_id", "turn", "example", side.alias("label_ex"), "counterfactual", (1 - side).alias("label_counter"), (F.col("turn") + 1).alias("cf_turn"))))
+        return made[0]
+
+    def candidates() -> DataFrame:
+        slots = numbered().select("paired_id", "conv_id", "cf_turn", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+        later = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("generated"))
+        return (slots.withColumn("turn", F.col("cf_turn") + 1 + F.col("idx")).join(later, on=["conv_id", "turn"], how="left")
+                .select("paired_id", F.col("idx").cast("int").alias("idx"), "generated"))
+
+    pairs = bucketed_table(spark, f"pairs_{digest}", lambda: numbered().drop("conv_id"), "paired_id")
+    return pairs, bucketed_table(spark, f"candidates_{digest}_{n}", candidates, "paired_id")
 
 
 def PAIRS_SQL(n: int = N_CANDIDATES) -> str:

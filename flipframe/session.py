@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "flipframe") -> SparkSession:
@@ -134,7 +136,41 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_digest(spark: SparkSession, path: str) -> str:
+    """A digest of the files below ``path`` (name, length, time), by an aggregate over their listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    one = F.xxhash64("path", "length", "modificationTime")
+    r = files.agg(F.bit_xor(one), F.sum(one.cast("decimal(38,0)")), F.count(F.lit(1)), F.sum("length")).first()
+    return hashlib.sha256(repr(tuple(r)).encode()).hexdigest()[:16]
+
+
+def bucketed_table(spark: SparkSession, name: str, build, by: str) -> DataFrame:
+    """The table ``name``, bucketed and sorted by ``by``; made by ``build()`` if this session has none.
+
+    Tables of one bucket count meet on ``by`` without an exchange.  The name must say what the table
+    is made from, as :func:`input_digest` does.  Its files lie below the shared checkpoint folder.
+    """
+    n = shuffle_partitions(spark)
+    name = f"{name}_b{n}"
+    if spark.catalog.tableExists(name):
+        where = _TABLES.get(name)  # deleted files, or another session's table: made again
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+        if where and mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            return spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+    path = scratch_path(spark, name)
+    build().repartition(n, by).write.option("path", path).bucketBy(n, by).sortBy(by).saveAsTable(name)
+    _TABLES[name] = path
+    return spark.table(name)
+
+
+_TABLES: dict[str, str] = {}  # folder of each bucketed table of this driver process
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this session, once nothing reads them any more."""
+    for name in list(_TABLES):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        del _TABLES[name]
     base = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "tables"))
     base.getFileSystem(spark._jsc.hadoopConfiguration()).delete(base, True)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -147,6 +148,48 @@ def read_metrics(spark: SparkSession, path: str, tags: Sequence[str] = ()) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+def commit_metrics(rows: DataFrame, path: str, sweep: str) -> None:
+    """Metrics sink for a whole sweep: (run, metric, value, tags..) rows of any number of runs that readers
+    see together or not at all.
+
+    The rows go to a folder of their own; then a manifest that names it takes the place of the
+    sweep's last one in one rename.  A job that fails before that leaves the table as it was, a
+    repeated one replaces its sweep, and other sweeps are untouched.
+    """
+    spark = rows.sparkSession
+    jvm, base = spark._jvm, path.rstrip("/")
+    folder = f"data/{sweep}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(f"{base}/{folder}")
+    hadoop = jvm.org.apache.hadoop.fs
+    where = hadoop.Path(f"{base}/manifests")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    new, final = hadoop.Path(f"{base}/manifests/.{uuid.uuid4().hex}"), hadoop.Path(f"{base}/manifests/{sweep}.json")
+    out = new.getFileSystem(spark._jsc.hadoopConfiguration()).create(new)
+    try:
+        out.write(json.dumps({"sweep": sweep, "folder": folder}).encode())
+    finally:
+        out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration()).rename(new, final, how)
+
+
+def read_committed_metrics(spark: SparkSession, path: str, tags: Sequence[str] = ()) -> DataFrame:
+    """All committed sweeps of :func:`commit_metrics`, with their name as ``sweep``."""
+    base = path.rstrip("/")
+    schema = ", ".join(["run string", "metric string", "value double", *[f"`{t}` string" for t in tags]])
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/manifests")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return spark.createDataFrame([], f"{schema}, sweep string")
+    # one small file per sweep
+    named = [json.loads(r.value) for r in spark.read.text(f"{base}/manifests/*.json", wholetext=True).collect()]
+    out = spark.createDataFrame([], f"{schema}, sweep string")
+    for m in sorted(named, key=lambda m: m["sweep"]):
+        out = out.unionByName(spark.read.schema(schema).parquet(f"{base}/{m['folder']}").withColumn("sweep", F.lit(m["sweep"])))
+    return out
+
+
 def cached_features(spark: SparkSession, path: str, build, overwrite_cache: bool = False, params: dict | None = None) -> DataFrame:
     """Feature cache: build and write once, read afterwards (any Hadoop file system).
 

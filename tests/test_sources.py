@@ -77,3 +77,23 @@ def test_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_a_sweep_is_seen_whole_or_not_at_all(spark):
+    from pyspark.sql import functions as F
+
+    path = tempfile.mkdtemp(prefix="ff-sweeps-")
+    schema = "run string, metric string, value double, lm string"
+    seen = lambda: sorted(map(tuple, IO.read_committed_metrics(spark, path, ["lm"]).collect()))
+    assert seen() == []
+    first = spark.createDataFrame([("r1", "bleu", 0.5, "a"), ("r2", "bleu", 0.6, "b")], schema)
+    IO.commit_metrics(first, path, "grid")
+    IO.commit_metrics(first.where("run = 'r1'"), path, "other")
+    want = [("r1", "bleu", 0.5, "a", "grid"), ("r1", "bleu", 0.5, "a", "other"), ("r2", "bleu", 0.6, "b", "grid")]
+    assert seen() == sorted(want)
+    broken = first.repartition(4, "run").withColumn("value", F.when(F.col("run") == "r2", F.raise_error("lost").cast("double")).otherwise(9.0))
+    with pytest.raises(Exception, match="lost"):
+        IO.commit_metrics(broken, path, "grid")
+    assert seen() == sorted(want)
+    IO.commit_metrics(first.withColumn("value", F.col("value") + 1).where("run = 'r2'"), path, "grid")
+    assert seen() == [("r1", "bleu", 0.5, "a", "other"), ("r2", "bleu", 1.6, "b", "grid")]
