@@ -848,7 +848,7 @@ def _flat_tree_dist_ctes() -> list[str]:
     return [ctes, "td AS (SELECT paired_id, idx, avg(dist) AS s FROM d GROUP BY paired_id, idx)"]
 
 
-def _suite_sql(closeness: bool = False, nli: bool = False) -> str:
+def _suite_sql(closeness: bool = False, nli: list[str] | None = None) -> str:
     parity = _PARITY_G
     parts = [
         "SELECT 'n_removed' AS metric, CAST((SELECT count(*) FROM pairs) - (SELECT count(*) FROM kept) AS DOUBLE) AS value",
@@ -866,12 +866,12 @@ def _suite_sql(closeness: bool = False, nli: bool = False) -> str:
         parts.append(f"SELECT 'sent_bleu{k}_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s{k}) AS mm FROM sb GROUP BY idx) t)")
         parts.append(f"SELECT 'sent_bleu{k}_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s{k}) AS vv FROM sb GROUP BY idx) t)")
     parts.append("SELECT 'sent_bleu_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM sb GROUP BY idx) t)")
-    parts.append(f"""SELECT 'sent_bleu_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
+    parts.append(f"""SELECT 'sent_bleu_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('round(s, 12)', 'idx')} AS rx,
   {_midrank_sql('counter_size', 'idx')} AS ry FROM sb) q GROUP BY idx) t)""")
     parts.append("SELECT 'self_bleu_mean', (SELECT avg(self_bleu) FROM selfb)")
     parts.append("SELECT 'self_bleu_var', (SELECT var_pop(self_bleu) FROM selfb)")
     parts.append("SELECT 'self_bleu_pearson', (SELECT corr(self_bleu, counter_size) FROM selfb)")
-    parts.append(f"""SELECT 'self_bleu_spearman', (SELECT corr(rx, ry) FROM (SELECT {_midrank_sql('self_bleu', '1')} AS rx,
+    parts.append(f"""SELECT 'self_bleu_spearman', (SELECT corr(rx, ry) FROM (SELECT {_midrank_sql('round(self_bleu, 12)', '1')} AS rx,
   {_midrank_sql('counter_size', '1')} AS ry FROM selfb) q)""")
     extra = []
     if closeness:
@@ -882,12 +882,12 @@ def _suite_sql(closeness: bool = False, nli: bool = False) -> str:
             "SELECT 'lev_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s) AS mm FROM lvs GROUP BY idx) t)",
             "SELECT 'lev_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s) AS vv FROM lvs GROUP BY idx) t)",
             "SELECT 'lev_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM lvs GROUP BY idx) t)",
-            f"""SELECT 'lev_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
+            f"""SELECT 'lev_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('round(s, 12)', 'idx')} AS rx,
   {_midrank_sql('counter_size', 'idx')} AS ry FROM lvs WHERE s IS NOT NULL) q GROUP BY idx) t)""",
             "SELECT 'zss_mean', (SELECT avg(mm) FROM (SELECT idx, avg(s) AS mm FROM zs GROUP BY idx) t)",
             "SELECT 'zss_var', (SELECT var_pop(vv) FROM (SELECT idx, var_pop(s) AS vv FROM zs GROUP BY idx) t)",
             "SELECT 'zss_pearson', (SELECT avg(p) FROM (SELECT idx, corr(s, counter_size) AS p FROM zs GROUP BY idx) t)",
-            f"""SELECT 'zss_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('s', 'idx')} AS rx,
+            f"""SELECT 'zss_spearman', (SELECT avg(p) FROM (SELECT idx, corr(rx, ry) AS p FROM (SELECT idx, {_midrank_sql('round(s, 12)', 'idx')} AS rx,
   {_midrank_sql('counter_size', 'idx')} AS ry FROM zs) q GROUP BY idx) t)"""]
         extra += [*_flat_tree_dist_ctes(), f"""zs AS (SELECT td.idx, td.s, {ntok_sql('k.counterfactual')} AS counter_size
   FROM td JOIN kept k ON td.paired_id = k.paired_id)"""]
@@ -909,7 +909,7 @@ def _suite_sql(closeness: bool = False, nli: bool = False) -> str:
   FROM sm JOIN kept k ON sm.id = k.paired_id GROUP BY sm.id)""",
         *extra,
         body=body)
-    return sql.replace(TB.PAIRS_SQL(), ",\n".join(_NLI_PAIRS_CTES)) if nli else sql
+    return sql.replace(TB.PAIRS_SQL(), ",\n".join(nli)) if nli else sql
 
 
 def _nli_gen_ctes(src: str) -> list[str]:
@@ -929,10 +929,17 @@ def _rot_sql(i: int) -> str:
     return f"array_to_string(({w})[{k} + 1:] || ({w})[1:{k}], ' ')"
 
 
-_NLI_PAIRS_CTES = [TB.NLI_SHORT_SQL(), *_nli_gen_ctes("nli_s"),
-                   f"""pairs AS (SELECT rid AS paired_id, example, 0 AS label_ex, CASE WHEN task = 'RH' THEN counter_hyp ELSE counter_prem END AS counterfactual,
+def _nli_pairs_ctes(*rows: str, src: str) -> list[str]:
+    """``pairs`` and ``cands`` of the NLI rows ``src``, which the CTEs ``rows`` define."""
+    return [*rows, *_nli_gen_ctes(src),
+            f"""pairs AS (SELECT rid AS paired_id, example, 0 AS label_ex, CASE WHEN task = 'RH' THEN counter_hyp ELSE counter_prem END AS counterfactual,
   CASE counter_label {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _LABEL_MAP.items())} END AS label_counter, task, original_prem, original_hyp FROM npr)""",
-                   "cands AS (SELECT rid AS paired_id, idx, generated FROM nli_gen)"]
+            "cands AS (SELECT rid AS paired_id, idx, generated FROM nli_gen)"]
+
+
+_NLI_SHORT_CTES = _nli_pairs_ctes(TB.NLI_SHORT_SQL(), src="nli_s")
+# a document has a row in both tasks, so the row id alone names two rows
+_NLI_ROWS_CTES = _nli_pairs_ctes(TB.NLI_SQL(), "nli_u AS (SELECT * REPLACE (rid * 2 + CAST(task = 'RH' AS BIGINT) AS rid) FROM nli)", src="nli_u")
 
 
 _SUITE_SQL = _suite_sql()
@@ -970,26 +977,36 @@ def generate_nli(spark, d):
     return _nli_generated(TB.nli_pairs(spark, d))
 
 
-@query("eval_suite_nli", sql=_suite_sql(closeness=True, nli=True), doubles=["value"])
+@query("eval_suite_nli", sql=_suite_sql(closeness=True, nli=_NLI_SHORT_CTES), doubles=["value"])
 def eval_suite_nli(spark, d):
     """T7 for NLI: label flip of generated candidates against the counter label, BLEU family, token and
     tree distance to the task's own original side, self-BLEU."""
     return _nli_suite(TB.nli_short(spark, d))
 
 
+def _nli_rows(spark, d):
+    """All premise and hypothesis rows; a document has a row in both tasks, so the task goes into the id."""
+    rows = TB.nli_pairs(spark, d)
+    return rows.withColumn("rid", F.col("rid") * 2 + (F.col("task") == "RH").cast("long"))
+
+
+@query("eval_suite_nli_rows", sql=_suite_sql(nli=_NLI_ROWS_CTES), doubles=["value"])
+def eval_suite_nli_rows(spark, d):
+    """T7 for NLI over all premise and hypothesis rows of the documents, as in generate_nli: label flip,
+    BLEU family, self-BLEU."""
+    return _nli_suite(_nli_rows(spark, d), "gbd")
+
+
 @query("eval_suite_nli_documents", doubles=["value"])
 def eval_suite_nli_documents(spark, d):
-    """The same over all premise and hypothesis rows of the documents, as in generate_nli (tested
-    against brute force)."""
-    # a document has a row in both tasks, so the row id alone names two rows
-    rows = TB.nli_pairs(spark, d)
-    return _nli_suite(rows.withColumn("rid", F.col("rid") * 2 + (F.col("task") == "RH").cast("long")))
+    """The same with token and tree distance (tested against brute force)."""
+    return _nli_suite(_nli_rows(spark, d))
 
 
-def _nli_suite(rows):
+def _nli_suite(rows, metrics: str = "gbcd"):
     rows = scratch_table(rows, "nli")
     cands = scratch_table(_nli_generated(rows), "nli-candidates")
-    return SU.evaluate_nli(rows, cands, N, _LABEL_MAP, line_trees=True)
+    return SU.evaluate_nli(rows, cands, N, _LABEL_MAP, metrics, line_trees=True)
 
 
 @query("metrics_table", sql="SELECT 'suite' AS run, metric, value FROM (" + _SUITE_SQL + ") s", doubles=["value"])

@@ -64,7 +64,7 @@ def _spearman_means(stacked: DataFrame) -> DataFrame:
 
 def _for_spearman(rows: DataFrame, family: str, score: str) -> DataFrame:
     return rows.select(F.lit(family).alias("family"), F.col("idx").cast("int").alias("idx"),
-                       F.col(score).cast("double").alias("score"), "counter_size")
+                       F.round(F.col(score).cast("double"), 12).alias("score"), "counter_size")  # scores that differ by rounding alone are ties
 
 
 def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer,
