@@ -27,22 +27,27 @@ from flipframe.llm.common import table
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and verdict of every document; fitted on labelled rows outside the held-out fifth."""
     return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_html_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return host_suffixes.page_texts(table(spark, sf_dir, "pages"))
 
 
 def op3_url_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return url_automaton.url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op4_shard_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law `bytes`."""
     return byte_shards.byte_shards(table(spark, sf_dir, "documents"))
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page's response, their bytes as a digest."""
     made = warc_derivatives.derivatives(warc_derivatives.page_responses(table(spark, sf_dir, "pages")))
     return warc_derivatives.record_bytes(made).select(
         "page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_headers",
@@ -51,22 +56,27 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words, items and verdict of every document."""
     return wu_manber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_licence_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and score of every document; the operator's spans are left out."""
     return licence_automaton.licence_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of every document."""
     return bpe_automaton.encode_texts(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
 
 
 def op9_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_embedding_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
     return grid_order_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 

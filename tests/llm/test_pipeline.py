@@ -33,3 +33,14 @@ def test_stages_on_empty_and_awkward_documents(spark):
         for _, stage in P.STAGES:
             out = stage(spark, out, SF)
         assert out.count() <= 3
+
+
+def test_stages_with_clashing_columns_ties_and_repeated_ids(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    docs = docs_of(spark, [long, long, long + " end", "other text here", None, long], [5, 5, 3, 7, 7, 9])
+    kept = P.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.text and r.text.startswith("word0")) in ([3], [3, 5])
+    clean = P.decontaminate(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    good = P.quality(spark, docs, SF)
+    assert good.columns == docs.columns and good.count() <= docs.count()
