@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; one row per kept document."""
+    """All stages over ``documents``; one row per kept document.
+
+    Null and empty texts are judged like any others; of equal fingerprints the smallest id stays, and
+    rows that repeat it count as one document; extra columns travel on, whatever their names; an empty
+    table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs, _ = written(spark, stage(spark, docs, sf_dir), f"stage-{name}")
