@@ -362,7 +362,7 @@ def ranked_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: s
     none = lambda t: F.lit(None).cast(t)
     id_type = docs.schema[id_col].dataType
     blocks = asked.select("block").distinct()
-    at = heads.select("segment").crossJoin(F.broadcast(blocks))  # the query set visits every segment, in blocks
+    at = heads.select("segment").crossJoin(blocks)  # the query set visits every segment, in blocks; ids only
     stream = (
         at.join(heads.select("segment", "counts", "ids"), "segment")
         .select("segment", "block", F.lit(0).alias("kind"), none("string").alias("term"), none("long").alias("weight"), none("binary").alias("places"),
