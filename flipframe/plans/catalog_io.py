@@ -17,7 +17,7 @@ from flipframe.operators import pairs as PR
 from flipframe.operators import sampling as S
 from flipframe.plans import tables as TB
 from flipframe.plans.registry import query
-from flipframe.session import scratch_path, spread
+from flipframe.session import scratch_path, shuffle_partitions, spread
 from flipframe.sources import files as IO
 
 N = TB.N_CANDIDATES
@@ -109,8 +109,10 @@ def csv_column_scan(spark, d):
 def corpus_lines_scan(spark, d):
     """Raw text corpus scan: every line of every file with its place in the stream."""
     path = scratch_path(spark, "corpus")
-    # part files in document order, so the stream order is known to the oracle
-    docs = TB.table(spark, d, "documents").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    # part files in document order, so the stream order is known to the oracle; as many ranges as the scan has splits
+    docs = TB.table(spark, d, "documents")
+    n = max(4, shuffle_partitions(spark), docs.rdd.getNumPartitions())
+    docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     docs.select("text").write.mode("overwrite").text(path)
     return IO.read_text_corpus(spark, path).select("line_id", "text")
 

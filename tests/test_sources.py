@@ -97,3 +97,20 @@ def test_a_sweep_is_seen_whole_or_not_at_all(spark):
     assert seen() == sorted(want)
     IO.commit_metrics(first.withColumn("value", F.col("value") + 1).where("run = 'r2'"), path, "grid")
     assert seen() == [("r1", "bleu", 0.5, "a", "other"), ("r2", "bleu", 1.6, "b", "grid")]
+
+
+def test_the_corpus_has_more_than_four_files(spark, tmp_path):
+    """Its ranges follow the input, so no task reads a quarter of it; the stream order stays."""
+    import os
+
+    import __spark_entry__ as entry
+    from flipframe import session
+
+    folder = str(tmp_path)
+    spark.range(0, 400, 1, 12).selectExpr("399 - id AS doc_id", "concat('l', 399 - id, '\nsecond') AS text").write.parquet(f"{folder}/documents.parquet")
+    base = os.path.join(session.ensure_checkpoint_dir(spark), "tables").removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    got = [r.text for r in entry.queries()["corpus_lines_scan"](spark, folder).orderBy("line_id").collect()]
+    assert got == [x for i in range(400) for x in (f"l{i}", "second")]
+    made = [n for n in set(os.listdir(base)) - before if n.startswith("corpus-")]
+    assert len(made) == 1 and sum(n.endswith(".txt") for n in os.listdir(os.path.join(base, made[0]))) > 4
