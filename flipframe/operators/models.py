@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,34 +139,51 @@ def toy_generate(pdf: pd.DataFrame, n: int) -> list[list[str | None]]:
     return out
 
 
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20  # of the prompts a generator holds at once; one longer row is a slice of its own
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows that keep to the bounds above."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for col in batch.columns:
+        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+            size += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def generate_candidates(prompts: DataFrame, generate_fn: Callable[[pd.DataFrame, int], list], n: int,
                         keep_cols: Sequence[str]) -> DataFrame:
     """M3: batches of prompts -> N candidates per row (ARRAY<STRING>); a failing row gets N nulls
-    and its error text, the job carries on."""
+    and its error text, the job carries on.  A worker holds the texts of one slice of a batch at a time."""
     keep = list(keep_cols)
-    schema = prompts.select(*keep).schema.simpleString()[len("struct<"):-1]
-    out_schema = f"{schema}, generated array<string>, error string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            gens, errs = [], []
-            try:
-                gens = list(generate_fn(pdf, n))
-                errs = [None] * len(pdf)
-            except Exception:  # fall back to row by row so one bad row does not sink the batch
-                for i in range(len(pdf)):
-                    try:
-                        gens.append(list(generate_fn(pdf.iloc[i:i + 1], n))[0])
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001 - recorded per row
-                        gens.append([None] * n)
-                        errs.append(repr(e))
-            res = pdf[keep].copy()
-            res["generated"] = gens
-            res["error"] = errs
-            yield res
-
-    return prompts.mapInPandas(run, out_schema)
+    schema = T.StructType([*prompts.select(*keep).schema.fields, T.StructField("generated", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                pdf = part.to_pandas()
+                gens, errs = [], []
+                try:
+                    gens = list(generate_fn(pdf, n))
+                    errs = [None] * len(pdf)
+                except Exception:  # fall back to row by row so one bad row does not sink the batch
+                    gens = []
+                    for i in range(len(pdf)):
+                        try:
+                            gens.append(list(generate_fn(pdf.iloc[i:i + 1], n))[0])
+                            errs.append(None)
+                        except Exception as e:  # noqa: BLE001 - recorded per row
+                            gens.append([None] * n)
+                            errs.append(repr(e))
+                made = [pa.array(gens, pa.list_(pa.string())), pa.array(errs, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=[*keep, "generated", "error"])
+
+    return prompts.mapInArrow(run, schema)
 
 
 def explode_generated(gen: DataFrame, id_cols: Sequence[str]) -> DataFrame:

@@ -52,3 +52,20 @@ def test_generator_failure_gives_nulls(spark):
     out = {r.paired_id: (r.generated, r.error) for r in MD.generate_candidates(df, gen, 2, ["paired_id"]).collect()}
     assert out[1] == (["ok-0", "ok-1"], None)
     assert out[2][0] == [None, None] and "bad row" in out[2][1]
+
+
+def test_a_generator_holds_a_slice_of_a_batch(spark):
+    """An Arrow batch has up to 10,000 rows; the generator gets them in bounded runs, a long row on its own."""
+    def generate(pdf, n):
+        size = sum(len(p) + len(e) for p, e in zip(pdf["prompt"], pdf["example"]))
+        if len(pdf) > 1 and (len(pdf) > MD.SLICE_ROWS or size > MD.SLICE_BYTES):
+            raise ValueError("too much at once")
+        return [[f"{len(pdf)} {e[:9]}"] * n for e in pdf["example"]]
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.lit("p").alias("prompt"), F.concat(F.col("id").cast("string"), F.repeat(
+        F.lit(" x"), F.when(F.col("id") == 700, MD.SLICE_BYTES).otherwise(F.when(F.col("id") > 2900, 100_000).otherwise(5)).cast("int"))).alias("example"), F.lit(9).alias("max_length"))
+    got = MD.generate_candidates(rows, generate, 2, ["id"]).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(3000)) and all(r.error is None and len(r.generated) == 2 for r in got)
+    assert all(r.generated[0].split()[1] == str(r.id) for r in got)
+    sizes = {int(r.generated[0].split()[0]) for r in got}
+    assert max(sizes) == MD.SLICE_ROWS and 1 in sizes
