@@ -6,12 +6,19 @@ counts (``positions.running_totals``).  Vocabulary lookups are joins, never per-
 
 from __future__ import annotations
 
+import math
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flipframe.functions.order import hash_key, uniform01
+from flipframe.functions.order import TWO_POW_32, hash_key, uniform01
 from flipframe.functions.text import word_tokens
-from flipframe.session import scratch_table
+from flipframe.session import bucketed_table, scratch_table, shuffle_partitions
 
 # --- fixed values -------------------------------------------------------------------------
 SPECIAL_IDS = {"<|PAD|>": 0, "<|UNK|>": 1, "<|BOS|>": 2, "<|EOS|>": 3, "<|SEP|>": 4, "<|MASK|>": 5}
@@ -73,6 +80,46 @@ def ids_arrays(encoded: DataFrame, id_col: str = "line_id") -> DataFrame:
             .select(id_col, F.transform("_p", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("ids")))
 
 
+LOT_TOKENS = 1 << 21  # tokens of a lot, about: what one task encodes at a time
+
+
+def encode_arrays(tokens: DataFrame, vocab: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens") -> DataFrame:
+    """(line_id, ids): :func:`ids_arrays` of :func:`encode_lines`, without a row per token.
+
+    Lines are dealt to lots by their id.  Each lot's distinct tokens meet the vocabulary in a join, and
+    the lot's lines meet that word list in an Arrow batch, so what is shuffled is the text of
+    the lines and the word lists.  Lines that repeat an id become one, by position and id.
+    """
+    spark = tokens.sparkSession
+    total = tokens.agg(F.sum(F.size(tokens_col))).first()[0] or 0
+    n = shuffle_partitions(spark)
+    lots = max(2 * n, -(-int(total) // LOT_TOKENS))
+    # no token holds a blank, so a line's tokens travel as one string
+    lines_by_lot = tokens.where(F.size(tokens_col) > 0).select(F.pmod(F.xxhash64(id_col), F.lit(lots)).cast("int").alias("lot"),
+                                                               F.col(id_col), F.array_join(tokens_col, " ").alias("line"))
+    lines = bucketed_table(spark, f"lots_{uuid.uuid4().hex[:12]}", lambda: lines_by_lot, "lot")  # neither side below shuffles it again
+    words = lines.select(F.col("lot").alias("_lot"), F.explode(F.split("line", " ")).alias("token")).distinct().join(vocab, on="token", how="left")
+    words = words.select("_lot", "token", F.coalesce(F.col("id"), F.lit(SPECIAL_IDS["<|UNK|>"])).cast("int").alias("id"))
+
+    def encode(part: pa.Table, known: pa.Table) -> pa.Table:
+        key, text = part.column(id_col).combine_chunks(), part.column("line").combine_chunks()
+        words_of = pc.split_pattern(text, " ")
+        at = pc.index_in(words_of.flatten(), value_set=known.column("token").combine_chunks())
+        ids = known.column("id").combine_chunks().take(at)
+        offsets = words_of.offsets
+        if pc.count_distinct(key, mode="all").as_py() < len(key):
+            code = pc.dictionary_encode(key, null_encoding="encode")
+            size = np.diff(offsets.to_numpy())
+            row = np.repeat(code.indices.to_numpy(), size)
+            pos = np.arange(len(ids)) - np.repeat(offsets.to_numpy()[:-1], size)
+            ids = ids.take(pa.array(np.lexsort((ids.to_numpy(), pos, row))))
+            key, offsets = code.dictionary, pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(code.dictionary)))]), pa.int32())
+        return pa.table({id_col: key, "ids": pa.ListArray.from_arrays(offsets, ids)})
+
+    spec = T.StructType([tokens.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return lines.groupBy("lot").cogroup(words.groupBy("_lot")).applyInArrow(encode, spec)
+
+
 def line_offsets(tokens: DataFrame, id_col: str = "line_id", tokens_col: str = "tokens") -> DataFrame:
     """(line_id, n_tokens, start): the first stream position of every line, lines in id order."""
     from flipframe.operators.positions import in_ranges, running_totals
@@ -126,21 +173,24 @@ def mlm_mask(blocks: DataFrame, seed, vocab_max_id: int | Column, id_col: str =
     """
     vocab_max_id = vocab_max_id if isinstance(vocab_max_id, Column) else F.lit(vocab_max_id)
     special = F.array(*[F.lit(i) for i in special_ids])
+    least = f"{math.ceil(MLM_PROBABILITY * TWO_POW_32):08x}"  # a smaller key is a number below the probability
 
     def u(pos, salt):
         return uniform01(hash_key(f"{seed}/{salt}", F.col(id_col), pos))
 
+    def chosen(x, i):
+        return (~F.array_contains(special, x)) & (hash_key(f"{seed}/sel", F.col(id_col), i) < least)
+
     def masked(x, i):
-        sel = (~F.array_contains(special, x)) & (u(i, "sel") < MLM_PROBABILITY)
         band = u(i, "band")
         rnd = F.floor(u(i, "rnd") * (vocab_max_id + 1)).cast("int")  # any id of the vocabulary
-        return F.when(~sel, x).when(band < MASK_SHARE, F.lit(mask_id)).when(band < MASK_SHARE + RANDOM_SHARE, rnd).otherwise(x)
-
-    def label(x, i):
-        sel = (~F.array_contains(special, x)) & (u(i, "sel") < MLM_PROBABILITY)
-        return F.when(sel, x).otherwise(F.lit(IGNORE_INDEX))
+        return (F.when(~F.get("_chosen", i), x).when(band < MASK_SHARE, F.lit(mask_id))
+                .when(band < MASK_SHARE + RANDOM_SHARE, rnd).otherwise(x))
 
-    return blocks.select(id_col, F.transform(ids_col, masked).alias("input_ids"), F.transform(ids_col, label).alias("labels"))
+    # two readers of the flags: they are computed once a position
+    flagged = blocks.withColumn("_chosen", F.transform(ids_col, chosen))
+    return flagged.select(id_col, F.transform(ids_col, masked).alias("input_ids"),
+                          F.zip_with(ids_col, "_chosen", lambda x, c: F.when(c, x).otherwise(F.lit(IGNORE_INDEX))).alias("labels"))
 
 
 def bigram_table(train_lines: DataFrame, text_col: str = "text") -> DataFrame:

@@ -754,7 +754,7 @@ def _encoded(spark, d):
     docs = spread(TB.table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), "text"))
     toks = scratch_table(CO.tokenize_lines(docs), "tokens")
     vocab = scratch_table(CO.build_vocab(toks), "vocab")
-    return toks, vocab, CO.ids_arrays(CO.encode_lines(toks, vocab))
+    return toks, vocab, CO.encode_arrays(toks, vocab)
 
 
 @query("token_ids", sql=W(_VOCAB_SQL, body="SELECT doc_id, array_to_string(list(id ORDER BY pos), ' ') AS ids FROM enc GROUP BY doc_id"))

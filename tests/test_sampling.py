@@ -139,3 +139,25 @@ def test_one_pass_pivot_equals_assignment_and_pivot(spark):
     want = pivot_pairs(assign_counterfactual(df, "paired_id", "row_id", 3))
     got = pivot_seeded(df, "row_id", 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+
+
+def test_lots_encode_as_rows_per_token_do(spark, monkeypatch):
+    """Repeated, null and empty lines, unknown tokens, more lots than one: the arrays of the long form, without it."""
+    monkeypatch.setattr(CO, "LOT_TOKENS", 7)
+    monkeypatch.setattr(CO, "encode_lines", None)
+    rows = [(i, " ".join(f"w{(i * k) % 11}" for k in range(i % 9))) for i in range(40)]
+    rows += [(3, "twice w1 w0"), (None, "no id"), (None, "w2 w2"), (41, None), (42, ""), (43, "a b c (x)\ny")]
+    toks = CO.tokenize_lines(spark.createDataFrame(rows, "line_id long, text string"))
+    vocab = spark.createDataFrame([(f"w{k}", k + 6) for k in range(11)] + [("(", 20)], "token string, id int")
+    code = {r.token: r.id for r in vocab.collect()}
+    want = {}
+    for r in toks.collect():
+        for pos, t in enumerate(r.tokens or []):
+            want.setdefault(r.line_id, []).append((pos, code.get(t, 1)))
+    got = CO.encode_arrays(toks, vocab).collect()
+    assert len(got) == len(want) and {r.line_id: r.ids for r in got} == {k: [i for _, i in sorted(v)] for k, v in want.items()}
+
+
+def test_no_token_holds_the_blank_that_joins_a_line(spark):
+    got = CO.tokenize_lines(spark.createDataFrame([(1, "a  b\t c  d \n")], "line_id long, text string")).first().tokens
+    assert all(" " not in t for t in got) and " " in got
