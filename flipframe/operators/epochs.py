@@ -3,7 +3,8 @@
 A softmax regression over the words of a text.  The model is a table with one row per
 (feature, label): weight and the two moments of the optimiser (Adam with decoupled weight decay).
 A step is three aggregates: scores are sums over the features of a document, residuals join back
-to its features, and gradients are sums over the documents of a feature.  Nothing but one
+to its features, and gradients are sums over the documents of a feature.  The features are dealt to lots once
+(:class:`_Lots`), and a full batch's scores serve both its loss and its step.  Nothing but one
 accuracy per epoch reaches the driver, and the vocabulary has no limit.
 
 After each epoch the validation accuracy is taken; training ends after ``patience`` epochs without
@@ -17,15 +18,17 @@ not trained on.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipframe.functions.text import word_tokens
 from flipframe.operators.bayes import MAX_CLASSES
-from flipframe.session import scratch_table
+from flipframe.session import bucketed_table, scratch_table, shuffle_partitions
 
 BETA1, BETA2 = 0.9, 0.999  # decay of the moments
 
@@ -43,7 +46,9 @@ class Settings:
 def document_features(df: DataFrame, id_col: str, text_col: str = "text", label_col: str | None = "labels") -> DataFrame:
     """(id, label, features): an array of (feature, x) per document, written once."""
     label = F.lit(None).cast("int") if label_col is None else F.col(label_col).cast("int")
-    docs = df.select(F.col(id_col).alias("id"), label.alias("label"), word_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    # dealt by id once, as texts: the groups and the join below keep to that dealing
+    dealt = df.select(F.col(id_col).alias("id"), label.alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = dealt.repartition(shuffle_partitions(df.sparkSession), "id").select("id", "label", word_tokens("text").alias("t"))
     words = docs.select("id", F.explode("t").alias("feature")).groupBy("id", "feature").agg((1 + F.log(F.count(F.lit(1)))).alias("x"))
     bags = words.groupBy("id").agg(F.collect_list(F.struct("feature", "x")).alias("f"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     constant = F.array(F.struct(F.lit("").alias("feature"), F.lit(1.0).alias("x")))
@@ -83,17 +88,60 @@ def best_label(scores: Column, labels: Sequence[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in labels]), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
-def _step(batch: DataFrame, weights: DataFrame, labels: Sequence[int], step: int, s: Settings) -> DataFrame:
-    """Weights after one gradient step on ``batch``."""
+@contextmanager
+def _joined_in_lots(spark: SparkSession):
+    """Joins on a lot and another key take tables dealt by lot alone as they lie."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+class _Lots:
+    """Documents dealt by id to lots, for many passes over their features.
+
+    ``entries`` (lot, id, feature, x) and ``docs`` (lot, id, label) are bucketed by lot and never shuffled
+    again.  A pass sends each lot the weights of its own features, one row per feature and lot (``words``), and
+    gets back one partial gradient per feature and lot.
+    """
+
+    def __init__(self, features: DataFrame):
+        spark = features.sparkSession
+        self.n = shuffle_partitions(spark)
+        lot = F.pmod(F.xxhash64(F.lit("lot"), "id"), F.lit(4 * self.n)).cast("int").alias("lot")
+        tag = uuid.uuid4().hex[:12]
+        rows = features.select(lot, "id", F.explode("features").alias("e")).select("lot", "id", F.col("e.feature").alias("feature"), F.col("e.x").alias("x"))
+        self.entries = bucketed_table(spark, f"entries_{tag}", lambda: rows, "lot")
+        self.docs = bucketed_table(spark, f"documents_{tag}", lambda: features.select(lot, "id", "label"), "lot")
+        self.words = bucketed_table(spark, f"words_{tag}", lambda: self.entries.select("lot", "feature").distinct(), "feature")
+
+    def scores(self, weights: DataFrame, labels: Sequence[int], where: Column) -> DataFrame:
+        """(lot, id, label, scores) as :func:`class_scores` has them."""
+        own = self.words.join(weights.select("feature", "w"), "feature").repartition(self.n, "lot")
+        known = self.entries.where(where).join(own.hint("shuffle_hash"), ["lot", "feature"])
+        sums = [F.sum(F.col("x") * F.get("w", k)) for k in range(len(labels))]
+        per = known.groupBy("lot", "id").agg(F.array(*sums).alias("scores"))
+        zero = F.array(*[F.lit(0.0)] * len(labels))
+        return self.docs.where(where).join(per, ["lot", "id"], "left").select("lot", "id", "label", F.coalesce("scores", zero).alias("scores"))
+
+    def gradient(self, residuals: DataFrame, n_labels: int) -> DataFrame:
+        """(feature, g): sums over the documents of ``residuals`` (lot, id, r)."""
+        near = residuals.repartition(self.n, "lot").hint("shuffle_hash")
+        sums = [F.sum(F.col("x") * F.get("r", k)) for k in range(n_labels)]
+        return self.entries.join(near, ["lot", "id"]).groupBy("feature").agg(F.array(*sums).alias("g"))
+
+
+def _step(lots: _Lots, p: DataFrame, weights: DataFrame, labels: Sequence[int], step: int, s: Settings) -> DataFrame:
+    """Weights after one gradient step on the documents of ``p`` (lot, id, label, p)."""
     n_labels = len(labels)
-    p = class_scores(batch, weights, labels).withColumn("p", probabilities(F.col("scores")))
     names = F.array(*[F.lit(v) for v in labels])
     residual = F.zip_with("p", names, lambda q, y: q - F.when(y == F.col("label"), 1.0).otherwise(0.0))
-    rows = batch.select("id", "features").join(p.select("id", residual.alias("r")), "id")
-    rows = rows.select(F.explode("features").alias("e"), "r").select(F.col("e.feature").alias("feature"), F.col("e.x").alias("x"), "r")
-    n = batch.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
-    sums = [F.sum(F.col("x") * F.get("r", k)) for k in range(n_labels)]
-    grad = rows.groupBy("feature").agg(F.array(*sums).alias("g")).crossJoin(F.broadcast(n)).select("feature", F.transform("g", lambda v: v / F.col("n")).alias("g"))
+    n = p.agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
+    grad = lots.gradient(p.select("lot", "id", residual.alias("r")), n_labels)
+    grad = grad.crossJoin(F.broadcast(n)).select("feature", F.transform("g", lambda v: v / F.col("n")).alias("g"))
     both = weights.join(grad, "feature", "full")
     zero = F.array(*[F.lit(0.0)] * n_labels)
     w, m, v, g = (F.coalesce(c, zero) for c in ("w", "m", "v", "g"))
@@ -121,20 +169,28 @@ def train(train_set: DataFrame, val_set: DataFrame, settings: Settings, seed="ep
         return weights, epochs, labels
     bucket = F.pmod(F.xxhash64(F.lit(str(seed)), "id"), F.lit(settings.batches))
     position = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")).cast("int")
-    for epoch in range(1, settings.max_epochs + 1):
-        p = class_scores(rows, weights, labels).withColumn("p", probabilities(F.col("scores")))
-        loss = p.agg(F.avg(-F.log(F.element_at("p", position)))).first()[0]
-        for b in range(settings.batches):
-            step += 1
-            batch = rows if settings.batches == 1 else rows.where(bucket == b)
-            weights = scratch_table(_step(batch, weights, labels, step, settings), f"weights-{step}")
-        guess = class_scores(val_set, weights, labels).select((best_label(F.col("scores"), labels) == F.col("label")).cast("double").alias("hit"))
-        accuracy = guess.agg(F.avg("hit")).first()[0] or 0.0
-        epochs.append({"epoch": epoch, "loss": loss, "accuracy": accuracy})
-        if best is None or accuracy > epochs[best - 1]["accuracy"]:
-            best, kept = epoch, weights
-        if epoch - best >= settings.patience:
-            break
+    lots, val = _Lots(rows), _Lots(val_set)
+    everywhere = F.lit(True)
+
+    def predicted(where: Column) -> DataFrame:
+        got = lots.scores(weights, labels, where).withColumn("p", probabilities(F.col("scores")))
+        return scratch_table(got.select("lot", "id", "label", "p"), "probabilities")
+
+    with _joined_in_lots(spark):
+        for epoch in range(1, settings.max_epochs + 1):
+            p = predicted(everywhere)  # the loss and, of a single batch, the step read them
+            loss = p.agg(F.avg(-F.log(F.element_at("p", position)))).first()[0]
+            for b in range(settings.batches):
+                step += 1
+                batch = p if settings.batches == 1 else predicted(bucket == b) if b else p.where(bucket == b)
+                weights = scratch_table(_step(lots, batch, weights, labels, step, settings), f"weights-{step}")
+            guess = val.scores(weights, labels, everywhere).select((best_label(F.col("scores"), labels) == F.col("label")).cast("double").alias("hit"))
+            accuracy = guess.agg(F.avg("hit")).first()[0] or 0.0
+            epochs.append({"epoch": epoch, "loss": loss, "accuracy": accuracy})
+            if best is None or accuracy > epochs[best - 1]["accuracy"]:
+                best, kept = epoch, weights
+            if epoch - best >= settings.patience:
+                break
     for e in epochs:
         e["best"] = e["epoch"] == best
     return kept, epochs, labels

@@ -91,3 +91,33 @@ def test_empty_sets(spark):
     f, v = frames(spark, [], data(4)[:4])
     weights, epochs, labels = E.train(f, v, E.Settings(max_epochs=2))
     assert (weights.count(), epochs, labels) == (0, [], [])
+
+
+def test_features_are_shuffled_before_the_passes_only(spark):
+    """A pass joins and sums the bucketed features where they lie; only weights, residuals and partial sums are exchanged."""
+    from pyspark.sql import functions as F
+
+    f, _ = frames(spark, data(40), data(4))
+    lots = E._Lots(f)
+    weights = spark.createDataFrame([("good", [0.5, -0.5, 0.0])], "feature string, w array<double>")
+    with E._joined_in_lots(spark):
+        scores = lots.scores(weights, [0, 1, 3], F.lit(True))
+        plain = {r.id: tuple(r.scores) for r in E.class_scores(f, weights, [0, 1, 3]).collect()}
+        assert {r.id: tuple(r.scores) for r in scores.collect()} == plain
+        grad = lots.gradient(scores.select("lot", "id", F.col("scores").alias("r")), 3)
+        for df in (scores, grad):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            plan = plan.split("== Initial Plan ==")[-1]
+            lines = plan.splitlines()
+            for k, line in enumerate(lines):
+                if "FileScan" in line and "entries_" in line:
+                    depth = line.index("FileScan")
+                    above = []
+                    for up in reversed(lines[:k]):
+                        at = len(up) - len(up.lstrip(" :+-*"))
+                        if at < depth:
+                            above.append(up)
+                            depth = at
+                        if "Join" in up and at <= depth:
+                            break
+                    assert not any("Exchange" in up for up in above), plan
