@@ -123,10 +123,9 @@ def corpus_lines_scan(spark, d):
 def folder_labelled_scan(spark, d):
     """One file per document in per-language folders; label = rank of the folder name."""
     path = scratch_path(spark, "folders")
-    (TB.table(spark, d, "documents").select("lang", "text").write.mode("overwrite")
-     .option("maxRecordsPerFile", 1).partitionBy("lang").text(path))
+    IO.write_folder_files(spread(TB.table(spark, d, "documents").select("lang", "text")), "lang", "text", path)
     df = IO.read_folder_labelled(spark, path)
-    # the text sink ends every record with one newline
+    # the sink ends every text with one newline
     text = F.expr("substring(text, 1, length(text) - 1)")
     return df.select("folder", "label", text.alias("text"))
 

@@ -11,14 +11,19 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+import os
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from flipframe.functions.text import NA_TOKENS, null_tokens_to_null
+from flipframe.session import shuffle_partitions
 from flipframe.sources.quoted import read_quoted, records
 
 #: What from_csv needs beside the separator: an empty field is null, a quoted empty one is a text.
@@ -89,15 +94,57 @@ def read_text_corpus(spark: SparkSession, path) -> DataFrame:
     return global_position(df, ["file", "_start", "_nth"], "line_id").drop("_start", "_nth")
 
 
+#: What Spark writes as %XX in the name of a partition's folder, and the folder of a null or empty value.
+FOLDER_ESCAPES = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_folder_files(df: DataFrame, folder_col: str, text_col: str, path: str) -> None:
+    """One file per row, its text and a newline, below ``path/<folder_col>=<value>/`` as ``partitionBy`` names it.
+
+    On any other store the rows go through Spark's text sink.  Its local file system starts a process for the
+    mode of each file that it creates and of its checksum, which costs far more than the file, so on a
+    local (or mounted) folder the tasks write their files themselves.  A task that is run again writes the same names.
+    """
+    where = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
+    if not where:
+        df.select(folder_col, text_col).write.option("maxRecordsPerFile", 1).partitionBy(folder_col).text(path)
+        return
+    root = where[1]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for value, text in zip(*(c.to_pylist() for c in batch.columns)):
+                name = FOLDER_ESCAPES.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else NULL_FOLDER
+                folder = f"{root}/{folder_col}={name}"
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                with open(f"{folder}/part-{part:05d}-{n:09d}.txt", "wb") as f:
+                    f.write((text or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    os.makedirs(root, exist_ok=True)  # for a table without rows
+    rows = df.select(F.col(folder_col).cast("string"), F.col(text_col).cast("binary"))
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def read_folder_labelled(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root/<class>/`` is one row; label = rank of its sorted folder name."""
-    files = (spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-             .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
-    files = files.withColumn("folder", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
+    """Every file below ``root/<class>/`` is one row; label = rank of its sorted folder name.
+
+    A scan plans a few small files per task, which would be more tasks than a scheduler likes, so they are
+    gathered into as many as a shuffle has.  The classes come from the names alone, without the contents, and
+    are broadcast: no text is shuffled.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.select(F.col("content").cast("string").alias("text"), F.col("_metadata.file_path").alias("path"))
+    files = files.withColumn("folder", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)).coalesce(shuffle_partitions(spark))
     # the distinct folder list is tiny (one row per class)
     classes = files.select("folder").distinct().withColumn(
         "label", (F.dense_rank().over(Window.orderBy("folder")) - 1).cast("int"))
-    return files.join(classes, on="folder").select("path", "folder", "label", "text")
+    return files.join(F.broadcast(classes), on="folder").select("path", "folder", "label", "text")
 
 
 def read_runs(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:

@@ -114,3 +114,19 @@ def test_the_corpus_has_more_than_four_files(spark, tmp_path):
     assert got == [x for i in range(400) for x in (f"l{i}", "second")]
     made = [n for n in set(os.listdir(base)) - before if n.startswith("corpus-")]
     assert len(made) == 1 and sum(n.endswith(".txt") for n in os.listdir(os.path.join(base, made[0]))) > 4
+
+
+def test_folder_files_are_named_as_spark_names_them_and_read_in_few_tasks(spark, tmp_path):
+    odd = ["en", "a b", "x/y=z", "p%q:'r\"", "#[t]^{", "\n\\*?", "é", "", None]
+    rows = [(odd[k % len(odd)], None if k % 7 == 0 else f"text {k}\nü" * (k % 3)) for k in range(400)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    IO.write_folder_files(df, "lang", "text", f"{tmp_path}/own")
+    IO.write_folder_files(df, "lang", "text", f"file://{tmp_path}/uri")
+    df.write.option("maxRecordsPerFile", 1).partitionBy("lang").text(f"{tmp_path}/sink")
+    got = {}
+    for name in ("own", "uri", "sink"):
+        read = IO.read_folder_labelled(spark, f"{tmp_path}/{name}")
+        assert read.rdd.getNumPartitions() <= 8  # 400 files
+        got[name] = sorted((r.folder, r.label, r.text) for r in read.collect())
+    assert got["own"] == got["uri"] == got["sink"] and len(got["own"]) == len(rows)
+    assert len({r[:2] for r in got["own"]}) == len(odd) - 1  # null and empty share a folder
