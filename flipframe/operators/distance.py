@@ -75,6 +75,25 @@ def _lev_np(a: list, b: list) -> int:
     return int(prev[-1])
 
 
+def bit_parallel_distance(a: list, b: list) -> int:
+    """Unit-cost edit distance with a row of the table as bits of two integers (Myers, Hyyro): a step per token of ``b``."""
+    if not a or not b:
+        return len(a) or len(b)
+    where: dict = {}
+    for i, t in enumerate(a):
+        where[t] = where.get(t, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)  # where the column rises and falls by one
+    for t in b:
+        eq = where.get(t, 0)
+        level = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (full & ~(level | up)), up & level
+        distance += bool(right & last) - bool(left & last)
+        right = right << 1 & full | 1
+        up, down = (left << 1 & full) | (full & ~(eq | down | right)), right & (eq | down)
+    return distance
+
+
 @F.pandas_udf(T.LongType())
 def token_edit_distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     out = [None if (x is None or y is None) else _lev_np(list(x), list(y)) for x, y in zip(a, b)]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,62 @@ def match_table(hyp: DataFrame, ref: DataFrame, id_col: str = "id", idx_col: str
         *[v.alias(f"num{n}") for n, v in enumerate(nums, 1)])
 
 
+def gram_stats(group: np.ndarray, idx: np.ndarray, lens: np.ndarray, codes: np.ndarray, words: int, max_n: int = MAX_N) -> dict:
+    """The counts of :func:`match_table` and :func:`self_bleu_rows` for a slice of pairs, one element per (pair, idx).
+
+    Texts lie one after the other in ``codes`` (token numbers below ``words``), sorted by (``group``, ``idx``); idx -1 is
+    the gold text.  Texts of one (pair, idx) count as one.  A gram is numbered per pair by its shorter
+    gram's number and its last token, so grams of any length are sorted as single integers.
+    ``entry`` is the first text of each element.
+    """
+    changed = np.ones(len(group), bool)
+    changed[1:] = (group[1:] != group[:-1]) | (idx[1:] != idx[:-1])
+    slot, entry = np.cumsum(changed) - 1, np.flatnonzero(changed)
+    gold, pair, slots = idx[entry] < 0, group[entry], len(entry)
+    ends = np.repeat(np.cumsum(lens), lens)
+    owner = np.repeat(slot, lens)
+    total = np.bincount(owner, minlength=slots)
+    num, own = (np.zeros((max_n, slots), np.int64) for _ in range(2))
+    start, key = np.arange(len(codes)), np.repeat(group, lens) * words + codes
+    rank = np.empty(len(codes), np.int64)
+    for n in range(max_n):
+        if n:
+            start = start[ends[start] - start > n]
+            key = rank[start] * words + codes[start + n]
+        if not len(start):
+            break
+        order = np.argsort(key, kind="stable")  # equal grams stay in the order of their texts
+        key, by = key[order], owner[start[order]]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[start[order]] = np.cumsum(fresh) - 1
+        runs = np.flatnonzero(fresh | np.concatenate([[True], by[1:] != by[:-1]]))
+        c, by, gram = np.diff(np.append(runs, len(key))), by[runs], rank[start[order[runs]]]
+        in_gold = np.zeros(gram[-1] + 1, np.int64)
+        in_gold[gram[gold[by]]] = c[gold[by]]
+        c, by, gram = c[~gold[by]], by[~gold[by]], gram[~gold[by]]
+        if not len(c):
+            continue
+        num[n] = np.bincount(by, np.minimum(c, in_gold[gram]), slots)
+        runs = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        wide = np.diff(np.append(runs, len(gram)))
+        most = np.repeat(np.maximum.reduceat(c, runs), wide)
+        alone = np.repeat(np.add.reduceat((c == most).astype(np.int64), runs), wide) == 1
+        second = np.repeat(np.maximum.reduceat(np.where(c < most, c, 0), runs), wide)
+        own[n] = np.bincount(by, np.where((c == most) & alone, second, c), slots)
+    ref_len: list = [None] * slots
+    near: list = [None] * slots
+    bounds = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]])) if slots else []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        first = lo + int(gold[lo])
+        sizes = total[first:hi].tolist()
+        for k, size in enumerate(sizes):
+            ref_len[first + k] = int(total[lo]) if first > lo else None
+            near[first + k] = min(((abs(x - size), x) for j, x in enumerate(sizes) if j != k), default=(0, None))[1]
+    made = np.flatnonzero(~gold)
+    return {"entry": entry[made], "hyp_len": total[made].tolist(), "ref_len": [ref_len[k] for k in made], "near_len": [near[k] for k in made],
+            **{f"num{n + 1}": num[n][made].tolist() for n in range(max_n)}, **{f"own{n + 1}": own[n][made].tolist() for n in range(max_n)}}
+
+
 def den(hyp_len: Column, n: int) -> Column:
     """Per-row modified-precision denominator (floored at 1 per row)."""
     return F.greatest(hyp_len - F.lit(n - 1), F.lit(1))
@@ -105,6 +162,12 @@ def sentence_bleu_col(weights: Sequence[float] = UNIFORM_WEIGHTS, max_n: int = M
     return bleu_expr(nums, dens, F.col("hyp_len"), F.col("ref_len"), weights)
 
 
+def self_bleu_col(weights: Sequence[float] = UNIFORM_WEIGHTS, max_n: int = MAX_N) -> Column:
+    """Per-row BLEU of a candidate against the others of its id, over the counts of :func:`gram_stats`; null if alone."""
+    nums, dens = [F.col(f"own{n}") for n in range(1, max_n + 1)], [den(F.col("hyp_len"), n) for n in range(1, max_n + 1)]
+    return F.when(F.col("near_len").isNotNull(), bleu_expr(nums, dens, F.col("hyp_len"), F.col("near_len"), weights))
+
+
 def corpus_bleu_by_idx(matches: DataFrame, idx_col: str = "idx", weights_by_name: dict | None = None,
                        max_n: int = MAX_N) -> DataFrame:
     """Corpus BLEU of every candidate index (sums over ids), one column per weighting."""

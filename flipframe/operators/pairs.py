@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flipframe.functions.order import hash_key
 from flipframe.functions.text import strip_html
-from flipframe.session import shuffle_partitions
+from flipframe.session import scratch_table, shuffle_partitions
 
 
 def encode_sentiment(col, positive: str = "Positive"):
@@ -93,41 +93,45 @@ def pivot_seeded(df: DataFrame, row_col: str, seed, pair_col: str = "paired_id",
 
 
 def first_match_lookup(original: DataFrame, key_col: str, order_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """One row per distinct ``key_col``: the values of the first original row (lowest ``order_col``).
+    """(_key, values): the values of the first original row (lowest ``order_col``) of each distinct ``key_col``,
+    which is known by its SHA-256, so no key is shuffled.
 
-    The first row of each key is found on the key's SHA-256 and the order number alone; its
-    values are joined back by the (unique) order number.  Adds the digest as ``_key``.
+    The first row of each key is found on the digest and the order number alone and written (a few
+    bytes per key): Spark then knows its size, and few keys fetch their values without a shuffle of all rows.
     """
-    digest = F.sha2(F.col(key_col).cast("binary"), 256)
-    first = original.groupBy(digest.alias("_key")).agg(F.min(order_col).alias(order_col))
-    return (first.join(original.filter(F.col(key_col).isNotNull()), on=order_col)
-            .select("_key", key_col, *value_cols))
+    keyed = original.select(F.sha2(F.col(key_col).cast("binary"), 256).alias("_key"), order_col, *value_cols)
+    first = scratch_table(keyed.groupBy("_key").agg(F.min(order_col).alias(order_col)), "first-match")
+    return first.join(keyed, ["_key", order_col]).select("_key", *value_cols)
 
 
-def _match(revised: DataFrame, lookup: DataFrame, key_col: str) -> DataFrame:
-    """Revised rows with their lookup row: joined on the digest, verified on the text itself."""
+def _match(revised: DataFrame, lookup: DataFrame, key_col: str, parts: int | None = None) -> DataFrame:
+    """Revised rows with their lookup row, joined on the digest; ``parts`` keeps AQE from gathering them."""
     keyed = revised.withColumn("_key", F.sha2(F.col(key_col).cast("binary"), 256))
-    return keyed.join(lookup, on="_key").filter(F.col(key_col) == F.col("_match")).drop("_key", "_match")
+    if parts:
+        keyed = keyed.repartition(parts, "_key")
+    return keyed.join(lookup, on="_key").drop("_key")
 
 
-def revised_premise_pairs(revised: DataFrame, original: DataFrame, order_col: str = "row_order") -> DataFrame:
+def revised_premise_pairs(revised: DataFrame, original: DataFrame, order_col: str = "row_order", parts: int | None = None) -> DataFrame:
     """RP rows: revised premise + original hypothesis -> original premise and label by first match.
 
     ``revised``: counter_prem, original_hyp, counter_label (+ any id); ``original``: premise,
-    hypothesis, label, ``order_col``.  Rows without a match are dropped (inner join).
+    hypothesis, label, ``order_col``.  Rows without a match are dropped (inner join).  For work that is
+    CPU-heavy per row, ``parts`` deals the rows to so many tasks.
     """
     lookup = first_match_lookup(original, "hypothesis", order_col, ["premise", "label"])
-    lookup = lookup.select("_key", F.col("hypothesis").alias("_match"), F.col("premise").alias("original_prem"),
-                           F.col("label").alias("original_label"))
-    out = _match(revised, lookup, "original_hyp")
+    lookup = lookup.select("_key", F.col("premise").alias("original_prem"), F.col("label").alias("original_label"))
+    out = _match(revised, lookup, "original_hyp", parts)
     return out.withColumn("task", F.lit("RP")).withColumn("counter_hyp", F.lit(""))
 
 
-def revised_hypothesis_pairs(revised: DataFrame, original: DataFrame, order_col: str = "row_order") -> DataFrame:
+def revised_hypothesis_pairs(revised: DataFrame, original: DataFrame, order_col: str = "row_order", parts: int | None = None) -> DataFrame:
     """RH rows: original premise + revised hypothesis -> original hypothesis and label by first match."""
     lookup = first_match_lookup(original, "premise", order_col, ["hypothesis", "label"])
-    lookup = lookup.select("_key", F.col("premise").alias("_match"), F.col("hypothesis").alias("original_hyp"),
-                           F.col("label").alias("original_label"))
+    lookup = lookup.select("_key", F.col("hypothesis").alias("original_hyp"), F.col("label").alias("original_label"))
+    if parts:
+        # one premise may have most of the rows, so they are dealt by their text; the lookup, written, is broadcast while small
+        revised, lookup = revised.repartition(parts, "counter_hyp"), scratch_table(lookup, "first-hypotheses")
     out = _match(revised, lookup, "original_prem")
     return out.withColumn("task", F.lit("RH")).withColumn("counter_prem", F.lit(""))
 

@@ -964,11 +964,15 @@ def _line_trees(col):
     return F.transform(F.split(F.col(col), "\n", -1), lambda ln: D.flat_tree(word_tokens(ln)))
 
 
+def _nli_prompts(rows, *keep):
+    """M3 for NLI: generation prompts with the side that the task revises and a length budget."""
+    p = rows.select("rid", *keep, PR.nli_original_text().alias("example"), TP.wrap_nli(TP.NLI_GENERATION_PROMPT).alias("prompt"))
+    return p.withColumn("max_length", TP.length_budget(F.size(word_tokens("prompt"))))
+
+
 def _nli_generated(rows):
-    """M3 for NLI: generation prompts -> N candidates of the side that the task revises."""
-    p = rows.select("rid", PR.nli_original_text().alias("example"), TP.wrap_nli(TP.NLI_GENERATION_PROMPT).alias("prompt"))
-    p = p.withColumn("max_length", TP.length_budget(F.size(word_tokens("prompt"))))
-    return MD.explode_generated(MD.generate_candidates(p, MD.toy_generate, N, ["rid"]), ["rid"])
+    """N candidates of each row."""
+    return MD.explode_generated(MD.generate_candidates(_nli_prompts(rows), MD.toy_generate, N, ["rid"]), ["rid"])
 
 
 @query("generate_nli", sql=W(TB.NLI_SQL(), *_nli_gen_ctes("nli"), body="SELECT rid, idx, generated FROM nli_gen"))
@@ -986,7 +990,7 @@ def eval_suite_nli(spark, d):
 
 def _nli_rows(spark, d):
     """All premise and hypothesis rows; a document has a row in both tasks, so the task goes into the id."""
-    rows = TB.nli_pairs(spark, d)
+    rows = TB.nli_pairs(spark, d, shuffle_partitions(spark))
     return rows.withColumn("rid", F.col("rid") * 2 + (F.col("task") == "RH").cast("long"))
 
 
@@ -1004,9 +1008,11 @@ def eval_suite_nli_documents(spark, d):
 
 
 def _nli_suite(rows, metrics: str = "gbcd"):
-    rows = scratch_table(rows, "nli")
-    cands = scratch_table(_nli_generated(rows), "nli-candidates")
-    return SU.evaluate_nli(rows, cands, N, _LABEL_MAP, metrics, line_trees=True)
+    """The candidates stay in the row that they are made from, so no text is shuffled or written for them."""
+    keep = ["rid", *[c for c in TB.NLI_COLS if c not in ("rid", "original_label")]]
+    made = MD.generate_candidates(_nli_prompts(rows, *keep[1:]), MD.toy_generate, N, keep)
+    cands = F.transform("generated", lambda t, i: F.struct(i.alias("idx"), t.alias("generated")))
+    return SU.evaluate_nli(made.select(*keep, cands.alias("cands")), None, N, _LABEL_MAP, metrics, line_trees=True)
 
 
 @query("metrics_table", sql="SELECT 'suite' AS run, metric, value FROM (" + _SUITE_SQL + ") s", doubles=["value"])

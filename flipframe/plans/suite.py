@@ -1,13 +1,14 @@
 """Metric suite (T7) and augmentation-run report.
 
-``evaluate`` tokenises the cleaned candidate table and the gold side once and writes both
-to the shared checkpoint folder (reliable storage: a lost executor does not send the job back
-to the pairing shuffle).  Every metric family then reads those two tables:
+``evaluate`` brings a pair's texts together once, scores its candidates where they meet
+(``operators/scores.py``) and writes the numbers, one narrow row per candidate, to the shared checkpoint
+folder (reliable storage: a lost executor does not send the job back to the pairing shuffle).  Every metric
+family then reads that table:
 
 * g  label flip + confidence          one aggregate by candidate index, then over indexes
-* b  BLEU family                      one n-gram match table (written once) -> corpus BLEU and
-                                      BLEU@1..4 in one aggregate, sentence BLEU mean/var/@n and
-                                      Pearson in one aggregate, Spearman via distributed mid-ranks
+* b  BLEU family                      gram counts -> corpus BLEU and BLEU@1..4 in one aggregate, sentence
+                                      BLEU mean/var/@n and Pearson in one aggregate, Spearman via
+                                      distributed mid-ranks
 * c  closeness (token edit distance)  one aggregate + Spearman
 * d  diversity (self-BLEU)            one aggregate + Spearman
 
@@ -19,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipframe.functions.text import line_tokens, space_word_count, word_tokens
+from flipframe.functions.text import space_word_count
 from flipframe.operators import metrics as M
 from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
-from flipframe.operators.distance import flat_tree_distance_rows, normalised_distance, with_token_edit_distance
 from flipframe.operators.models import nli_rule_scorer, parity_scorer, score_pairs, score_texts
 from flipframe.operators.pairs import encode_with_map, nli_counter_side, nli_original_text, nli_scoring_sides
+from flipframe.operators.scores import candidate_rows, candidate_scores
 from flipframe.session import scratch_table, shuffle_partitions
 
 _AT = [f"_at_{n}" for n in range(1, 5)]
@@ -79,55 +80,72 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     confidence) to rows that hold the ``carry`` columns of ``pairs`` and ``generated``.
     """
     kept, removed = clean_candidates(pairs, cands, id_col, n)
-    parts = [_long(removed)]
+    # the few candidates of a pair meet in its row; the one shuffle of texts, by pair id with an explicit count:
+    # the scores are CPU-heavy per row, so they must not collapse into the few tasks AQE would choose
+    lists = cands.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "generated"))).alias("cands"))
+    rows = kept.select(id_col, "example", "counterfactual", "label_counter", *carry).join(lists, id_col)
+    rows = rows.repartition(shuffle_partitions(pairs.sparkSession), id_col)
+    return _metrics(_scored(rows, metrics, scorer, id_col, materialise, score, carry, line_trees), _long(removed), metrics, calculate_corr, line_trees)
+
+
+def evaluate_lists(pairs: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer, id_col: str = "paired_id",
+                   calculate_corr: bool = True, score=None, carry: tuple[str, ...] = (), line_trees: bool = False) -> DataFrame:
+    """:func:`evaluate` over pairs that hold their candidates (``cands``, an array of (idx, generated)): the
+    texts are scored where they lie, and incomplete pairs leave by their numbers."""
+    scores = _scored(pairs, metrics, scorer, id_col, True, score, carry, line_trees)
+    per = scores.groupBy("id").agg(F.count("n_tokens").alias("_ok"), F.count_if(F.col("place") == 0).alias("_pairs"))
+    kept = scores.join(per.where(F.col("_ok") == n).select("id"), "id", "left_semi")
+    removed = per.agg(F.coalesce(F.sum(F.when(F.col("_ok") != n, F.col("_pairs"))), F.lit(0)).alias("n_removed"))
+    return _metrics(kept, _long(removed), metrics, calculate_corr, line_trees)
+
+
+def _scored(rows: DataFrame, metrics: str, scorer, id_col: str, materialise: bool, score, carry, line_trees: bool) -> DataFrame:
+    """The numbers of every candidate, written once: every metric family reads this table."""
     trees = "c" in metrics and line_trees
-    c = cands.join(kept.select(id_col, "label_counter", "example", *carry), on=id_col, how="inner")
-    # spread by pair id with an explicit count before tokenising: tokenising, n-grams and edit
-    # distance are CPU-heavy per row, so they must not collapse into the few tasks AQE would
-    # choose from the small byte size of the text
-    n_parts = shuffle_partitions(pairs.sparkSession)
-    hyp = _materialise(c.repartition(n_parts, id_col).select(
-        F.col(id_col).alias("id"), "idx", "generated", "label_counter", *carry,
-        word_tokens("generated").alias("hyp_tokens"), word_tokens("example").alias("seed_tokens"),
-        *([line_tokens("example").alias("ref_lines"), line_tokens("generated").alias("gen_lines")] if trees else [])), materialise)
-    ref = _materialise(kept.repartition(n_parts, id_col).select(
-        F.col(id_col).alias("id"), word_tokens("counterfactual").alias("ref_tokens"))
-                       .withColumn("counter_size", F.size("ref_tokens").cast("long")), materialise)
-    sizes = ref.select("id", "counter_size")
+    keep = ["id", "label_counter", *carry]
+    texts = candidate_rows(rows.withColumn("id", F.col(id_col)), keep, trees)
+    numbers = []
+    if "g" in metrics:
+        texts = score(texts) if score else score_texts(texts, "generated", scorer)
+        numbers = [c for c in ("pred", "score") if c in texts.columns]
+    return _materialise(candidate_scores(texts, ["id", "label_counter", *numbers], "c" in metrics, trees), materialise)
+
+
+def _metrics(scores: DataFrame, removed: DataFrame, metrics: str, calculate_corr: bool, trees: bool) -> DataFrame:
+    """All metric rows from the candidates' numbers (:func:`candidate_scores`)."""
+    trees = "c" in metrics and trees
+    parts = [removed]
+    per_idx = scores.where("first")  # grams of an index are counted once
     rank_inputs: list[DataFrame] = []
     # every kept row has all n candidates, so the mean over rows of their mean size is the overall mean
-    parts.append(_long(ref.agg(F.avg("counter_size").alias("avg_len_counter"))))
-    parts.append(_long(hyp.agg(F.avg(F.size("hyp_tokens")).alias("avg_len_generated_counter"))))
+    parts.append(_long(scores.agg(F.avg(F.when(F.col("place") == 0, F.col("counter_size"))).alias("avg_len_counter"))))
+    parts.append(_long(scores.agg(F.avg("n_tokens").alias("avg_len_generated_counter"))))
 
     if "g" in metrics:
-        scored = score(hyp) if score else score_texts(hyp, "generated", scorer)
         hit = (F.col("pred") == F.col("label_counter")).cast("double")
-        aggs = [F.avg(hit).alias("_label_flip")] + ([F.avg("score").alias("_confidence")] if "score" in scored.columns else [])
-        per = scored.groupBy("idx").agg(*aggs)
+        aggs = [F.avg(hit).alias("_label_flip")] + ([F.avg("score").alias("_confidence")] if "score" in scores.columns else [])
+        per = scores.groupBy("idx").agg(*aggs)
         parts.append(_long(per.agg(*[F.avg(x).alias(x[1:]) for x in per.columns if x != "idx"])))
     if "b" in metrics:
-        matches = _materialise(ngram.match_table(hyp.select("id", "idx", "hyp_tokens"), ref.select("id", "ref_tokens")),
-                               materialise)
         weights = ngram.bleu_weightings("corpus_bleu")
-        corpus = ngram.corpus_bleu_by_idx(matches, weights_by_name=weights)
+        corpus = ngram.corpus_bleu_by_idx(per_idx, weights_by_name=weights)
         parts.append(_long(corpus.agg(*[F.avg(k).alias(k) for k in weights])))
-        sent = matches.select("id", "idx", *[ngram.sentence_bleu_col(w).alias(k)
-                                             for k, w in ngram.bleu_weightings("sent_bleu").items()])
-        sent = sent.join(sizes, "id")
+        sent = per_idx.select("id", "idx", "counter_size", *[ngram.sentence_bleu_col(w).alias(k)
+                                                             for k, w in ngram.bleu_weightings("sent_bleu").items()])
         parts.append(_long(_two_level(sent, "sent_bleu", "sent_bleu_", [f"sent_bleu{k}" for k in _AT], calculate_corr)))
         rank_inputs.append(_for_spearman(sent, "sent_bleu", "sent_bleu"))
     if "c" in metrics:
-        dist = with_token_edit_distance(hyp.select("id", "idx", "seed_tokens", "hyp_tokens"), "seed_tokens", "hyp_tokens", "lev")
-        dist = dist.withColumn("lev_norm", normalised_distance(F.col("lev"), F.col("seed_tokens"))).join(sizes, "id")
+        dist = scores.select("id", "idx", "counter_size", F.when(F.col("n_seed") > 0, F.col("lev").cast("double") / F.col("n_seed")).alias("lev_norm"))
         parts.append(_long(_two_level(dist, "lev_norm", "lev_", corr=calculate_corr)))
         rank_inputs.append(_for_spearman(dist, "lev", "lev_norm"))
         if trees:
-            zss = flat_tree_distance_rows(hyp.select("id", "idx", "ref_lines", "gen_lines"), ("id", "idx")).join(sizes, "id")
-            zss = _materialise(zss, materialise)
+            # candidates of one index share the mean over all their lines
+            zss = (scores.where(F.col("tree_lines") > 0).groupBy("id", "idx", "counter_size")
+                   .agg((F.sum("tree_sum") / F.sum("tree_lines")).alias("tree_distance")))
             parts.append(_long(_two_level(zss, "tree_distance", "zss_", corr=calculate_corr)))
             rank_inputs.append(_for_spearman(zss, "zss", "tree_distance"))
     if "d" in metrics:
-        sb = ngram.self_bleu_rows(hyp.select("id", "idx", F.col("hyp_tokens").alias("tokens"))).join(sizes, "id")
+        sb = per_idx.select("id", "counter_size", ngram.self_bleu_col().alias("_score")).groupBy("id", "counter_size").agg(F.avg("_score").alias("self_bleu"))
         aggs = [F.avg("self_bleu").alias("self_bleu_mean"), F.var_pop("self_bleu").alias("self_bleu_var")]
         if calculate_corr:
             aggs.append(F.corr("self_bleu", "counter_size").alias("self_bleu_pearson"))
@@ -149,20 +167,20 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     return out
 
 
-def evaluate_nli(rows: DataFrame, cands: DataFrame, n: int, label_map: dict[str, int], metrics: str = "gbcd", id_col: str = "rid",
+def evaluate_nli(rows: DataFrame, cands: DataFrame | None, n: int, label_map: dict[str, int], metrics: str = "gbcd", id_col: str = "rid",
                  scorer=nli_rule_scorer, **more) -> DataFrame:
     """The suite for premise/hypothesis rows (task RP or RH, original and counter sides, counter_label).
 
     The seed side is the original text that the task revises, the gold text the revised one; a
     candidate takes the revised side's place when the pair is scored, and flips the label if the
-    predicted class is that of ``counter_label``.
+    predicted class is that of ``counter_label``.  Without ``cands`` the rows hold their own candidates.
     """
     premise, hypothesis = nli_scoring_sides("generated")
     carry = ("task", "original_prem", "original_hyp")
     pairs = rows.select(id_col, *carry, nli_original_text().alias("example"), nli_counter_side().alias("counterfactual"),
-                        encode_with_map("counter_label", label_map).alias("label_counter"))
-    return evaluate(pairs, cands, n, metrics, id_col=id_col, carry=carry,
-                    score=lambda hyp: score_pairs(hyp, premise, hypothesis, scorer), **more)
+                        encode_with_map("counter_label", label_map).alias("label_counter"), *(["cands"] if cands is None else []))
+    more |= {"id_col": id_col, "carry": carry, "score": lambda hyp: score_pairs(hyp, premise, hypothesis, scorer)}
+    return evaluate_lists(pairs, n, metrics, **more) if cands is None else evaluate(pairs, cands, n, metrics, **more)
 
 
 def augmentation_sums(runs: DataFrame, run_col: str = "run", scorer=parity_scorer, text_col: str = "generated",

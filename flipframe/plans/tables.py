@@ -220,13 +220,13 @@ nli AS (SELECT * FROM rp UNION ALL SELECT * FROM rh)"""
 NLI_COLS = ["rid", "original_label", "counter_label", "task", "original_prem", "counter_prem", "original_hyp", "counter_hyp"]
 
 
-def nli_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RP and RH pair rows in one table."""
+def nli_pairs(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """RP and RH pair rows in one table (U1), each dealt to ``parts`` tasks if given."""
     from flipframe.operators.pairs import revised_hypothesis_pairs, revised_premise_pairs
 
     orig = nli_original(spark, sf_dir)
-    rp = revised_premise_pairs(nli_revised_premises(spark, sf_dir), orig)
-    rh = revised_hypothesis_pairs(nli_revised_hypotheses(spark, sf_dir), orig)
+    rp = revised_premise_pairs(nli_revised_premises(spark, sf_dir), orig, parts=parts)
+    rh = revised_hypothesis_pairs(nli_revised_hypotheses(spark, sf_dir), orig, parts=parts)
     return rp.select(*NLI_COLS).unionByName(rh.select(*NLI_COLS))
 
 
