@@ -131,7 +131,9 @@ def revised_hypothesis_pairs(revised: DataFrame, original: DataFrame, order_col:
     lookup = lookup.select("_key", F.col("hypothesis").alias("original_hyp"), F.col("label").alias("original_label"))
     if parts:
         # one premise may have most of the rows, so they are dealt by their text; the lookup, written, is broadcast while small
-        revised, lookup = revised.repartition(parts, "counter_hyp"), scratch_table(lookup, "first-hypotheses")
+        # and equal premises, whose originals are one, stay side by side
+        revised = revised.repartition(parts, "counter_hyp").sortWithinPartitions("original_prem")
+        lookup = scratch_table(lookup, "first-hypotheses")
     out = _match(revised, lookup, "original_prem")
     return out.withColumn("task", F.lit("RH")).withColumn("counter_prem", F.lit(""))
 

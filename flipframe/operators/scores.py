@@ -7,6 +7,7 @@ token, gram or text is shuffled or written.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,7 @@ from flipframe.operators.distance import batch_token_distances, bit_parallel_dis
 from flipframe.operators.ngram import MAX_N, gram_stats
 
 SLICE_TOKENS = 1 << 16  # tokens of the pairs that are scored together; one longer pair is a slice of its own
+KNOWN_PAIRS = 4096  # distances that a task remembers: revisions of one original have equal seeds and candidates
 SEED, GOLD = 0, 1  # places of a pair's rows; its candidates follow
 COUNTS = ["hyp_len", "ref_len", *[f"num{n}" for n in range(1, MAX_N + 1)], "near_len", *[f"own{n}" for n in range(1, MAX_N + 1)]]
 
@@ -64,7 +66,16 @@ def _tree_distance(a: list[np.ndarray], b: list[np.ndarray], dot: int, out: list
             out.append(None)
 
 
-def _score(nth: np.ndarray, idx: np.ndarray, col: pa.Array, closeness: bool, trees: bool) -> dict[str, np.ndarray | list]:
+def _marks(lens: list[np.ndarray], flat: pa.Array, ends: np.ndarray, at: np.ndarray):
+    """A function from a row to the SHA-256 of its text's lines of tokens."""
+    n_bytes = _starts(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))
+    blob = b"".join(flat.cast(pa.binary()).to_pylist())
+    sizes = np.diff(n_bytes)
+    return lambda r: hashlib.sha256(b"".join((blob[n_bytes[ends[r]] : n_bytes[ends[r + 1]]], sizes[ends[r] : ends[r + 1]].tobytes(),
+                                              lens[1][at[r] : at[r + 1]].tobytes()))).digest()
+
+
+def _score(nth: np.ndarray, idx: np.ndarray, col: pa.Array, closeness: bool, trees: bool, known: dict) -> dict[str, np.ndarray | list]:
     (n_lines, line_lens), flat = _tokens(col)
     coded = flat.dictionary_encode()
     codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
@@ -89,36 +100,29 @@ def _score(nth: np.ndarray, idx: np.ndarray, col: pa.Array, closeness: bool, tre
     gold = np.flatnonzero(nth == GOLD)[group[rows]]
     size = lambda rs: [int(ends[r + 1] - ends[r]) if here[r] else None for r in rs]
     out = {"first": first[rows], "n_tokens": size(rows), "counter_size": size(gold), "n_seed": size(seed), **found}
-    if closeness:
-        known: dict[tuple, int] = {}  # many revisions of one original have equal candidates
-        out["lev"] = []
-        for s, r in zip(seed, rows):
-            if not (here[s] and here[r]):
-                out["lev"].append(None)
-                continue
-            key = (text(s).tobytes(), text(r).tobytes())
-            if key not in known:
-                known[key] = bit_parallel_distance(text(s).tolist(), text(r).tolist())
-            out["lev"].append(known[key])
-    if trees:
-        dots = pc.index(coded.dictionary, ".").as_py() if words else -1
-        sides = lambda r: [codes[line_at[k] : line_at[k + 1]] for k in range(at[r], at[r + 1])]
-        lines, todo, of = [], [], []
-        done: dict[tuple, int] = {}
-        for s, r in zip(seed, rows):
-            if not (here[s] and here[r]):
-                of.append(None)
-                continue
-            key = (text(s).tobytes(), line_lens[at[s] : at[s + 1]].tobytes(), text(r).tobytes(), line_lens[at[r] : at[r + 1]].tobytes())
-            if key not in done:
-                done[key] = len(lines)
-                lines.append([])
-                _tree_distance(sides(s), sides(r), dots, lines[-1], todo)
-            of.append(done[key])
-        dear = iter(batch_token_distances([a for a, _ in todo], [b for _, b in todo], 2).tolist() if todo else ())
-        sums = [(sum(d if d is not None else next(dear) for d in x), len(x)) for x in lines]
-        # (sum, lines): candidates of one index are averaged over all their lines
-        out["tree_sum"], out["tree_lines"] = ([None if k is None else sums[k][j] for k in of] for j in range(2))
+    if not closeness:
+        return out
+    mark = _marks([n_lines, line_lens], flat, ends, at)
+    marks = {int(r): mark(r) for r in {*seed.tolist(), *rows.tolist()} if here[r]}
+    keys = [(marks[s], marks[r]) if here[s] and here[r] else None for s, r in zip(seed.tolist(), rows.tolist())]
+    fresh = {k: (s, r) for k, s, r in zip(keys, seed.tolist(), rows.tolist()) if k and k not in known}
+    got: dict = {None: (None, None, None)} | {k: known[k] for k in keys if k in known}
+    dots = pc.index(coded.dictionary, ".").as_py() if words else -1
+    sides = lambda r: [codes[line_at[k] : line_at[k + 1]] for k in range(at[r], at[r + 1])]
+    lines, todo = {k: [] for k in fresh}, []
+    for k, (s, r) in fresh.items():
+        if trees:
+            _tree_distance(sides(s), sides(r), dots, lines[k], todo)
+    dear = iter(batch_token_distances([a for a, _ in todo], [b for _, b in todo], 2).tolist() if todo else ())
+    for k, (s, r) in fresh.items():
+        total = sum(d if d is not None else next(dear) for d in lines[k])
+        got[k] = (bit_parallel_distance(text(s).tolist(), text(r).tolist()), total, len(lines[k]))
+    if len(known) + len(fresh) > KNOWN_PAIRS:
+        known.clear()
+    known.update((k, got[k]) for k in fresh)
+    # (sum, lines): candidates of one index are averaged over all their lines
+    for j, c in enumerate(["lev", "tree_sum", "tree_lines"]):
+        out[c] = [got[k][j] for k in keys]
     return out
 
 
@@ -133,16 +137,18 @@ def candidate_scores(rows: DataFrame, keep: Sequence[str], closeness: bool = Fal
     long = [*COUNTS, "n_tokens", "counter_size", "n_seed", *(["lev"] if closeness else []), *(["tree_sum", "tree_lines"] if trees else [])]
     spec = T.StructType([*rows.select(*keep).schema.fields, T.StructField("place", T.IntegerType()), T.StructField("first", T.BooleanType()),
                          *[T.StructField(c, T.LongType()) for c in long]])
-    def score(part: pa.RecordBatch) -> pa.RecordBatch:
+
+    def score(part: pa.RecordBatch, known: dict) -> pa.RecordBatch:
         nth = part.column("nth").to_numpy()
         idx = pc.fill_null(part.column("idx"), -1).to_numpy()
-        got = _score(nth, idx, part.column("tokens"), closeness, trees)
+        got = _score(nth, idx, part.column("tokens"), closeness, trees, known)
         where = pa.array(np.flatnonzero(nth > GOLD))
         cols = [part.column(c).take(where) for c in keep]
         place = pa.array((nth[nth > GOLD] - GOLD - 1).astype(np.int32))
         return pa.RecordBatch.from_arrays([*cols, place, pa.array(got["first"], pa.bool_()), *[pa.array(got[c], pa.int64()) for c in long]], names=spec.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         left = None  # the last pair of a batch may go on in the next one
         for batch in batches:
             if left is not None:
@@ -154,10 +160,10 @@ def candidate_scores(rows: DataFrame, keep: Sequence[str], closeness: bool = Fal
             while lo < len(begin) - 1:
                 hi = max(lo + 1, int(np.searchsorted(size, size[lo] + SLICE_TOKENS, side="right")) - 1)
                 hi = min(hi, len(begin) - 1)
-                yield score(batch.slice(begin[lo], begin[hi] - begin[lo]))
+                yield score(batch.slice(begin[lo], begin[hi] - begin[lo]), known)
                 lo = hi
             left = batch.slice(begin[-1]) if len(begin) else None
         if left is not None and left.num_rows:
-            yield score(left)
+            yield score(left, known)
 
     return rows.select(*keep, "nth", "tokens").mapInArrow(run, spec)
