@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flipframe.session import shuffle_partitions
+
 # Token codes are code points from CODE_BASE upward, skipping the surrogate block, written as
 # UTF-32 so every token is exactly one character for ``levenshtein``.
 CODE_BASE = 0x1000
@@ -164,6 +166,7 @@ def _postorder(tree):
     return labels, lmd, kids
 
 
+TREE_TASKS = 4  # tasks of a tree comparison per shuffle partition
 SMALL_TREE = 8  # nodes up to which a subtree's distances are computed when needed, not stored
 CHUNK = 128  # small subtrees computed together
 
@@ -333,7 +336,8 @@ def tree_distance_rows(trees: DataFrame, id_cols=("paired_id", "idx"), ref_col:
     aligned = trees.select(*ids, F.explode(zipped).alias("_z"))
     aligned = aligned.select(*ids, F.coalesce("_z.r", F.lit(pad_tree)).alias("t_ref"), F.coalesce("_z.g", F.lit(pad_tree)).alias("t_gen"))
     aligned = aligned.withColumn("_key", F.sha2(F.concat_ws("\n", "t_ref", "t_gen").cast("binary"), 256))
-    pairs = aligned.dropDuplicates(["_key"]).select("_key", "t_ref", "t_gen")
+    # an explicit count: a pair's cost is the product of its sizes, so AQE must not gather small texts into few tasks
+    pairs = aligned.select("_key", "t_ref", "t_gen").repartition(TREE_TASKS * shuffle_partitions(trees.sparkSession), "_key").dropDuplicates(["_key"])
     scored = pairs.mapInPandas(_tree_pairs_udf, "_key string, tree_distance long")
     return (aligned.select(*ids, "_key").join(scored, on="_key")
             .groupBy(*ids).agg(F.avg("tree_distance").alias("tree_distance")))
