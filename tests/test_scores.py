@@ -53,14 +53,15 @@ def test_candidate_scores_match_counters_and_shuffle_nothing(spark):
                     assert r[f"own{n}"] == sum(min(c, max((x[g] for x in rest), default=0)) for g, c in mine.items())
 
 
-def test_nli_suite_shuffles_no_candidates(spark, tmp_path):
-    from flipframe.plans import catalog_metrics as CM, suite as SU
+def test_pairs_with_their_candidates_leave_by_their_numbers(spark):
+    from flipframe.plans import suite as SU
 
-    schema = "rid long, original_label string, counter_label string, task string, original_prem string, counter_prem string, original_hyp string, counter_hyp string"
-    rows = [(k // 2 if k < 4 else k, "neutral", "entailment", "RP", " ".join("abcdefgh"[: 2 + k % 4]), "x " * (1 + k % 3), "h h", "") for k in range(9)]
-    got = {r.metric: r.value for r in CM._nli_suite(spark.createDataFrame(rows, schema), "gbd").collect()}
-    assert got["n_removed"] == 4.0  # ids that name two rows have twice the candidates
-    assert got["avg_len_generated_counter"] == sum(2 + k % 4 for k in range(4, 9)) / 5
+    # ids 0 and 1 name two rows each and so have twice the candidates
+    rows = [(k // 2 if k < 4 else k, "a b", "a b c", 1, [(j, "a b " * (k % 3 + 1)) for j in range(3)]) for k in range(9)]
+    schema = "paired_id long, example string, counterfactual string, label_counter int, cands array<struct<idx:int,generated:string>>"
+    got = {r.metric: r.value for r in SU.evaluate_lists(spark.createDataFrame(rows, schema), 3, "bd", calculate_corr=False).collect()}
+    assert got["n_removed"] == 4.0
+    assert got["avg_len_counter"] == 3.0 and abs(got["avg_len_generated_counter"] - sum(2 * (k % 3 + 1) for k in range(4, 9)) / 5) < 1e-9
 
 
 def test_tree_pairs_are_dealt_to_many_tasks(spark):
