@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from flipframe.operators import kneser as KN
 
@@ -56,6 +57,34 @@ def test_losses_equal_the_recursion(spark, order):
         assert per[item][0] == len(want) and per[item][1] == pytest.approx(max(want), abs=1e-12)
 
 
+@pytest.mark.parametrize("order, size", [(3, None), (4, 0), (5, None)])
+def test_higher_orders_are_written_only_near_the_held_out_texts(spark, monkeypatch, order, size):
+    """Above pairs, no gram is written whose context no held-out text has; the losses are those of the whole model, with the
+    cuts broadcast or not."""
+    written = []
+
+    def scratch(df, name):
+        written.append(df)
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(KN, "scratch_table", scratch)
+    if size is not None:
+        monkeypatch.setattr(KN, "BROADCAST_BYTES", size)
+    model = KN.train(spark.createDataFrame([(t,) for t in TRAIN], "text string"), order=order)
+    got = KN.token_losses(model, spark.createDataFrame(HELD, "item long, text string"), "item")
+    per = {r.item: r for r in got.groupBy("item").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("nll")).alias("nll")).collect()}
+    prob, counts = brute(order)
+    items = {i: padded(t, order) for i, t in HELD if t is not None}
+    assert set(per) == set(items)
+    for item, p in items.items():
+        want = [-math.log(prob(tuple(p[i : i + order]))) for i in range(len(p) - order + 1)]
+        assert per[item].n == len(want) and per[item].nll == pytest.approx(sum(want), abs=1e-9)
+    met = {tuple(p[i - 1 : i + 1]) for p in items.values() for i in range(order - 2, len(p) - 1)}
+    long = [g for df in written if "gram" in df.columns and "item" not in df.columns for (w,) in df.select("gram").collect() if len(g := w.split(" ")) > 2]
+    assert any(tuple(g) in counts[order] for g in long)
+    assert all(tuple(g[-3:-1]) in met for g in long)
+
+
 def test_probabilities_sum_to_one():
     prob, counts = brute(3)
     vocab = [g[0] for g in counts[1]] + ["never seen"]
