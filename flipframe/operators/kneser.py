@@ -112,7 +112,8 @@ def token_losses(model: list[dict], held_out: DataFrame, id_col: str, text_col:
     rows = rows.withColumn("p", F.lit(None).cast("double"))
     for m in model:
         k, d = m["order"], F.lit(m["discount"])
-        near = cut(tables[k], context(F.col("gram"), k), context(tail(k), k))
+        near = tables[k] if k == 1 else cut(tables[k], context(F.col("gram"), k), context(tail(k), k))
+        near = scratch_table(near, f"near-{k}") if 1 < k <= WRITTEN else near  # two cuts read it
         seen = cut(near, F.col("gram"), tail(k)).select(F.col("gram").alias("g"), "c")
         known = near.groupBy(context(F.col("gram"), k).alias("ctx")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
         rows = rows.withColumn("g", tail(k)).withColumn("ctx", context(F.col("g"), k)).join(seen, "g", "left").join(known, "ctx", "left")
