@@ -7,10 +7,9 @@ twice.  A gram's probability is what is left of its discounted share of its cont
 freed mass times the probability of the shorter gram; the unigrams are mixed with an even share of the
 vocabulary and one unknown word.
 
-The corpus is counted in one pass from the highest order down to word pairs; only pairs and words are
-written, with how many grams of each higher order count once and twice.  Texts are dealt to as many tasks
-as a shuffle has first, so that the grams a task counts before they are shuffled fit its memory, however
-large the splits are.  The higher orders' grams are
+The corpus is counted in one pass from the highest order down to word pairs, as packed tries that meet by their
+last two words (``operators/tries.py``); only pairs and words are written, with how many grams of each higher
+order count once and twice.  The higher orders' grams are
 needed only where their context occurs in the held-out texts.  A gram's context is cut from its own
 words, and every higher order's context ends in that of the trigrams, so one more pass over the corpus
 keeps the grams with such a context, whole, before they are counted.
@@ -28,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipframe.functions.text import word_tokens
-from flipframe.session import scratch_table, shuffle_partitions
+from flipframe.operators.tries import tail_pairs
+from flipframe.session import scratch_table, shuffle_partitions, shuffles_dropped, spread
 
 START, END = "<s>", "</s>"
 DISCOUNT = 0.75  # of an order without grams that count once
@@ -59,9 +59,15 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def shorter(table: DataFrame, order: int, keep: list[Column] | None = None) -> DataFrame:
+def shorter(table: DataFrame, order: int) -> DataFrame:
     """(gram, c): the grams of ``order`` tokens that end the given ones, each counting those."""
-    return table.withColumn("gram", F.substring_index("gram", " ", -order)).groupBy("gram").agg(F.count(F.lit(1)).alias("c"), *(keep or []))
+    return table.withColumn("gram", F.substring_index("gram", " ", -order)).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+
+
+def written(table: DataFrame, name: str) -> DataFrame:
+    """``table`` written and read back; the shuffles that made it go at once."""
+    with shuffles_dropped(table.sparkSession):
+        return scratch_table(table, name)
 
 
 def train(texts: DataFrame, text_col: str = "text", order: int = 4) -> list[dict]:
@@ -69,22 +75,22 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 4) -> list[dict
 
     Of the orders above ``WRITTEN``, grams are rows (gram, near) of the highest order, not yet counted.
     """
-    dealt = texts.select(text_col).repartition(shuffle_partitions(texts.sparkSession))
-    corpus = grams(dealt, text_col, order, near=min(order, WRITTEN + 1))
-    table, tallied = counts(corpus), []
-    for k in range(order, WRITTEN, -1):
-        tally = [F.sum((F.col("c") == n).cast("long")).alias(f"{name}{k}") for name, n in (("one", 1), ("two", 2))]
-        table = shorter(table, k - 1, [F.sum(c).alias(c) for c in tallied] + tally)
-        tallied += [f"one{k}", f"two{k}"]
-    low = min(order, WRITTEN)
-    table = scratch_table(table, f"grams-{low}")
+    spark, low = texts.sparkSession, min(order, WRITTEN)
+    if order > WRITTEN:
+        corpus = grams(spread(texts.select(text_col)), text_col, order, near=WRITTEN + 1)
+        table = tail_pairs(texts, text_col, order, START, END)
+    else:
+        corpus = grams(texts.select(text_col).repartition(shuffle_partitions(spark)), text_col, order, near=order)
+        table = counts(corpus)
+    tallied = [c for c in table.columns if c not in ("gram", "c")]
+    table = written(table, f"grams-{low}")
     out, above = [], table.agg(*[F.sum(c).alias(c) for c in tallied]).first().asDict() if tallied else {}
     for k in range(order, 0, -1):
         if k > low:
             one, two = above[f"one{k}"], above[f"two{k}"]
         else:
             if k < low:
-                table = scratch_table(shorter(table, k), f"grams-{k}")
+                table = written(shorter(table, k), f"grams-{k}")
             one, two = table.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
         discount = one / (one + 2 * two) if one else DISCOUNT
         out.append({"order": k, "grams": corpus if k > low else table.select("gram", "c"), "discount": discount})
@@ -95,8 +101,8 @@ def token_losses(model: list[dict], held_out: DataFrame, id_col: str, text_col:
     """(id, nll, n): negative log-likelihood of each distinct gram of an item, which occurs ``n`` times in it."""
     order = len(model)
     met = grams(held_out, text_col, order, [id_col]).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
-    met = scratch_table(met, "held-out-grams")
-    rows = scratch_table(met.select("gram").distinct(), "held-out-types")
+    met = written(met, "held-out-grams")
+    rows = written(met.select("gram").distinct(), "held-out-types")
     size = rows.agg(F.sum(F.octet_length("gram"))).first()[0] or 0
     tail = lambda k: F.substring_index("gram", " ", -k)
 
@@ -108,12 +114,12 @@ def token_losses(model: list[dict], held_out: DataFrame, id_col: str, text_col:
     tables = {m["order"]: m["grams"] for m in model}
     for k in range(order, WRITTEN, -1):
         whole = counts(cut(tables[k], F.col("near"), context(tail(WRITTEN + 1), WRITTEN + 1))) if k == order else shorter(tables[k + 1], k)
-        tables[k] = scratch_table(whole, f"near-{k}")
+        tables[k] = written(whole, f"near-{k}")
     rows = rows.withColumn("p", F.lit(None).cast("double"))
     for m in model:
         k, d = m["order"], F.lit(m["discount"])
         near = tables[k] if k == 1 else cut(tables[k], context(F.col("gram"), k), context(tail(k), k))
-        near = scratch_table(near, f"near-{k}") if 1 < k <= WRITTEN else near  # two cuts read it
+        near = written(near, f"near-{k}") if 1 < k <= WRITTEN else near  # two cuts read it
         seen = cut(near, F.col("gram"), tail(k)).select(F.col("gram").alias("g"), "c")
         known = near.groupBy(context(F.col("gram"), k).alias("ctx")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
         rows = rows.withColumn("g", tail(k)).withColumn("ctx", context(F.col("g"), k)).join(seen, "g", "left").join(known, "ctx", "left")
