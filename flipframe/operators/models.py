@@ -43,10 +43,17 @@ def first_letter_scorer(text) -> tuple[Column, Column]:
     return label, score
 
 
+def joint_count_class(premise_tokens: Column, hypothesis_tokens: Column) -> Column:
+    """Class id of :func:`nli_rule_scorer` from the sides' token counts."""
+    return ((premise_tokens + hypothesis_tokens) % 3).cast("int")
+
+
 def nli_rule_scorer(premise, hypothesis) -> Column:
     """Class id in {0, 1, 2} from the joint token count (stand-in for an NLI cross-encoder)."""
-    n = F.size(word_tokens(as_col(premise))) + F.size(word_tokens(as_col(hypothesis)))
-    return (n % 3).cast("int")
+    return joint_count_class(F.size(word_tokens(as_col(premise))), F.size(word_tokens(as_col(hypothesis))))
+
+
+nli_rule_scorer.on_counts = joint_count_class  # for callers that have counted the tokens of the sides
 
 
 def score_texts(df: DataFrame, text_col: str, scorer=parity_scorer, label_col: str = "pred",

@@ -68,10 +68,10 @@ def _tree_distance(a: list[np.ndarray], b: list[np.ndarray], dot: int, out: list
 
 def _marks(lens: list[np.ndarray], flat: pa.Array, ends: np.ndarray, at: np.ndarray):
     """A function from a row to the SHA-256 of its text's lines of tokens."""
-    n_bytes = _starts(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))
-    blob = b"".join(flat.cast(pa.binary()).to_pylist())
-    sizes = np.diff(n_bytes)
-    return lambda r: hashlib.sha256(b"".join((blob[n_bytes[ends[r]] : n_bytes[ends[r + 1]]], sizes[ends[r] : ends[r + 1]].tobytes(),
+    _, bounds, data = flat.cast(pa.binary()).buffers()
+    bounds = np.frombuffer(bounds, np.int32, len(flat) + 1, 4 * flat.offset) if bounds else np.zeros(1, np.int32)
+    data, sizes = memoryview(data or b""), np.diff(bounds)
+    return lambda r: hashlib.sha256(b"".join((data[bounds[ends[r]] : bounds[ends[r + 1]]], sizes[ends[r] : ends[r + 1]].tobytes(),
                                               lens[1][at[r] : at[r + 1]].tobytes()))).digest()
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipframe.functions.text import space_word_count
+from flipframe.functions.text import space_word_count, word_tokens
 from flipframe.operators import metrics as M
 from flipframe.operators import ngram
 from flipframe.operators.candidates import clean_candidates
@@ -70,14 +70,15 @@ def _for_spearman(rows: DataFrame, family: str, score: str) -> DataFrame:
 
 def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer,
              id_col: str = "paired_id", calculate_corr: bool = True, materialise: bool = True, score=None,
-             carry: tuple[str, ...] = (), line_trees: bool = False) -> DataFrame:
+             carry: tuple[str, ...] = (), line_trees: bool = False, counted: bool = False) -> DataFrame:
     """Metric flags: g = label flip + confidence, b = BLEU family, c = closeness (token edit
     distance, and with ``line_trees`` the distance of line-aligned one-level trees),
     d = diversity (self-BLEU).  Returns (metric, value) rows.
 
     ``pairs``: id, example (the seed side), counterfactual (the gold text), label_counter.
     ``score(rows)`` replaces the text scorer: it adds ``pred`` (and ``score``, if it has a
-    confidence) to rows that hold the ``carry`` columns of ``pairs`` and ``generated``.
+    confidence) to rows that hold the ``carry`` columns of ``pairs`` and ``generated``, or, if ``counted``, the
+    numbers of each candidate (its ``n_tokens``), so that no text is tokenised again.
     """
     kept, removed = clean_candidates(pairs, cands, id_col, n)
     # the few candidates of a pair meet in its row; the one shuffle of texts, by pair id with an explicit count:
@@ -85,30 +86,33 @@ def evaluate(pairs: DataFrame, cands: DataFrame, n: int, metrics: str = "gbcd",
     lists = cands.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "generated"))).alias("cands"))
     rows = kept.select(id_col, "example", "counterfactual", "label_counter", *carry).join(lists, id_col)
     rows = rows.repartition(shuffle_partitions(pairs.sparkSession), id_col)
-    return _metrics(_scored(rows, metrics, scorer, id_col, materialise, score, carry, line_trees), _long(removed), metrics, calculate_corr, line_trees)
+    return _metrics(_scored(rows, metrics, scorer, id_col, materialise, score, carry, line_trees, counted), _long(removed), metrics, calculate_corr, line_trees)
 
 
 def evaluate_lists(pairs: DataFrame, n: int, metrics: str = "gbcd", scorer=parity_scorer, id_col: str = "paired_id",
-                   calculate_corr: bool = True, score=None, carry: tuple[str, ...] = (), line_trees: bool = False) -> DataFrame:
+                   calculate_corr: bool = True, score=None, carry: tuple[str, ...] = (), line_trees: bool = False, counted: bool = False) -> DataFrame:
     """:func:`evaluate` over pairs that hold their candidates (``cands``, an array of (idx, generated)): the
     texts are scored where they lie, and incomplete pairs leave by their numbers."""
-    scores = _scored(pairs, metrics, scorer, id_col, True, score, carry, line_trees)
+    scores = _scored(pairs, metrics, scorer, id_col, True, score, carry, line_trees, counted)
     per = scores.groupBy("id").agg(F.count("n_tokens").alias("_ok"), F.count_if(F.col("place") == 0).alias("_pairs"))
     kept = scores.join(per.where(F.col("_ok") == n).select("id"), "id", "left_semi")
     removed = per.agg(F.coalesce(F.sum(F.when(F.col("_ok") != n, F.col("_pairs"))), F.lit(0)).alias("n_removed"))
     return _metrics(kept, _long(removed), metrics, calculate_corr, line_trees)
 
 
-def _scored(rows: DataFrame, metrics: str, scorer, id_col: str, materialise: bool, score, carry, line_trees: bool) -> DataFrame:
+def _scored(rows: DataFrame, metrics: str, scorer, id_col: str, materialise: bool, score, carry, line_trees: bool, counted: bool) -> DataFrame:
     """The numbers of every candidate, written once: every metric family reads this table."""
     trees = "c" in metrics and line_trees
     keep = ["id", "label_counter", *carry]
     texts = candidate_rows(rows.withColumn("id", F.col(id_col)), keep, trees)
-    numbers = []
-    if "g" in metrics:
+    if "g" in metrics and not counted:
         texts = score(texts) if score else score_texts(texts, "generated", scorer)
-        numbers = [c for c in ("pred", "score") if c in texts.columns]
-    return _materialise(candidate_scores(texts, ["id", "label_counter", *numbers], "c" in metrics, trees), materialise)
+    if not counted:
+        keep = ["id", "label_counter", *[c for c in ("pred", "score") if "g" in metrics and c in texts.columns]]
+    scores = candidate_scores(texts, keep, "c" in metrics, trees)
+    if counted:
+        scores = (score(scores) if "g" in metrics else scores).drop(*carry)
+    return _materialise(scores, materialise)
 
 
 def _metrics(scores: DataFrame, removed: DataFrame, metrics: str, calculate_corr: bool, trees: bool) -> DataFrame:
@@ -175,11 +179,13 @@ def evaluate_nli(rows: DataFrame, cands: DataFrame | None, n: int, label_map: di
     candidate takes the revised side's place when the pair is scored, and flips the label if the
     predicted class is that of ``counter_label``.  Without ``cands`` the rows hold their own candidates.
     """
-    premise, hypothesis = nli_scoring_sides("generated")
-    carry = ("task", "original_prem", "original_hyp")
-    pairs = rows.select(id_col, *carry, nli_original_text().alias("example"), nli_counter_side().alias("counterfactual"),
+    carry, counts = ("task", "original_prem", "original_hyp"), getattr(scorer, "on_counts", None)
+    # a scorer of counts needs the other side's count alone, taken once for all candidates of the pair
+    fixed = [F.when(F.col("task") == task, F.lit(None)).otherwise(F.size(word_tokens(c))).alias(c) for task, c in zip(("RP", "RH"), carry[1:])]
+    pairs = rows.select(id_col, "task", *(fixed if counts else carry[1:]), nli_original_text().alias("example"), nli_counter_side().alias("counterfactual"),
                         encode_with_map("counter_label", label_map).alias("label_counter"), *(["cands"] if cands is None else []))
-    more |= {"id_col": id_col, "carry": carry, "score": lambda hyp: score_pairs(hyp, premise, hypothesis, scorer)}
+    premise, hypothesis = nli_scoring_sides("n_tokens" if counts else "generated")
+    more |= {"id_col": id_col, "carry": carry, "counted": counts is not None, "score": lambda hyp: score_pairs(hyp, premise, hypothesis, counts or scorer)}
     return evaluate_lists(pairs, n, metrics, **more) if cands is None else evaluate(pairs, cands, n, metrics, **more)
 
 
