@@ -103,8 +103,9 @@ def gram_stats(group: np.ndarray, idx: np.ndarray, lens: np.ndarray, codes: np.n
             key = rank[start] * words + codes[start + n]
         if not len(start):
             break
-        order = np.argsort(key, kind="stable")  # equal grams stay in the order of their texts
-        key, by = key[order], owner[start[order]]
+        key = key * slots + owner[start]  # equal grams lie in the order of their texts
+        order = np.argsort(key)
+        key, by = np.divmod(key[order], slots)
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
         rank[start[order]] = np.cumsum(fresh) - 1
         runs = np.flatnonzero(fresh | np.concatenate([[True], by[1:] != by[:-1]]))

@@ -1,7 +1,7 @@
 """Scores of a pair's candidates against its gold text, its seed and each other, a batch of pairs at a time.
 
-The texts of a pair come as consecutive rows: seed, gold text, candidates by index.  Tokens become codes
-of their Arrow batch; grams, distances and lengths are NumPy over a slice of pairs.  Only numbers leave, so no
+The texts of a pair come as consecutive rows: seed, gold text, candidates by index.  They are cut into tokens
+(``operators/tokens.py``), which become codes of their slice; grams, distances and lengths are NumPy over a slice of pairs.  Only numbers leave, so no
 token, gram or text is shuffled or written.
 """
 
@@ -17,34 +17,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flipframe.functions.text import line_tokens, word_tokens
 from flipframe.operators.distance import batch_token_distances, bit_parallel_distance
 from flipframe.operators.ngram import MAX_N, gram_stats
+from flipframe.operators.tokens import char_classes, cut_texts
+from flipframe.session import ship_package
 
-SLICE_TOKENS = 1 << 16  # tokens of the pairs that are scored together; one longer pair is a slice of its own
+SLICE_BYTES = 1 << 18  # of the texts of the pairs that are scored together; one longer pair is a slice of its own
 KNOWN_PAIRS = 4096  # distances that a task remembers: revisions of one original have equal seeds and candidates
 SEED, GOLD = 0, 1  # places of a pair's rows; its candidates follow
 COUNTS = ["hyp_len", "ref_len", *[f"num{n}" for n in range(1, MAX_N + 1)], "near_len", *[f"own{n}" for n in range(1, MAX_N + 1)]]
 
 
-def candidate_rows(pairs: DataFrame, keep: Sequence[str], lines: bool) -> DataFrame:
-    """(keep.., nth, idx, generated, tokens): the rows of each pair, in order; ``pairs`` has example,
-    counterfactual and ``cands``, an array of (idx, generated) sorted by idx."""
+def candidate_rows(pairs: DataFrame, keep: Sequence[str], lines: bool = True) -> DataFrame:
+    """(keep.., nth, idx, generated, text): the rows of each pair, in order; ``pairs`` has example,
+    counterfactual and ``cands``, an array of (idx, generated) sorted by idx.  Texts are cut into lines and tokens where
+    they are scored, whatever ``lines``."""
     other = lambda col: F.array(F.struct(F.lit(-1).alias("idx"), F.col(col).alias("generated")))
     texts = F.concat(other("example"), other("counterfactual"), F.col("cands").cast("array<struct<idx:int,generated:string>>"))
     rows = pairs.select(*keep, F.posexplode(texts).alias("nth", "t"))
     text = F.col("t.generated")
-    tokens = line_tokens(text) if lines else F.when(text.isNotNull(), F.array(word_tokens(text)))
-    return rows.select(*keep, "nth", F.col("t.idx").alias("idx"), F.when(F.col("nth") > GOLD, text).alias("generated"), tokens.alias("tokens"))
-
-
-def _tokens(col: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
-    """The lengths of a column of lines of tokens (lines of a text, tokens of a line), and the tokens."""
-    lens = []
-    for _ in range(2):
-        lens.append(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        col = col.flatten()
-    return lens, col
+    return rows.select(*keep, "nth", F.col("t.idx").alias("idx"), F.when(F.col("nth") > GOLD, text).alias("generated"), text.alias("text"))
 
 
 def _starts(lens: np.ndarray) -> np.ndarray:
@@ -75,8 +67,8 @@ def _marks(lens: list[np.ndarray], flat: pa.Array, ends: np.ndarray, at: np.ndar
                                               lens[1][at[r] : at[r + 1]].tobytes()))).digest()
 
 
-def _score(nth: np.ndarray, idx: np.ndarray, col: pa.Array, closeness: bool, trees: bool, known: dict) -> dict[str, np.ndarray | list]:
-    (n_lines, line_lens), flat = _tokens(col)
+def _score(nth: np.ndarray, idx: np.ndarray, col: pa.Array, classes: np.ndarray, closeness: bool, trees: bool, known: dict) -> dict[str, np.ndarray | list]:
+    n_lines, line_lens, flat = cut_texts(col, classes)
     coded = flat.dictionary_encode()
     codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
     at, line_at = _starts(n_lines), _starts(line_lens)
@@ -138,10 +130,14 @@ def candidate_scores(rows: DataFrame, keep: Sequence[str], closeness: bool = Fal
     spec = T.StructType([*rows.select(*keep).schema.fields, T.StructField("place", T.IntegerType()), T.StructField("first", T.BooleanType()),
                          *[T.StructField(c, T.LongType()) for c in long]])
 
-    def score(part: pa.RecordBatch, known: dict) -> pa.RecordBatch:
+    spark = rows.sparkSession
+    ship_package(spark)
+    table = spark.sparkContext.broadcast(char_classes(spark))
+
+    def score(part: pa.RecordBatch, classes: np.ndarray, known: dict) -> pa.RecordBatch:
         nth = part.column("nth").to_numpy()
         idx = pc.fill_null(part.column("idx"), -1).to_numpy()
-        got = _score(nth, idx, part.column("tokens"), closeness, trees, known)
+        got = _score(nth, idx, part.column("text"), classes, closeness, trees, known)
         where = pa.array(np.flatnonzero(nth > GOLD))
         cols = [part.column(c).take(where) for c in keep]
         place = pa.array((nth[nth > GOLD] - GOLD - 1).astype(np.int32))
@@ -149,21 +145,21 @@ def candidate_scores(rows: DataFrame, keep: Sequence[str], closeness: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        classes = np.frombuffer(table.value, np.uint8)
         left = None  # the last pair of a batch may go on in the next one
         for batch in batches:
             if left is not None:
                 batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
             begin = np.flatnonzero(batch.column("nth").to_numpy() == SEED)
-            lens = _tokens(batch.column("tokens"))[0]
-            size = _starts(lens[1])[_starts(lens[0])][begin]
+            size = _starts(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))[begin]
             lo = 0
             while lo < len(begin) - 1:
-                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + SLICE_TOKENS, side="right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + SLICE_BYTES, side="right")) - 1)
                 hi = min(hi, len(begin) - 1)
-                yield score(batch.slice(begin[lo], begin[hi] - begin[lo]), known)
+                yield score(batch.slice(begin[lo], begin[hi] - begin[lo]), classes, known)
                 lo = hi
             left = batch.slice(begin[-1]) if len(begin) else None
         if left is not None and left.num_rows:
-            yield score(left, known)
+            yield score(left, classes, known)
 
-    return rows.select(*keep, "nth", "tokens").mapInArrow(run, spec)
+    return rows.select(*keep, "nth", "text").mapInArrow(run, spec)
